@@ -55,13 +55,15 @@ def category_breakdown(log: DataFrame, sql: Column, cluster: Column, patterns: d
 
 def distinct_ngrams(log: DataFrame, sql: Column, n: int = 3) -> DataFrame:
     """A5: distinct n-grams per statement and the largest n-gram."""
-    grams = log.select(F.explode(ngrams(sqltext.tokens(sql), n)).alias("gram")).groupBy("gram").agg(F.lit(1))
-    size = log.agg(F.count("*").alias("n_queries"))
-    found = grams.agg(F.count("*").alias("distinct_ngrams"), F.max("gram").alias("largest_ngram"))
-    # Two one-row frames side by side.
-    return found.join(size, how="cross").select(
-        "distinct_ngrams", "n_queries", (F.col("distinct_ngrams") / F.col("n_queries")).alias("per_query"), "largest_ngram"
+    # The null gram of every statement counts the statements in the same shuffle.
+    marked = F.concat(ngrams(sqltext.tokens(sql), n), F.array(F.lit(None).cast("string")))
+    grams = log.select(F.explode(marked).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    found = grams.agg(
+        F.count("gram").alias("distinct_ngrams"),
+        F.max(F.when(F.col("gram").isNull(), F.col("n"))).alias("n_queries"),
+        F.max("gram").alias("largest_ngram"),
     )
+    return found.withColumn("per_query", F.col("distinct_ngrams") / F.col("n_queries"))
 
 
 def profile(log: DataFrame, sql: Column) -> DataFrame:
