@@ -1,0 +1,38 @@
+"""Running the statements of a workload on Spark."""
+
+from __future__ import annotations
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quarrylog.session import new_shared_path
+
+
+def run_workload(spark: SparkSession, statements: list[tuple[int, str]], frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Q7: run each statement over the named frames; rows as JSON text, and one status row per statement.
+
+    Only statement texts pass through the driver; results go straight to the
+    shared folder, one sub-folder per statement.
+    """
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+    path = new_shared_path(spark, "workload")
+    status = []
+    for query_id, sql in statements:
+        try:
+            result = spark.sql(sql)
+            result.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in result.columns])).alias("row")).write.parquet(
+                f"{path}/query_id={query_id}"
+            )
+            status.append((query_id, None))
+        except PySparkException as error:
+            status.append((query_id, error.getCondition() or type(error).__name__))
+    outcome = spark.createDataFrame(status, "query_id long, error string")
+    if all(error for _, error in status):
+        return spark.createDataFrame([], "row string, query_id long"), outcome
+    return spark.read.schema("row string, query_id long").parquet(path), outcome
+
+
+def error_percentage(status: DataFrame) -> DataFrame:
+    """A27."""
+    return status.agg((F.count("error") * 100.0 / F.count("*")).alias("error_percentage"))

@@ -40,10 +40,10 @@ def with_position(seq: DataFrame, out: str = "pos") -> DataFrame:
     ).drop("_before")
 
 
-def _before(per_part: DataFrame, value: str) -> DataFrame:
-    """Sum of ``value`` over earlier partitions; one row per partition of the sequence."""
+def _before(per_part: DataFrame, value: str, fold=F.sum, empty=0) -> DataFrame:
+    """``fold`` of ``value`` over earlier partitions; one row per partition of the sequence."""
     window = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return per_part.select("_part", F.coalesce(F.sum(value).over(window), F.lit(0)).alias("_before"))
+    return per_part.select("_part", F.coalesce(fold(value).over(window), F.lit(empty)).alias("_before"))
 
 
 def with_previous(seq: DataFrame, columns: list[str], group: list[str] = (), prefix: str = "prev_") -> DataFrame:
@@ -65,14 +65,31 @@ def with_previous(seq: DataFrame, columns: list[str], group: list[str] = (), pre
     )
 
 
-def with_running_sum(seq: DataFrame, value: Column, out: str) -> DataFrame:
-    """Sum of ``value`` from the start of the sequence to this row."""
+def _running(seq: DataFrame, value: Column, fold, join, empty, out: str) -> DataFrame:
     valued = seq.withColumn("_v", value)
     window = Window.partitionBy("_part").orderBy("_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = valued.groupBy("_part").agg(F.sum("_v").alias("_s"))
+    folded = valued.groupBy("_part").agg(fold("_v").alias("_s"))
     return (
-        valued.withColumn("_w", F.sum("_v").over(window))
-        .join(F.broadcast(_before(sums, "_s")), "_part")
-        .withColumn(out, F.col("_w") + F.col("_before"))
+        valued.withColumn("_w", fold("_v").over(window))
+        .join(F.broadcast(_before(folded, "_s", fold, empty)), "_part")
+        .withColumn(out, join(F.coalesce("_w", F.lit(empty)), F.col("_before")))
         .drop("_v", "_w", "_before")
     )
+
+
+def with_running_sum(seq: DataFrame, value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` from the start of the sequence to this row."""
+    return _running(seq, value, F.sum, lambda a, b: a + b, 0, out)
+
+
+def with_running_max(seq: DataFrame, value: Column, out: str, empty=0) -> DataFrame:
+    """Largest non-null ``value`` from the start of the sequence to this row."""
+    return _running(seq, value, F.max, F.greatest, empty, out)
+
+
+def runs(seq: DataFrame, starts: Column) -> DataFrame:
+    """``run`` numbers the stretches that begin where ``starts`` is true; ``offset`` counts from 0 inside one."""
+    placed = with_position(seq)
+    numbered = with_running_sum(placed, F.when(starts, 1).otherwise(0), "run")
+    opened = with_running_max(numbered, F.when(starts, F.col("pos")), "_opened", empty=1)
+    return opened.withColumn("offset", F.col("pos") - F.col("_opened")).drop("_opened")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
@@ -12,8 +12,15 @@ from quarrylog.operators import catalog_match as ops
 from quarrylog.operators.joins import first_per_group
 from quarrylog.registry import query
 
-SQL = F.col("gold_sql")
-TABLES = sqltext.table_refs(SQL)
+
+def gold() -> Column:
+    return F.col("gold_sql")
+
+
+def used_tables() -> Column:
+    return sqltext.table_refs(gold())
+
+
 REFS = o.with_(query_log=QUERY_LOG_SQL, **o.refs("query_log", "gold_sql"))
 
 # The known tables: those that predictions with a JOIN use.
@@ -35,20 +42,20 @@ def _catalog(log: DataFrame) -> DataFrame:
   FROM (SELECT query_id, unnest(tabs) AS table_name FROM refs) AS u SEMI JOIN catalog USING (table_name) GROUP BY query_id""")
 def known_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = query_log(spark, sf_dir)
-    return ops.known_tables(log, "query_id", TABLES, _catalog(log)).withColumn("tables", F.array_join("tables", ","))
+    return ops.known_tables(log, "query_id", used_tables(), _catalog(log)).withColumn("tables", F.array_join("tables", ","))
 
 
 @query("u7_catalog_intersection", _BOTH + """SELECT table_name, count(*) AS n_queries
   FROM (SELECT query_id, unnest(tabs) AS table_name FROM refs) AS u SEMI JOIN catalog USING (table_name) GROUP BY ALL""")
 def catalog_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = query_log(spark, sf_dir)
-    counts = ops.table_index(log, "query_id", TABLES).groupBy("table_name").agg(F.count("*").alias("n_queries"))
+    counts = ops.table_index(log, "query_id", used_tables()).groupBy("table_name").agg(F.count("*").alias("n_queries"))
     return counts.join(_catalog(log), "table_name", "left_semi")
 
 
 @query("j15_table_index", REFS + "SELECT unnest(tabs) AS table_name, query_id FROM refs")
 def table_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.table_index(query_log(spark, sf_dir), "query_id", TABLES)
+    return ops.table_index(query_log(spark, sf_dir), "query_id", used_tables())
 
 
 # A database owns the tables it uses at least as often as the average database does.
@@ -60,7 +67,7 @@ _OWNED_SQL = """SELECT db_id, table_name, n FROM (
 
 def _owned(log: DataFrame) -> DataFrame:
     counts = (
-        log.select("db_id", F.explode(TABLES).alias("table_name"))
+        log.select("db_id", F.explode(used_tables()).alias("table_name"))
         .groupBy("db_id", "table_name")
         .agg(F.count("*").alias("n"))
     )
@@ -73,7 +80,7 @@ SELECT query_id, (SELECT max(db_id) FROM (SELECT db_id FROM owned WHERE list_con
   GROUP BY db_id HAVING count(*) = len(refs.tabs)) AS held) AS owner FROM refs""")
 def owning_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = query_log(spark, sf_dir)
-    return ops.owning_database(log, "query_id", TABLES, _owned(log), "db_id", "table_name")
+    return ops.owning_database(log, "query_id", used_tables(), _owned(log), "db_id", "table_name")
 
 
 _QUALIFIED = o.with_(
@@ -88,7 +95,7 @@ _QUALIFIED = o.with_(
 
 
 def _qualified_owners(log: DataFrame) -> DataFrame:
-    pairs = F.array_distinct(F.regexp_extract_all(F.upper(SQL), F.lit(r"[A-Z_]+\.[A-Z_]+"), F.lit(0)))
+    pairs = F.array_distinct(F.regexp_extract_all(F.upper(gold()), F.lit(r"[A-Z_]+\.[A-Z_]+"), F.lit(0)))
     counts = log.select("db_id", F.explode(pairs).alias("c")).groupBy("db_id", "c").agg(F.count("*").alias("n"))
     means = counts.groupBy("c").agg(F.avg("n").alias("m"))
     catalog = counts.join(means, "c").where("n >= m")
@@ -130,7 +137,7 @@ _OVERLAP = o.with_(
 
 @query("j7_overlap_top5", _OVERLAP + "SELECT * FROM ranked WHERE rank <= 5")
 def overlap_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.overlapping_queries(query_log(spark, sf_dir), "query_id", TABLES, 5)
+    return ops.overlapping_queries(query_log(spark, sf_dir), "query_id", used_tables(), 5)
 
 
 @query("j11_leave_one_out", o.with_(
@@ -153,7 +160,7 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u4_table_union", REFS + "SELECT DISTINCT unnest(tabs) AS table_name FROM refs")
 def table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select(F.explode(TABLES).alias("table_name")).distinct()
+    return query_log(spark, sf_dir).select(F.explode(used_tables()).alias("table_name")).distinct()
 
 
 @query("t13_sorted_tables", REFS + "SELECT DISTINCT unnest(tabs) AS table_name FROM refs ORDER BY table_name")
@@ -164,7 +171,7 @@ def sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u6_subset_test", _BOTH + """SELECT refs.query_id, len(list_filter(p_tabs, lambda t: NOT list_contains(tabs, t))) = 0 AS pred_in_gold
   FROM refs JOIN p_refs ON refs.query_id = p_refs.query_id""")
 def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = F.size(F.array_except(sqltext.table_refs(F.col("pred_sql")), TABLES))
+    missing = F.size(F.array_except(sqltext.table_refs(F.col("pred_sql")), used_tables()))
     return query_log(spark, sf_dir).select("query_id", (missing == 0).alias("pred_in_gold"))
 
 
@@ -181,7 +188,7 @@ def union_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
   THEN concat('SELECT * FROM (', split_part(gold_sql, 'LIMIT ', 1), ') WHERE ROWNUM <=', regexp_extract(gold_sql, 'LIMIT ([0-9]+)', 1))
   ELSE gold_sql END AS sql FROM query_log""")
 def rownum_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select("query_id", sqltext.limit_to_rownum(SQL).alias("sql"))
+    return query_log(spark, sf_dir).select("query_id", sqltext.limit_to_rownum(gold()).alias("sql"))
 
 
 _QUALIFY = "gold_sql"
@@ -191,7 +198,7 @@ for _t in ("customer", "orders", "nation", "region", "part", "supplier", "lineit
 
 @query("f27_owner_prefix", o.QL + f"SELECT query_id, {_QUALIFY} AS sql FROM query_log")
 def owner_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select("query_id", sqltext.qualify_tables(SQL, TABLES, "OWNER").alias("sql"))
+    return query_log(spark, sf_dir).select("query_id", sqltext.qualify_tables(gold(), used_tables(), "OWNER").alias("sql"))
 
 
 _FK = o.with_(schema_columns=SCHEMA_COLUMNS_SQL)
@@ -232,7 +239,7 @@ def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
   ON t = table_name GROUP BY table_name""")
 def schema_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = query_log(spark, sf_dir)
-    used = ops.table_index(log, "query_id", TABLES).groupBy("table_name").agg(F.count("*").alias("n_queries"))
+    used = ops.table_index(log, "query_id", used_tables()).groupBy("table_name").agg(F.count("*").alias("n_queries"))
     known = _catalog(log).withColumn("known", F.lit(True))
     return used.join(known, "table_name", "left").select(
         "table_name", "n_queries", F.col("known").isNull().alias("missing")
@@ -243,6 +250,6 @@ def schema_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT db_id, query_id, row_number() OVER (PARTITION BY db_id ORDER BY length(gold_sql) DESC, query_id) AS rank
   FROM query_log WHERE NOT starts_with(gold_sql, 'WITH ')) AS r WHERE rank <= 10""")
 def prefix_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = query_log(spark, sf_dir).where(~SQL.startswith("WITH "))
+    kept = query_log(spark, sf_dir).where(~gold().startswith("WITH "))
     ranked = kept.select("db_id", "query_id", F.length("gold_sql").alias("n"))
     return first_per_group(ranked, ["db_id"], [F.desc("n"), "query_id"], 10).select("db_id", "query_id", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
@@ -12,8 +12,14 @@ from quarrylog.inputs import LABEL_PAIRS_SQL, QUERY_LOG_SQL, label_pairs, query_
 from quarrylog.operators import scoring as ops
 from quarrylog.registry import query
 
-GOLD, PRED = F.col("gold_sql"), F.col("pred_sql")
-GOLD_TABLES, PRED_TABLES = sqltext.table_refs(GOLD), sqltext.table_refs(PRED)
+
+def gold_tables() -> Column:
+    return sqltext.table_refs(F.col("gold_sql"))
+
+
+def pred_tables() -> Column:
+    return sqltext.table_refs(F.col("pred_sql"))
+
 
 SETS = dict(
     query_log=QUERY_LOG_SQL,
@@ -27,7 +33,7 @@ SCORES = o.with_(**SETS)
 
 
 def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.set_scores(query_log(spark, sf_dir), ["query_id"], GOLD_TABLES, PRED_TABLES)
+    return ops.set_scores(query_log(spark, sf_dir), ["query_id"], gold_tables(), pred_tables())
 
 
 @query("e1_set_scores", SCORES + """SELECT query_id, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall,
@@ -43,8 +49,8 @@ def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN gold_sql = 'COMMIT' OR pred_sql = 'COMMIT' THEN 0.0 WHEN len(tabs) = 0 AND len(p_tabs) = 0 THEN 1.0 ELSE f END AS f1 FROM scores"""})
     + "SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ruled")
 def set_scores_null_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = F.when(sqltext.select_count(GOLD) > 0, GOLD_TABLES)
-    pred = F.when(sqltext.select_count(PRED) > 0, PRED_TABLES)
+    gold = F.when(sqltext.select_count(F.col("gold_sql")) > 0, gold_tables())
+    pred = F.when(sqltext.select_count(F.col("pred_sql")) > 0, pred_tables())
     scores = ops.set_scores_null_rule(query_log(spark, sf_dir), ["query_id"], gold, pred)
     return scores.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -68,7 +74,7 @@ def micro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e4_table_recall", SCORES + """SELECT query_id, CASE WHEN len(tabs) > 0 AND len(p_tabs) > 0
   THEN round(tp / len(tabs), 6) END AS recall FROM scores""")
 def table_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_log(spark, sf_dir).select("query_id", GOLD_TABLES.alias("g"), PRED_TABLES.alias("p"))
+    rows = query_log(spark, sf_dir).select("query_id", gold_tables().alias("g"), pred_tables().alias("p"))
     shared = F.size(F.array_intersect("g", "p")) / F.size("g")
     return rows.select(
         "query_id", F.when((F.size("g") > 0) & (F.size("p") > 0), F.round(shared, 6)).alias("recall")
@@ -78,7 +84,7 @@ def table_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e5_column_accuracy", SCORES + """SELECT round(sum(CASE WHEN len(cols) > 0
   THEN len(list_intersect(cols, p_cols)) * 100.0 / len(cols) ELSE 0 END) / count(*), 6) AS column_accuracy FROM scores""")
 def column_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_log(spark, sf_dir).select(sqltext.column_refs(GOLD).alias("g"), sqltext.column_refs(PRED).alias("p"))
+    rows = query_log(spark, sf_dir).select(sqltext.column_refs(F.col("gold_sql")).alias("g"), sqltext.column_refs(F.col("pred_sql")).alias("p"))
     share = F.when(F.size("g") > 0, F.size(F.array_intersect("g", "p")) * 100.0 / F.size("g")).otherwise(0.0)
     return rows.agg(F.round(F.avg(share), 6).alias("column_accuracy"))
 
@@ -87,7 +93,7 @@ def column_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
   avg(f) * 100 AS m FROM scores WHERE len(tabs) >= 1 GROUP BY 1)
 SELECT n_tables, CAST(printf('%.2e', m) AS DOUBLE) AS f1 FROM b""")
 def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_log(spark, sf_dir).select("query_id", GOLD_TABLES.alias("g"), PRED_TABLES.alias("p")).where("size(g) > 0")
+    rows = query_log(spark, sf_dir).select("query_id", gold_tables().alias("g"), pred_tables().alias("p")).where("size(g) > 0")
     bucket = F.when(F.size("g") >= 3, "3+").otherwise(F.size("g").cast("string"))
     scores = ops.set_scores(rows.withColumn("n_tables", bucket), ["n_tables"], F.col("g"), F.col("p"))
     return scores.groupBy("n_tables").agg(significant(F.avg("f1") * 100).alias("f1"))
@@ -96,7 +102,7 @@ def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p13_prefix_gate", SCORES + """SELECT query_id, CASE WHEN len(list_filter(tabs, lambda t: contains(t, 'REG'))) = 0
   THEN round(f, 6) END AS f1 FROM scores""")
 def prefix_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_log(spark, sf_dir).select("query_id", GOLD_TABLES.alias("g"), PRED_TABLES.alias("p"))
+    rows = query_log(spark, sf_dir).select("query_id", gold_tables().alias("g"), pred_tables().alias("p"))
     gated = F.exists("g", lambda t: t.contains("REG"))
     scores = ops.set_scores(rows.withColumn("gated", gated), ["query_id", "gated"], F.col("g"), F.col("p"))
     return scores.select("query_id", F.when(~F.col("gated"), F.round("f1", 6)).alias("f1"))
@@ -104,7 +110,7 @@ def prefix_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u1_set_counts", SCORES + "SELECT query_id, tp, fp, fn FROM scores")
 def set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_log(spark, sf_dir).select("query_id", GOLD_TABLES.alias("g"), PRED_TABLES.alias("p"))
+    rows = query_log(spark, sf_dir).select("query_id", gold_tables().alias("g"), pred_tables().alias("p"))
     return rows.select("query_id", *[c.alias(n) for n, c in set_counts(F.col("g"), F.col("p")).items()])
 
 
@@ -117,7 +123,7 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_pred_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = query_log(spark, sf_dir)
     joined = log.select("query_id", "gold_sql").join(log.select("query_id", "pred_sql"), "query_id")
-    return joined.select("query_id", (GOLD == PRED).alias("exact"))
+    return joined.select("query_id", (F.col("gold_sql") == F.col("pred_sql")).alias("exact"))
 
 
 _REPORT = o.with_(label_pairs=LABEL_PAIRS_SQL) + """, c AS (SELECT class,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext, vocab
@@ -10,7 +10,11 @@ from quarrylog.inputs import QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, query_log, schem
 from quarrylog.operators import workload as ops
 from quarrylog.registry import query
 
-SQL = F.col("gold_sql")
+
+def gold() -> Column:
+    return F.col("gold_sql")
+
+
 REFS = o.with_(query_log=QUERY_LOG_SQL, **o.refs("query_log", "gold_sql"))
 
 
@@ -24,12 +28,12 @@ def _totals_oracle(patterns: dict[str, str]) -> str:
 
 @query("a1_category_totals", _totals_oracle(vocab.OCCURRENCE_PATTERNS))
 def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.category_totals(query_log(spark, sf_dir), SQL, vocab.OCCURRENCE_PATTERNS)
+    return ops.category_totals(query_log(spark, sf_dir), gold(), vocab.OCCURRENCE_PATTERNS)
 
 
 @query("a16_log_category_totals", _totals_oracle(vocab.LOG_PATTERNS))
 def log_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.category_totals(query_log(spark, sf_dir), SQL, vocab.LOG_PATTERNS)
+    return ops.category_totals(query_log(spark, sf_dir), gold(), vocab.LOG_PATTERNS)
 
 
 @query("a2_aggregate_total", o.QL + "SELECT CAST(sum(" + " + ".join(
@@ -37,14 +41,14 @@ def log_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) + ") AS BIGINT) AS total FROM query_log")
 def aggregate_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = {n: vocab.OCCURRENCE_PATTERNS[n] for n in vocab.AGGREGATE_CATEGORIES}
-    return ops.category_totals(query_log(spark, sf_dir), SQL, chosen).agg(F.sum("total").alias("total"))
+    return ops.category_totals(query_log(spark, sf_dir), gold(), chosen).agg(F.sum("total").alias("total"))
 
 
 @query("f6_category_counts", o.QL + "SELECT query_id, " + ", ".join(
     f"{o.occurrences('gold_sql', n, p)} AS {n}" for n, p in vocab.OCCURRENCE_PATTERNS.items()
 ) + " FROM query_log")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = sqltext.category_counts(SQL, vocab.OCCURRENCE_PATTERNS)
+    counts = sqltext.category_counts(gold(), vocab.OCCURRENCE_PATTERNS)
     return query_log(spark, sf_dir).select("query_id", *[c.alias(n) for n, c in counts.items()])
 
 
@@ -52,13 +56,13 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"max(CASE WHEN contains(gold_sql, {o.quoted(w)}) THEN 1 ELSE 0 END)" for w in vocab.SQL_KEYWORDS
 ) + f" AS BIGINT) AS keywords_used, {len(vocab.SQL_KEYWORDS)} AS keywords_known FROM query_log")
 def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.keyword_coverage(query_log(spark, sf_dir), SQL)
+    return ops.keyword_coverage(query_log(spark, sf_dir), gold())
 
 
 @query("a4_token_counts", o.QL + f"""SELECT round(avg(n), 6) AS avg_tokens, max(n) AS max_tokens
   FROM (SELECT CAST(len({o.tokens('gold_sql')}) AS BIGINT) AS n FROM query_log) AS t""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = query_log(spark, sf_dir).select(F.size(sqltext.tokens(SQL)).cast("long").alias("n"))
+    sizes = query_log(spark, sf_dir).select(F.size(sqltext.tokens(gold())).cast("long").alias("n"))
     return sizes.agg(F.round(F.avg("n"), 6).alias("avg_tokens"), F.max("n").alias("max_tokens"))
 
 
@@ -68,25 +72,25 @@ grams AS (SELECT DISTINCT unnest(list_transform(range(1, len(t) - 1), lambda i:
 SELECT count(*) AS distinct_ngrams, (SELECT count(*) FROM toks) AS n_queries,
   count(*) / (SELECT count(*) FROM toks) AS per_query, max(gram) AS largest_ngram FROM grams""")
 def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.distinct_ngrams(query_log(spark, sf_dir), SQL)
+    return ops.distinct_ngrams(query_log(spark, sf_dir), gold())
 
 
 @query("f3_table_refs", REFS + "SELECT query_id, array_to_string(tabs, ',') AS tables FROM refs")
 def table_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select("query_id", F.array_join(sqltext.table_refs(SQL), ",").alias("tables"))
+    return query_log(spark, sf_dir).select("query_id", F.array_join(sqltext.table_refs(gold()), ",").alias("tables"))
 
 
 @query("f4_column_refs", REFS + "SELECT query_id, array_to_string(list_sort(cols), ',') AS columns FROM refs")
 def column_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select(
-        "query_id", F.array_join(F.array_sort(sqltext.column_refs(SQL)), ",").alias("columns")
+        "query_id", F.array_join(F.array_sort(sqltext.column_refs(gold())), ",").alias("columns")
     )
 
 
 @query("a6_tables_per_query", REFS + """SELECT round(avg(len(tabs)), 6) AS avg_tables, CAST(max(len(tabs)) AS INTEGER) AS max_tables
   FROM refs""")
 def tables_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = query_log(spark, sf_dir).select(F.size(sqltext.table_refs(SQL)).alias("n"))
+    sizes = query_log(spark, sf_dir).select(F.size(sqltext.table_refs(gold())).alias("n"))
     return sizes.agg(F.round(F.avg("n"), 6).alias("avg_tables"), F.max("n").alias("max_tables"))
 
 
@@ -94,7 +98,7 @@ def tables_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) - count(n) AS n_failed
   FROM (SELECT CASE WHEN regexp_matches(gold_sql, '(?i)\\bSELECT\\b') THEN CAST(len(cols) AS INTEGER) END AS n FROM refs) AS t""")
 def columns_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.when(sqltext.select_count(SQL) > 0, F.size(sqltext.column_refs(SQL)))
+    parsed = F.when(sqltext.select_count(gold()) > 0, F.size(sqltext.column_refs(gold())))
     sizes = query_log(spark, sf_dir).select(parsed.alias("n"))
     return sizes.agg(
         F.round(F.avg("n"), 6).alias("avg_columns"),
@@ -135,20 +139,20 @@ LEVEL = """CASE WHEN has_subquery THEN 'extra' WHEN num_joins >= 2 OR has_group_
 @query("q1_structure", PARTS + """SELECT query_id, num_joins, num_conditions, has_group_by, has_order_by, has_having,
   has_subquery FROM parts""")
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = sqltext.structure(SQL)
+    parts = sqltext.structure(gold())
     names = ["num_joins", "num_conditions", "has_group_by", "has_order_by", "has_having", "has_subquery"]
     return query_log(spark, sf_dir).select("query_id", *[parts[n].alias(n) for n in names])
 
 
 @query("q2_difficulty", PARTS + f"SELECT query_id, {LEVEL} AS level FROM parts")
 def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select("query_id", sqltext.difficulty(sqltext.structure(SQL)).alias("level"))
+    return query_log(spark, sf_dir).select("query_id", sqltext.difficulty(sqltext.structure(gold())).alias("level"))
 
 
 @query("a26_difficulty_counts", PARTS + f"""SELECT CASE WHEN nesting < 1 THEN 'failed' ELSE {LEVEL} END AS level,
   count(*) AS n_queries FROM parts GROUP BY 1""")
 def difficulty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.when(sqltext.select_count(SQL) < 1, "failed").otherwise(sqltext.difficulty(sqltext.structure(SQL)))
+    level = F.when(sqltext.select_count(gold()) < 1, "failed").otherwise(sqltext.difficulty(sqltext.structure(gold())))
     return query_log(spark, sf_dir).select(level.alias("level")).groupBy("level").agg(F.count("*").alias("n_queries"))
 
 
@@ -163,19 +167,19 @@ def _sig(expr: str) -> str:
   avg(textual_aggregates) FILTER (kept) AS avg_textual_aggregates
   FROM (SELECT *, nesting >= 1 AND (aggregates >= 1 OR nesting >= 2) AS kept FROM parts) AS k""")
 def structure_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.structure_averages(query_log(spark, sf_dir), SQL)
+    return ops.structure_averages(query_log(spark, sf_dir), gold())
 
 
 @query("p15_complex_queries", PARTS + "SELECT query_id FROM parts WHERE nesting >= 1 AND (aggregates >= 1 OR nesting >= 2)")
 def complex_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = sqltext.structure(SQL)
-    keep = (sqltext.select_count(SQL) > 0) & ((parts["aggregates"] >= 1) | (parts["nesting"] >= 2))
+    parts = sqltext.structure(gold())
+    keep = (sqltext.select_count(gold()) > 0) & ((parts["aggregates"] >= 1) | (parts["nesting"] >= 2))
     return query_log(spark, sf_dir).where(keep).select("query_id")
 
 
 @query("p14_nested_queries", o.QL + f"SELECT query_id FROM query_log WHERE {o.hits('gold_sql', '(?i)' + chr(92) + 'bSELECT' + chr(92) + 'b')} >= 2")
 def nested_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).where(sqltext.is_nested(SQL)).select("query_id")
+    return query_log(spark, sf_dir).where(sqltext.is_nested(gold())).select("query_id")
 
 
 STATEMENT = """NOT starts_with(gold_sql, 'COMMIT') AND NOT starts_with(gold_sql, 'ROLLBACK')
@@ -184,7 +188,7 @@ STATEMENT = """NOT starts_with(gold_sql, 'COMMIT') AND NOT starts_with(gold_sql,
 
 @query("p5_statements", o.QL + f"SELECT query_id, gold_sql FROM query_log WHERE {STATEMENT}")
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).where(sqltext.is_statement(SQL)).select("query_id", "gold_sql")
+    return query_log(spark, sf_dir).where(sqltext.is_statement(gold())).select("query_id", "gold_sql")
 
 
 @query("p6_read_only_audit", o.QL + "SELECT " + ", ".join(
@@ -192,13 +196,13 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) + " FROM query_log")
 def read_only_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).agg(
-        *[F.count_if(SQL.contains(w)).alias(w.lower().replace(" ", "_")) for w in vocab.WRITE_WORDS]
+        *[F.count_if(gold().contains(w)).alias(w.lower().replace(" ", "_")) for w in vocab.WRITE_WORDS]
     )
 
 
 @query("p8_multi_table", REFS + "SELECT query_id FROM refs WHERE len(tabs) > 1")
 def multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).where(F.size(sqltext.table_refs(SQL)) > 1).select("query_id")
+    return query_log(spark, sf_dir).where(F.size(sqltext.table_refs(gold())) > 1).select("query_id")
 
 
 @query("a11_queries_per_db", o.QL + "SELECT db_id, count(*) AS n_queries FROM query_log GROUP BY db_id HAVING count(*) > 50")
@@ -209,7 +213,7 @@ def queries_per_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a12_tables_per_db", REFS + """SELECT db_id, t AS table_name, count(*) AS n_queries
   FROM (SELECT db_id, unnest(tabs) AS t FROM refs) AS x GROUP BY ALL""")
 def tables_per_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = query_log(spark, sf_dir).select("db_id", F.explode(sqltext.table_refs(SQL)).alias("table_name"))
+    used = query_log(spark, sf_dir).select("db_id", F.explode(sqltext.table_refs(gold())).alias("table_name"))
     return used.groupBy("db_id", "table_name").agg(F.count("*").alias("n_queries"))
 
 
@@ -218,7 +222,7 @@ def tables_per_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = query_log(spark, sf_dir).select("gold_sql").dropDuplicates()
     return (
-        distinct.select(F.size(sqltext.table_refs(SQL)).alias("n_tables"))
+        distinct.select(F.size(sqltext.table_refs(gold())).alias("n_tables"))
         .groupBy("n_tables")
         .agg(F.count("*").alias("n_queries"))
     )
@@ -227,9 +231,9 @@ def table_count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a14_log_means", REFS + f"""SELECT round(avg(len(tabs)), 6) AS avg_tables,
   round(avg({o.hits('gold_sql', 'JOIN')}), 6) AS avg_joins, count(*) AS n_queries FROM refs WHERE {STATEMENT}""")
 def log_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = query_log(spark, sf_dir).where(sqltext.is_statement(SQL))
+    kept = query_log(spark, sf_dir).where(sqltext.is_statement(gold()))
     return kept.select(
-        F.size(sqltext.table_refs(SQL)).alias("t"), F.regexp_count(SQL, F.lit("JOIN")).alias("j")
+        F.size(sqltext.table_refs(gold())).alias("t"), F.regexp_count(gold(), F.lit("JOIN")).alias("j")
     ).agg(
         F.round(F.avg("t"), 6).alias("avg_tables"),
         F.round(F.avg("j"), 6).alias("avg_joins"),
@@ -256,13 +260,13 @@ _LONG = " UNION ALL ".join(
 @query("a15_category_breakdown", o.with_(query_log=QUERY_LOG_SQL, long=_LONG) + """SELECT category, cluster, count(*) AS n_queries
   FROM long GROUP BY GROUPING SETS ((category), (category, cluster))""")
 def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.category_breakdown(query_log(spark, sf_dir), SQL, F.col("db_id"), vocab.PRESENCE_PATTERNS)
+    return ops.category_breakdown(query_log(spark, sf_dir), gold(), F.col("db_id"), vocab.PRESENCE_PATTERNS)
 
 
 @query("q3_category_flags", o.QL + "SELECT query_id, " + ", ".join(
     f"{_present(n, p)} AS {n}" for n, p in vocab.PRESENCE_PATTERNS.items()) + " FROM query_log")
 def category_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = sqltext.category_flags(SQL, vocab.PRESENCE_PATTERNS)
+    flags = sqltext.category_flags(gold(), vocab.PRESENCE_PATTERNS)
     return query_log(spark, sf_dir).select("query_id", *[f.alias(n) for n, f in flags.items()])
 
 
@@ -277,5 +281,5 @@ _AGGS = " + ".join(o.occurrences("gold_sql", n, vocab.OCCURRENCE_PATTERNS[n]) fo
   CAST(sum({o.hits('gold_sql', 'SELECT')}) AS BIGINT) AS total_nesting, CAST(sum({_AGGS}) AS BIGINT) AS total_aggregates,
   round(avg({o.hits('gold_sql', ' OVER ')}), 6) AS avg_windows FROM refs""")
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = ops.profile(query_log(spark, sf_dir), SQL)
+    report = ops.profile(query_log(spark, sf_dir), gold())
     return report.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else F.col(c) for c in report.columns])

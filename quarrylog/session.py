@@ -26,7 +26,7 @@ def build_session(app: str = "quarrylog", cores: str = "8", **conf: str) -> Spar
     for key, value in conf.items():
         builder = builder.config(key, value)
     session = builder.getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     return session
 
 
