@@ -30,15 +30,12 @@ def quota_sample(df: DataFrame, key: str, level: str, quota: dict[str, int], see
 def proportional_quota(df: DataFrame, level: str, n: int) -> DataFrame:
     """Round-half-even share of ``n`` per level, at least 1; the largest level takes the rounding error."""
     counts = df.groupBy(level).agg(F.count("*").alias("size"))
-    # One row per level from here on.
-    total = counts.agg(F.sum("size").alias("total"), F.max_by(level, F.struct("size", level)).alias("largest"))
-    shares = counts.join(F.broadcast(total), F.col("size") <= F.col("total"))
-    quota = shares.withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("size") * n / F.col("total")).cast("int")))
-    given = quota.agg(F.sum("quota").alias("given"))
-    fixed = quota.join(F.broadcast(given), F.col("quota") <= F.col("given"))
-    return fixed.select(
-        level, "size", F.when(F.col(level) == F.col("largest"), F.col("quota") + n - F.col("given")).otherwise(F.col("quota")).cast("int").alias("quota")
-    )
+    total = counts.agg(F.sum("size")).scalar()
+    largest = counts.agg(F.max_by(level, F.struct("size", level))).scalar()
+    quota = counts.withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("size") * n / total).cast("int")))
+    rest = F.lit(n) - quota.agg(F.sum("quota")).scalar()
+    fixed = F.when(F.col(level) == largest, F.col("quota") + rest).otherwise(F.col("quota"))
+    return quota.select(level, "size", fixed.cast("int").alias("quota"))
 
 
 def proportional_sample(df: DataFrame, key: str, level: str, n: int, seed: int) -> DataFrame:
