@@ -6,8 +6,10 @@ closing sub-query parenthesis (``FROM (SELECT ..) x, t``).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from quarrylog.functions import vocab
@@ -29,6 +31,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at either end, line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_comments(sql: Column) -> Column:
     return F.regexp_replace(sql, rf"(?s)({LITERAL})|--[^\n]*|/\*.*?\*/", "$1")
 
@@ -232,7 +239,7 @@ def sql_key(sql: Column) -> Column:
 
 def limit_to_rownum(sql: Column) -> Column:
     """everything after the first LIMIT goes; its number caps a wrapped query."""
-    body = F.regexp_replace(F.trim(sql), r";\s*$", "")
+    body = F.regexp_replace(strip(sql), r";\s*$", "")
     number = F.regexp_extract(body, r"\bLIMIT\s+([0-9]+)", 1)
     return F.when(
         number != "",
@@ -255,7 +262,7 @@ def qualify_tables(sql: Column, names: Column, owner: str) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """fenced code loses its fences."""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"(?m)^```sql\s*|^```\s*|```$", ""))
+    bare = strip(F.regexp_replace(strip(text), r"(?m)^```sql\s*|^```\s*|```$", ""))
     return F.when(text.startswith("```"), bare).otherwise(text)
 
 
@@ -276,3 +283,60 @@ def sanitise_quoted(sql: Column) -> Column:
 _CTE_PART = T.ArrayType(
     T.StructType([T.StructField("title", T.StringType()), T.StructField("sql", T.StringType())])
 )
+def cte_bodies(sql: str) -> list[dict[str, str]]:
+    """Ordered WITH bodies by balanced parentheses, and ``main``: the SELECT after the last one."""
+    head = re.compile(r"(?:\bWITH(?:\s+RECURSIVE)?|,)\s*([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?AS\s*\(", re.I)
+    if not re.match(r"\s*WITH\b", sql, re.I):
+        return []
+    parts, at = [], 0
+    match = head.match(sql, len(sql) - len(sql.lstrip()))
+    while match:
+        depth, quote, i = 1, False, match.end()
+        while i < len(sql) and depth:
+            c = sql[i]
+            if c == "'":
+                quote = not quote
+            elif not quote:
+                depth += (c == "(") - (c == ")")
+            i += 1
+        if depth:
+            return []
+        parts.append({"title": match.group(1), "sql": sql[match.end() : i - 1].strip()})
+        at = i
+        match = head.match(sql, at + len(sql[at:]) - len(sql[at:].lstrip()))
+    main = re.search(r"\bSELECT\b", sql[at:], re.I)
+    if main:
+        parts.append({"title": "main", "sql": sql[at + main.start() :]})
+    return parts
+
+
+@F.pandas_udf(_CTE_PART)
+def decompose(sql: pd.Series) -> pd.Series:
+    """``(title, sql)`` of every CTE in order, then ``main``; empty without WITH."""
+    return sql.map(lambda text: cte_bodies(text) if text is not None else [])
+
+
+def annotate_ctes(sql: Column, notes: Column) -> Column:
+    """a comment line before each titled CTE; ``main`` goes after the last ``)`` before SELECT, or in front.
+
+    ``notes`` is an ordered array of ``(title, note)``.
+    """
+
+    def one(text: Column, item: Column) -> Column:
+        comment = F.concat(F.lit("-- "), item["note"], F.lit("\n"))
+        head = F.concat(F.lit(r"(?i)(WITH\s+|,\s*)("), item["title"], F.lit(r"\s+AS\s*\()"))
+        titled = F.concat(
+            text.substr(F.lit(1), F.regexp_instr(text, head) - 1),
+            comment,
+            F.regexp_replace(F.regexp_substr(text, head), r"(?i)^(WITH\s+|,\s*)", ""),
+            text.substr(F.regexp_instr(text, head) + F.length(F.regexp_substr(text, head)), F.length(text)),
+        )
+        tail = F.lit(r"(?is)\)\s*SELECT")
+        after = F.regexp_instr(text, tail)
+        main = F.when(
+            after > 0,
+            F.concat(text.substr(F.lit(1), after), F.lit("\n"), comment, text.substr(after + 1, F.length(text))),
+        ).otherwise(F.concat(comment, text))
+        return F.when(F.regexp_instr(text, head) > 0, titled).when(item["title"] == "main", main).otherwise(text)
+
+    return F.aggregate(notes, sql, one)

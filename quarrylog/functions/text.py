@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from quarrylog.functions.sqltext import let
+from quarrylog.functions.sqltext import let, strip
 
 
 def words(text: Column) -> Column:
@@ -17,7 +17,7 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end at ``.``, ``!`` or ``?`` before white space; the mark stays."""
-    marked = F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\x02")
+    marked = F.regexp_replace(strip(text), r"([.!?])\s+", "$1\x02")
     return F.filter(F.split(marked, "\x02"), lambda s: s != "")
 
 
@@ -54,12 +54,12 @@ def split_numbered(text: Column) -> Column:
 
 def split_candidates(text: Column) -> Column:
     """SQL candidates between semicolons, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda part: part != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda part: strip(part)), lambda part: part != "")
 
 
 def option_lines(text: Column) -> Column:
     """Answer lines that are options, their markers cleaned."""
-    lines = F.transform(F.split(text, r"\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda line: strip(line))
     kept = F.filter(lines, lambda x: (x != "") & ~F.upper(x).contains("OPTION") & ~x.contains(":"))
     return F.transform(kept, clean_marker)
 

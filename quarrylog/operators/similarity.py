@@ -96,8 +96,9 @@ def mean_vectors(vectors: DataFrame, key: str, vector: str, kept: str | None = N
 
 def rank_all(vectors: DataFrame, probe: DataFrame) -> DataFrame:
     """Every vector scored against one probe row, best first, ties by id; the sort is distributed."""
-    score = F.round(cosine(as_double(F.col("vector")), probe.select("vector").scalar()), SCORE_DIGITS)
-    return vectors.withColumn("score", score).drop("vector").orderBy(F.desc_nulls_last("score"), "id")
+    probed = vectors.withColumn("probe", probe.select("vector").scalar())
+    score = F.round(cosine(as_double(F.col("vector")), F.col("probe")), SCORE_DIGITS)
+    return probed.withColumn("score", score).drop("vector", "probe").orderBy(F.desc_nulls_last("score"), "id")
 
 
 def slice_suggestions(ranked: DataFrame, suggested: int, extra: int) -> DataFrame:
