@@ -100,15 +100,13 @@ def _from_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataF
     return spark.sql(sql, **frames)
 
 
-def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(
-        table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
-        )
-    )
-    key = F.col("o_orderkey")
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+
+
+def log_of_orders(orders: DataFrame) -> DataFrame:
+    """The query log of an orders frame, batch or stream."""
     return orders.select(
-        key.alias("query_id"),
+        F.col("o_orderkey").alias("query_id"),
         F.concat(F.lit("db"), (F.col("o_custkey") % 5).cast("string")).alias("db_id"),
         (F.col("o_custkey") % 20).alias("user_id"),
         F.col("o_orderdate").alias("ts"),
@@ -117,6 +115,16 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_of_orders(spread(table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, RESULT_ROWS_SQL, "lineitem")
 

@@ -113,8 +113,8 @@ def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8,
     sets = cut_lineage(tokens.groupBy("tokens").agg(F.min(key).alias(key)))
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     total = sets.groupBy().count().scalar()
-    # Tokens in over a thousandth of the sets: at most a thousand times the mean set size of them.
-    common = counts.where(F.col("df") * 1000 > total)
+    # Tokens in over a 64th of the sets: no more of them than 64 times the mean set size.
+    common = counts.where(F.col("df") * 64 > total)
     ranks = common.agg(F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("m"))
     weighted = sets.withColumn("_m", ranks.select("m").scalar())
     by_rarity = F.transform(
