@@ -193,26 +193,28 @@ def is_nested(sql: Column) -> Column:
     return select_count(sql) >= 2
 
 
-def structure(sql: Column) -> dict[str, Column]:
-    """Q1 and A9 counts of one statement."""
-    text = F.regexp_replace(strip_comments(sql), LITERAL, "''")
+def structure(sql: Column) -> Column:
+    """Q1 and A9 counts of one statement, as a struct."""
+    return let(F.regexp_replace(strip_comments(sql), LITERAL, "''"), _structure_of)
 
+
+def _structure_of(text: Column) -> Column:
     def hits(pattern: str) -> Column:
         return F.regexp_count(text, F.lit("(?i)" + pattern)).cast("long")
 
-    implicit = F.coalesce(F.size(_join_conditions(text)).cast("long"), F.lit(0).cast("long"))
-    return {
-        "num_joins": hits(r"\bJOIN\b"),
-        "implicit_joins": implicit,
-        "num_conditions": hits(r"<=|>=|<>|!=|=|<|>|\bLIKE\b|\bIN\b|\bBETWEEN\b"),
-        "has_group_by": hits(r"\bGROUP\s+BY\b") > 0,
-        "has_order_by": hits(r"\bORDER\s+BY\b") > 0,
-        "has_having": hits(r"\bHAVING\b") > 0,
-        "has_subquery": hits(r"\(\s*SELECT\b") > hits(r"\bAS\s*\(\s*SELECT\b"),
-        "nesting": hits(r"\bSELECT\b") - hits(r"\b(?:INTERSECT|EXCEPT)\b"),
-        "aggregates": hits(r"\b(?:SUM|AVG|MIN|MAX|COUNT)\s*\(|\bGROUP\s+BY\b"),
-        "textual_aggregates": hits(r"(?:sum|avg|min|max|count) ?\(|group by|partition by"),
-    }
+    return F.struct(
+        hits(r"\bJOIN\b").alias("num_joins"),
+        F.size(_join_conditions(text)).cast("long").alias("implicit_joins"),
+        hits(r"<=|>=|<>|!=|=|<|>|\bLIKE\b|\bIN\b|\bBETWEEN\b").alias("num_conditions"),
+        (hits(r"\bGROUP\s+BY\b") > 0).alias("has_group_by"),
+        (hits(r"\bORDER\s+BY\b") > 0).alias("has_order_by"),
+        (hits(r"\bHAVING\b") > 0).alias("has_having"),
+        (hits(r"\(\s*SELECT\b") > hits(r"\bAS\s*\(\s*SELECT\b")).alias("has_subquery"),
+        hits(r"\bSELECT\b").alias("selects"),
+        (hits(r"\bSELECT\b") - hits(r"\b(?:INTERSECT|EXCEPT)\b")).alias("nesting"),
+        hits(r"\b(?:SUM|AVG|MIN|MAX|COUNT)\s*\(|\bGROUP\s+BY\b").alias("aggregates"),
+        hits(r"(?:sum|avg|min|max|count) ?\(|group by|partition by").alias("textual_aggregates"),
+    )
 
 
 def _join_conditions(text: Column) -> Column:
@@ -222,13 +224,14 @@ def _join_conditions(text: Column) -> Column:
     )
 
 
-def difficulty(parts: dict[str, Column]) -> Column:
+def difficulty(sql: Column) -> Column:
     """Q2."""
-    return (
-        F.when(parts["has_subquery"], "extra")
+    return let(
+        structure(sql),
+        lambda parts: F.when(parts["has_subquery"], "extra")
         .when((parts["num_joins"] >= 2) | parts["has_group_by"], "hard")
         .when((parts["num_joins"] == 1) | (parts["num_conditions"] > 2), "medium")
-        .otherwise("easy")
+        .otherwise("easy"),
     )
 
 

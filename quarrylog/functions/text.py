@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -89,13 +90,22 @@ def contraction_map() -> dict[str, str]:
     return table
 
 
+@F.pandas_udf(T.StringType())
+def _expanded(text: pd.Series) -> pd.Series:
+    table = contraction_map()
+    longest_first = sorted(table, key=lambda c: (-len(c), c))
+    pattern = re.compile("|".join(re.escape(c) for c in longest_first), re.I)
+
+    def full(match: re.Match) -> str:
+        found = match.group(0)
+        return found[0] + table[found.lower()][1:] if found[0] != "'" else table[found.lower()]
+
+    return text.map(lambda s: None if s is None else pattern.sub(full, s))
+
+
 def expand_contractions(text: Column) -> Column:
     """longest first, any case, the first character kept; then every ' goes."""
-    for short, full in sorted(contraction_map().items(), key=lambda kv: (-len(kv[0]), kv[0])):
-        head, tail = short[0], short[1:]
-        kept = full[1:] if head != "'" else full
-        text = F.regexp_replace(text, rf"(?i)\b({head}){tail}\b" if head != "'" else rf"(?i)()'{tail}\b", "$1" + kept)
-    return F.replace(text, F.lit("'"), F.lit(""))
+    return F.replace(_expanded(text), F.lit("'"), F.lit(""))
 
 
 def drop_specials(text: Column, digits_too: bool = True) -> Column:

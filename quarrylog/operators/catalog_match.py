@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrylog.functions.scores import table_overlap
+from quarrylog.operators.compute import once
 from quarrylog.operators.joins import first_per_group, spread_join
+from quarrylog.session import cut_lineage
 
 SEP = ","
 
@@ -30,9 +32,8 @@ def owning_database(
     Containment is decided once per distinct member set, so queries that share
     a set are not multiplied by the databases.
     """
-    sets = log.select(key, F.array_sort(F.array_distinct(members)).alias("members")).withColumn(
-        "set_key", F.array_join("members", SEP)
-    )
+    named = log.select(key, F.array_sort(F.array_distinct(members)).alias("members"))
+    sets = cut_lineage(named.withColumn("set_key", F.array_join("members", SEP)))
     distinct = sets.where(F.size("members") > 0).groupBy("set_key").agg(F.first("members").alias("members"))
     needed = distinct.select("set_key", F.size("members").alias("needed"), F.explode("members").alias(member))
     owned = needed.join(catalog.select(db, member).distinct(), member)
@@ -70,8 +71,9 @@ def overlapping_queries(
     Sets above ``enumerate_up_to`` tables are rare and are paired through the
     table index instead, so no candidate is lost.
     """
-    rows = log.select(F.col(key), F.array_sort(F.array_distinct(tables)).alias("tables")).where(F.size("tables") > 0)
-    rows = rows.withColumn("set_key", F.array_join("tables", SEP))
+    named = once(log, tables=F.array_sort(F.array_distinct(tables))).select(key, "tables").where(F.size("tables") > 0)
+    # Read three times below; the set key is far smaller than the SQL it comes from.
+    rows = cut_lineage(named.withColumn("set_key", F.array_join("tables", SEP)))
     firsts = first_per_group(rows, ["set_key"], [key], k + 1, "pos")
     heads = firsts.groupBy("set_key").agg(
         F.first("tables").alias("tables"), F.array_sort(F.collect_list(key)).alias("ids")

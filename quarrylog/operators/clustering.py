@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, IDF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylog.functions.text import ngrams
@@ -47,15 +47,6 @@ def kmeans_sweep(features: DataFrame, ks: list[int], restarts: int = 1, seed: in
     return features.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
-def latent_terms(docs: DataFrame, key: str, tokens: Column, dims: int, min_df: float, max_df: float) -> DataFrame:
-    """M5: TF-IDF over words in ``min_df`` documents to ``max_df`` of them, reduced and scaled to unit length."""
-    worded = docs.select(key, tokens.alias("words"))
-    counted = CountVectorizer(inputCol="words", outputCol="counts", minDF=min_df, maxDF=max_df, vocabSize=1 << 12).fit(worded).transform(worded)
-    weighted = IDF(inputCol="counts", outputCol="features").fit(counted).transform(counted)
-    reduced, _ = pca(weighted.select(key, "features"), dims)
-    return Normalizer(inputCol="features", outputCol="unit").transform(reduced).select(key, vector_to_array("unit").alias("vector"))
-
-
 def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
     """Per cluster the ``top`` n-grams by summed TF-IDF.
 
@@ -63,7 +54,8 @@ def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: in
     unit length, summed by term. A frequent term is spread over many tasks when
     its document count is joined back.
     """
-    grams = docs.select(cluster, key, F.explode(ngrams(tokens, n)).alias("term"))
+    # Whole texts are shuffled once; a document's grams are counted where they are made.
+    grams = docs.repartition(key).select(cluster, key, F.explode(ngrams(tokens, n)).alias("term"))
     tf = cut_lineage(grams.groupBy(cluster, key, "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df"))
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("docs"))

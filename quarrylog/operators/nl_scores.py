@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quarrylog.functions.sqltext import let
 from quarrylog.functions.text import ngrams, sentences, words
+from quarrylog.operators.compute import once
 from quarrylog.operators.sequence import ordered, with_previous
 
 ORDERS = 4
@@ -41,16 +43,13 @@ def bleu_value(hits: list[Column], totals: list[Column], ref_len: Column, gen_le
 
 
 def _summed(per_gram: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: clipped hits and totals of each order, distinct-word overlap, lengths."""
+    """Per key: clipped hits and totals of each order, and the reference length."""
     hit = F.least("r", "g")
     orders = range(1, ORDERS + 1)
     return per_gram.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("n") == n, hit).otherwise(0)).alias(f"hit{n}") for n in orders],
         *[F.sum(F.when(F.col("n") == n, F.col("g")).otherwise(0)).alias(f"total{n}") for n in orders],
         F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0)).alias("ref_len"),
-        F.count_if((F.col("n") == 1) & (hit > 0)).alias("shared_words"),
-        F.count_if((F.col("n") == 1) & (F.col("r") > 0)).alias("ref_words"),
-        F.count_if((F.col("n") == 1) & (F.col("g") > 0)).alias("gen_words"),
     )
 
 
@@ -81,16 +80,25 @@ def bleu(pairs: DataFrame, keys: list[str], reference: str, generated: str, smoo
     return _summed(per_gram, keys).select(*keys, _bleu_columns(smooth).alias("bleu"))
 
 
-def rouge_1(reference: Column, generated: Column) -> Column:
-    """F1 of distinct words; sentence dots part words and count for nothing. Not clipped: words are sets."""
-    ref = F.array_distinct(words(F.replace(reference, F.lit("."), F.lit(" "))))
-    gen = F.array_distinct(words(F.replace(generated, F.lit("."), F.lit(" "))))
+def rouge_words(text: Column) -> Column:
+    """Distinct words; sentence dots part words and count for nothing."""
+    return F.array_distinct(words(F.replace(text, F.lit("."), F.lit(" "))))
+
+
+def set_f1(ref: Column, gen: Column) -> Column:
     shared = F.size(F.array_intersect(ref, gen))
-    precision = F.when(F.size(gen) > 0, shared / F.greatest(F.size(gen), F.lit(1))).otherwise(0.0)
-    recall = F.when(F.size(ref) > 0, shared / F.greatest(F.size(ref), F.lit(1))).otherwise(0.0)
+    precision = shared / F.greatest(F.size(gen), F.lit(1))
+    recall = shared / F.greatest(F.size(ref), F.lit(1))
     return 2 * precision * recall / (precision + recall + ROUGE_EPSILON)
 
 
+def rouge_1(reference: Column, generated: Column) -> Column:
+    """F1 of distinct words. Not clipped: words are sets."""
+    return let(
+        F.struct(rouge_words(reference).alias("r"), rouge_words(generated).alias("g")), lambda w: set_f1(w["r"], w["g"])
+    )
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
     """Longest common subsequence by bit rows: one whole-number step per word of ``b``."""
     places: dict[str, int] = {}
@@ -123,55 +131,66 @@ def best_reference(pairs: DataFrame, keys: list[str], reference: str, generated:
 
     Sentences of one pair meet inside its row; only the best is kept.
     """
-    split = pairs.select(
-        *keys, sentences(F.col(reference)).alias("_refs"), F.posexplode(sentences(F.col(generated))).alias("pos", "sentence")
+
+    def worded(text: Column) -> Column:
+        return F.transform(sentences(text), lambda s: F.struct(s.alias("s"), rouge_words(s).alias("w")))
+
+    split = once(pairs.select(*keys, reference, generated), refs=worded(F.col(reference))).select(
+        *keys, "refs", F.posexplode(worded(F.col(generated))).alias("pos", "own")
     )
     scored = F.transform(
-        "_refs",
-        lambda ref, i: F.struct(
-            F.round(rouge_1(ref, F.col("sentence")), 9).alias("score"), (-i).alias("order"), ref.alias("best_reference")
-        ),
+        "refs",
+        lambda ref, i: F.struct(F.round(set_f1(ref["w"], F.col("own.w")), 9).alias("score"), (-i).alias("order")),
+    )
+    best = split.select(*keys, "pos", F.col("own.s").alias("sentence"), "refs", F.array_max(scored).alias("best"))
+    return best.select(
+        *keys, "pos", "sentence", F.col("refs")[-F.col("best.order")]["s"].alias("best_reference"), "best.score"
     )
-    best = split.select(*keys, "pos", "sentence", F.array_max(scored).alias("best"))
-    return best.select(*keys, "pos", "sentence", "best.best_reference", "best.score")
 
 
 def joined_text_scores(turns: DataFrame, group: str, order: list[str], side: Column, text: str) -> DataFrame:
     """BLEU and ROUGE-1 of all reference texts joined against all generated texts joined, per group.
 
-    ``side`` is ``ref`` or ``gen``. The joined text is never built: its words
-    stay rows, n-grams across text borders come from the preceding rows, and
-    grams are counted by (group, gram), so a long group spans many tasks.
+    ``side`` is ``ref`` or ``gen``. The joined text is never built. N-grams
+    that reach back over the start of a text need at most three words, which
+    the three texts before it hold (texts without words are left out). Grams
+    are counted by (group, gram), so a long group spans many tasks.
     """
-    placed = turns.select(group, side.alias("side"), *order, F.posexplode(words(F.col(text))).alias("at", "word"))
-    seq = ordered(placed, [group, "side", *order, "at"])
+    reach = ORDERS - 1
+    worded = once(turns.select(group, side.alias("side"), *order, text), words=words(F.col(text))).drop(text)
+    tail = F.slice("words", F.greatest(F.size("words") - (reach - 1), F.lit(1)), reach)
+    seq = ordered(worded.where(F.size("words") > 0).withColumn("tail0", tail), [group, "side", *order])
     for back in range(1, ORDERS):
-        source = "word" if back == 1 else f"w{back - 1}"
-        with_back = with_previous(seq, [source], [group, "side"], prefix="_p_")
-        seq = with_back.withColumnRenamed(f"_p_{source}", f"w{back}").drop("_first")
-    grams = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("n"),
-                F.when(
-                    (F.col(f"w{n - 1}") if n > 1 else F.col("word")).isNotNull(),
-                    F.concat_ws(" ", *[F.col(f"w{b}") for b in range(n - 1, 0, -1)], F.col("word")),
-                ).alias("gram"),
-            )
-            for n in range(1, ORDERS + 1)
-        ]
-    )
+        source = f"tail{back - 1}"
+        seq = with_previous(seq, [source], [group, "side"], prefix="_p_").withColumnRenamed(f"_p_{source}", f"tail{back}").drop("_first")
+    none = F.array().cast("array<string>")
+    before = F.concat(*[F.coalesce(f"tail{b}", none) for b in range(reach, 0, -1)])
+    carried = F.slice(before, F.greatest(F.size(before) - (reach - 1), F.lit(1)), reach)
+    rows = once(seq.select(group, "side", "words", carried.alias("carried")), all=F.concat("carried", "words"))
+
+    def ending_here(n: int) -> Column:
+        # Grams whose last word is this text's own.
+        first = F.greatest(F.size("carried") - (n - 2), F.lit(1))
+        return F.transform(
+            F.when(F.size("all") - n + 1 >= first, F.sequence(first, F.size("all") - n + 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("all", i, F.lit(n)), " ").alias("gram")),
+        )
+
     counted = (
-        seq.select(group, "side", F.inline(grams))
-        .where("gram IS NOT NULL")
+        rows.select(group, "side", F.inline(F.concat(*[ending_here(n) for n in range(1, ORDERS + 1)])))
         .groupBy(group, "n", "gram")
         .agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "gen").alias("g"))
     )
-    sums = _summed(counted, [group])
-    precision = F.col("shared_words") / F.greatest(F.col("gen_words"), F.lit(1))
-    recall = F.col("shared_words") / F.greatest(F.col("ref_words"), F.lit(1))
-    return sums.select(
-        group,
-        _bleu_columns(False).alias("bleu"),
-        (2 * precision * recall / (precision + recall + ROUGE_EPSILON)).alias("rouge_1"),
+    # Sentence dots part words for ROUGE, so its words are counted apart from the grams.
+    loose = F.explode(F.flatten(F.transform("words", lambda w: words(F.replace(w, F.lit("."), F.lit(" "))))))
+    seen = rows.select(group, "side", loose.alias("word")).groupBy(group, "word").agg(
+        F.bool_or(F.col("side") == "ref").alias("r"), F.bool_or(F.col("side") == "gen").alias("g")
+    )
+    overlap = seen.groupBy(group).agg(
+        F.count_if(F.col("r") & F.col("g")).alias("shared"), F.count_if("r").alias("ref"), F.count_if("g").alias("gen")
     )
+    precision = F.col("shared") / F.greatest(F.col("gen"), F.lit(1))
+    recall = F.col("shared") / F.greatest(F.col("ref"), F.lit(1))
+    scores = _summed(counted, [group]).select(group, _bleu_columns(False).alias("bleu"))
+    rouge = overlap.select(group, (2 * precision * recall / (precision + recall + ROUGE_EPSILON)).alias("rouge_1"))
+    return scores.join(rouge, group, "left").na.fill(0.0, ["rouge_1"])

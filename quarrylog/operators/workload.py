@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrylog.functions import sqltext, vocab
 from quarrylog.functions.text import ngrams, significant
+from quarrylog.operators.compute import once
 
 
 def category_totals(log: DataFrame, sql: Column, patterns: dict[str, str]) -> DataFrame:
@@ -95,10 +96,10 @@ def profile(log: DataFrame, sql: Column) -> DataFrame:
 
 def structure_averages(log: DataFrame, sql: Column) -> DataFrame:
     """A9 over P15 rows: statements with an aggregate or with two levels."""
-    parts = sqltext.structure(sql)
     names = ["num_joins", "implicit_joins", "nesting", "aggregates", "textual_aggregates"]
+    parts = once(log, parts=sqltext.structure(sql))
     # A statement without SELECT does not parse as a query.
-    rows = log.select(*[parts[n].alias(n) for n in names], (sqltext.select_count(sql) > 0).alias("parsed"))
+    rows = parts.select(*[f"parts.{n}" for n in names], (F.col("parts.selects") > 0).alias("parsed"))
     kept = F.col("parsed") & ((F.col("aggregates") >= 1) | (F.col("nesting") >= 2))
     return rows.agg(
         F.count_if(kept).alias("n_complex"),

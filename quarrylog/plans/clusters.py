@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylog.functions import sqltext, text
-from quarrylog.inputs import embeddings, query_log, spread, table
+from quarrylog.functions import sqltext
+from quarrylog.inputs import embeddings, query_log, table
 from quarrylog.operators import clustering as ops
+from quarrylog.operators.compute import once
 from quarrylog.registry import query
 
 
@@ -48,7 +49,7 @@ _GRAMS = r"""t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\
 @query("a30_cluster_terms", f"WITH {_GRAMS} SELECT lang, term, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) <= 20")
 def cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigrams of each language's documents, whole texts."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     best = ops.cluster_terms(docs, "doc_id", "lang", tokens)
     return best.select("lang", "term", F.round("score", 6).alias("score"))
@@ -57,6 +58,7 @@ def cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("v5_leader_templates")
 def leader_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct queries over more than one table, first by query id."""
-    log = query_log(spark, sf_dir).where(F.size(sqltext.table_refs(F.col("gold_sql"))) > 1)
+    log = query_log(spark, sf_dir)
     distinct = log.groupBy("gold_sql").agg(F.min("query_id").alias("query_id"))
-    return ops.leader_templates(distinct, "query_id", "gold_sql")
+    several = once(distinct, n_tables=F.size(sqltext.table_refs(F.col("gold_sql")))).where("n_tables > 1")
+    return ops.leader_templates(several, "query_id", "gold_sql")

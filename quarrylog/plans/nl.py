@@ -31,9 +31,8 @@ def _bleu_sql(words: str, keys: str, smooth: bool) -> str:
     none = "h1 = 0" if smooth else "least(h1, h2, h3, h4) = 0"
     return f"""w AS ({words}), a AS ({grams}),
  c AS (SELECT {keys}, n, gram, sum(r) AS r, sum(g) AS g FROM a GROUP BY ALL),
- s AS (SELECT {keys}, {hits}, coalesce(sum(r) FILTER (n = 1), 0) AS rl, count(*) FILTER (n = 1 AND r > 0 AND g > 0) AS sw,
-   count(*) FILTER (n = 1 AND r > 0) AS rw, count(*) FILTER (n = 1 AND g > 0) AS gw FROM c GROUP BY ALL),
- b AS (SELECT {keys}, rl, sw, rw, gw, CASE WHEN {none} THEN 0.0 ELSE
+ s AS (SELECT {keys}, {hits}, coalesce(sum(r) FILTER (n = 1), 0) AS rl FROM c GROUP BY ALL),
+ b AS (SELECT {keys}, CASE WHEN {none} THEN 0.0 ELSE
    (CASE WHEN t1 >= rl THEN 1.0 ELSE exp(1 - rl / greatest(t1, 1)) END) * exp(({logs}) / 4) END AS bleu FROM s)"""
 
 
@@ -94,8 +93,13 @@ _JOINED = r"""SELECT conv_id, regexp_extract_all(coalesce(string_agg(text, ' ' O
   regexp_extract_all(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'user'), ''), '\S+') AS g FROM conversations GROUP BY conv_id"""
 
 
-@query("e22_joined_text", "WITH " + _bleu_sql(_JOINED, "conv_id", False) + """SELECT conv_id, round(bleu, 6) AS bleu,
-  round(2 * (sw / greatest(gw, 1)) * (sw / greatest(rw, 1)) / (sw / greatest(gw, 1) + sw / greatest(rw, 1) + 1e-8), 6) AS rouge_1 FROM b""")
+_JOINED_SETS = r""", z AS (SELECT conv_id, list_distinct(regexp_extract_all(replace(coalesce(string_agg(text, ' ') FILTER (role = 'user'), ''), '.', ' '), '\S+')) AS rs,
+  list_distinct(regexp_extract_all(replace(coalesce(string_agg(text, ' ') FILTER (role <> 'user'), ''), '.', ' '), '\S+')) AS gs FROM conversations GROUP BY conv_id),
+ k AS (SELECT conv_id, len(list_intersect(rs, gs)) / greatest(len(gs), 1) AS p, len(list_intersect(rs, gs)) / greatest(len(rs), 1) AS q FROM z)"""
+
+
+@query("e22_joined_text", "WITH " + _bleu_sql(_JOINED, "conv_id", False) + _JOINED_SETS + """ SELECT conv_id, round(bleu, 6) AS bleu,
+  round(2 * p * q / (p + q + 1e-8), 6) AS rouge_1 FROM b JOIN k USING (conv_id)""")
 def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("role") == "user", "ref").otherwise("gen")
     scores = ops.joined_text_scores(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], side, "text")

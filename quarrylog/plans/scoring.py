@@ -10,6 +10,7 @@ from quarrylog.functions.scores import set_counts
 from quarrylog.functions.text import significant
 from quarrylog.inputs import LABEL_PAIRS_SQL, QUERY_LOG_SQL, label_pairs, query_log
 from quarrylog.operators import scoring as ops
+from quarrylog.operators.compute import once
 from quarrylog.registry import query
 
 
@@ -93,7 +94,8 @@ def column_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
   avg(f) * 100 AS m FROM scores WHERE len(tabs) >= 1 GROUP BY 1)
 SELECT n_tables, CAST(printf('%.2e', m) AS DOUBLE) AS f1 FROM b""")
 def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_log(spark, sf_dir).select("query_id", gold_tables().alias("g"), pred_tables().alias("p")).where("size(g) > 0")
+    log = query_log(spark, sf_dir).select("query_id", "gold_sql", "pred_sql")
+    rows = once(log, g=gold_tables(), p=pred_tables()).where("size(g) > 0")
     bucket = F.when(F.size("g") >= 3, "3+").otherwise(F.size("g").cast("string"))
     scores = ops.set_scores(rows.withColumn("n_tables", bucket), ["n_tables"], F.col("g"), F.col("p"))
     return scores.groupBy("n_tables").agg(significant(F.avg("f1") * 100).alias("f1"))

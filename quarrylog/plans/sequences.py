@@ -8,6 +8,7 @@ from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
 from quarrylog.inputs import QUERY_LOG_SQL, RUNS_SQL, query_log, runs, table
 from quarrylog.operators import log_context, sampling, sequence, votes
+from quarrylog.operators.compute import once
 from quarrylog.operators.joins import spread_join
 from quarrylog.plans.workload import LEVEL, PARTS, STRUCTURE
 from quarrylog.registry import query
@@ -166,7 +167,7 @@ def sample_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select("query_id", sqltext.difficulty(sqltext.structure(gold())).alias("level"))
+    return once(query_log(spark, sf_dir).select("query_id", "gold_sql"), level=sqltext.difficulty(gold())).drop("gold_sql")
 
 
 _LEVELS = o.with_(query_log=QUERY_LOG_SQL, parts=f"SELECT *, {STRUCTURE} FROM query_log", levels=f"SELECT query_id, {LEVEL} AS level FROM parts")

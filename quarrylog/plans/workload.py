@@ -8,6 +8,7 @@ from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext, vocab
 from quarrylog.inputs import QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, query_log, schema_columns
 from quarrylog.operators import workload as ops
+from quarrylog.operators.compute import once
 from quarrylog.registry import query
 
 
@@ -139,20 +140,20 @@ LEVEL = """CASE WHEN has_subquery THEN 'extra' WHEN num_joins >= 2 OR has_group_
 @query("q1_structure", PARTS + """SELECT query_id, num_joins, num_conditions, has_group_by, has_order_by, has_having,
   has_subquery FROM parts""")
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = sqltext.structure(gold())
     names = ["num_joins", "num_conditions", "has_group_by", "has_order_by", "has_having", "has_subquery"]
-    return query_log(spark, sf_dir).select("query_id", *[parts[n].alias(n) for n in names])
+    parts = once(query_log(spark, sf_dir).select("query_id", "gold_sql"), parts=sqltext.structure(gold()))
+    return parts.select("query_id", *[f"parts.{n}" for n in names])
 
 
 @query("q2_difficulty", PARTS + f"SELECT query_id, {LEVEL} AS level FROM parts")
 def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).select("query_id", sqltext.difficulty(sqltext.structure(gold())).alias("level"))
+    return query_log(spark, sf_dir).select("query_id", sqltext.difficulty(gold()).alias("level"))
 
 
 @query("a26_difficulty_counts", PARTS + f"""SELECT CASE WHEN nesting < 1 THEN 'failed' ELSE {LEVEL} END AS level,
   count(*) AS n_queries FROM parts GROUP BY 1""")
 def difficulty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.when(sqltext.select_count(gold()) < 1, "failed").otherwise(sqltext.difficulty(sqltext.structure(gold())))
+    level = F.when(sqltext.select_count(gold()) < 1, "failed").otherwise(sqltext.difficulty(gold()))
     return query_log(spark, sf_dir).select(level.alias("level")).groupBy("level").agg(F.count("*").alias("n_queries"))
 
 
@@ -172,9 +173,8 @@ def structure_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p15_complex_queries", PARTS + "SELECT query_id FROM parts WHERE nesting >= 1 AND (aggregates >= 1 OR nesting >= 2)")
 def complex_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = sqltext.structure(gold())
-    keep = (sqltext.select_count(gold()) > 0) & ((parts["aggregates"] >= 1) | (parts["nesting"] >= 2))
-    return query_log(spark, sf_dir).where(keep).select("query_id")
+    parts = once(query_log(spark, sf_dir).select("query_id", "gold_sql"), parts=sqltext.structure(gold()))
+    return parts.where("parts.selects > 0 AND (parts.aggregates >= 1 OR parts.nesting >= 2)").select("query_id")
 
 
 @query("p14_nested_queries", o.QL + f"SELECT query_id FROM query_log WHERE {o.hits('gold_sql', '(?i)' + chr(92) + 'bSELECT' + chr(92) + 'b')} >= 2")
@@ -202,7 +202,8 @@ def read_only_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p8_multi_table", REFS + "SELECT query_id FROM refs WHERE len(tabs) > 1")
 def multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).where(F.size(sqltext.table_refs(gold())) > 1).select("query_id")
+    log = once(query_log(spark, sf_dir).select("query_id", "gold_sql"), n_tables=F.size(sqltext.table_refs(gold())))
+    return log.where("n_tables > 1").select("query_id")
 
 
 @query("a11_queries_per_db", o.QL + "SELECT db_id, count(*) AS n_queries FROM query_log GROUP BY db_id HAVING count(*) > 50")
