@@ -113,14 +113,15 @@ def drop_specials(text: Column, digits_too: bool = True) -> Column:
     return F.regexp_replace(text, r"[^a-zA-Z\s]" if digits_too else r"[^a-zA-Z0-9\s]", "")
 
 
-# English function words dropped from term statistics.
+# English function words, with the stumps that contractions leave behind.
 STOP_WORDS = """
-a about above after again against all am an and any are as at be because been before being below between both but by
-can did do does doing down during each few for from further had has have having he her here hers herself him himself
-his how i if in into is it its itself just me more most my myself nor now of off on once only or other our ours
-ourselves out over own same she should so some such than that the their theirs them themselves then there these they
-this those through to too under until up very was we were what when where which while who whom why will with you your
-yours yourself yourselves
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too very
+s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn
+shan shouldn wasn weren won wouldn
 """.split()
 
 

@@ -22,7 +22,7 @@ def _gram_rows(tokens: Column, side: str) -> Column:
     def of_order(n: int) -> Column:
         return F.transform(
             ngrams(tokens, n),
-            lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(ref).alias("r"), F.lit(gen).alias("g")),
+            lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram"), F.lit(ref).alias("_ref"), F.lit(gen).alias("_gen")),
         )
 
     return F.concat(*[of_order(n) for n in range(1, ORDERS + 1)])
@@ -44,12 +44,12 @@ def bleu_value(hits: list[Column], totals: list[Column], ref_len: Column, gen_le
 
 def _summed(per_gram: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: clipped hits and totals of each order, and the reference length."""
-    hit = F.least("r", "g")
+    hit = F.least("_ref", "_gen")
     orders = range(1, ORDERS + 1)
     return per_gram.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("n") == n, hit).otherwise(0)).alias(f"hit{n}") for n in orders],
-        *[F.sum(F.when(F.col("n") == n, F.col("g")).otherwise(0)).alias(f"total{n}") for n in orders],
-        F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0)).alias("ref_len"),
+        *[F.sum(F.when(F.col("_n") == n, hit).otherwise(0)).alias(f"hit{n}") for n in orders],
+        *[F.sum(F.when(F.col("_n") == n, F.col("_gen")).otherwise(0)).alias(f"total{n}") for n in orders],
+        F.sum(F.when(F.col("_n") == 1, F.col("_ref")).otherwise(0)).alias("ref_len"),
     )
 
 
@@ -72,11 +72,11 @@ def bleu(pairs: DataFrame, keys: list[str], reference: str, generated: str, smoo
     """
     texts = pairs.select(*keys, words(F.col(reference)).alias("_r"), words(F.col(generated)).alias("_g"))
     # The marker keeps pairs that have no words at all.
-    marker = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("r"), F.lit(0).alias("g")))
+    marker = F.array(F.struct(F.lit(0).alias("_n"), F.lit("").alias("_gram"), F.lit(0).alias("_ref"), F.lit(0).alias("_gen")))
     rows = texts.repartition(*keys).select(
         *keys, F.inline(F.concat(marker, _gram_rows(F.col("_r"), "ref"), _gram_rows(F.col("_g"), "gen")))
     )
-    per_gram = rows.groupBy(*keys, "n", "gram").agg(F.sum("r").alias("r"), F.sum("g").alias("g"))
+    per_gram = rows.groupBy(*keys, "_n", "_gram").agg(F.sum("_ref").alias("_ref"), F.sum("_gen").alias("_gen"))
     return _summed(per_gram, keys).select(*keys, _bleu_columns(smooth).alias("bleu"))
 
 
@@ -173,24 +173,26 @@ def joined_text_scores(turns: DataFrame, group: str, order: list[str], side: Col
         first = F.greatest(F.size("carried") - (n - 2), F.lit(1))
         return F.transform(
             F.when(F.size("all") - n + 1 >= first, F.sequence(first, F.size("all") - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("all", i, F.lit(n)), " ").alias("gram")),
+            lambda i: F.struct(F.lit(n).alias("_n"), F.array_join(F.slice("all", i, F.lit(n)), " ").alias("_gram")),
         )
 
     counted = (
         rows.select(group, "side", F.inline(F.concat(*[ending_here(n) for n in range(1, ORDERS + 1)])))
-        .groupBy(group, "n", "gram")
-        .agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "gen").alias("g"))
+        .groupBy(group, "_n", "_gram")
+        .agg(F.count_if(F.col("side") == "ref").alias("_ref"), F.count_if(F.col("side") == "gen").alias("_gen"))
     )
     # Sentence dots part words for ROUGE, so its words are counted apart from the grams.
     loose = F.explode(F.flatten(F.transform("words", lambda w: words(F.replace(w, F.lit("."), F.lit(" "))))))
-    seen = rows.select(group, "side", loose.alias("word")).groupBy(group, "word").agg(
-        F.bool_or(F.col("side") == "ref").alias("r"), F.bool_or(F.col("side") == "gen").alias("g")
+    seen = rows.select(group, "side", loose.alias("_word")).groupBy(group, "_word").agg(
+        F.bool_or(F.col("side") == "ref").alias("_ref"), F.bool_or(F.col("side") == "gen").alias("_gen")
     )
     overlap = seen.groupBy(group).agg(
-        F.count_if(F.col("r") & F.col("g")).alias("shared"), F.count_if("r").alias("ref"), F.count_if("g").alias("gen")
+        F.count_if(F.col("_ref") & F.col("_gen")).alias("shared"),
+        F.count_if("_ref").alias("ref_words"),
+        F.count_if("_gen").alias("gen_words"),
     )
-    precision = F.col("shared") / F.greatest(F.col("gen"), F.lit(1))
-    recall = F.col("shared") / F.greatest(F.col("ref"), F.lit(1))
+    precision = F.col("shared") / F.greatest(F.col("gen_words"), F.lit(1))
+    recall = F.col("shared") / F.greatest(F.col("ref_words"), F.lit(1))
     scores = _summed(counted, [group]).select(group, _bleu_columns(False).alias("bleu"))
     rouge = overlap.select(group, (2 * precision * recall / (precision + recall + ROUGE_EPSILON)).alias("rouge_1"))
     return scores.join(rouge, group, "left").na.fill(0.0, ["rouge_1"])
