@@ -29,17 +29,27 @@ def owning_database(
 ) -> DataFrame:
     """The database that holds every member a query uses; null where none does.
 
-    Containment is decided once per distinct member set, so queries that share
-    a set are not multiplied by the databases.
+    Decided between distinct member sets and distinct database contents. A set
+    meets only the contents that hold its rarest member, and is then checked
+    whole, so common members make no pairs.
     """
     named = log.select(key, F.array_sort(F.array_distinct(members)).alias("members"))
     sets = cut_lineage(named.withColumn("set_key", F.array_join("members", SEP)))
     distinct = sets.where(F.size("members") > 0).groupBy("set_key").agg(F.first("members").alias("members"))
-    needed = distinct.select("set_key", F.size("members").alias("needed"), F.explode("members").alias(member))
-    owned = needed.join(catalog.select(db, member).distinct(), member)
-    complete = owned.groupBy("set_key", db).agg(F.count("*").alias("held"), F.first("needed").alias("needed"))
-    pick = F.max(db) if last_wins else F.min(db)
-    owners = complete.where("held = needed").groupBy("set_key").agg(pick.alias("owner"))
+
+    pick = F.max if last_wins else F.min
+    held = catalog.groupBy(db).agg(F.array_sort(F.collect_set(member)).alias("held"))
+    contents = cut_lineage(held.groupBy("held").agg(pick(db).alias("owner")))
+    by_member = contents.select("held", "owner", F.explode("held").alias(member))
+    rarity = by_member.groupBy(member).agg(F.count("*").alias("n"))
+
+    needed = distinct.select("set_key", "members", F.explode("members").alias(member)).join(rarity, member, "left")
+    # An unknown member counts as rarest, and no content holds it.
+    rarest = needed.groupBy("set_key").agg(
+        F.first("members").alias("members"), F.min_by(member, F.struct(F.coalesce("n", F.lit(0)), member)).alias(member)
+    )
+    met = rarest.join(by_member, member).where(F.size(F.array_except("members", "held")) == 0)
+    owners = met.groupBy("set_key").agg(pick("owner").alias("owner"))
     return spread_join(sets.select(key, "set_key"), owners, ["set_key"], [key], "left").select(key, "owner")
 
 

@@ -159,12 +159,10 @@ def joined_text_scores(turns: DataFrame, group: str, order: list[str], side: Col
     reach = ORDERS - 1
     worded = once(turns.select(group, side.alias("side"), *order, text), words=words(F.col(text))).drop(text)
     tail = F.slice("words", F.greatest(F.size("words") - (reach - 1), F.lit(1)), reach)
-    seq = ordered(worded.where(F.size("words") > 0).withColumn("tail0", tail), [group, "side", *order])
-    for back in range(1, ORDERS):
-        source = f"tail{back - 1}"
-        seq = with_previous(seq, [source], [group, "side"], prefix="_p_").withColumnRenamed(f"_p_{source}", f"tail{back}").drop("_first")
+    seq = ordered(worded.where(F.size("words") > 0).withColumn("tail", tail), [group, "side", *order])
+    seq = with_previous(seq, ["tail"], [group, "side"], depth=reach)
     none = F.array().cast("array<string>")
-    before = F.concat(*[F.coalesce(f"tail{b}", none) for b in range(reach, 0, -1)])
+    before = F.concat(*[F.coalesce(c, none) for c in ("prev_3_tail", "prev_2_tail", "prev_tail")])
     carried = F.slice(before, F.greatest(F.size(before) - (reach - 1), F.lit(1)), reach)
     rows = once(seq.select(group, "side", "words", carried.alias("carried")), all=F.concat("carried", "words"))
 

@@ -8,7 +8,7 @@ failed has no rows.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quarrylog.functions.scores import ratios
 from quarrylog.operators.joins import spread_join
@@ -116,40 +116,42 @@ def assign(weights: list[list[int]]) -> list[int]:
     return chosen
 
 
+_MATCH = T.StructType(
+    [T.StructField("matched", T.ArrayType(T.IntegerType())), T.StructField("common", T.LongType())]
+)
+
+
+@F.pandas_udf(_MATCH)
+def _matched(cells: pd.Series, gold_width: pd.Series, pred_width: pd.Series) -> pd.DataFrame:
+    """Columns matched per query, from its non-zero cells ``(gold_col, pred_col, common)``."""
+    found = []
+    for own, gold, pred in zip(cells, gold_width, pred_width):
+        weights = [[0] * max(gold, pred) for _ in range(min(gold, pred))]
+        for cell in own:
+            i, j = (cell["gold_col"], cell["pred_col"]) if gold < pred else (cell["pred_col"], cell["gold_col"])
+            weights[i][j] = int(cell["common"])
+        chosen = assign(weights)
+        found.append((chosen, sum(weights[i][j] for i, j in enumerate(chosen))))
+    return pd.DataFrame(found, columns=["matched", "common"])
+
+
 def best_matching(overlaps: DataFrame, shape: DataFrame) -> DataFrame:
     """Per query the matched column of the wider side for each column of the narrower one.
 
-    The prediction is the narrower side on equal widths. One group holds one
-    cell per column pair, never result rows.
+    The prediction is the narrower side on equal widths. A list holds one cell
+    per column pair, never result rows, and many queries share one Arrow batch.
     """
-    both = shape.where("gold_rows > 0 AND pred_rows > 0")
-    cells = both.join(overlaps, "query_id", "left")
-    id_type = dict(shape.dtypes)["query_id"]
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        gold_width, pred_width = int(first["gold_width"]), int(first["pred_width"])
-        gold_is_min = gold_width < pred_width
-        n, m = min(gold_width, pred_width), max(gold_width, pred_width)
-        weights = [[0] * m for _ in range(n)]
-        for cell in frame.dropna(subset=["common"]).itertuples():
-            g, p = int(cell.gold_col), int(cell.pred_col)
-            i, j = (g, p) if gold_is_min else (p, g)
-            weights[i][j] = int(cell.common)
-        chosen = assign(weights)
-        total = sum(weights[i][j] for i, j in enumerate(chosen))
-        return pd.DataFrame(
-            {
-                "query_id": [first["query_id"]],
-                "gold_is_min": [gold_is_min],
-                "matched": [chosen],
-                "common": [total],
-                "gold_rows": [int(first["gold_rows"])],
-            }
-        )
-
-    schema = f"query_id {id_type}, gold_is_min boolean, matched array<int>, common long, gold_rows long"
-    return cells.groupBy("query_id").applyInPandas(match, schema)
+    cells = overlaps.groupBy("query_id").agg(F.collect_list(F.struct("gold_col", "pred_col", "common")).alias("cells"))
+    both = shape.where("gold_rows > 0 AND pred_rows > 0").join(cells, "query_id", "left")
+    none = F.expr("CAST(array() AS array<struct<gold_col:int,pred_col:int,common:bigint>>)")
+    best = both.withColumn("best", _matched(F.coalesce("cells", none), "gold_width", "pred_width"))
+    return best.select(
+        "query_id",
+        (F.col("gold_width") < F.col("pred_width")).alias("gold_is_min"),
+        "best.matched",
+        "best.common",
+        "gold_rows",
+    )
 
 
 def entry_accuracy(matching: DataFrame) -> DataFrame:

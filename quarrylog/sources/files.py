@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quarrylog.functions.sqltext import strip
+from quarrylog.operators.joins import spread_join
 from quarrylog.operators.sequence import ordered, runs, with_previous
 
 LOG_SCHEMA = T.StructType(
@@ -108,7 +109,7 @@ def read_server_log(spark: SparkSession, path: str, skip_first: int = 2, skip_la
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "piece"))), lambda p: p["piece"]), LOG_WORD)
     whole = numbered.groupBy("file", "run").agg(text.alias("text"))
     bounds = whole.groupBy("file").agg(F.min("run").alias("low"), F.max("run").alias("high"))
-    kept = whole.join(bounds, "file").where((F.col("run") >= F.col("low") + skip_first) & (F.col("run") <= F.col("high") - skip_last))
+    kept = spread_join(whole, bounds, ["file"], ["run"]).where((F.col("run") >= F.col("low") + skip_first) & (F.col("run") <= F.col("high") - skip_last))
     statement = strip(F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), LOG_HEADER, ""))
     return kept.select("file", (F.col("run") - F.col("low")).alias("pos"), statement.alias("sql"))
 

@@ -1,8 +1,11 @@
+import logging
 import pathlib
 import sys
 
 import pytest
 
+for name in ("DataFrameQueryContextLogger", "SQLQueryContextLogger"):
+    logging.getLogger(name).setLevel(logging.CRITICAL)
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 
