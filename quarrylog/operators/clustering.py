@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarrylog.functions.text import ngrams
 from quarrylog.operators.joins import first_per_group, spread_join
@@ -47,46 +49,121 @@ def kmeans_sweep(features: DataFrame, ks: list[int], restarts: int = 1, seed: in
     return features.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
-def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
-    """Per cluster the ``top`` n-grams by summed TF-IDF.
+def tfidf(
+    docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 1, min_df: int = 1, max_share: float = 1.0
+) -> DataFrame:
+    """M6: ``(cluster, key, term, df, w)``: n-gram weights inside each cluster, documents scaled to unit length.
 
-    Inside a cluster: idf ``ln((1 + docs) / (1 + df)) + 1``, rows scaled to
-    unit length, summed by term. A frequent term is spread over many tasks when
-    its document count is joined back.
+    idf is ``ln((1 + docs) / (1 + df)) + 1``. Terms outside ``min_df`` to
+    ``max_share`` of the documents are left out first.
     """
     # Whole texts are shuffled once; a document's grams are counted where they are made.
     grams = docs.repartition(key).select(cluster, key, F.explode(ngrams(tokens, n)).alias("term"))
     tf = cut_lineage(grams.groupBy(cluster, key, "term").agg(F.count("*").alias("tf")))
-    df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df"))
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("docs"))
-    idf = df.join(sizes, cluster).select(
-        cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")
-    )
-    weighted = _join_term_weights(tf, idf, cluster, key)
+    df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df")).join(sizes, cluster)
+    kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("docs")))
+    idf = kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = join_terms(tf, idf, [cluster], key).select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(cluster, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scaled = weighted.join(norms, [cluster, key]).select(cluster, "term", (F.col("w") / F.col("norm")).alias("w"))
-    sums = scaled.groupBy(cluster, "term").agg(F.sum("w").alias("score"))
-    return first_per_group(sums.withColumn("score", F.round("score", 9)), [cluster], [F.desc("score"), "term"], top)
+    scaled = weighted.join(norms, [cluster, key])
+    return scaled.select(cluster, key, "term", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def _join_term_weights(tf: DataFrame, idf: DataFrame, cluster: str, key: str, salts: int = 32) -> DataFrame:
-    """``tf`` rows with their term's idf; only terms in very many documents are salted.
+def join_terms(rows: DataFrame, terms: DataFrame, by: list[str], key: str, salts: int = 32) -> DataFrame:
+    """``rows`` with the columns of their term; ``terms`` holds one row per term and its row count ``df``.
 
-    Few terms are that frequent: their document counts sum to no more than the
-    rows of ``tf``, so at most ``10 * salts`` of them can each hold the given
-    share.
+    Only very frequent terms are salted. There are few: their counts sum to at
+    most the number of rows, so fewer than ``10 * salts`` terms hold more than
+    that share each.
     """
-    total = tf.groupBy().count().scalar()
-    frequent = F.col("df") * (10 * salts) > total
-    marked = idf.withColumn("hot", frequent)
-    hot_terms = marked.where("hot").select(cluster, "term", F.lit(True).alias("is_hot"))
-    rows = tf.join(F.broadcast(hot_terms), [cluster, "term"], "left").withColumn(
-        "_salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(0).cast("int")
+    total = rows.groupBy().count().scalar()
+    marked = terms.withColumn("_hot", F.col("df") * (10 * salts) > total)
+    hot_terms = marked.where("_hot").select(*by, "term", F.lit(True).alias("_is_hot"))
+    salted = rows.join(F.broadcast(hot_terms), [*by, "term"], "left").withColumn(
+        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(0).cast("int")
     )
     wide = marked.withColumn(
-        "_salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
-    return rows.join(wide, [cluster, "term", "_salt"]).select(cluster, key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return salted.join(wide, [*by, "term", "_salt"]).drop("_salt", "_hot", "_is_hot")
+
+
+def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
+    """Per cluster the ``top`` n-grams by summed TF-IDF."""
+    sums = tfidf(docs, key, cluster, tokens, n).groupBy(cluster, "term").agg(F.round(F.sum("w"), 9).alias("score"))
+    return first_per_group(sums, [cluster], [F.desc("score"), "term"], top)
+
+
+def _gram(vectors: DataFrame, column: str) -> np.ndarray:
+    """Sum of outer products of a vector column: a few hundred numbers, whatever the rows."""
+
+    def partial(batches):
+        for batch in batches:
+            if len(batch):
+                rows = np.array(batch[column].tolist())
+                yield pd.DataFrame({"g": [(rows.T @ rows).ravel()]})
+
+    cells = vectors.select(column).mapInPandas(partial, "g array<double>").select(F.posexplode("g").alias("i", "x"))
+    sums = cells.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()
+    size = int(round(len(sums) ** 0.5))
+    return sums["x"].to_numpy().reshape(size, size)
+
+
+def _times(vectors: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
+    """Each vector times one small matrix."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def product(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(np.array(rows.tolist()) @ matrix)) if len(rows) else rows
+
+    return vectors.withColumn(column, product(column))
+
+
+def _orthonormal(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The same column space with orthonormal columns, and their number; weightless directions are left out."""
+    values, directions = np.linalg.eigh(_gram(vectors, column))
+    used = values > values.max() * 1e-12
+    return _times(vectors, column, directions[:, used] / np.sqrt(values[used])), int(used.sum())
+
+
+def _weighted_sums(rows: DataFrame, by: str, vector: str, size: int) -> DataFrame:
+    """Per ``by`` the sum of ``w`` times the vector, element by element."""
+    return rows.groupBy(by).agg(F.array(*[F.sum(F.col("w") * F.col(vector)[j]) for j in range(size)]).alias(vector))
+
+
+def latent_terms(
+    docs: DataFrame, key: str, tokens: Column, dims: int = 20, min_df: int = 5, max_share: float = 0.5, rounds: int = 2
+) -> DataFrame:
+    """M5: TF-IDF reduced to ``dims`` by truncated SVD, documents scaled to unit length.
+
+    Randomised subspace iteration on the sparse rows, so the vocabulary has no
+    limit: every step is a join and a sum; only matrices of ``dims + 10``
+    squared reach the driver. The start directions come from hashes of the
+    terms, so a second run gives the same result.
+    """
+    weights = cut_lineage(tfidf(docs.withColumn("_all", F.lit(0)), key, "_all", tokens, 1, min_df, max_share).drop("_all"))
+    frequency = weights.groupBy("term").agg(F.first("df").alias("df"))
+    size = dims + 10
+    bits = [F.shiftrightunsigned(F.xxhash64("term"), j).bitwiseAND(F.lit(1)) for j in range(size)]
+    start = F.array(*[F.when(bit == 1, 1.0).otherwise(-1.0) for bit in bits])
+    basis = _weighted_sums(weights.withColumn("v", start), key, "v", size)
+    for step in range(rounds + 1):
+        basis, size = _orthonormal(cut_lineage(basis), "v")
+        basis = cut_lineage(basis)
+        by_term = cut_lineage(_weighted_sums(weights.join(basis, key), "term", "v", size))
+        if step < rounds:
+            basis = _weighted_sums(join_terms(weights.drop("df"), by_term.join(frequency, "term"), [], key), key, "v", size)
+    values, directions = np.linalg.eigh(_gram(by_term, "v"))
+    largest = np.argsort(values)[::-1][:dims]
+    turned = directions[:, largest] * np.sqrt(np.maximum(values[largest], 0))
+    # One sign per direction: its largest entry is positive.
+    turned = turned * np.sign(turned[np.abs(turned).argmax(axis=0), np.arange(turned.shape[1])])
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+    placed = _times(basis, "v", turned).select(key, F.transform("v", lambda x: x / length).alias("vector"))
+    # Documents without a kept term stay at the origin.
+    origin = F.array_repeat(F.lit(0.0), turned.shape[1])
+    return docs.select(key).join(placed, key, "left").select(key, F.coalesce("vector", origin).alias("vector"))
 
 
 def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8, max_rounds: int = 1000) -> DataFrame:

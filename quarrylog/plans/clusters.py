@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylog.functions import sqltext
+from quarrylog.functions import sqltext, text
 from quarrylog.inputs import embeddings, query_log, table
 from quarrylog.operators import clustering as ops
 from quarrylog.operators.compute import once
@@ -36,6 +36,13 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.kmeans(reduced, 15).select("vec_id", "cluster")
 
 
+@query("m5_latent_terms")
+def latent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    latent = ops.latent_terms(docs, "doc_id", text.words(F.lower("text")))
+    return latent.select("doc_id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 _GRAMS = r"""t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
  g AS (SELECT lang, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t WHERE len(w) >= 2),
  tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM g GROUP BY ALL),

@@ -255,3 +255,36 @@ def test_shape_of_query_log(spark, sf):
     assert log.count() == 1500
     assert log.where("gold_sql = pred_sql").count() == 1000
     assert log.select(sqltext.mask_literals(F.col("gold_sql"))).distinct().count() == 12
+
+
+def test_latent_terms_against_svd(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefgh"), size=12, p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05])) for _ in range(40)]
+    texts[0] += " zebra"  # in one document only: below min_df
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    got = {r["i"]: r["vector"] for r in clustering.latent_terms(frame, "i", F.split("s", " "), 3, min_df=2, max_share=0.9).collect()}
+    vocabulary = [t for t in "abcdefgh" if 2 <= sum(t in x.split() for x in texts) <= 36]
+    counts = np.array([[x.split().count(t) for t in vocabulary] for x in texts], dtype=float)
+    idf = np.log((1 + 40) / (1 + (counts > 0).sum(axis=0))) + 1
+    weights = counts * idf
+    weights /= np.linalg.norm(weights, axis=1, keepdims=True)
+    u, sizes, _ = np.linalg.svd(weights, full_matrices=False)
+    want = u[:, :3] * sizes[:3]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    have = np.array([got[i] for i in range(40)])
+    # Directions agree up to sign.
+    assert np.abs(np.abs(have) - np.abs(want)).max() < 1e-6
+
+
+def test_cluster_terms_small(spark):
+    import math
+
+    rows = [(1, "c", "a b c"), (2, "c", "a b d"), (3, "c", "x"), (4, "e", "a b")]
+    frame = spark.createDataFrame(rows, "i long, g string, s string")
+    got = {(r["g"], r["term"]): r["score"] for r in clustering.cluster_terms(frame, "i", "g", F.split("s", " ")).collect()}
+    shared, rare = math.log(4 / 3) + 1, math.log(4 / 2) + 1
+    norm = math.sqrt(shared**2 + rare**2)
+    assert abs(got["c", "a b"] - 2 * shared / norm) < 1e-8 and abs(got["c", "b c"] - rare / norm) < 1e-8
+    assert got["e", "a b"] == 1.0
