@@ -95,8 +95,25 @@ ENDTIME REVIEWS ARTIST ENDDATETIME DURATION RATING DIRECTIONS LOC1.COUNTY STARTD
 LOC1.COUNTRY
 """.split()
 
-# Fixed value: first words of a Text-to-SQL prompt.
+# The text formats of prompts.
 PROMPT_INSTRUCTION = "Generate SQL given the question and tables to answer the question correctly.\n\n"
+PROMPT_EXAMPLE = "Question: %s \nAnswer: %s \n\n\n"
+PROMPT_QUESTION = "Question: %s\nAnswer:"
+EXAMPLE_BLOCK = "### Example %s:\nSQL Query:\n%s\nGold Standard NL Question:\n%s\n\n"
+TABLE_DDL = "CREATE TABLE %s(\n%s\n)\n\n"
+FACTS_HEAD = "*** FACTS ABOUT THE DATABASE ***\n\n"
+FACT_LINE = "Fact#%s: %s \n"
+LOG_HEAD = "*** ALL THE TABLES IN THE DATABASE and QUERY LOGS *** \n"
+LOG_TABLE_HEAD = "\n ** PREVIOUS SQL QUERIES THAT REFERRED TO THE TABLE %s **\n"
+LOG_LINE = "SQL: %s \n"
+
+# The three questions put to a column typer, with name, values and classes.
+COLUMN_HEAD = "Consider the column `%s` in the data sample below.\n%s\n\n"
+COLUMN_QUESTIONS = {
+    "select": "Select the class a column called `%s` with values `%s` from the list:\n\n%s\n\nReply with only one word from the list.",
+    "check": "Suggest a semantic type for the column `%s` with values `%s`:\n\n%s\n\nDoes the column fit any of the possible classes? Reply \"Yes\" or \"No\".",
+    "new": "Suggest a new semantic type for the column `%s` with values `%s`:\n\n%s\n\nReply with only one word: the new semantic type.",
+}
 
 # Words of SQL that are never column or table names.
 RESERVED = sorted(

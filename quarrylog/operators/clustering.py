@@ -65,9 +65,9 @@ def tfidf(
     kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("docs")))
     idf = kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = join_terms(tf, idf, [cluster], key).select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(cluster, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scaled = weighted.join(norms, [cluster, key])
-    return scaled.select(cluster, key, "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    # A document's terms are few next to the corpus; the window saves making the weights twice.
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cluster, key)))
+    return weighted.withColumn("w", F.col("w") / length)
 
 
 def join_terms(rows: DataFrame, terms: DataFrame, by: list[str], key: str, salts: int = 32) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylog.functions.vocab import PROMPT_INSTRUCTION
+from quarrylog.functions import vocab
 from quarrylog.operators.joins import first_per_group, spread_join
 from quarrylog.operators.sequence import ordered, with_running_sum
 
@@ -23,7 +23,7 @@ def table_ddl(columns: DataFrame, keys: bool = True) -> DataFrame:
         lambda c: F.concat(F.lit("  FOREIGN KEY("), c["column_name"], F.lit(")"), F.substring(c["fkey"], 12, 1 << 30)),
     )
     body = F.concat(lines, primary, foreign) if keys else lines
-    text = F.concat(F.lit("CREATE TABLE "), F.col("table_name"), F.lit("(\n"), F.array_join(body, ",\n"), F.lit("\n)\n\n"))
+    text = F.format_string(vocab.TABLE_DDL, "table_name", F.array_join(body, ",\n"))
     return grouped.select("db_id", "table_name", text.alias("ddl"))
 
 
@@ -37,33 +37,45 @@ def flat_catalog(columns: DataFrame) -> DataFrame:
 
 def example_block(examples: Column) -> Column:
     """numbered SQL and question text; ``examples`` is an ordered array of ``(sql, question)``."""
-    return F.array_join(
-        F.transform(
-            examples,
-            lambda e, i: F.concat(
-                F.lit("### Example "), i.cast("string"), F.lit(":\nSQL Query:\n"), e["sql"],
-                F.lit("\nGold Standard NL Question:\n"), e["question"], F.lit("\n\n"),
-            ),
-        ),
-        "",
-    )
+    blocks = F.transform(examples, lambda e, i: F.format_string(vocab.EXAMPLE_BLOCK, i, e["sql"], e["question"]))
+    return F.array_join(blocks, "")
 
 
 def question_prompt(examples: Column, ddl: Column, question: Column) -> Column:
     """instruction, solved examples, table definitions, question."""
-    solved = F.array_join(
-        F.transform(
-            examples,
-            lambda e: F.concat(F.lit("Question: "), e["question"], F.lit(" \nAnswer: "), e["sql"], F.lit(" \n\n\n")),
-        ),
-        "",
-    )
+    solved = F.transform(examples, lambda e: F.format_string(vocab.PROMPT_EXAMPLE, e["question"], e["sql"]))
+
+    def section(texts: Column) -> Column:
+        return F.when(F.size(texts) > 0, F.concat(F.array_join(texts, ""), F.lit("\n"))).otherwise("")
+
     return F.concat(
-        F.lit(PROMPT_INSTRUCTION),
-        F.when(F.size(examples) > 0, F.concat(solved, F.lit("\n"))).otherwise(""),
-        F.when(F.size(ddl) > 0, F.concat(F.array_join(ddl, ""), F.lit("\n"))).otherwise(""),
-        F.lit("Question: "), question, F.lit("\nAnswer:"),
+        F.lit(vocab.PROMPT_INSTRUCTION), section(solved), section(ddl), F.format_string(vocab.PROMPT_QUESTION, question)
+    )
+
+
+def log_prompt(ddl: DataFrame, log: DataFrame, scope: str, facts: list[str] = ()) -> DataFrame:
+    """F23, log and fact variants: per scope its facts, then every table with the earlier queries chosen for it.
+
+    ``ddl`` is ``(scope, table_name, ddl)``, ``log`` is ``(scope, table_name,
+    rank, sql)`` as ``table_log`` cuts it.
+    """
+    lines = F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "sql"))), lambda q: F.format_string(vocab.LOG_LINE, q["sql"])
+    )
+    logged = log.groupBy(scope, "table_name").agg(F.array_join(lines, "").alias("lines"))
+    section = F.concat(
+        F.regexp_replace("ddl", r"\n\n$", "\n"),
+        F.when(
+            F.col("lines").isNotNull(), F.concat(F.format_string(vocab.LOG_TABLE_HEAD, "table_name"), F.col("lines"))
+        ).otherwise(""),
+        F.lit("\n"),
     )
+    sections = ddl.join(logged, [scope, "table_name"], "left").select(scope, "table_name", section.alias("section"))
+    ordered_sections = F.array_sort(F.collect_list(F.struct("table_name", "section")))
+    head = "".join(vocab.FACT_LINE % (i, fact) for i, fact in enumerate(facts, 1))
+    head = (vocab.FACTS_HEAD + head + "\n" if facts else "") + vocab.LOG_HEAD
+    texts = F.array_join(F.transform(ordered_sections, lambda t: t["section"]), "")
+    return sections.groupBy(scope).agg(F.concat(F.lit(head), texts).alias("prompt"))
 
 
 def prompts(
@@ -126,13 +138,9 @@ def column_samples(cells: DataFrame, table: str, column: str, pos: str, value: s
 
 def column_question(form: str, column: Column, sample: Column, values: Column, classes: Column) -> Column:
     """The three question forms put to a column typer."""
-    ask = {
-        "select": "Select the class a column called `%s` with values `%s` from the list:\n\n%s\n\nReply with only one word from the list.",
-        "check": "Suggest a semantic type for the column `%s` with values `%s`:\n\n%s\n\nDoes the column fit any of the possible classes? Reply \"Yes\" or \"No\".",
-        "new": "Suggest a new semantic type for the column `%s` with values `%s`:\n\n%s\n\nReply with only one word: the new semantic type.",
-    }[form]
-    head = F.concat(F.lit("Consider the column `"), column, F.lit("` in the data sample below.\n"), F.array_join(sample, "\n"), F.lit("\n\n"))
-    return F.concat(head, F.format_string(ask, column, F.array_join(values, ", "), F.array_join(classes, ", ")))
+    head = F.format_string(vocab.COLUMN_HEAD, column, F.array_join(sample, "\n"))
+    ask = F.format_string(vocab.COLUMN_QUESTIONS[form], column, F.array_join(values, ", "), F.array_join(classes, ", "))
+    return F.concat(head, ask)
 
 
 def growing_labels(predictions: DataFrame, order: str, label: str, start: list[str]) -> DataFrame:

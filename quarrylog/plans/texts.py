@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext, text
 from quarrylog.inputs import NL_PAIRS_SQL, QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, nl_pairs, query_log, schema_columns, spread, table
-from quarrylog.operators import prompts, sampling, validation
+from quarrylog.operators import log_context, prompts, sampling, validation
 from quarrylog.registry import query
 
 _SCHEMA = o.with_(schema_columns=SCHEMA_COLUMNS_SQL)
@@ -76,6 +76,38 @@ def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.prompts(questions, _examples(log), ranked, ddl, "query_id", "db_id", 2, 3)
 
 
+_LOG = o.with_(
+    query_log=QUERY_LOG_SQL,
+    **o.refs("query_log", "gold_sql"),
+    u="SELECT query_id, db_id, gold_sql, unnest(tabs) AS table_name FROM refs",
+    k="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, table_name ORDER BY length(gold_sql), query_id) AS rank FROM u) AS r WHERE rank <= 5",
+    n="SELECT db_id, table_name, count(*) AS n FROM k GROUP BY ALL",
+    e="SELECT *, coalesce(sum(n) OVER (PARTITION BY db_id ORDER BY table_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM n",
+    l="SELECT db_id, table_name, string_agg(concat('SQL: ', gold_sql, ' ', chr(10)), '' ORDER BY rank) AS lines FROM k JOIN (SELECT db_id, table_name FROM e WHERE spent < 12) AS x USING (db_id, table_name) GROUP BY ALL",
+    c="SELECT DISTINCT db_id, split_part(q, '.', 1) AS a, split_part(q, '.', 2) AS column_name FROM (SELECT db_id, unnest(regexp_extract_all(upper(gold_sql), '[A-Z]+[.][A-Z_]+')) AS q FROM query_log) AS p",
+    g="SELECT db_id, a AS table_name, string_agg('  ' || column_name || ' TEXT', ',' || chr(10) ORDER BY column_name) AS cols FROM c GROUP BY ALL",
+    d="SELECT db_id, table_name, concat('CREATE TABLE ', table_name, '(', chr(10), cols, chr(10), ')', chr(10)) AS ddl FROM g",
+)
+
+
+@query("f23_log_prompt", _LOG + """SELECT db_id, concat('*** FACTS ABOUT THE DATABASE ***', chr(10), chr(10), 'Fact#1: Keys are numbers ', chr(10), chr(10),
+  '*** ALL THE TABLES IN THE DATABASE and QUERY LOGS *** ', chr(10), string_agg(concat(ddl, CASE WHEN lines IS NOT NULL THEN
+  concat(chr(10), ' ** PREVIOUS SQL QUERIES THAT REFERRED TO THE TABLE ', table_name, ' **', chr(10), lines) ELSE '' END, chr(10)), '' ORDER BY table_name)) AS prompt
+  FROM d LEFT JOIN l USING (db_id, table_name) GROUP BY db_id""")
+def log_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables are the qualifiers used in the log, with their columns."""
+    log = query_log(spark, sf_dir)
+    names = F.explode(F.regexp_extract_all(F.upper("gold_sql"), F.lit(r"[A-Z]+\.[A-Z_]+"), F.lit(0)))
+    parts = F.split("name", "[.]")
+    columns = log.select("db_id", names.alias("name")).distinct().select(
+        "db_id", parts[0].alias("table_name"), F.lit(0).alias("ordinal"), parts[1].alias("column_name"),
+        F.lit("TEXT").alias("data_type"), F.lit("").alias("pkey"), F.lit("").alias("fkey"),
+    )
+    chosen = log_context.table_log(log, "query_id", "db_id", "gold_sql", sqltext.table_refs(F.col("gold_sql")), cap=5, budget=12)
+    texts = chosen.join(log.select("query_id", F.col("gold_sql").alias("sql")), "query_id")
+    return prompts.log_prompt(prompts.table_ddl(columns), texts, "db_id", ["Keys are numbers"])
+
+
 @query("f35_prompt_length", o.QL + "SELECT query_id, length(gold_sql) AS n_chars, 3000 - length(gold_sql) AS budget_left FROM query_log")
 def prompt_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("gold_sql").cast("long")
@@ -140,13 +172,13 @@ def clean_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.clean_marker(F.col("text")).alias("cleaned"))
 
 
-@query("f10_numbered_options", o.QL + """, t AS (SELECT db_id, '1. ' || string_agg(gold_sql, ' 2. ' ORDER BY query_id) AS x FROM (SELECT * FROM query_log QUALIFY row_number() OVER (PARTITION BY db_id ORDER BY query_id) <= 2) AS h GROUP BY db_id)
-SELECT db_id, array_to_string(list_filter(string_split_regex(x, CASE WHEN contains(x, ':') THEN '[0-9]+:\\s' ELSE '[0-9]+\\.\\s' END), lambda s: length(s) > 10), '|') AS options FROM t""")
+@query("f10_numbered_options", o.QL + r""", t AS (SELECT query_id, concat('1. ', gold_sql, ' 2. ', pred_sql, CASE WHEN query_id % 2 = 0 THEN ' 3: ' || db_id || ' as written' ELSE '' END) AS x FROM query_log)
+SELECT query_id, array_to_string(list_filter(string_split_regex(x, CASE WHEN contains(x, ':') THEN '[0-9]+:\s' ELSE '[0-9]+\.\s' END), lambda s: length(s) > 10), '|') AS options FROM t""")
 def numbered_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = prompts.first_per_group(query_log(spark, sf_dir).select("db_id", "query_id", "gold_sql"), ["db_id"], ["query_id"], 2)
-    answer = F.concat(F.lit("1. "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gold_sql"))), lambda r: r["gold_sql"]), " 2. "))
-    answers = heads.groupBy("db_id").agg(answer.alias("answer"))
-    return answers.select("db_id", F.array_join(text.split_numbered(F.col("answer")), "|").alias("options"))
+    """A colon in the answer switches the marks that part it."""
+    marked = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit(" 3: "), F.col("db_id"), F.lit(" as written"))).otherwise("")
+    answer = F.concat(F.lit("1. "), F.col("gold_sql"), F.lit(" 2. "), F.col("pred_sql"), marked)
+    return query_log(spark, sf_dir).select("query_id", F.array_join(text.split_numbered(answer), "|").alias("options"))
 
 
 @query("f11_candidate_split", o.QL + """SELECT query_id, unnest([0, 1]) AS pos, unnest([gold_sql, pred_sql]) AS candidate FROM query_log""")

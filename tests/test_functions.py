@@ -119,7 +119,7 @@ def test_evaluator_golden_case(spark):
     """Two queries over one table, one prediction wrong: all four averages are one half."""
     from quarrylog.operators import scoring
 
-    rows = [(0, "SELECT * FROM ACADEMIC_TERMS;", "SELECT * FROM ACADEMIC_TERMS_ALL;"), (1, "SELECT * FROM ACADEMIC_TERMS;", "SELECT * FROM ACADEMIC_TERMS;")]
+    rows = [(0, "SELECT * FROM TERMS;", "SELECT * FROM TERMS_ALL;"), (1, "SELECT * FROM TERMS;", "SELECT * FROM TERMS;")]
     frame = spark.createDataFrame(rows, "i int, g string, p string")
     scored = scoring.set_scores(frame, ["i"], sqltext.table_refs(F.col("g")), sqltext.table_refs(F.col("p")))
     assert tuple(scoring.macro_summary(scored).first()) == (0.5, 0.5, 0.5, 0.5)

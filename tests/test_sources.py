@@ -32,11 +32,11 @@ def test_server_log_split_file(spark, tmp_path):
 
 
 def test_dump(spark, tmp_path):
-    (tmp_path / "nova.sql").write_text(
+    (tmp_path / "shop.sql").write_text(
         "-- dump\nDROP TABLE IF EXISTS `a`;\nCREATE TABLE `a` (\n  `id` int,\n  `x` int,\n  PRIMARY KEY (`id`)\n) ENGINE=InnoDB DEFAULT;\nINSERT INTO `a` VALUES (1);\n"
     )
     got = files.read_dump_columns(spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in got] == [("nova", "a", "id"), ("nova", "a", "x"), ("nova", "a", "id")]
+    assert [tuple(r) for r in got] == [("shop", "a", "id"), ("shop", "a", "x"), ("shop", "a", "id")]
 
 
 def test_semicolon_schema(spark, tmp_path):
