@@ -144,7 +144,7 @@ def normalise(text: Column, fold: bool = True) -> Column:
 
 def significant(x: Column, digits: int = 3) -> Column:
     """F19."""
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double"))
+    return F.when(x.isNull() | (x == 0), x.cast("double")).otherwise(F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double"))
 
 
 def short_value(text: Column, width: int = 25) -> Column:

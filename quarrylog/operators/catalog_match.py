@@ -35,7 +35,9 @@ def owning_database(
     """
     named = log.select(key, F.array_sort(F.array_distinct(members)).alias("members"))
     sets = cut_lineage(named.withColumn("set_key", F.array_join("members", SEP)))
-    distinct = sets.where(F.size("members") > 0).groupBy("set_key").agg(F.first("members").alias("members"))
+    distinct = sets.where(F.size("members") > 0).groupBy("set_key").agg(
+        F.first("members").alias("members"), F.count("*").alias("n_queries")
+    )
 
     pick = F.max if last_wins else F.min
     held = catalog.groupBy(db).agg(F.array_sort(F.collect_set(member)).alias("held"))
@@ -49,8 +51,8 @@ def owning_database(
         F.first("members").alias("members"), F.min_by(member, F.struct(F.coalesce("n", F.lit(0)), member)).alias(member)
     )
     met = rarest.join(by_member, member).where(F.size(F.array_except("members", "held")) == 0)
-    owners = met.groupBy("set_key").agg(pick("owner").alias("owner"))
-    return spread_join(sets.select(key, "set_key"), owners, ["set_key"], [key], "left").select(key, "owner")
+    owners = met.groupBy("set_key").agg(pick("owner").alias("owner")).join(distinct.select("set_key", "n_queries"), "set_key")
+    return spread_join(sets.select(key, "set_key"), owners, ["set_key"], [key], "left", n="n_queries").select(key, "owner")
 
 
 def shared_names(catalog: DataFrame, db: str, name: str, body: str) -> DataFrame:
@@ -120,7 +122,8 @@ def overlapping_queries(
     lists = best.groupBy(F.col("probe").alias("set_key")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "id", "score"))).alias("best")
     )
-    joined = spread_join(rows.select(key, "set_key"), lists, ["set_key"], [key])
+    sizes = rows.groupBy("set_key").agg(F.count("*").alias("n_queries"))
+    joined = spread_join(rows.select(key, "set_key"), lists.join(sizes, "set_key"), ["set_key"], [key], n="n_queries")
     others = F.slice(F.filter("best", lambda c: c["id"] != F.col(key)), 1, k)
     return joined.select(key, F.posexplode(others).alias("rank", "c")).select(
         key, (F.col("rank") + 1).alias("rank"), F.col("c.id").alias(f"other_{key}"), F.col("c.score").alias("score")

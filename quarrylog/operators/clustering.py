@@ -64,31 +64,12 @@ def tfidf(
     df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df")).join(sizes, cluster)
     kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("docs")))
     idf = kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = join_terms(tf, idf, [cluster], key).select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = spread_join(tf, idf, [cluster, "term"], [key], n="df").select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     # A document's terms are few next to the corpus; the window saves making the weights twice.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cluster, key)))
     return weighted.withColumn("w", F.col("w") / length)
 
 
-def join_terms(rows: DataFrame, terms: DataFrame, by: list[str], key: str, salts: int = 32) -> DataFrame:
-    """``rows`` with the columns of their term; ``terms`` holds one row per term and its row count ``df``.
-
-    Only very frequent terms are salted. There are few: their counts sum to at
-    most the number of rows, so fewer than ``10 * salts`` terms hold more than
-    that share each.
-    """
-    total = rows.groupBy().count().scalar()
-    marked = terms.withColumn("_hot", F.col("df") * (10 * salts) > total)
-    hot_terms = marked.where("_hot").select(*by, "term", F.lit(True).alias("_is_hot"))
-    salted = rows.join(F.broadcast(hot_terms), [*by, "term"], "left").withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(key), F.lit(salts))).otherwise(0).cast("int")
-    )
-    wide = marked.withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return salted.join(wide, [*by, "term", "_salt"]).drop("_salt", "_hot", "_is_hot")
-
-
 def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
     """Per cluster the ``top`` n-grams by summed TF-IDF."""
     sums = tfidf(docs, key, cluster, tokens, n).groupBy(cluster, "term").agg(F.round(F.sum("w"), 9).alias("score"))
@@ -153,7 +134,7 @@ def latent_terms(
         basis = cut_lineage(basis)
         by_term = cut_lineage(_weighted_sums(weights.join(basis, key), "term", "v", size))
         if step < rounds:
-            basis = _weighted_sums(join_terms(weights.drop("df"), by_term.join(frequency, "term"), [], key), key, "v", size)
+            basis = _weighted_sums(spread_join(weights.drop("df"), by_term.join(frequency, "term"), ["term"], [key], n="df"), key, "v", size)
     values, directions = np.linalg.eigh(_gram(by_term, "v"))
     largest = np.argsort(values)[::-1][:dims]
     turned = directions[:, largest] * np.sqrt(np.maximum(values[largest], 0))
@@ -198,13 +179,13 @@ def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8,
     leaders = None
     for _ in range(max_rounds):
         rows = undecided.select(key, "tokens", "prefix", F.explode("prefix").alias("token"))
-        firsts = rows.groupBy("token").agg(F.min(key).alias("first"))
+        firsts = rows.groupBy("token").agg(F.min(key).alias("first"), F.count("*").alias("n"))
         # A query leads if it is first in all its groups: as often first as it has prefix tokens.
         led = firsts.groupBy(F.col("first").alias(key)).agg(F.count("*").alias("groups"))
         new = cut_lineage(undecided.join(led, key).where(F.col("groups") == F.size("prefix")).select(key, "tokens", "prefix"))
         leaders = new.select(key) if leaders is None else leaders.unionByName(new.select(key))
-        shown = new.select(F.col(key).alias("leader"), F.col("tokens").alias("leader_tokens"), F.explode("prefix").alias("token"))
-        met = spread_join(rows.drop("prefix"), shown, ["token"], [key])
+        shown = new.select(F.col("tokens").alias("leader_tokens"), F.explode("prefix").alias("token"))
+        met = spread_join(rows.drop("prefix"), shown.join(firsts, "token"), ["token"], [key], n="n")
         alike = F.size(F.array_intersect("tokens", "leader_tokens")) / F.greatest(F.size("tokens"), F.size("leader_tokens"))
         covered = met.where(alike > threshold).select(key).distinct()
         rest = undecided.join(new.select(key), key, "left_anti").join(covered, key, "left_anti")

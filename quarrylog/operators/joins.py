@@ -6,17 +6,36 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def spread_join(
-    rows: DataFrame, dims: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 16
+    rows: DataFrame,
+    dims: DataFrame,
+    keys: list[str],
+    by: list[str],
+    how: str = "inner",
+    salts: int = 16,
+    n: str | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``dims`` (few rows per key) with each key split over ``salts`` tasks.
+    """Join ``rows`` to ``dims`` (few rows per key) with frequent keys split over ``salts`` tasks.
+
+    ``n`` names the column of ``dims`` that holds how many rows have the key.
+    Then only keys with over a ``10 * salts``-th of all rows are split; there
+    are fewer than ``10 * salts`` of those, so their list is broadcast. Without
+    ``n``, for a short ``dims``, every key is split.
 
     The salt is a hash of the row's ``by`` columns, so a task that runs again
-    sends its rows to the same place. Adaptive execution still turns this into
-    a broadcast join when it has measured ``dims`` to be small.
+    sends its rows to the same place. Adaptive execution still turns the join
+    into a broadcast join when it has measured ``dims`` to be small.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    wide = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(wide, [*keys, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if n is None:
+        wide = dims.withColumn("_salt", F.explode(every))
+        return rows.withColumn("_salt", salt).join(wide, [*keys, "_salt"], how).drop("_salt")
+    total = dims.agg(F.sum(n)).scalar()
+    marked = dims.withColumn("_hot", F.col(n) * (10 * salts) > total)
+    frequent = marked.where("_hot").select(*keys, F.lit(True).alias("_is_hot")).distinct()
+    salted = rows.join(F.broadcast(frequent), keys, "left").withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(0))
+    wide = marked.withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
+    return salted.join(wide, [*keys, "_salt"], how).drop("_salt", "_hot", "_is_hot")
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

@@ -151,6 +151,7 @@ def best_matching(overlaps: DataFrame, shape: DataFrame) -> DataFrame:
         "best.matched",
         "best.common",
         "gold_rows",
+        (F.col("gold_rows") + F.col("pred_rows")).alias("n_rows"),
     )
 
 
@@ -162,7 +163,7 @@ def entry_accuracy(matching: DataFrame) -> DataFrame:
 
 def output_accuracy(distinct: DataFrame, matching: DataFrame) -> DataFrame:
     """E10 per query: common distinct rows after the wider side is cut to its matched columns."""
-    placed = spread_join(distinct, matching, ["query_id"], ["values"])
+    placed = spread_join(distinct, matching, ["query_id"], ["values"], n="n_rows")
     is_min = F.col("gold_is_min") == is_gold()
     projected = F.when(is_min, F.col("values")).otherwise(
         F.transform("matched", lambda j: F.col("values")[j])

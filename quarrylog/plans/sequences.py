@@ -77,7 +77,7 @@ def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     sizes = docs.groupBy("source").agg(F.count("*").alias("size"))
-    return spread_join(docs, sizes, ["source"], ["doc_id"]).select("doc_id", "source", "size")
+    return spread_join(docs, sizes, ["source"], ["doc_id"], n="size").select("doc_id", "source", "size")
 
 
 @query("w3_row_ids", "SELECT query_id, row_number() OVER (ORDER BY gold_sql, query_id) AS pos FROM (" + QUERY_LOG_SQL + ") AS q")

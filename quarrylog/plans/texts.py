@@ -259,7 +259,7 @@ def parsed_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f33_info_label", "SELECT doc_id, concat('query_id:', doc_id, ', cluster_id:', source, ', cluster_size:', count(*) OVER (PARTITION BY source)) AS info FROM documents")
 def info_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    sized = prompts.spread_join(docs, docs.groupBy("source").agg(F.count("*").alias("size")), ["source"], ["doc_id"])
+    sized = prompts.spread_join(docs, docs.groupBy("source").agg(F.count("*").alias("size")), ["source"], ["doc_id"], n="size")
     label = F.concat(F.lit("query_id:"), F.col("doc_id"), F.lit(", cluster_id:"), F.col("source"), F.lit(", cluster_size:"), F.col("size"))
     return sized.select("doc_id", label.alias("info"))
 

@@ -108,8 +108,8 @@ def read_server_log(spark: SparkSession, path: str, skip_first: int = 2, skip_la
     numbered = runs(with_previous(seq, ["ends"], ["file"]), starts)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "piece"))), lambda p: p["piece"]), LOG_WORD)
     whole = numbered.groupBy("file", "run").agg(text.alias("text"))
-    bounds = whole.groupBy("file").agg(F.min("run").alias("low"), F.max("run").alias("high"))
-    kept = spread_join(whole, bounds, ["file"], ["run"]).where((F.col("run") >= F.col("low") + skip_first) & (F.col("run") <= F.col("high") - skip_last))
+    bounds = whole.groupBy("file").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.count("*").alias("n"))
+    kept = spread_join(whole, bounds, ["file"], ["run"], n="n").where((F.col("run") >= F.col("low") + skip_first) & (F.col("run") <= F.col("high") - skip_last))
     statement = strip(F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), LOG_HEADER, ""))
     return kept.select("file", (F.col("run") - F.col("low")).alias("pos"), statement.alias("sql"))
 

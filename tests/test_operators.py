@@ -101,8 +101,11 @@ def test_majority_vote_tie(spark):
 def test_spread_join_keeps_every_row(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"))
     dims = rows.groupBy("k").agg(F.count("*").alias("n"))
-    joined = joins.spread_join(rows, dims, ["k"], ["id"])
-    assert joined.count() == 1000 and joined.where("n = 700").count() == 700
+    for n in (None, "n"):
+        joined = joins.spread_join(rows, dims, ["k"], ["id"], n=n)
+        assert joined.count() == 1000 and joined.where("n = 700").count() == 700
+        kept = joins.spread_join(rows, dims.where("n < 700"), ["k"], ["id"], "left", n=n)
+        assert kept.count() == 1000 and kept.where("n IS NULL").count() == 700
 
 
 def test_sequence_over_many_partitions(spark):
@@ -288,3 +291,19 @@ def test_cluster_terms_small(spark):
     norm = math.sqrt(shared**2 + rare**2)
     assert abs(got["c", "a b"] - 2 * shared / norm) < 1e-8 and abs(got["c", "b c"] - rare / norm) < 1e-8
     assert got["e", "a b"] == 1.0
+
+
+def test_empty_logs(spark):
+    from quarrylog.functions import vocab
+    from quarrylog.operators import workload
+
+    log = spark.createDataFrame([], "i long, g string, sql string")
+    text = F.col("sql")
+    assert {(r["total"], r["largest"]) for r in workload.category_totals(log, text, vocab.OCCURRENCE_PATTERNS).collect()} == {(0, 0)}
+    assert workload.structure_averages(log, text).first()["n_complex"] == 0
+    assert workload.profile(log, text).first()["n_queries"] == 0
+    assert catalog_match.overlapping_queries(log, "i", sqltext.table_refs(text)).count() == 0
+    assert log_context.drop_consecutive_repeats(log, "i", "g", "sql").count() == 0
+    assert clustering.leader_templates(log, "i", "sql").count() == 0
+    rows = spark.createDataFrame([], "query_id long, side string, values array<string>")
+    assert results.entry_and_output_accuracy(rows).count() == 0
