@@ -38,7 +38,16 @@ def spread_join(
     return salted.join(wide, [*keys, "_salt"], how).drop("_salt", "_hot", "_is_hot")
 
 
+# Spark ranks before the shuffle only up to this many rows per group (spark.sql.optimizer.windowGroupLimitThreshold).
+EARLY_RANK_LIMIT = 1000
+
+
 def first_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    """Top ``k`` rows per group; the rank filter is applied before the shuffle as well as after it."""
+    """Top ``k`` rows per group; every task hands on at most ``k`` rows of a group, so a hot group stays small."""
+    if k > EARLY_RANK_LIMIT:
+        # Rank inside each input partition first, as Spark does by itself for a smaller k.
+        early = Window.partitionBy("_from", *group).orderBy(*order)
+        df = df.withColumn("_from", F.spark_partition_id())
+        df = df.withColumn("_early", F.row_number().over(early)).where(F.col("_early") <= k).drop("_from", "_early")
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)

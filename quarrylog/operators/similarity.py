@@ -108,12 +108,15 @@ def slice_suggestions(ranked: DataFrame, suggested: int, extra: int) -> DataFram
     )
 
 
-def suggest_tables(gold: DataFrame, ranked: DataFrame, extra: int) -> DataFrame:
-    """T4 for tables: the gold tables first, then the best ranked ones not among them.
+def suggest_tables(gold: DataFrame, ranked: DataFrame, extra: int, known: DataFrame | None = None) -> DataFrame:
+    """T4/T5 for tables: the gold tables first, then the best ranked ones not among them.
 
     ``gold`` is ``(q_id, pos, table_name)``, ``ranked`` ``(q_id, rank, table_name)``.
+    With ``known``, only its tables are shown as suggested.
     """
     others = ranked.join(gold.select("q_id", "table_name"), ["q_id", "table_name"], "left_anti")
     offered = first_per_group(others.withColumnRenamed("rank", "_rank"), ["q_id"], ["_rank", "table_name"], extra)
     shown = gold.select("q_id", "table_name", F.col("pos").cast("int").alias("rank"), F.lit("suggested").alias("slot"))
+    if known is not None:
+        shown = shown.join(known.select("table_name").distinct(), "table_name", "left_semi").select(*shown.columns)
     return shown.unionByName(offered.select("q_id", "table_name", "rank", F.lit("extra").alias("slot")))

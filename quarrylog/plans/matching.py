@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
-from quarrylog.functions.scores import overlap_ratio
+from quarrylog.functions.scores import overlap_ratio, table_overlap
 from quarrylog.inputs import QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, query_log, schema_columns
 from quarrylog.operators import catalog_match as ops
+from quarrylog.operators.compute import once
 from quarrylog.operators.joins import first_per_group
 from quarrylog.registry import query
 
@@ -158,6 +159,14 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select("query_id", overlap_ratio(gold, pred).alias("overlap"))
 
 
+@query("v4_table_overlap", _BOTH + """SELECT refs.query_id, len(list_intersect(tabs, p_tabs)) - abs(len(tabs) - len(p_tabs)) / len(tabs) AS score
+  FROM refs JOIN p_refs ON refs.query_id = p_refs.query_id WHERE len(tabs) > 0""")
+def table_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = query_log(spark, sf_dir).select("query_id", "gold_sql", "pred_sql")
+    rows = once(log, g=used_tables(), p=sqltext.table_refs(F.col("pred_sql"))).where("size(g) > 0")
+    return rows.select("query_id", table_overlap(F.col("g"), F.col("p")).alias("score"))
+
+
 @query("u4_table_union", REFS + "SELECT DISTINCT unnest(tabs) AS table_name FROM refs")
 def table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select(F.explode(used_tables()).alias("table_name")).distinct()
@@ -175,12 +184,12 @@ def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select("query_id", (missing == 0).alias("pred_in_gold"))
 
 
-@query("u5_union_of_frames", o.QL + """SELECT query_id, gold_sql AS sql, NULL AS user_id FROM query_log
-  UNION ALL SELECT query_id, pred_sql, user_id FROM query_log""")
+@query("u5_union_of_frames", o.QL + """SELECT query_id, gold_sql AS sql, NULL AS user_name FROM query_log
+  UNION ALL SELECT query_id, pred_sql, concat('u', user_id) FROM query_log""")
 def union_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = query_log(spark, sf_dir)
     gold = log.select("query_id", F.col("gold_sql").alias("sql"))
-    pred = log.select("query_id", F.col("pred_sql").alias("sql"), "user_id")
+    pred = log.select("query_id", F.col("pred_sql").alias("sql"), F.concat(F.lit("u"), "user_id").alias("user_name"))
     return gold.unionByName(pred, allowMissingColumns=True)
 
 

@@ -60,6 +60,16 @@ def execution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("query_id", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "accuracy")
 
 
+@query("a17_macro_summary", RR + _PRESENCE + """, n AS (SELECT query_id, count(*) FILTER (g > 0 AND r > 0) AS tp, count(*) FILTER (g = 0) AS fp,
+  count(*) FILTER (r = 0) AS fn FROM p GROUP BY query_id)
+SELECT round(avg(CASE WHEN fp = 0 AND fn = 0 THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(tp / (tp + fn)), 6) AS recall,
+  round(avg(tp / (tp + fp)), 6) AS precision, round(avg(2 * tp / (2 * tp + fp + fn)), 6) AS f1 FROM n""")
+def macro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17 over result rows."""
+    summary = scoring.macro_summary(results.execution_scores(rows(spark, sf_dir)))
+    return summary.select(*[F.round(c, 6).alias(c) for c in summary.columns])
+
+
 _CELLS = """, d AS (SELECT DISTINCT query_id, side, c0, c1, c2 FROM result_rows),
  v AS (SELECT DISTINCT query_id, side, 0 AS col, c0 AS value FROM d UNION ALL SELECT DISTINCT query_id, side, 1, c1 FROM d
    UNION ALL SELECT DISTINCT query_id, side, 2, c2 FROM d),

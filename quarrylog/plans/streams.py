@@ -28,6 +28,15 @@ def stream_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.unix_micros("window_start").alias("start_us"), "template", "n")
 
 
+@query("r2_stream_sliding", o.QL + f"""SELECT CAST((epoch_us(ts) // 21600000000 - j) * 21600000000 AS BIGINT) AS start_us, {o.masked('gold_sql')} AS template, count(*) AS n
+  FROM query_log JOIN (VALUES (0), (1), (2), (3)) AS t(j) ON true GROUP BY ALL""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = log_of_orders(stream(spark, sf_dir, "orders"))
+    counted = logs.templates_per_window(log, "ts", "gold_sql", "1 day", "6 hours")
+    found = logs.run_available(spark, counted, "update", ["window_start", "template"])
+    return found.select(F.unix_micros("window_start").alias("start_us"), "template", "n")
+
+
 @query("r3_stream_sessions", """WITH t AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
  s AS (SELECT user_id, us, sum(CASE WHEN p IS NULL OR us - p >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS k FROM t),
  x AS (SELECT user_id, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY user_id, k)

@@ -99,6 +99,24 @@ def table_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.suggest_tables(gold, ranked, 5)
 
 
+_KNOWN = "SELECT label AS table_name FROM embeddings GROUP BY label HAVING count(*) >= (SELECT count(*) / count(DISTINCT label) FROM embeddings)"
+
+
+@query("t5_table_suggestions", f"""WITH {_MEANS}, known AS ({_KNOWN}), s AS (SELECT vec_id AS q_id, e.label AS gold, m.label AS table_name,
+   round({_COS.format(a='embedding', b='v')}, 9) AS score FROM embeddings e, means m),
+ x AS (SELECT q_id, table_name, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, table_name) AS INTEGER) AS rank FROM s WHERE table_name <> gold)
+SELECT q_id, table_name, rank, 'extra' AS slot FROM x WHERE rank <= 2
+UNION ALL SELECT vec_id, label, 1, 'suggested' FROM embeddings WHERE label IN (SELECT table_name FROM known)""")
+def known_table_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extra tables; gold tables are shown if known, here the labels with at least the mean number of vectors."""
+    counts = embeddings(spark, sf_dir).groupBy(F.col("label").alias("table_name")).agg(F.count("*").alias("n"))
+    known = counts.where(F.col("n") >= counts.agg(F.avg("n")).scalar())
+    tables = label_means(spark, sf_dir).select(F.col("label").alias("id"), "vector")
+    ranked = ops.top_similar(vectors(spark, sf_dir), tables, 3).select("q_id", "rank", F.col("t_id").alias("table_name"))
+    gold = embeddings(spark, sf_dir).select(F.col("vec_id").alias("q_id"), F.lit(1).alias("pos"), F.col("label").alias("table_name"))
+    return ops.suggest_tables(gold, ranked, 2, known)
+
+
 @query("j13_best_match", f"""WITH {_MEANS}, s AS (SELECT vec_id, m.label, round({_COS.format(a='embedding', b='v')}, 9) AS score FROM embeddings e, means m)
 SELECT vec_id AS q_id, label AS t_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1""")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +126,7 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AT_K = f"""WITH {_PAIRS}, p AS (SELECT q_id, any_value(gold) AS gold, count(DISTINCT label) AS n, bool_or(label = gold) AS hit FROM r WHERE rank <= 5 GROUP BY q_id),
- x AS (SELECT q_id, CASE WHEN hit THEN 1.0 / n ELSE 0 END AS precision, CASE WHEN hit THEN 1.0 ELSE 0.0 END AS recall FROM p)"""
+ x AS (SELECT q_id, CASE WHEN hit THEN 1.0 / n ELSE 0 END AS precision, CAST(CASE WHEN hit THEN 1.0 ELSE 0.0 END AS DOUBLE) AS recall FROM p)"""
 
 
 def _at_k(spark: SparkSession, sf_dir: str) -> DataFrame:

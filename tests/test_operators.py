@@ -307,3 +307,10 @@ def test_empty_logs(spark):
     assert clustering.leader_templates(log, "i", "sql").count() == 0
     rows = spark.createDataFrame([], "query_id long, side string, values array<string>")
     assert results.entry_and_output_accuracy(rows).count() == 0
+
+
+def test_first_per_group_beyond_the_early_limit(spark, monkeypatch):
+    rows = spark.range(5000).select("id", (F.col("id") % 2).alias("g")).repartition(6)
+    want = joins.first_per_group(rows, ["g"], [F.desc("id")], 40).orderBy("id").collect()
+    monkeypatch.setattr(joins, "EARLY_RANK_LIMIT", 10)
+    assert joins.first_per_group(rows, ["g"], [F.desc("id")], 40).orderBy("id").collect() == want
