@@ -100,7 +100,12 @@ def overlapping_queries(
     posted = sets.select(F.explode(subsets).alias("subset"), "n", "set_key", "tables", F.explode("ids").alias("id"))
     postings = first_per_group(posted, ["subset", "n"], ["id"], k + 1, "pos").drop("pos")
     probes = sets.select(F.col("set_key").alias("probe"), F.col("tables").alias("probe_tables"), F.explode(subsets).alias("subset"))
-    by_subset = probes.join(postings, "subset").select("probe", "probe_tables", "set_key", "tables", "id")
+    # Every set is under the empty subset, and many are under that of a frequent table.
+    asked = probes.groupBy("subset").agg(F.count("*").alias("n_probes"))
+    met = spread_join(
+        probes, postings.join(asked, "subset"), ["subset"], ["probe"], n="n_probes", total=probes.groupBy().count().scalar()
+    )
+    by_subset = met.select("probe", "probe_tables", "set_key", "tables", "id")
 
     indexed = sets.select("set_key", "tables", "n", "ids", F.explode("tables").alias("table_name"))
     left = indexed.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def spread_join(
@@ -13,13 +13,15 @@ def spread_join(
     how: str = "inner",
     salts: int = 16,
     n: str | None = None,
+    total: Column | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``dims`` (few rows per key) with frequent keys split over ``salts`` tasks.
 
     ``n`` names the column of ``dims`` that holds how many rows have the key.
     Then only keys with over a ``10 * salts``-th of all rows are split; there
-    are fewer than ``10 * salts`` of those, so their list is broadcast. Without
-    ``n``, for a short ``dims``, every key is split.
+    are fewer than ``10 * salts`` of those, so their list is broadcast. ``total``
+    is the number of rows, by default the sum of ``n`` (one row of ``dims`` per
+    key). Without ``n``, for a short ``dims``, every key is split.
 
     The salt is a hash of the row's ``by`` columns, so a task that runs again
     sends its rows to the same place. Adaptive execution still turns the join
@@ -30,7 +32,7 @@ def spread_join(
     if n is None:
         wide = dims.withColumn("_salt", F.explode(every))
         return rows.withColumn("_salt", salt).join(wide, [*keys, "_salt"], how).drop("_salt")
-    total = dims.agg(F.sum(n)).scalar()
+    total = dims.agg(F.sum(n)).scalar() if total is None else total
     marked = dims.withColumn("_hot", F.col(n) * (10 * salts) > total)
     frequent = marked.where("_hot").select(*keys, F.lit(True).alias("_is_hot")).distinct()
     salted = rows.join(F.broadcast(frequent), keys, "left").withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(0))
