@@ -147,15 +147,23 @@ def latent_terms(
     return docs.select(key).join(placed, key, "left").select(key, F.coalesce("vector", origin).alias("vector"))
 
 
+HEADS = 8  # first queries of a token group looked at in one round
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > threshold
+
+
 def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8, max_rounds: int = 1000) -> DataFrame:
     """V5: queries that no earlier leader resembles (token overlap above ``threshold``), in key order.
 
     Two token sets that overlap that much share a token of each other's prefix:
     the first ``size - floor(threshold * size)`` tokens in one global order
-    (rare tokens first). Each round takes, as new leaders, the undecided
-    queries with the smallest key in every one of their prefix tokens, and
-    drops what resembles them. A token group hands its members one leader per
-    round, so no pairs of a group are formed and a hot token is aggregated
+    (rare tokens first). Each round looks at the first ``HEADS`` undecided
+    queries of every prefix token. New leaders are those that are heads of all
+    their tokens and resemble no earlier head; what resembles a new leader is
+    dropped. A token group hands its members at most ``HEADS`` leaders per
+    round, so its pairs are never formed and a hot token is cut to its heads
     before it is shuffled. The outcome equals one sequential scan.
     """
     tokens = log.select(key, F.array_sort(F.array_distinct(F.split(sql, " "))).alias("tokens"))
@@ -179,15 +187,20 @@ def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8,
     leaders = None
     for _ in range(max_rounds):
         rows = undecided.select(key, "tokens", "prefix", F.explode("prefix").alias("token"))
-        firsts = rows.groupBy("token").agg(F.min(key).alias("first"), F.count("*").alias("n"))
-        # A query leads if it is first in all its groups: as often first as it has prefix tokens.
-        led = firsts.groupBy(F.col("first").alias(key)).agg(F.count("*").alias("groups"))
-        new = cut_lineage(undecided.join(led, key).where(F.col("groups") == F.size("prefix")).select(key, "tokens", "prefix"))
+        sizes = rows.groupBy("token").agg(F.count("*").alias("n"))
+        heads = cut_lineage(first_per_group(rows, ["token"], [key], HEADS, "_pos").drop("_pos"))
+        earlier = heads.select("token", F.col(key).alias("before"), F.col("tokens").alias("other"))
+        blocked = heads.join(earlier, "token").where((F.col("before") < F.col(key)) & _alike("tokens", "other", threshold))
+        # A query leads if it is among the heads of all its groups and like no earlier one there.
+        led = heads.groupBy(key).agg(F.count("*").alias("groups"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
+        sure = led.where(F.col("groups") == F.size("prefix")).join(blocked.select(key).distinct(), key, "left_anti")
+        new = cut_lineage(sure.select(key, "tokens", "prefix"))
         leaders = new.select(key) if leaders is None else leaders.unionByName(new.select(key))
-        shown = new.select(F.col("tokens").alias("leader_tokens"), F.explode("prefix").alias("token"))
-        met = spread_join(rows.drop("prefix"), shown.join(firsts, "token"), ["token"], [key], n="n")
-        alike = F.size(F.array_intersect("tokens", "leader_tokens")) / F.greatest(F.size("tokens"), F.size("leader_tokens"))
-        covered = met.where(alike > threshold).select(key).distinct()
+        shown = new.select(F.col(key).alias("leader"), F.col("tokens").alias("other"), F.explode("prefix").alias("token"))
+        met = spread_join(
+            rows.drop("prefix"), shown.join(sizes, "token"), ["token"], [key], n="n", total=rows.groupBy().count().scalar()
+        )
+        covered = met.where((F.col("leader") < F.col(key)) & _alike("tokens", "other", threshold)).select(key).distinct()
         rest = undecided.join(new.select(key), key, "left_anti").join(covered, key, "left_anti")
         undecided = cut_lineage(rest)
         if undecided.isEmpty():
