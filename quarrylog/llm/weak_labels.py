@@ -7,9 +7,9 @@ the share of good documents. The posterior labels of a bounded, hashed sample
 (``Config.train_rows``) train a linear scorer over hashed words and word shapes,
 which scores every document.
 
-Defined cases: a null or empty text has only its length vote and scores by that
-vote's posterior. If the sample holds one class only, the posterior is the
-score. Repeated rows give repeated rows, an empty table an empty result. Extra
+Defined cases: a null or empty text has no votes and scores by the posterior of
+that, the share of good documents. If the sample holds one class only, every
+score is that class. Repeated rows give repeated rows, an empty table an empty result. Extra
 columns are ignored.
 """
 
@@ -24,11 +24,17 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylog.llm.quality_rules import SPACES, SYMBOLS, words_of
+from quarrylog.llm.quality_rules import DEFAULT as RULES, SYMBOLS, line_passes, words_of
 from quarrylog.operators.compute import once
 
 GOOD, BAD, NOTHING = 1, 0, 2
-LABELLERS = ("length", "symbols", "separators", "capitals", "variety", "repeats", "endings", "word_length", "doubled_marks")
+LABELLERS = ("symbols", "separators", "capitals", "repeats", "variety", "endings", "word_length", "doubled_marks", "failed_lines")
+
+
+#: What is believed of a labeller before any vote, per class (bad, good) and vote (bad, good, nothing): votes against
+#: are rare on good documents. It weighs this share of all documents.
+PRIOR = np.array([[0.3, 0.5, 0.2], [0.002, 0.898, 0.1]])
+PRIOR_WEIGHT = 0.2
 
 
 @dataclass(frozen=True)
@@ -55,41 +61,45 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n = F.greatest(F.size("words"), F.lit(1)).cast("double")
     characters = F.greatest(F.length("text"), F.lit(1)).cast("double")
     pieces = lambda pattern: F.size(F.split("text", pattern, -1)) - 1
+
+    def failed_words(line: Column) -> Column:
+        return F.get(F.transform(F.array(F.size(words_of(line))), lambda m: F.when(line_passes(line, m, RULES), 0).otherwise(m)), F.lit(0))
+
     rows = once(
         rows,
-        n=n,
         symbols=pieces(SYMBOLS) / characters,
         separators=pieces(r"\|") / n,
         capitals=F.size(F.filter("words", lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$") & (F.length(w) > 1))) / n,
-        variety=F.size(F.array_distinct("words")) / n,
         repeats=F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))) / n,
+        variety=F.size(F.array_distinct("words")) / n,
         endings=pieces(r"[.!?](?=[\x20\x09-\x0D]|$)") / n,
         word_length=F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / n,
         doubled=pieces(r"([!?#*$%&])\1") / n,
+        failed=F.aggregate(F.transform(F.split("text", "\n", -1), failed_words), F.lit(0), lambda a, x: a + x) / n,
     )
     some = F.size("words") > 0
+    between = lambda name, bad, good: _vote(some & (F.col(name) > bad), some & (F.col(name) < good))
     return rows.select(
         "doc_id", "words", "text",
-        _vote(F.size("words") < 8, F.size("words") >= 50).alias("length"),
-        _vote(some & (F.col("symbols") > 0.03), some & (F.col("symbols") < 0.003)).alias("symbols"),
-        _vote(some & (F.col("separators") > 0.1), F.lit(False)).alias("separators"),
-        _vote(some & (F.col("capitals") > 0.3), some & (F.col("capitals") < 0.05)).alias("capitals"),
-        _vote((F.size("words") >= 50) & (F.col("variety") < 0.15), (F.size("words") >= 50) & (F.size("words") <= 2000) & (F.col("variety") > 0.4)).alias("variety"),
-        _vote(some & (F.col("repeats") > 0.1), some & (F.col("repeats") < 0.03)).alias("repeats"),
-        _vote((F.size("words") >= 20) & (F.col("endings") < 0.01), some & F.col("endings").between(0.02, 0.4)).alias("endings"),
-        _vote(some & ((F.col("word_length") > 15) | (F.col("word_length") < 2)), F.lit(False)).alias("word_length"),
-        _vote(some & (F.col("doubled") > 0.1), F.lit(False)).alias("doubled_marks"),
+        between("symbols", 0.03, 0.003).alias("symbols"),
+        between("separators", 0.1, 0.01).alias("separators"),
+        between("capitals", 0.3, 0.05).alias("capitals"),
+        between("repeats", 0.1, 0.03).alias("repeats"),
+        _vote((F.size("words") >= 50) & (F.col("variety") < 0.2 * F.least(F.lit(1.0), 500 / n)), some & (F.col("variety") > 0.4)).alias("variety"),
+        _vote((F.size("words") >= 40) & (F.col("endings") < 0.01), some & (F.col("endings") > 0.02)).alias("endings"),
+        _vote(some & (F.col("word_length") > 15), F.lit(False)).alias("word_length"),
+        between("doubled", 0.1, 0.01).alias("doubled_marks"),
+        between("failed", 0.5, 0.1).alias("failed_lines"),
     )
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray]:
     """EM for the share of good documents and ``P(vote | class)`` (labeller, class, vote), from distinct patterns."""
     chosen = (patterns[:, :, None] == np.arange(3)).astype(float)  # pattern, labeller, vote
-    lean = (patterns == GOOD).sum(1) - 2.0 * (patterns == BAD).sum(1)
-    good = 1 / (1 + np.exp(-lean))
+    good = 1 / (1 + np.exp(4.0 * (patterns == BAD).sum(1) - 2.0))  # to begin with, any vote against counts
     for _ in range(rounds):
         weights = np.stack([counts * (1 - good), counts * good])  # class, pattern
-        table = np.einsum("cp,plv->lcv", weights, chosen) + 0.1
+        table = np.einsum("cp,plv->lcv", weights, chosen) + PRIOR * PRIOR_WEIGHT * counts.sum() + 0.1
         table /= table.sum(2, keepdims=True)
         prior = (weights.sum(1) + 1) / (counts.sum() + 2)
         logs = np.einsum("plv,lcv->pc", chosen, np.log(table)) + np.log(prior)
