@@ -173,11 +173,11 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame | None:
-    """Confirmed links between set classes (``cid, n, sig, k1, k2``), enough to connect what the threshold connects."""
+def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+    """``(node, component)`` of the set classes (``cid, n, sig, k1, k2``) that confirmed links connect."""
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, chosen in enumerate(_roots(config)) for c in chosen])
     active = classes.select("cid", F.explode(roots).alias("path"))
-    found, sets, known = None, None, None
+    sets = known = None
     for depth in range(1, config.max_depth + 1):
         rank = F.struct(F.xxhash64("cid", F.lit(depth)).alias("r"), F.col("cid").alias("c"))
         nodes = active.groupBy("path").agg(F.count("*").alias("size"), F.min(rank).alias("leader")).where("size > 1")
@@ -206,12 +206,14 @@ def links(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame | N
             places = classes.join(needed, "cid", "left_semi").select("cid", "k1", "k2")
             sets = cut_lineage(full_sets(texts.join(places.hint("shuffle_hash"), ["k1", "k2"]), config))
         new = cut_lineage(_confirmed(pairs, sets, config))
-        found = new if found is None else found.unionByName(new)
+        if known is None:
+            known = components(new)
+        elif not new.isEmpty():
+            known = components(new.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if large.isEmpty():
             break
-        known = components(found)
         active = large.join(classes.select("cid", "sig"), "cid").select("cid", _children(config).alias("path"))
-    return found
+    return known
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = CONTRACT) -> DataFrame:
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.min(F.struct("k1", "k2", "n_shingles", "sig")).alias("one")
     grouped = rows.where("n_shingles > 0").groupBy("cid").agg(best, F.min(F.when(F.col("k1") > -(1 << 63), F.col("k1"))).alias("least"))
     classes = cut_lineage(grouped.select("cid", F.col("one.n_shingles").alias("n"), "one.sig", "one.k1", "one.k2", "least"))
-    comps = components(links(classes, texts, config)).withColumnRenamed("node", "cid")
+    comps = linked(classes, texts, config).withColumnRenamed("node", "cid")
     placed = classes.select("cid", "least").join(comps, "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = placed.join(named, "component").select("cid", "component_id")
