@@ -5,7 +5,10 @@ Each tree branches members by a few minhash coordinates chosen per node: members
 that agree on a chosen coordinate go to the same child, about ``1 / threshold``
 coordinates per node. Small nodes are compared exhaustively. A large node links
 its members to a leader and branches again, unless all its members are
-connected, or all but a few, which are then compared with the whole node. The
+connected, or all but a few, which are then compared with the whole node. What
+is still together after a few levels is dense: such a node, if it fits a task
+(a stated number of members and shingles), is compared exhaustively there,
+leaving out pairs that are connected by then; a larger one branches on. The
 independent trees together reach a recall above 0.999 at the threshold. What
 meets is sieved by size and signature and confirmed on the full sets.
 
@@ -40,11 +43,14 @@ PIECE = 1 << 20
 class Config:
     words: int = 3
     percent: int = 85
-    coordinates: int = 64
+    coordinates: int = 128
     trees: int = 12
     node_limit: int = 16
-    max_depth: int = 30
-    signature_slack: float = 4.5
+    dense_depth: int = 3
+    dense_members: int = 4096
+    dense_shingles: int = 4_000_000
+    max_depth: int = 40
+    signature_slack: float = 3.5
     seed: int = 5
 
 
@@ -148,16 +154,20 @@ def _children(config: Config) -> Column:
     return F.explode(F.when(second & (one != two), F.array(child(one), child(two))).otherwise(F.array(child(one))))
 
 
+def least_agreement(config: Config) -> int:
+    """Agreeing coordinates below which a pair is not looked at: the threshold's mean less ``signature_slack`` deviations."""
+    share = config.percent / 100
+    return int((share - config.signature_slack * (share * (1 - share) / config.coordinates) ** 0.5) * config.coordinates)
+
+
 def _sieved(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
     """Distinct pairs whose sizes and signatures allow the threshold."""
-    share = config.percent / 100
-    least = share - config.signature_slack * (share * (1 - share) / config.coordinates) ** 0.5
     facts = classes.select("cid", "n", "sig")
     left, right = (facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]) for side in "ab")
     rows = pairs.select("a", "b").distinct().join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b"))
     fits = 100 * F.least("n_a", "n_b") >= config.percent * F.greatest("n_a", "n_b")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return rows.where(fits).where(agree >= int(least * config.coordinates)).select("a", "b")
+    return rows.where(fits).where(agree >= least_agreement(config)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
@@ -169,6 +179,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
     return rows.where(100 * F.col("common") >= config.percent * F.col("either")).select("a", "b")
 
 
+class _Node:
+    """Members of one node in one task, with the connections known so far."""
+
+    def __init__(self, rows: list[dict], config: Config):
+        self.config = config
+        self.cid = [r["cid"] for r in rows]
+        self.comp = np.unique([r["comp"].hex() for r in rows], return_inverse=True)[1]
+        self.sig = np.array([r["sig"] for r in rows], np.int32)
+        self.n = np.array([len(r["items"]) for r in rows])
+        self.start = np.concatenate(([0], np.cumsum(self.n)))
+        self.items = np.unique(np.concatenate([np.asarray(r["items"], np.int64) for r in rows]), return_inverse=True)[1]
+        self.mark = np.zeros(int(self.items.max()) + 1, bool)
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that ``x`` shares with each of ``others``."""
+        own = self.items[self.start[x] : self.start[x + 1]]
+        self.mark[own] = True
+        out = np.empty(len(others), np.int64)
+        for at in range(0, len(others), 512):
+            part = others[at : at + 512]
+            ends = np.cumsum(self.n[part])
+            flat = np.repeat(self.start[part] - (ends - self.n[part]), self.n[part]) + np.arange(ends[-1])
+            out[at : at + 512] = np.add.reduceat(self.mark[self.items[flat]], ends - self.n[part], dtype=np.int64)
+        self.mark[own] = False
+        return out
+
+    def links(self):
+        """Links that connect what was apart, from the exact comparison of every pair still apart that the sieve lets through."""
+        percent, least = self.config.percent, least_agreement(self.config)
+        for x in range(len(self.cid) - 1):
+            later = np.arange(x + 1, len(self.cid))
+            apart = later[self.comp[later] != self.comp[x]]
+            small, large = np.minimum(self.n[apart], self.n[x]), np.maximum(self.n[apart], self.n[x])
+            apart = apart[100 * small >= percent * large]
+            apart = apart[(self.sig[apart] == self.sig[x]).sum(1) >= least]
+            if not len(apart):
+                continue
+            common = self.common(x, apart)
+            for y in apart[100 * common >= percent * (self.n[apart] + self.n[x] - common)].tolist():
+                if self.comp[y] != self.comp[x]:
+                    self.comp[self.comp == self.comp[y]] = self.comp[x]
+                    yield min(self.cid[x], self.cid[y]), max(self.cid[x], self.cid[y])
+
+
+def _dense_links(rows: DataFrame, config: Config) -> DataFrame:
+    """Links inside whole nodes (``path, cid, comp, sig, items``); a task reads its nodes one after another."""
+
+    def found(rows: list[dict]):
+        pairs = list(_Node(rows, config).links())
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        waiting: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if waiting and waiting[-1]["path"] != row["path"]:
+                    yield found(waiting)
+                    waiting = []
+                row["items"] = np.array(row["items"], np.int64)
+                waiting.append(row)
+        if waiting:
+            yield found(waiting)
+
+    ordered = rows.select("path", "cid", "comp", "sig", "items").repartition("path").sortWithinPartitions("path")
+    return ordered.mapInArrow(run, "a binary, b binary")
+
+
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -179,18 +256,17 @@ def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
     active = classes.select("cid", F.explode(roots).alias("path"))
     sets = known = None
     for depth in range(1, config.max_depth + 1):
-        rank = F.struct(F.xxhash64("cid", F.lit(depth)).alias("r"), F.col("cid").alias("c"))
-        nodes = active.groupBy("path").agg(F.count("*").alias("size"), F.min(rank).alias("leader")).where("size > 1")
-        live = active.join(nodes.select("path", "size", F.col("leader.c").alias("leader")), "path")
+        nodes = active.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        live = active.join(nodes, "path")
         if known is not None:
             # What is left to compare: nodes of more than one component, with the members outside the largest one.
-            live = live.join(known, F.col("cid") == F.col("node"), "left").select("path", "cid", "size", "leader", F.coalesce("component", "cid").alias("comp"))
+            live = live.join(known, F.col("cid") == F.col("node"), "left").select("path", "cid", "size", F.coalesce("component", "cid").alias("comp"))
             share = live.groupBy("path", "comp").agg(F.count("*").alias("m"))
             most = share.groupBy("path").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
             most = most.where("all > top.m").select("path", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.m")).alias("others"))
             live = live.join(most, "path")
         else:
-            live = live.select("path", "cid", "size", "leader", F.col("cid").alias("comp"), F.lit(None).cast("binary").alias("top"), (F.col("size") - 1).alias("others"))
+            live = live.select("path", "cid", "size", F.col("cid").alias("comp"), F.lit(None).cast("binary").alias("top"), (F.col("size") - 1).alias("others"))
         live = cut_lineage(live)
         last = depth == config.max_depth
         # Small nodes, and large ones with few members outside the largest component, are compared in full.
@@ -198,14 +274,28 @@ def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
         outside = full.where("top is null or comp <> top").select("path", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
         across = outside.join(full.select("path", F.col("cid").alias("y"), F.col("comp").alias("y_comp")), "path").where("x <> y and x_comp <> y_comp")
         large = live.where((F.col("size") > config.node_limit) & (F.col("others") > config.node_limit) & ~F.lit(last))
-        star = large.where("cid <> leader").select(*_ordered("cid", "leader"))
+        dense = None
+        if depth >= config.dense_depth:
+            facts = large.select("path", "cid", "comp").join(classes.select("cid", "n", "sig"), "cid")
+            weight = facts.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+            fits = weight.where((F.col("m") <= config.dense_members) & (F.col("shingles") <= config.dense_shingles)).select("path")
+            dense = facts.join(fits, "path", "left_semi")
+            large = cut_lineage(large.join(fits, "path", "left_anti"))
+        # The member that meets most others over all large nodes is nearest to the middle of its group: it leads.
+        middle = large.groupBy("cid").agg(F.sum("size").alias("met"))
+        lead = large.join(middle, "cid").groupBy("path").agg(F.max(F.struct("met", "cid")).alias("leader"))
+        star = large.join(lead.select("path", F.col("leader.cid").alias("leader")), "path")
+        star = star.where("cid <> leader").select(*_ordered("cid", "leader"))
         pairs = cut_lineage(_sieved(across.select(*_ordered("x", "y")).unionByName(star), classes, config))
         large = large.select("path", "cid")
         if sets is None:
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct()
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct()  # later nodes are parts of these
             places = classes.join(needed, "cid", "left_semi").select("cid", "k1", "k2")
             sets = cut_lineage(full_sets(texts.join(places.hint("shuffle_hash"), ["k1", "k2"]), config))
-        new = cut_lineage(_confirmed(pairs, sets, config))
+        new = _confirmed(pairs, sets, config)
+        if dense is not None:
+            new = new.unionByName(_dense_links(dense.join(sets, "cid"), config))
+        new = cut_lineage(new)
         if known is None:
             known = components(new)
         elif not new.isEmpty():
