@@ -155,6 +155,10 @@ class SuffixSort:
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length, self.hasher = data, length, _hasher()
         self.prefix = self.hasher.prefix(data)
+        padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+        self.head = np.zeros(len(data), np.uint64)  # the first eight bytes as one number
+        for i in range(8):
+            self.head = (self.head << np.uint64(8)) | padded[i : i + len(data)]
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common bytes of the suffixes at ``a`` and ``b``, ``length`` at most."""
@@ -165,6 +169,18 @@ class SuffixSort:
             low, high = np.where(same & open_, mid, low), np.where(same | ~open_, high, mid - 1)
         return low
 
+    def precedes(self, a: np.ndarray, b: np.ndarray, if_same: np.ndarray) -> np.ndarray:
+        """Whether suffix ``a`` stands before suffix ``b``: by their heads, else by the byte after the common extension."""
+        before = self.head[a] < self.head[b]
+        tie = np.flatnonzero(self.head[a] == self.head[b])
+        x, y = a[tie], b[tie]
+        same = self.hasher.spans(self.prefix, x, x + self.length) == self.hasher.spans(self.prefix, y, y + self.length)
+        before[tie] = if_same[tie]
+        tie, x, y = tie[~same], x[~same], y[~same]
+        at = self.extension(x, y)
+        before[tie] = self.data[x + at] < self.data[y + at]
+        return before
+
     def sort(self, at: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Mergesort of the suffixes ``at`` within classes (entry ``i``'s class holds ``first[i] : first[i] + size[i]``)."""
         at, width = at.copy(), 1
@@ -179,10 +195,7 @@ class SuffixSort:
             while (open_ := np.flatnonzero(low < high)).size:
                 mid = (low[open_] + high[open_]) >> 1
                 other, mine = at[mid], own[open_]
-                common = self.extension(other, mine)
-                same = common == self.length
-                last = np.minimum(common, self.length - 1)
-                before = np.where(same, later[open_], self.data[other + last] < self.data[mine + last])
+                before = self.precedes(other, mine, later[open_])
                 low, high = low.copy(), high.copy()
                 low[open_], high[open_] = np.where(before, mid + 1, low[open_]), np.where(before, high[open_], mid)
             merged = begin + (run >> 1) * 2 * width + (r - run * width) + (low - low0)
