@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.word_pieces import blocks, expand, library_tokenizer, memoised, pieces_of, tokenizer_text, worker_memo
+from quarrylog.llm.word_pieces import PLAIN, blocks, expand, library_tokenizer, memoised, packed, pieces_of, plain_word, tokenizer_text, worker_memo
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 
@@ -48,7 +48,7 @@ class WordBpe:
                 names[i] = t
         self.names = pa.array(names)
         self.size = size
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.n_speculated = self.n_exact = 0
 
@@ -110,7 +110,7 @@ class WordBpe:
             self.pairs[key] = self.merged(self.symbols(self.surface[token])) == (token,)
         return self.pairs[key]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         proposals = [self.proposed(w) for w in words]
         lengths = np.fromiter((len(p) if p else 0 for p in proposals), np.int64, len(words))
         flat = np.fromiter((t for p in proposals if p for t in p), np.int64, int(lengths.sum()))
@@ -125,7 +125,7 @@ class WordBpe:
             good[owner[1:][inner][~fits]] = False
         self.n_speculated += int(good.sum())
         self.n_exact += int((~good).sum())
-        return [p if ok else self.merged(self.symbols(w + self.suffix)) for w, p, ok in zip(words, proposals, good.tolist(), strict=True)]
+        return [packed(p if ok else self.merged(self.symbols(w + self.suffix))) for w, p, ok in zip(words, proposals, good.tolist(), strict=True)]
 
     def words_in(self, texts: list[str]) -> list[list[str]]:
         """Pre-tokens of each white-space free text, by the library's normaliser and splitter."""
@@ -141,33 +141,25 @@ class WordBpe:
             out[i].append(w)
         return out
 
-    def encode_pieces(self, pieces: list[str], step: int = 4096) -> list[tuple[int, ...]]:
-        """Ids of each white-space free text."""
-        plain: list[str] = []
-        plans: list[list[int | str]] = []
-        for piece in pieces:
-            at, plan = 0, []
-            for m in self.special_pattern.finditer(piece):
-                plan += [piece[at : m.start()], self.special[m[0]]]
-                at = m.end()
-            plan.append(piece[at:])
-            plans.append(plan)
-            plain += [x for x in plan if isinstance(x, str)]
-        split = [words for i in range(0, len(plain), step) for words in self.words_in(plain[i : i + step])]
-        distinct = list(dict.fromkeys(w for words in split for w in words))
+    def plan(self, piece: str) -> list[int | str | list[str]]:
+        """A piece as special ids, known words (lists) and texts that the library must split."""
+        if m := PLAIN.fullmatch(piece):
+            return [[plain_word(m[1]), m[2]] if m[2] else [plain_word(m[1])]]
+        at, out = 0, []
+        for m in self.special_pattern.finditer(piece):
+            out += [piece[at : m.start()], self.special[m[0]]]
+            at = m.end()
+        return [*out, piece[at:]]
+
+    def encode_pieces(self, pieces: list[str], step: int = 4096) -> list[bytes]:
+        """Packed ids of each white-space free text."""
+        plans = [self.plan(p) for p in pieces]
+        texts = [x for plan in plans for x in plan if isinstance(x, str)]
+        split = iter([words for i in range(0, len(texts), step) for words in self.words_in(texts[i : i + step])])
+        plans = [[next(split) if isinstance(x, str) else x for x in plan] for plan in plans]
+        distinct = list(dict.fromkeys(w for plan in plans for x in plan if isinstance(x, list) for w in x))
         ids = dict(zip(distinct, memoised(self.words, distinct, self.encode_words), strict=True))
-        out, at = [], 0
-        for plan in plans:
-            row: list[int] = []
-            for x in plan:
-                if isinstance(x, str):
-                    for w in split[at]:
-                        row += ids[w]
-                    at += 1
-                else:
-                    row.append(x)
-            out.append(tuple(row))
-        return out
+        return [b"".join([ids[w] for x in plan for w in x] if len(plan) == 1 else [y for x in plan for y in ([ids[w] for w in x] if isinstance(x, list) else [packed([x])])]) for plan in plans]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Token strings joined by one space, as the library does for a tokenizer without decoder."""
@@ -199,11 +191,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches):
         bpe = word_bpe(shared.value)
-        memo = worker_memo("bpe_pieces")
         for batch in batches:
             for part in blocks(batch, 1):
                 pieces = pieces_of(part.column(1))
-                ids, bounds = expand(pieces.codes, pieces.starts, memoised(memo, pieces.distinct, bpe.encode_pieces))
+                ids, bounds = expand(pieces.codes, pieces.starts, bpe.encode_pieces(pieces.distinct))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, bpe.decode(lists)], names=["doc_id", "ids", "decoded"])
 

@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog.session import cut_lineage, new_shared_path
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, of which every state partition would hold several megabytes.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -34,8 +37,9 @@ def run_state(spark: SparkSession, path: str, schema, files_per_batch: int | Non
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     kept = reader.parquet(path).groupBy("digest").agg(F.max("id").alias("keep_id"), F.min("id").alias("locator"), F.count("*").alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = kept.writeStream.outputMode("update").format("noop").trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
         stream.awaitTermination()
@@ -43,7 +47,8 @@ def run_state(spark: SparkSession, path: str, schema, files_per_batch: int | Non
         columns = state.schema["value"].dataType.names
         return state.select("key.digest", *[F.col(f"value.{c}").alias(n) for c, n in zip(columns, ("keep_id", "locator", "group_size"), strict=True)])
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:

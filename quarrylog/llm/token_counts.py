@@ -16,21 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.word_pieces import blocks, library_tokenizer, memoised, pieces_of, tokenizer_text, worker_memo
+from quarrylog.llm.word_pieces import LibraryPieces, blocks, library_tokenizer, pieces_of, tokenizer_text
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
-def counter(tokenizer, name: str):
-    memo = worker_memo(f"counts:{name}")
-
-    def count(distinct: list[str]) -> np.ndarray:
-        make = lambda keys: [len(e) for e in tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-        return np.array(memoised(memo, distinct, make), np.int64)
-
-    return count
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every row, as the tokenizer's library counts."""
     text = tokenizer_text(tokenizer_path)
@@ -38,11 +28,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(text)  # one tokenizer file, not data
 
     def run(batches):
-        count = counter(library_tokenizer(name, shared.value), name)
+        encode = LibraryPieces(library_tokenizer(name, shared.value), name)
         for batch in batches:
             for part in blocks(batch, 1):
                 pieces = pieces_of(part.column(1))
-                totals = np.concatenate(([0], np.cumsum(count(pieces.distinct)[pieces.codes])))
+                counts = np.fromiter(map(len, encode(pieces.distinct)), np.int64, len(pieces.distinct)) >> 2
+                totals = np.concatenate(([0], np.cumsum(counts[pieces.codes])))
                 n = totals[pieces.starts[1:]] - totals[pieces.starts[:-1]]
                 size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarrylog.llm.word_pieces import blocks, expand, library_tokenizer, memoised, pieces_of, tokenizer_text, worker_memo
+from quarrylog.llm.word_pieces import LibraryPieces, blocks, expand, library_tokenizer, pieces_of, tokenizer_text
 
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
@@ -70,14 +70,12 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     shared = spark.sparkContext.broadcast(text)  # one tokenizer file, not data
 
     def run(batches):
-        tokenizer = library_tokenizer(name, shared.value)
-        memo = worker_memo(f"ids:{name}")
-        make = lambda keys: [e.ids for e in tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+        encode = LibraryPieces(library_tokenizer(name, shared.value), name)
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for block in blocks(batch, 1):
                 pieces = pieces_of(block.column(1))
-                ids, bounds = expand(pieces.codes, pieces.starts, memoised(memo, pieces.distinct, make))
+                ids, bounds = expand(pieces.codes, pieces.starts, encode(pieces.distinct))
                 ids, bounds = with_end(ids, bounds, end_id)
                 doc_ids = block.column(0).to_pylist()
                 at = 0

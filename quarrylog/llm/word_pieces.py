@@ -8,15 +8,17 @@ Working once per distinct piece of a block replaces a shuffle of
 
 from __future__ import annotations
 
+import re
 import sys
+from array import array
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 8 << 20
-MEMO_ENTRIES = 500_000
+BLOCK_BYTES = 4 << 20
+MEMO_ENTRIES = 400_000
 
 
 class Pieces(NamedTuple):
@@ -63,19 +65,60 @@ def memoised(memo: dict, keys: list[str], make, limit: int = MEMO_ENTRIES) -> li
     return [made[k] if k in made else memo[k] for k in keys]
 
 
-def expand(codes: np.ndarray, starts: np.ndarray, per_piece: list) -> tuple[np.ndarray, np.ndarray]:
+def packed(ids) -> bytes:
+    """Ids as 32-bit integers in one bytes object, the cheapest form to keep many of."""
+    return array("i", ids).tobytes()
+
+
+def expand(codes: np.ndarray, starts: np.ndarray, per_piece: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and where each text's ids start (one more entry at the end)."""
-    lengths = np.fromiter(map(len, per_piece), np.int64, len(per_piece))
-    flat = np.concatenate([np.asarray(p, np.int32) for p in per_piece if len(p)] or [np.zeros(0, np.int32)])
+    lengths = np.fromiter(map(len, per_piece), np.int64, len(per_piece)) >> 2
+    flat = np.frombuffer(b"".join(per_piece), np.int32)
     first = np.cumsum(lengths) - lengths
     n = lengths[codes]
     ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(first[codes] - (ends - n), n) + np.arange(total, dtype=np.int64)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(first[codes] - (ends - n), n)
     bounds = np.concatenate(([0], ends))[starts]
     return flat[at], bounds
 
 
+#: A word of ASCII or Latin-1 letters, then at most one full stop or comma. Such letters are composed already, their
+#: lower case is settled, and the tokenizer's pattern cuts between the letters and the mark.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_OWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+BYTE_SYMBOLS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_OWN))}
+
+
+def plain_word(letters: str) -> str:
+    """The byte-level form of a word that ``PLAIN`` matched."""
+    word = letters.lower()
+    return word if word.isascii() else "".join(map(BYTE_SYMBOLS.__getitem__, word.encode()))
+
+
+class LibraryPieces:
+    """Packed ids of white-space free texts by the tokenizer's library; plain words go straight to its model."""
+
+    def __init__(self, tokenizer, name: str):
+        self.tokenizer, self.model, self.memo = tokenizer, tokenizer.model, worker_memo(f"pieces:{name}")
+        self.tails = {t: packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("", ".", ",")}
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        found = [PLAIN.fullmatch(p) for p in pieces]
+        keys = [m[1].lower() if m else p for m, p in zip(found, pieces, strict=True)]
+        distinct = list(dict.fromkeys(keys))
+        ids = dict(zip(distinct, memoised(self.memo, distinct, self._encode), strict=True))
+        return [ids[k] + self.tails[m[2]] if m else ids[k] for m, k in zip(found, keys, strict=True)]
+
+    def _encode(self, keys: list[str]) -> list[bytes]:
+        plain = [PLAIN.fullmatch(k) for k in keys]
+        rest = [k for k, m in zip(keys, plain, strict=True) if not m]
+        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        tokenize = self.model.tokenize
+        return [packed([t.id for t in tokenize(plain_word(m[1]))]) if m else packed(next(others).ids) for m in plain]
+
+
 def tokenizer_text(path: str) -> str:
     """The tokenizer file, read where the job is set up."""
     with open(path, encoding="utf-8") as f:
