@@ -177,7 +177,7 @@ class SuffixSort:
         same = self.hasher.spans(self.prefix, x, x + self.length) == self.hasher.spans(self.prefix, y, y + self.length)
         before[tie] = if_same[tie]
         tie, x, y = tie[~same], x[~same], y[~same]
-        at = self.extension(x, y)
+        at = np.minimum(self.extension(x, y), self.length - 1)
         before[tie] = self.data[x + at] < self.data[y + at]
         return before
 
