@@ -241,14 +241,12 @@ def sql_key(sql: Column) -> Column:
 
 
 def limit_to_rownum(sql: Column) -> Column:
-    """everything after the first LIMIT goes; its number caps a wrapped query."""
+    """everything after the first LIMIT outside literals goes; its number caps a wrapped query."""
     body = F.regexp_replace(strip(sql), r";\s*$", "")
-    number = F.regexp_extract(body, r"\bLIMIT\s+([0-9]+)", 1)
+    limit = r"(?s)^((?:[^'L]++|'[^']*+'|L)*?)\bLIMIT\s+([0-9]+)"
+    number = F.regexp_extract(body, limit, 2)
     return F.when(
-        number != "",
-        F.concat(
-            F.lit("SELECT * FROM ("), F.regexp_extract(body, r"(?s)^(.*?)LIMIT ", 1), F.lit(") WHERE ROWNUM <="), number
-        ),
+        number != "", F.concat(F.lit("SELECT * FROM ("), F.regexp_extract(body, limit, 1), F.lit(") WHERE ROWNUM <="), number)
     ).otherwise(body)
 
 
@@ -258,7 +256,7 @@ def qualify_tables(sql: Column, names: Column, owner: str) -> Column:
         names,
         sql,
         lambda text, name: F.regexp_replace(
-            text, F.concat(F.lit(r"(?i)(?<=[\s(,])("), name, F.lit(r")(?![\w.])")), F.lit(owner + ".$1")
+            text, F.concat(F.lit(r"(?i)(?<=[\s(,])(\Q"), name, F.lit(r"\E)(?![\w.$])")), F.lit(owner + ".$1")
         ),
     )
 

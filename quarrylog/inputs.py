@@ -120,9 +120,10 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables, a file or a folder of files, as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A pattern, since a plain path must be a folder; it matches that one name, whichever of the two it is.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def templates_per_window(log: DataFrame, ts: str, sql: str, size: str, slide: st
 
 
 def session_durations(events: DataFrame, user: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Length of each closed session of a user; rows later than the watermark are dropped."""
+    """Length of each session of a user; rows later than the watermark are dropped."""
     timed = events.select(user, F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
     sessions = timed.groupBy(user, F.session_window("ts", gap).alias("s")).agg(
         F.count("*").alias("n_events"), F.min("ts").alias("first"), F.max("ts").alias("last")
@@ -44,7 +44,8 @@ def run_available(spark: SparkSession, streamed: DataFrame, mode: str, keys: lis
 
     Append streams go to a parquet sink. Update streams write each batch to its
     own folder, so a batch that runs again replaces itself; the last value of
-    each key is read.
+    each key is read. Complete streams leave their last batch, with what the
+    watermark has not closed yet. A stream without any batch gives no rows.
     """
     out, state = new_shared_path(spark, "stream-out"), new_shared_path(spark, "stream-state")
     writer = streamed.writeStream.trigger(availableNow=True).option("checkpointLocation", state)
@@ -53,11 +54,18 @@ def run_available(spark: SparkSession, streamed: DataFrame, mode: str, keys: lis
         query.awaitTermination()
         return spark.read.schema(streamed.schema).parquet(out)
 
+    written = []
+
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written.append(batch_id)
 
-    query = writer.outputMode("update").foreachBatch(keep).start()
+    query = writer.outputMode(mode).foreachBatch(keep).start()
     query.awaitTermination()
+    if not written:
+        return spark.createDataFrame([], streamed.schema)
+    if mode == "complete":
+        return spark.read.parquet(f"{out}/batch={max(written)}")
     values = [c for c in streamed.columns if c not in keys]
     latest = F.max_by(F.struct(*values), "batch").alias("latest")
     return spark.read.parquet(out).groupBy(*keys).agg(latest).select(*keys, "latest.*")

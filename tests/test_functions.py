@@ -70,6 +70,9 @@ def test_annotate_ctes(spark):
 
 def test_rewrites(spark):
     assert sql(spark, sqltext.limit_to_rownum, "SELECT a FROM t LIMIT 5;") == "SELECT * FROM (SELECT a FROM t ) WHERE ROWNUM <=5"
+    assert sql(spark, sqltext.limit_to_rownum, "SELECT a FROM t WHERE b = 'LIMIT 3'\nLIMIT\n5") == "SELECT * FROM (SELECT a FROM t WHERE b = 'LIMIT 3'\n) WHERE ROWNUM <=5"
+    qualified = spark.sql("SELECT 'SELECT * FROM T$X, t' AS s").select(sqltext.qualify_tables(F.col("s"), F.array(F.lit("T$X")), "OWNER"))
+    assert qualified.first()[0] == "SELECT * FROM OWNER.T$X, t"
     owned = sqltext.qualify_tables(F.col("s"), F.array(F.lit("T")), "OWNER")
     assert one(spark, owned, s="SELECT t.a FROM t, tt WHERE t.a = 1") == "SELECT OWNER.t.a FROM OWNER.t, tt WHERE OWNER.t.a = 1".replace("OWNER.t.a", "t.a")
     assert sql(spark, sqltext.strip_fence, "```sql\nSELECT 1\n```") == "SELECT 1"

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import pytest
 from quarrylog.operators import prompts, validation
 from quarrylog.sources import files
 
@@ -90,3 +91,15 @@ def test_validation(spark):
     report = validation.roll_up(validation.record_violations(records, "id"), validation.missing_columns(records.select(F.col("id").alias("table"))))
     got = {(r["check"], r["problem"]): r["n_items"] for r in report.collect()}
     assert got == {("record", "sql"): 2, ("record", "question"): 1, ("schema", "missing column"): 3}
+
+
+@pytest.mark.parametrize("name", ["r2_stream_templates", "r3_stream_sessions", "r4_stream_first_seen"])
+def test_streams_read_folders_as_files(spark, sf, tmp_path, name):
+    """A table that is a folder of part files streams like the single file."""
+    import __spark_entry__
+
+    for table in ("orders", "events"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(4).write.parquet(str(tmp_path / f"{table}.parquet"))
+    run = __spark_entry__.queries()[name]
+    expected, got = (sorted(map(repr, run(spark, folder).collect())) for folder in (sf, str(tmp_path)))
+    assert got == expected and expected
