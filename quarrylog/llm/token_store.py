@@ -85,6 +85,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
                     row = [part, chunk, before, len(own), doc_ids[at:to], np.diff(bounds[at : to + 1]).tolist(), to_planes(own)]
                     yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row, strict=True))], schema=ARROW)
                     at, chunk, before = to, chunk + 1, before + len(own)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
-MEMO_ENTRIES = 400_000
+BLOCK_BYTES = 2 << 20
+MEMO_ENTRIES = 150_000
 
 
 class Pieces(NamedTuple):
