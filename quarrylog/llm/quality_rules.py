@@ -45,14 +45,34 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def _longer(hashes: Column, gap: int) -> Column:
+    """Hashes of each entry with the one ``gap`` later."""
+
+    def joined(h: Column) -> Column:
+        return F.zip_with(h, F.slice(h, gap + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+    # transform over a one-element array binds a value that is used twice
+    return F.get(F.transform(F.array(hashes), joined), F.lit(0))
+
+
+def _window_hashes(words: Column, n: int) -> Column:
+    """One hash per window of ``n`` words; there are at least ``n``."""
+    found, length = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while length < n:
+        gap = min(length, n - length)  # the last two halves overlap unless n is a power of two
+        found, length = _longer(found, gap), length + gap
+    return F.slice(found, 1, F.size(words) - n + 1)
+
+
 def repeated_window_words(words: Column, n: int = WINDOW) -> Column:
     """How many words stand in an ``n``-word window that the text holds twice or more.
 
-    ``words`` must be a plain column. Equal windows are neighbours once the
-    (window hash, position) pairs are sorted, so the cost is that of a sort.
+    ``words`` must be a plain column. A word is hashed once; window hashes grow
+    by doubling, so a window costs a few hashes of two numbers. Equal windows
+    are neighbours once the (window hash, position) pairs are sorted, so the
+    cost is that of a sort.
     """
-    at = F.sequence(F.lit(0), F.size(words) - n)
-    hashes = F.when(F.size(words) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(F.size(words) >= n, _window_hashes(words, n)).otherwise(F.array().cast("array<bigint>"))
 
     def covered(starts: Column) -> Column:
         """Union length of windows that begin at the sorted ``starts``."""
@@ -75,12 +95,12 @@ def repeated_window_words(words: Column, n: int = WINDOW) -> Column:
 def line_passes(line: Column, words: Column, rules: Rules) -> Column:
     """The three line rules; ``words`` is the line's number of words."""
     symbols = F.size(F.split(line, SYMBOLS, -1)) - 1
-    capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
-    letters = F.length(line) - F.length(F.regexp_replace(line, r"\p{L}", ""))
+    capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}+", ""))
+    letters = F.length(line) - F.length(F.regexp_replace(line, r"\p{L}+", ""))
     shouting = (words >= rules.min_open_line_words) & (capitals > letters * rules.max_line_shout_share)
     ends = line.rlike(r"[.!?:;…。\"'”’)\]][\x20\x09-\x0D]*$")
-    punctuation = (symbols <= F.length(line) * rules.max_line_symbol_share) & ~shouting & (ends | (words >= rules.min_open_line_words))
-    separators = F.size(F.split(line, r"\||»|›|•", -1)) - 1
+    punctuation = (symbols <= F.length(line) * rules.max_line_symbol_share) & ~shouting & ((words >= rules.min_open_line_words) | ends)
+    separators = F.size(F.split(line, "[|»›•]", -1)) - 1
     navigation = (separators >= rules.max_menu_separators) | line.rlike(rules.navigation)
     return punctuation & ~navigation & ~line.rlike(rules.boilerplate)
 
@@ -103,7 +123,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     figures = once(
         rows,
         n_words=F.size("_words").cast("long"),
-        word_chars=F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+        word_chars=F.length(F.array_join("_words", "")).cast("long"),
         n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         n_repeat_words=repeated_window_words(F.col("_words")).cast("long"),
         _judged=F.transform("_lines", judged),
