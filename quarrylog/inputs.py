@@ -56,6 +56,30 @@ SELECT l_orderkey % 50, 'pred',
   CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)
 FROM lineitem WHERE l_linenumber >= 2"""
 
+# Results of up to seven rows per order. The prediction loses some lines of returned goods; every other
+# query accepts a second gold without any of them; a 17th of the runs fails; some orders have no row on either side.
+SMALL_RESULTS_SQL = """SELECT l_orderkey AS query_id, 'gold' AS side, 0 AS gold_no, CAST(l_partkey AS STRING) AS c0, CAST(l_suppkey AS STRING) AS c1
+FROM lineitem WHERE l_quantity > 10
+UNION ALL SELECT l_orderkey, 'gold', 1, CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)
+FROM lineitem WHERE l_quantity > 10 AND l_returnflag <> 'R' AND l_orderkey % 2 = 0
+UNION ALL SELECT l_orderkey, 'pred', 0, CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)
+FROM lineitem WHERE l_quantity > 10 AND (l_returnflag <> 'R' OR l_linenumber = 1) AND l_orderkey % 17 <> 0"""
+SMALL_QUERIES_SQL = "SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_golds, o_orderkey % 17 = 0 AS failed FROM orders"
+
+# Long results per supplier: every third supplier's prediction has one column off by one; half of those accept that as a second gold.
+LARGE_RESULTS_SQL = """SELECT l_suppkey AS query_id, 'gold' AS side, 0 AS gold_no, CAST(l_orderkey AS STRING) AS c0, CAST(l_linenumber AS STRING) AS c1
+FROM lineitem
+UNION ALL SELECT l_suppkey, 'gold', 1, CAST(l_orderkey AS STRING), CAST(l_linenumber + 1 AS STRING)
+FROM lineitem WHERE l_suppkey % 6 = 0
+UNION ALL SELECT l_suppkey, 'pred', 0, CAST(l_orderkey AS STRING), CAST(l_linenumber + CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS STRING)
+FROM lineitem"""
+LARGE_QUERIES_SQL = "SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 6 = 0 THEN 2 ELSE 1 END AS n_golds, s_suppkey < 0 AS failed FROM supplier"
+
+# One status row per statement of the log: its last shape is no query, and some runs take too long.
+RUN_STATUS_SQL = """SELECT o_orderkey AS query_id,
+  CASE WHEN o_orderkey % 12 = 11 THEN 'not a query' WHEN o_orderkey % 17 = 0 THEN 'timeout' END AS error
+FROM orders"""
+
 NL_PAIRS_SQL = """SELECT u.conv_id, u.turn, u.text AS reference, a.text AS generated
 FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'"""
@@ -130,6 +154,20 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, RESULT_ROWS_SQL, "lineitem")
 
 
+def small_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Short results, and the queries they belong to."""
+    return _from_sql(spark, sf_dir, SMALL_RESULTS_SQL, "lineitem"), _from_sql(spark, sf_dir, SMALL_QUERIES_SQL, "orders")
+
+
+def large_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Long results, and the queries they belong to."""
+    return _from_sql(spark, sf_dir, LARGE_RESULTS_SQL, "lineitem"), _from_sql(spark, sf_dir, LARGE_QUERIES_SQL, "supplier")
+
+
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_sql(spark, sf_dir, RUN_STATUS_SQL, "orders")
+
+
 def nl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, NL_PAIRS_SQL, "conversations")
 

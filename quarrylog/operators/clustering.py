@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -14,6 +18,8 @@ from quarrylog.functions.text import ngrams
 from quarrylog.operators.joins import first_per_group, spread_join
 from quarrylog.session import cut_lineage
 
+PARALLEL_FITS = 8  # models fitted at the same time; the executors share their cores among them
+
 
 def with_features(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.withColumn("features", array_to_vector(vector))
@@ -30,11 +36,27 @@ def pca(features: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return reduced, variance.withColumn("cumulative", F.sum("share").over(window))
 
 
-def kmeans(features: DataFrame, k: int, restarts: int = 1, seed: int = 1) -> DataFrame:
-    """M2/M4: labels of the cheapest of ``restarts`` runs (k-means|| start)."""
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(features) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(features)
+def _at_once(task: Callable, inputs: list) -> list:
+    """``task`` of every input, a few Spark jobs at a time; only models and scores come back."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(inheritable_thread_target(task), inputs, chunksize=1)
+
+
+def _cheapest(features: DataFrame, ks: list[int], restarts: int, seed: int) -> list[KMeansModel]:
+    """For each number of clusters the cheapest of ``restarts`` runs (k-means|| start)."""
+
+    def fit(run: tuple[int, int]) -> KMeansModel:
+        return KMeans(k=run[0], seed=seed + run[1], featuresCol="features", predictionCol="cluster").fit(features)
+
+    models = _at_once(fit, [(k, start) for k in ks for start in range(restarts)])
+    runs = [models[i : i + restarts] for i in range(0, len(models), restarts)]
+    return [min(run, key=lambda m: m.summary.trainingCost) for run in runs]
+
+
+def kmeans(features: DataFrame, k: int, restarts: int = 10, seed: int = 1) -> DataFrame:
+    """M2/M4: labels of the cheapest of ``restarts`` runs."""
+    stored = cut_lineage(features)
+    return _cheapest(stored, [k], restarts, seed)[0].transform(stored)
 
 
 def silhouette(labelled: DataFrame) -> float:
@@ -42,11 +64,12 @@ def silhouette(labelled: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
 
 
-def kmeans_sweep(features: DataFrame, ks: list[int], restarts: int = 1, seed: int = 1) -> DataFrame:
+def kmeans_sweep(features: DataFrame, ks: list[int], restarts: int = 10, seed: int = 1) -> DataFrame:
     """M2/M3: silhouette for each number of clusters."""
     stored = cut_lineage(features)
-    scores = [(k, silhouette(kmeans(stored, k, restarts, seed))) for k in ks]
-    return features.sparkSession.createDataFrame(scores, "k int, silhouette double")
+    models = _cheapest(stored, ks, restarts, seed)
+    scores = _at_once(lambda model: silhouette(model.transform(stored)), models)
+    return features.sparkSession.createDataFrame(list(zip(ks, scores, strict=True)), "k int, silhouette double")
 
 
 def tfidf(
@@ -63,7 +86,8 @@ def tfidf(
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("docs"))
     df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df")).join(sizes, cluster)
     kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("docs")))
-    idf = kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # One row per term; the join below reads it three times.
+    idf = cut_lineage(kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
     weighted = spread_join(tf, idf, [cluster, "term"], [key], n="df").select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     # A document's terms are few next to the corpus; the window saves making the weights twice.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cluster, key)))
@@ -154,7 +178,7 @@ def _alike(a: str, b: str, threshold: float) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > threshold
 
 
-def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8, max_rounds: int = 1000) -> DataFrame:
+def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8) -> DataFrame:
     """V5: queries that no earlier leader resembles (token overlap above ``threshold``), in key order.
 
     Two token sets that overlap that much share a token of each other's prefix:
@@ -164,7 +188,8 @@ def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8,
     their tokens and resemble no earlier head; what resembles a new leader is
     dropped. A token group hands its members at most ``HEADS`` leaders per
     round, so its pairs are never formed and a hot token is cut to its heads
-    before it is shuffled. The outcome equals one sequential scan.
+    before it is shuffled. The outcome equals one sequential scan. The first
+    undecided query heads all its groups, so every round decides some.
     """
     tokens = log.select(key, F.array_sort(F.array_distinct(F.split(sql, " "))).alias("tokens"))
     # Equal token sets resemble each other, so only the first of each set can lead.
@@ -185,7 +210,7 @@ def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8,
     prefix = F.slice(by_rarity, F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
     undecided = cut_lineage(weighted.select(key, "tokens", prefix.alias("prefix")))
     leaders = None
-    for _ in range(max_rounds):
+    while True:
         rows = undecided.select(key, "tokens", "prefix", F.explode("prefix").alias("token"))
         sizes = rows.groupBy("token").agg(F.count("*").alias("n"))
         heads = cut_lineage(first_per_group(rows, ["token"], [key], HEADS, "_pos").drop("_pos"))
@@ -205,4 +230,3 @@ def leader_templates(log: DataFrame, key: str, sql: str, threshold: float = 0.8,
         undecided = cut_lineage(rest)
         if undecided.isEmpty():
             return leaders
-    raise RuntimeError(f"queries are still undecided after {max_rounds} rounds")

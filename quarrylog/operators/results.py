@@ -190,52 +190,107 @@ def entry_and_output_accuracy(rows: DataFrame, queries: DataFrame | None = None)
     )
 
 
-def compare_results(rows: DataFrame) -> DataFrame:
-    """E13-E16 per query: sizes, and the verdict of the test that fits the size.
+def _counted(rows: DataFrame) -> DataFrame:
+    """Per (query, number): size, distinct rows, and how they meet the prediction; number -1 is the prediction itself."""
+    number = F.when(is_gold(), F.col("gold_no")).otherwise(-1)
+    copies = rows.groupBy("query_id", "values", number.alias("number")).agg(F.count("*").alias("n"))
+    # One entry per gold that holds the row: as long as a query has golds, however often a row repeats.
+    held = copies.groupBy("query_id", "values").agg(F.map_from_entries(F.collect_list(F.struct("number", "n"))).alias("held"))
+    in_pred = F.coalesce(F.try_element_at("held", F.lit(-1)), F.lit(0))
+    each = held.select("query_id", "values", in_pred.alias("in_pred"), F.explode("held").alias("number", "n"))
+    return each.groupBy("query_id", "number").agg(
+        F.sum("n").alias("size"),
+        F.count("*").alias("n_distinct"),
+        F.count_if(F.col("in_pred") == 0).alias("missing"),
+        F.count_if(F.col("in_pred") != F.col("n")).alias("differ"),
+        F.max(F.struct(F.get("values", F.lit(0)).alias("v"))).alias("cell"),
+    )
+
+
+def compare_results(rows: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """E13-E16 per query and alternative gold: sizes, and the verdict of the test that fits the size.
+
+    Both empty: right. One row: its first cell must agree. Up to 10: every gold
+    row must be in the prediction. More: both sides must hold the same rows
+    equally often. A failed run has no size and is wrong.
 
-    One row: its first cell must agree. Up to 10: every gold row must be in the
-    prediction. More: both sides must hold the same rows equally often.
+    ``rows`` may number several golds of a query from 0 in ``gold_no``.
+    ``queries`` is ``(query_id, n_golds, failed)``; queries without any row are
+    compared too. By default every query that has rows ran.
     """
-    cell = F.struct(F.col("values")[0].alias("v"))
-    counts = row_presence(rows).groupBy("query_id").agg(
-        F.sum("in_gold").alias("gold_size"),
-        F.sum("in_pred").alias("pred_size"),
-        F.count_if((F.col("in_gold") > 0) & (F.col("in_pred") == 0)).alias("missing"),
-        F.count_if(F.col("in_gold") != F.col("in_pred")).alias("unequal"),
-        F.max(F.when(F.col("in_gold") > 0, cell)).alias("gold_cell"),
-        F.max(F.when(F.col("in_pred") > 0, cell)).alias("pred_cell"),
-    )
-    size = F.col("pred_size")
+    if "gold_no" not in rows.columns:
+        rows = rows.withColumn("gold_no", F.lit(0))
+    if queries is None:
+        last = F.max(F.when(is_gold(), F.col("gold_no")))
+        queries = rows.groupBy("query_id").agg(F.coalesce(last + 1, F.lit(1)).alias("n_golds"), F.lit(False).alias("failed"))
+    counted = _counted(rows)
+    gold = counted.where("number >= 0").select(
+        "query_id", F.col("number").alias("gold_no"), F.col("size").alias("gold_size"), F.col("cell").alias("gold_cell"),
+        "missing", "differ", (F.col("n_distinct") - F.col("missing")).alias("shared"),
+    )
+    pred = counted.where("number = -1").select(
+        "query_id", F.col("size").alias("_size"), F.col("n_distinct").alias("_distinct"), F.col("cell").alias("pred_cell")
+    )
+    asked = queries.select("query_id", "failed", F.explode(F.sequence(F.lit(0), F.col("n_golds") - 1)).alias("gold_no"))
+    both = asked.join(gold, ["query_id", "gold_no"], "left").join(pred, "query_id", "left")
+    both = both.na.fill(0, ["gold_size", "missing", "differ", "shared", "_size", "_distinct"])
+    size = F.col("_size")
+    unequal = F.col("differ") + F.col("_distinct") - F.col("shared")
     verdict = (
-        F.when(F.col("gold_size") != size, False)
+        F.when(F.col("failed") | (F.col("gold_size") != size), False)
+        .when(size == 0, True)
         .when(size == 1, F.col("gold_cell").eqNullSafe(F.col("pred_cell")))
         .when(size <= 10, F.col("missing") == 0)
-        .otherwise(F.col("unequal") == 0)
+        .otherwise(unequal == 0)
+    )
+    return both.select(
+        "query_id", "gold_no", "failed", "gold_size", F.when(~F.col("failed"), size).alias("pred_size"),
+        "missing", unequal.alias("unequal"), verdict.alias("correct"),
     )
-    return counts.select("query_id", "gold_size", "pred_size", "missing", "unequal", verdict.alias("correct"))
+
+
+def best_comparison(compared: DataFrame) -> DataFrame:
+    """One row per query: any of its golds may agree in size and be matched."""
+    same = F.coalesce(F.col("gold_size") == F.col("pred_size"), F.lit(False))
+    return compared.groupBy("query_id").agg(
+        F.bool_or("failed").alias("failed"),
+        F.max("pred_size").alias("pred_size"),
+        F.bool_or(same).alias("same_size"),
+        F.bool_or("correct").alias("correct"),
+        F.bool_or(F.col("correct") & (F.col("gold_no") == 0)).alias("by_first_gold"),
+    )
+
+
+def output_sizes(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows of the first gold and of the prediction; a failed run has no size."""
+    sizes = rows.groupBy("query_id").agg(
+        F.count_if(is_gold() & (F.col("gold_no") == 0)).alias("gold_size"), F.count_if(~is_gold()).alias("pred_size")
+    )
+    every = queries.select("query_id", "failed").join(sizes, "query_id", "left").na.fill(0, ["gold_size", "pred_size"])
+    return every.select("query_id", "gold_size", F.when(~F.col("failed"), F.col("pred_size")).alias("pred_size"))
 
 
 def size_report(compared: DataFrame) -> DataFrame:
     """Queries by size class and how many of each are correct."""
-    same = F.col("gold_size") == F.col("pred_size")
-    size = F.col("pred_size")
-    classes = {
-        "one": same & (size == 1),
-        "small": same & (size > 1) & (size <= 10),
-        "empty": same & (size == 0),
-        "large": same & (size > 10),
-    }
-    return compared.agg(
+    size, same = F.col("pred_size"), F.col("same_size")
+    classes = {"one": size == 1, "small": (size > 1) & (size <= 10), "empty": size == 0, "large": size > 10}
+    return best_comparison(compared).agg(
         F.count("*").alias("total"),
-        F.count_if(~same).alias("wrong_size"),
+        F.count_if("failed").alias("failed"),
+        F.count_if(~F.col("failed") & ~same).alias("wrong_size"),
         F.count_if(same & (size > 0)).alias("same_size"),
-        F.count_if((size == 0) & (F.col("gold_size") > 0)).alias("failed"),
-        *[F.count_if(c).alias(f"n_{n}") for n, c in classes.items()],
-        *[F.count_if(c & F.col("correct")).alias(f"correct_{n}") for n, c in classes.items()],
+        *[F.count_if(same & c).alias(f"n_{n}") for n, c in classes.items()],
+        *[F.count_if(F.col("correct") & c).alias(f"correct_{n}") for n, c in classes.items()],
         F.count_if("correct").alias("correct"),
+        F.count_if(F.col("correct") & ~F.col("by_first_gold")).alias("correct_by_other_gold"),
     )
 
 
+def error_percentage(status: DataFrame) -> DataFrame:
+    """Share of statements with an ``error``, in percent; null without statements."""
+    return status.agg(F.try_divide(F.count("error") * 100.0, F.count("*")).alias("error_percentage"))
+
+
 def best_of_golds(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Per candidate the best value of each metric over its alternative golds.
 

@@ -17,16 +17,16 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m1_explained_variance")
 def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1, W10."""
-    _, variance = ops.pca(features(spark, sf_dir), 53)
+    """All components."""
+    _, variance = ops.pca(features(spark, sf_dir), 64)
     return variance.select("k", F.round("share", 6).alias("share"), F.round("cumulative", 6).alias("cumulative"))
 
 
 @query("m2_silhouette_sweep")
 def silhouette_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2, M3 on the reduced vectors."""
+    """M2, M3 on the reduced vectors: every number of clusters, the best of ten starts each."""
     reduced, _ = ops.pca(features(spark, sf_dir), 53)
-    swept = ops.kmeans_sweep(reduced, list(range(2, 21, 3)))
+    swept = ops.kmeans_sweep(reduced, list(range(2, 21)))
     return swept.select("k", F.round("silhouette", 6).alias("silhouette"))
 
 

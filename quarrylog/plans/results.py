@@ -1,4 +1,4 @@
-"""Result-set comparison and workload runs."""
+"""Result-set comparison and the outcome of workload runs."""
 
 from __future__ import annotations
 
@@ -6,45 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
-from quarrylog.inputs import RESULT_ROWS_SQL, query_log, result_rows, table
-from quarrylog.operators import execution, results, scoring, templates
+from quarrylog.inputs import (
+    LARGE_QUERIES_SQL, LARGE_RESULTS_SQL, RESULT_ROWS_SQL, RUN_STATUS_SQL, SMALL_QUERIES_SQL, SMALL_RESULTS_SQL,
+    large_results, query_log, result_rows, run_status, small_results,
+)
+from quarrylog.operators import results, scoring
 from quarrylog.plans.scoring import SETS
 from quarrylog.registry import query
 
 RR = o.with_(result_rows=RESULT_ROWS_SQL)
-TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_rows(spark, sf_dir).select("query_id", "side", F.array("c0", "c1", "c2").alias("values"))
 
 
-# Results of one to seven rows per order: the prediction loses some lines of returned goods.
-_SMALL = """SELECT l_orderkey AS query_id, 'gold' AS side, CAST(l_partkey AS VARCHAR) AS c0, CAST(l_suppkey AS VARCHAR) AS c1 FROM lineitem
-  UNION ALL SELECT l_orderkey, 'pred', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR) FROM lineitem
-  WHERE l_returnflag <> 'R' OR l_linenumber = 1"""
-# Long results per supplier: every third supplier's prediction has one column off by one.
-_LARGE = """SELECT l_suppkey AS query_id, 'gold' AS side, CAST(l_orderkey AS VARCHAR) AS c0, CAST(l_linenumber AS VARCHAR) AS c1 FROM lineitem
-  UNION ALL SELECT l_suppkey, 'pred', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber + CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) FROM lineitem"""
+def _cells(found: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    found, asked = found
+    return found.select("query_id", "side", "gold_no", F.array("c0", "c1").alias("values")), asked
 
 
-def _sides(gold: DataFrame, pred: DataFrame, key: str, cells: list) -> DataFrame:
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key).alias("query_id"), F.lit(name).alias("side"), F.array(*[c.cast("string") for c in cells]).alias("values"))
-
-    return side(gold, "gold").unionByName(side(pred, "pred"))
-
-
-def small_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    kept = lines.where("l_returnflag <> 'R' OR l_linenumber = 1")
-    return _sides(lines, kept, "l_orderkey", [F.col("l_partkey"), F.col("l_suppkey")])
-
-
-def large_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    shifted = lines.withColumn("l_linenumber", F.col("l_linenumber") + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0))
-    return _sides(lines, shifted, "l_suppkey", [F.col("l_orderkey"), F.col("l_linenumber")])
+def compared_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.compare_results(*_cells(small_results(spark, sf_dir)))
 
 
 _PRESENCE = ", p AS (SELECT query_id, c0, c1, c2, count(*) FILTER (side = 'gold') AS g, count(*) FILTER (side = 'pred') AS r FROM result_rows GROUP BY ALL)"
@@ -141,77 +124,70 @@ def best_of_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("query_id", "accuracy", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def _compared(name: str, sql: str) -> str:
-    return o.with_(**{name: sql}) + f""", p AS (SELECT query_id, c0, c1, count(*) FILTER (side = 'gold') AS g, count(*) FILTER (side = 'pred') AS r FROM {name} GROUP BY ALL),
- s AS (SELECT query_id, CAST(sum(g) AS BIGINT) AS gold_size, CAST(sum(r) AS BIGINT) AS pred_size, count(*) FILTER (g > 0 AND r = 0) AS missing,
-   count(*) FILTER (g <> r) AS unequal, max(c0) FILTER (g > 0) AS gc, max(c0) FILTER (r > 0) AS pc FROM p GROUP BY query_id),
- x AS (SELECT *, CASE WHEN gold_size <> pred_size THEN false WHEN pred_size = 1 THEN gc = pc WHEN pred_size <= 10 THEN missing = 0 ELSE unequal = 0 END AS correct FROM s)
+def _compared(found: str, asked: str) -> str:
+    return o.with_(found=found, asked=asked) + """, g AS (SELECT query_id, gold_no, c0, c1, count(*) AS n FROM found WHERE side = 'gold' GROUP BY ALL),
+ a AS (SELECT query_id, failed, unnest(range(n_golds)) AS gold_no FROM asked),
+ p AS (SELECT query_id, c0, c1, count(*) AS n FROM found WHERE side = 'pred' GROUP BY ALL),
+ q AS (SELECT query_id, gold_no, c0, c1, n FROM a JOIN p USING (query_id)),
+ m AS (SELECT query_id, gold_no, c0, c1, coalesce(g.n, 0) AS gn, coalesce(q.n, 0) AS pn FROM g FULL JOIN q USING (query_id, gold_no, c0, c1)),
+ s AS (SELECT a.query_id, a.gold_no, a.failed, CAST(coalesce(sum(gn), 0) AS BIGINT) AS gold_size, CAST(coalesce(sum(pn), 0) AS BIGINT) AS n_pred,
+   count(*) FILTER (gn > 0 AND pn = 0) AS missing, count(*) FILTER (gn <> pn) AS unequal, max(c0) FILTER (gn > 0) AS gc, max(c0) FILTER (pn > 0) AS pc
+   FROM a LEFT JOIN m ON a.query_id = m.query_id AND a.gold_no = m.gold_no GROUP BY a.query_id, a.gold_no, a.failed),
+ x AS (SELECT query_id, CAST(gold_no AS BIGINT) AS gold_no, failed, gold_size, CASE WHEN NOT failed THEN n_pred END AS pred_size, missing, unequal,
+   CASE WHEN failed OR gold_size <> n_pred THEN false WHEN n_pred = 0 THEN true WHEN n_pred = 1 THEN gc = pc
+     WHEN n_pred <= 10 THEN missing = 0 ELSE unequal = 0 END AS correct FROM s),
+ y AS (SELECT query_id, bool_or(failed) AS failed, max(pred_size) AS pred_size, bool_or(coalesce(gold_size = pred_size, false)) AS same_size,
+   bool_or(correct) AS correct, bool_or(correct AND gold_no = 0) AS by_first_gold FROM x GROUP BY query_id)
 """
 
 
-@query("e13_size_gate", _compared("small", _SMALL) + "SELECT query_id, gold_size = pred_size AS same_size FROM x")
+_SMALL = _compared(SMALL_RESULTS_SQL, SMALL_QUERIES_SQL)
+
+
+@query("e13_size_gate", _SMALL + "SELECT query_id, failed, same_size FROM y")
 def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = results.compare_results(small_results(spark, sf_dir))
-    return compared.select("query_id", (F.col("gold_size") == F.col("pred_size")).alias("same_size"))
+    return results.best_comparison(compared_small(spark, sf_dir)).select("query_id", "failed", "same_size")
 
 
-@query("e14_one_value", _compared("small", _SMALL) + "SELECT query_id, correct FROM x WHERE gold_size = 1 AND pred_size = 1")
+@query("e14_one_value", _SMALL + "SELECT query_id, correct, by_first_gold FROM y WHERE same_size AND pred_size = 1")
 def one_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = results.compare_results(small_results(spark, sf_dir))
-    return compared.where("gold_size = 1 AND pred_size = 1").select("query_id", "correct")
+    best = results.best_comparison(compared_small(spark, sf_dir))
+    return best.where("same_size AND pred_size = 1").select("query_id", "correct", "by_first_gold")
 
 
-@query("e15_small_results", _compared("small", _SMALL) + "SELECT query_id, gold_size, pred_size, missing, correct FROM x WHERE pred_size <= 10")
+@query("e15_small_results", _SMALL + "SELECT query_id, gold_no, gold_size, pred_size, missing, correct FROM x WHERE pred_size <= 10")
 def small_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = results.compare_results(small_results(spark, sf_dir))
-    return compared.where("pred_size <= 10").select("query_id", "gold_size", "pred_size", "missing", "correct")
+    kept = compared_small(spark, sf_dir).where("pred_size <= 10")
+    return kept.select("query_id", F.col("gold_no").cast("long").alias("gold_no"), "gold_size", "pred_size", "missing", "correct")
 
 
-@query("e16_large_results", _compared("large", _LARGE) + "SELECT query_id, gold_size, pred_size, unequal, correct FROM x WHERE pred_size > 10")
+@query(
+    "e16_large_results",
+    _compared(LARGE_RESULTS_SQL, LARGE_QUERIES_SQL) + "SELECT query_id, gold_no, gold_size, pred_size, unequal, correct FROM x WHERE pred_size > 10",
+)
 def large_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = results.compare_results(large_results(spark, sf_dir))
-    return compared.where("pred_size > 10").select("query_id", "gold_size", "pred_size", "unequal", "correct")
+    kept = results.compare_results(*_cells(large_results(spark, sf_dir))).where("pred_size > 10")
+    return kept.select("query_id", F.col("gold_no").cast("long").alias("gold_no"), "gold_size", "pred_size", "unequal", "correct")
 
 
-@query("a28_output_sizes", RR + "SELECT query_id, count(*) FILTER (side = 'gold') AS gold_size, count(*) FILTER (side = 'pred') AS pred_size FROM result_rows GROUP BY query_id")
+@query("a28_output_sizes", o.with_(found=SMALL_RESULTS_SQL, asked=SMALL_QUERIES_SQL) + """SELECT a.query_id, count(*) FILTER (side = 'gold' AND gold_no = 0) AS gold_size,
+  CASE WHEN NOT failed THEN count(*) FILTER (side = 'pred') END AS pred_size FROM asked a LEFT JOIN found USING (query_id) GROUP BY a.query_id, failed""")
 def output_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).groupBy("query_id").agg(
-        F.count_if(results.is_gold()).alias("gold_size"), F.count_if(~results.is_gold()).alias("pred_size")
-    )
+    return results.output_sizes(*_cells(small_results(spark, sf_dir)))
 
 
-@query("a29_size_report", _compared("small", _SMALL) + """SELECT count(*) AS total, count(*) FILTER (gold_size <> pred_size) AS wrong_size,
-  count(*) FILTER (gold_size = pred_size AND pred_size > 0) AS same_size, count(*) FILTER (pred_size = 0 AND gold_size > 0) AS failed,
-  count(*) FILTER (gold_size = pred_size AND pred_size = 1) AS n_one, count(*) FILTER (gold_size = pred_size AND pred_size BETWEEN 2 AND 10) AS n_small,
-  count(*) FILTER (gold_size = pred_size AND pred_size = 0) AS n_empty, count(*) FILTER (gold_size = pred_size AND pred_size > 10) AS n_large,
+@query("a29_size_report", _SMALL + """SELECT count(*) AS total, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT failed AND NOT same_size) AS wrong_size,
+  count(*) FILTER (same_size AND pred_size > 0) AS same_size,
+  count(*) FILTER (same_size AND pred_size = 1) AS n_one, count(*) FILTER (same_size AND pred_size BETWEEN 2 AND 10) AS n_small,
+  count(*) FILTER (same_size AND pred_size = 0) AS n_empty, count(*) FILTER (same_size AND pred_size > 10) AS n_large,
   count(*) FILTER (correct AND pred_size = 1) AS correct_one, count(*) FILTER (correct AND pred_size BETWEEN 2 AND 10) AS correct_small,
   count(*) FILTER (correct AND pred_size = 0) AS correct_empty, count(*) FILTER (correct AND pred_size > 10) AS correct_large,
-  count(*) FILTER (correct) AS correct FROM x""")
+  count(*) FILTER (correct) AS correct, count(*) FILTER (correct AND NOT by_first_gold) AS correct_by_other_gold FROM y""")
 def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.size_report(results.compare_results(small_results(spark, sf_dir)))
-
-
-def _template_heads(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
-    """One statement per template of the log: its first query."""
-    log = query_log(spark, sf_dir)
-    heads = templates.template_groups(log, "gold_sql", "query_id").select(F.col("first_query_id").alias("query_id"))
-    texts = log.select("query_id", "gold_sql").join(heads, "query_id").orderBy("query_id")
-    return [(r["query_id"], r["gold_sql"]) for r in texts.toLocalIterator()]
-
-
-def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: table(spark, sf_dir, name) for name in TABLE_NAMES}
-
-
-@query("q7_workload_rows")
-def workload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first query of every template, run over the whole tables."""
-    found, status = execution.run_workload(spark, _template_heads(spark, sf_dir), _frames(spark, sf_dir))
-    sizes = found.groupBy("query_id").agg(F.count("*").alias("n_rows"))
-    return status.join(sizes, "query_id", "left").select("query_id", "error", F.when(F.col("error").isNull(), F.coalesce("n_rows", F.lit(0))).alias("n_rows"))
+    return results.size_report(compared_small(spark, sf_dir))
 
 
-@query("a27_error_percentage")
+@query("a27_error_percentage", o.with_(status=RUN_STATUS_SQL) + "SELECT round(count(error) * 100.0 / count(*), 6) AS error_percentage FROM status")
 def error_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, status = execution.run_workload(spark, _template_heads(spark, sf_dir), _frames(spark, sf_dir))
-    return execution.error_percentage(status)
+    """Over the status of every statement of the log."""
+    return results.error_percentage(run_status(spark, sf_dir)).select(F.round("error_percentage", 6).alias("error_percentage"))

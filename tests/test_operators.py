@@ -82,6 +82,36 @@ def test_result_verdicts(spark):
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
 
 
+def test_compare_results_with_several_golds(spark):
+    rows = [(1, "gold", 0, ["a"]), (1, "gold", 1, ["b"]), (1, "pred", 0, ["b"])]  # the second gold matches
+    rows += [(2, "gold", 0, ["a"]), (2, "gold", 0, ["b"]), (2, "gold", 1, ["b"]), (2, "pred", 0, ["a"]), (2, "pred", 0, ["c"])]
+    rows += [(3, "gold", 0, ["a"])]  # the run failed
+    rows += [(5, "gold", 1, ["a"])]  # the first gold is empty, and so is the prediction
+    rows += [(6, "gold", 0, [str(i)]) for i in range(12)] + [(6, "gold", 1, [str(i % 6)]) for i in range(12)]
+    rows += [(6, "pred", 0, [str(i % 6)]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "query_id long, side string, gold_no int, values array<string>")
+    asked = [(1, 2, False), (2, 2, False), (3, 1, True), (4, 1, False), (5, 2, False), (6, 2, False)]
+    compared = results.compare_results(frame, spark.createDataFrame(asked, "query_id long, n_golds int, failed boolean"))
+    sizes = {(r["query_id"], r["gold_no"]): (r["gold_size"], r["pred_size"], r["missing"], r["unequal"]) for r in compared.collect()}
+    assert sizes == {
+        (1, 0): (1, 1, 1, 2), (1, 1): (1, 1, 0, 0), (2, 0): (2, 2, 1, 2), (2, 1): (1, 2, 1, 3), (3, 0): (1, None, 1, 1),
+        (4, 0): (0, 0, 0, 0), (5, 0): (0, 0, 0, 0), (5, 1): (1, 0, 1, 1), (6, 0): (12, 12, 6, 12), (6, 1): (12, 12, 0, 0),
+    }
+    best = {r["query_id"]: (r["same_size"], r["correct"], r["by_first_gold"]) for r in results.best_comparison(compared).collect()}
+    assert best == {
+        1: (True, True, False), 2: (True, False, False), 3: (False, False, False), 4: (True, True, True),
+        5: (True, True, True), 6: (True, True, False),
+    }
+    report = results.size_report(compared).first()
+    assert (report["total"], report["failed"], report["n_empty"], report["correct_empty"], report["correct_by_other_gold"]) == (6, 1, 2, 2, 2)
+
+
+def test_error_percentage(spark):
+    status = spark.createDataFrame([(1, None), (2, "timeout"), (3, None), (4, "no table")], "query_id long, error string")
+    assert results.error_percentage(status).first()[0] == 50.0
+    assert results.error_percentage(status.limit(0)).first()[0] is None
+
+
 def test_execution_scores_drop_repeats(spark):
     rows = [(1, "gold", ["a"]), (1, "gold", ["a"]), (1, "pred", ["a"]), (2, "gold", ["b"])]
     queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
