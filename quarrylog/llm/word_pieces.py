@@ -11,14 +11,16 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 20
 MEMO_ENTRIES = 150_000
+WHOLE_ENTRIES = 250_000
 
 
 class Pieces(NamedTuple):
@@ -55,14 +57,17 @@ def worker_memo(name: str) -> dict:
 
 def memoised(memo: dict, keys: list[str], make, limit: int = MEMO_ENTRIES) -> list:
     """``make(missing keys)`` beside what the memo holds; once full, the memo keeps what came first (the frequent keys)."""
-    missing = [k for k in keys if k not in memo]
+    out = list(map(memo.get, keys))
+    missing = [i for i, v in enumerate(out) if v is None]
     if not missing:
-        return [memo[k] for k in keys]
-    made = dict(zip(missing, make(missing), strict=True))
-    if len(memo) + len(made) <= limit:
-        memo.update(made)
-        return [memo[k] for k in keys]
-    return [made[k] if k in made else memo[k] for k in keys]
+        return out
+    absent = [keys[i] for i in missing]
+    made = make(absent)
+    for i, v in zip(missing, made, strict=True):
+        out[i] = v
+    if room := max(0, limit - len(memo)):
+        memo.update(islice(zip(absent, made), room))
+    return out
 
 
 def packed(ids) -> bytes:
@@ -103,8 +108,12 @@ class LibraryPieces:
     def __init__(self, tokenizer, name: str):
         self.tokenizer, self.model, self.memo = tokenizer, tokenizer.model, worker_memo(f"pieces:{name}")
         self.tails = {t: packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("", ".", ",")}
+        self.whole = worker_memo(f"whole:{name}")
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
+        return memoised(self.whole, pieces, self._of_stems, WHOLE_ENTRIES)
+
+    def _of_stems(self, pieces: list[str]) -> list[bytes]:
         found = [PLAIN.fullmatch(p) for p in pieces]
         keys = [m[1].lower() if m else p for m, p in zip(found, pieces, strict=True)]
         distinct = list(dict.fromkeys(keys))
