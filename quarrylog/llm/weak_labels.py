@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrylog.llm.quality_rules import DEFAULT as RULES, SYMBOLS, line_passes, words_of
 from quarrylog.operators.compute import once
+from quarrylog.session import cut_lineage
 
 GOOD, BAD, NOTHING = 1, 0, 2
 LABELLERS = ("symbols", "separators", "capitals", "repeats", "variety", "endings", "word_length", "doubled_marks", "failed_lines")
@@ -117,7 +118,8 @@ def posterior(prior: float, table: np.ndarray, names: tuple[str, ...] = LABELLER
 
 
 def features(voted: DataFrame) -> DataFrame:
-    """Words in lower case, word shapes (runs of capitals, small letters and digits as one mark each) and repeats."""
+    """``parts``: words in lower case, word shapes (runs of capitals, small letters and digits as one mark each) and repeats."""
+    voted = once(voted, words=words_of(F.col("text")))
     shape = F.col("text")
     for pattern, mark in ((r"\p{Lu}+", "\x01"), (r"\p{Ll}+", "\x02"), (r"\p{N}+", "\x03")):
         shape = F.regexp_replace(shape, pattern, mark)
@@ -128,7 +130,7 @@ def features(voted: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = DEFAULT) -> DataFrame:
     """``doc_id, posterior, score, kept`` of every row, and the votes."""
-    voted = votes(docs, id_col, text_col)
+    voted = cut_lineage(votes(docs, id_col, text_col).drop("words"))  # judged once, read for the patterns, the sample and the scores
     seen = voted.groupBy(*LABELLERS).count().collect()  # bounded: 3 ** len(LABELLERS) patterns at most
     if not seen:
         return voted.select("doc_id", *LABELLERS, F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
@@ -140,6 +142,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1
     sides = F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))
     sample = known.where(drawn).select("parts", F.explode(sides).alias("side")).select("parts", "side.*").where("weight > 0.001")
+    sample = cut_lineage(sample)  # the fit reads it more than once
     hashed = [HashingTF(inputCol="parts", outputCol="counts", numFeatures=config.buckets), Normalizer(inputCol="counts", outputCol="features")]
     linear = LogisticRegression(weightCol="weight", regParam=config.regularisation, maxIter=40, probabilityCol="chance")
     model = Pipeline(stages=[*hashed, linear]).fit(sample)
