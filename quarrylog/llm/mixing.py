@@ -2,13 +2,20 @@
 
 Token counts are summed per cell (one value of every dimension). Raking scales
 the cells until their sums over each dimension meet that dimension's target
-shares; a cell's ratio of fitted to present tokens, scaled so that the largest
-is 1, is the probability with which its documents are kept. The draw is a hash of
-the id, so a task that runs again draws the same.
+shares. A cell's ratio of fitted to present tokens, scaled so that the expected
+tokens of the result are a given share of those present, is its ``weight``. Above
+1 it calls for copies: a document is taken as often as the whole part says, and
+once more with a chance of the rest. Where copies are not wanted, weights are cut
+at 1 and the others raised until the share is met. So a tiny category is lifted
+and the others stay. The draw is a hash of the id, so a task that runs again
+draws the same.
+
+``probability`` and ``kept`` are the draw without copies that meets the targets
+exactly: ratios scaled so that the largest is 1. The rarest cell sets its size.
 
 Defined cases: a null in a dimension is a category of its own (``NONE``). A
-document without words weighs nothing and shares its cell's probability; a cell
-without any words gets probability 1. Repeated rows of an id share one draw. A
+document without words weighs nothing and shares its cell's weight; a cell
+without any words gets weight and probability 1. Repeated rows of an id share one draw. A
 null id draws as the empty string. An empty table gives an empty result. Extra
 columns are ignored.
 """
@@ -24,6 +31,8 @@ NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
 TOPICS = 6
+#: Share of the tokens that ``sample`` keeps.
+KEPT_SHARE = 0.6
 
 
 def topic_of(words: Column, topics: int = TOPICS) -> Column:
@@ -62,14 +71,36 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(2**48)
 
 
+def scale(ratios: DataFrame, share: float, repeats: bool) -> float:
+    """What turns the ratios (``tokens, fitted, ratio``) into weights with ``share`` of all tokens.
+
+    Without repeats a weight counts as 1 at most. Each pass reads the cells and
+    raises the scale for what the cells found at 1 leave open; their number only
+    grows, and the scale is right when it stays.
+    """
+    sums = ratios.agg(F.sum("tokens"), F.sum("fitted")).first()
+    budget, by = share * (sums[0] or 0), 1.0
+    if sums[1]:
+        by = budget / sums[1]
+    before = 0
+    while not repeats:
+        whole = F.col("ratio") * by >= 1
+        full, rest, n = ratios.where("ratio is not null").agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("fitted"))), F.count_if(whole)).first()
+        if n == before or not rest:
+            break
+        by, before = max(by, (budget - full) / rest), n
+    return by
+
+
 def mix(
     docs: DataFrame, id_col: str, tokens: str, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, DataFrame] | None = None,
-    power: float = 0.7, rounds: int = ROUNDS, seed: int = 17,
+    power: float = 0.7, rounds: int = ROUNDS, seed: int = 17, share: float = 1.0, repeats: bool = True,
 ) -> DataFrame:
-    """One row per input row: id, tokens, dimensions, ``probability`` and ``kept``.
+    """One row per input row: id, tokens, dimensions, ``probability``, ``kept``, ``weight`` and ``copies``.
 
     ``targets`` maps dimensions to ``(value, share)`` frames; a dimension without
     one gets smoothed shares. Values that a target leaves out are not sampled.
+    ``copies`` of all rows hold about ``share`` of the tokens; without ``repeats`` there is one at most.
     """
     packed = [F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in dimensions]
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens"), *packed))
@@ -80,16 +111,20 @@ def mix(
     fitted = rake(cells, goals, rounds)
     ratio = fitted.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")))
     top = ratio.agg(F.max("ratio")).scalar()
-    chances = ratio.select(*keys, "n_docs", F.coalesce(F.col("ratio") / top, F.lit(1.0)).alias("probability"))
+    weight = F.col("ratio") * scale(ratio, share, repeats)
+    weight = weight if repeats else F.least(weight, F.lit(1.0))
+    chances = ratio.select(*keys, "n_docs", F.coalesce(F.col("ratio") / top, F.lit(1.0)).alias("probability"), F.coalesce(weight, F.lit(1.0)).alias("weight"))
     out = spread_join(rows, chances, keys, ["id"], n="n_docs")
-    return out.select("id", "tokens", *keys, "probability", (uniform(F.col("id"), seed) < F.col("probability")).alias("kept"))
+    drawn = uniform(F.col("id"), seed)
+    copies = F.floor("weight") + (drawn < F.col("weight") - F.floor("weight")).cast("long")
+    return out.select("id", "tokens", *keys, "probability", (drawn < F.col("probability")).alias("kept"), "weight", copies.alias("copies"))
 
 
-def sample(docs: DataFrame, id_col: str, tokens: Column, topic: Column, source: str = "source", lang: str = "lang", seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that the mix keeps, unchanged."""
+def sample(docs: DataFrame, id_col: str, tokens: Column, topic: Column, source: str = "source", lang: str = "lang", seed: int = 17, share: float = KEPT_SHARE) -> DataFrame:
+    """The rows of ``docs`` that a mix without repeats keeps, unchanged: about ``share`` of the tokens."""
     facts = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), F.col(source).alias("source"), F.col(lang).alias("lang"), topic.alias("topic"))
-    kept = mix(facts, "id", "tokens", seed=seed)
-    kept = kept.where("kept").select(F.col("id").alias("keep"), *[F.col(d).alias(f"keep_{d}") for d in DIMENSIONS]).distinct()
+    kept = mix(facts, "id", "tokens", seed=seed, share=share, repeats=False)
+    kept = kept.where("copies > 0").select(F.col("id").alias("keep"), *[F.col(d).alias(f"keep_{d}") for d in DIMENSIONS]).distinct()
     here = [F.coalesce(F.col(source), F.lit(NONE)), F.coalesce(F.col(lang), F.lit(NONE)), F.coalesce(topic, F.lit(NONE))]
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), *[c.cast("string").alias(d) for c, d in zip(here, DIMENSIONS, strict=True)])
     same = F.col("id").eqNullSafe(F.col("keep"))

@@ -89,7 +89,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = quality_rules.words_of(F.col("text"))
     facts = docs.select("doc_id", "source", "lang", words.alias("words")).select("doc_id", "source", "lang", F.size("words").alias("n_tokens"), mixing.topic_of(F.col("words")).alias("topic"))
     mixed = mixing.mix(facts, "doc_id", "n_tokens")
-    return mixed.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *mixing.DIMENSIONS, F.round("probability", 6).alias("probability"), "kept")
+    return mixed.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *mixing.DIMENSIONS, F.round("probability", 6).alias("probability"), "kept", F.round("weight", 6).alias("weight"), "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

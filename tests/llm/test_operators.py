@@ -247,6 +247,27 @@ def test_raking_meets_the_targets(spark):
     assert sum(r.kept for r in got) == pytest.approx(sum(r.probability for r in got), rel=0.1)
 
 
+def test_one_rare_document_leaves_the_others(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice("aaab"), rng.choice("xxy"), rng.choice("pq"), rng.randrange(1, 90)) for k in range(2000)] + [(2000, None, "z", "p", 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n long")
+    total = sum(r[-1] for r in rows)
+    got = mixing.mix(docs, "doc_id", "n").collect()
+    assert len(got) == len(rows) and sum(r.tokens * r.copies for r in got) == pytest.approx(total, rel=0.05)
+    assert sum(r.copies > 0 for r in got) > 0.8 * len(rows)
+    assert next(r.copies for r in got if r.id == 2000) > 1
+    raised = Counter()
+    for r in rows:
+        raised[r[1]] += r[-1]
+    raised = {k: n**0.7 for k, n in raised.items()}
+    for source in "ab":
+        now = sum(r.tokens * r.weight for r in got if r.source == source) / total
+        assert now == pytest.approx(raised[source] / sum(raised.values()), abs=1e-3)
+    left = mixing.sample(docs, "doc_id", F.col("n"), F.col("topic")).collect()
+    assert len(set(left)) == len(left) and set(left) <= set(docs.collect()) and 2000 in {r.doc_id for r in left}
+    assert sum(r.n for r in left) == pytest.approx(mixing.KEPT_SHARE * total, rel=0.05)
+
+
 def test_weak_labels_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = weak_labels.classify(docs).join(labels, "doc_id").collect()
