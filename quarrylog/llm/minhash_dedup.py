@@ -8,10 +8,15 @@ its members to a leader and branches again, unless all its members are
 connected, or all but a few, which are then compared with the whole node. What
 is still together after a few levels is dense: such a node, if it fits a task
 (a stated number of members and shingles), is compared exhaustively there,
-leaving out pairs that are connected by then; a larger one branches on. The
-independent trees together reach a recall above 0.999 at the threshold. What
+leaving out pairs that are connected by then; a larger one branches on. What
 meets is sieved by size and signature and confirmed on the full sets.
 
+A tree parts a pair at the threshold the sooner or later the deeper it goes, so
+the recall of the trees falls with the depth they reach (``tree_recall``). Where
+nodes branched on below the dense levels, their members go through further
+rounds of trees, each with signatures of its own, until the rounds together
+reach ``target_recall`` at the depths they reached.
+
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing. A text of fewer words than a shingle has its whole
 sequence as its only shingle. A null id never becomes a component's id unless
@@ -23,7 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +57,7 @@ class Config:
     dense_shingles: int = 4_000_000
     max_depth: int = 40
     signature_slack: float = 3.5
+    target_recall: float = 0.999
     seed: int = 5
 
 
@@ -160,6 +167,37 @@ def least_agreement(config: Config) -> int:
     return int((share - config.signature_slack * (share * (1 - share) / config.coordinates) ** 0.5) * config.coordinates)
 
 
+def tree_recall(config: Config, depth: int) -> float:
+    """Chance that a round of trees holds a pair at the threshold together down to ``depth`` and the sieve lets it through.
+
+    The trees share one signature, so the chance is averaged over the number of
+    coordinates that a pair at the threshold agrees on.
+    """
+    share, extra, n = config.percent / 100, 100 / config.percent - 1, config.coordinates
+    found = 0.0
+    for k in range(least_agreement(config), n + 1):
+        parted = 0.0
+        for _ in range(depth):
+            one = 1 - k / n + k / n * parted
+            parted = (1 - extra) * one + extra * one * one
+        found += comb(n, k) * share**k * (1 - share) ** (n - k) * (1 - parted**config.trees)
+    return found
+
+
+def _signed_anew(classes: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
+    """``cid, n, sig`` of ``classes`` with the signatures of ``config.seed``."""
+
+    def run(batches):
+        factors = _factors(config)
+        for batch in batches:
+            sig = [signature(items.values.to_numpy().view(np.uint64), factors) for items in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int32()))], names=["cid", "sig"])
+
+    wanted = sets.select("cid", "items").join(classes.select("cid"), "cid", "left_semi")
+    signed = wanted.mapInArrow(run, "cid binary, sig array<int>").dropDuplicates(["cid"])
+    return cut_lineage(classes.select("cid", "n").join(signed, "cid"))
+
+
 def _sieved(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
     """Distinct pairs whose sizes and signatures allow the threshold."""
     facts = classes.select("cid", "n", "sig")
@@ -252,9 +290,21 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
     """``(node, component)`` of the set classes (``cid, n, sig, k1, k2``) that confirmed links connect."""
+    known, sets, late, depth = _round(classes, texts, config)
+    missed = 1 - tree_recall(config, depth)
+    while late is not None and missed > 1 - config.target_recall:
+        config = replace(config, seed=config.seed + 1)
+        classes = _signed_anew(classes.join(late, "cid", "left_semi"), sets, config)
+        known, sets, late, depth = _round(classes, texts, config, known, sets)
+        missed *= 1 - tree_recall(config, depth)
+    return known
+
+
+def _round(classes: DataFrame, texts: DataFrame, config: Config, known: DataFrame | None = None, sets: DataFrame | None = None):
+    """One round of trees: links known after it, full sets, members of nodes that branched on below the dense levels (or None), depth reached."""
+    late = None
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, chosen in enumerate(_roots(config)) for c in chosen])
     active = classes.select("cid", F.explode(roots).alias("path"))
-    sets = known = None
     for depth in range(1, config.max_depth + 1):
         nodes = active.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         live = active.join(nodes, "path")
@@ -302,8 +352,10 @@ def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
             known = components(new.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if large.isEmpty():
             break
+        if depth == config.dense_depth:
+            late = cut_lineage(large.select("cid").distinct())  # later nodes are parts of these
         active = large.join(classes.select("cid", "sig"), "cid").select("cid", _children(config).alias("path"))
-    return known
+    return known, sets, late, depth
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = CONTRACT) -> DataFrame:

@@ -268,6 +268,31 @@ def test_one_rare_document_leaves_the_others(spark):
     assert sum(r.n for r in left) == pytest.approx(mixing.KEPT_SHARE * total, rel=0.05)
 
 
+def test_trees_that_went_deep_are_repeated(spark):
+    """Pairs at the threshold among unlike texts of one template, in nodes that no task may compare in full."""
+    rng = random.Random(9)
+    template, texts = [f"t{i}" for i in range(102)], []
+    for g in range(100):
+        base = list(template)
+        for at in rng.sample(range(10, 55, 4), 3):
+            base[at] = f"g{g}x{at}"
+        copy = list(base)
+        for at in (1, 62, 80):
+            copy[at] = f"g{g}y{at}"
+        texts += [" ".join(base), " ".join(copy)]
+    config = minhash_dedup.Config(trees=4, node_limit=2, dense_depth=1, dense_members=3, max_depth=5)
+    _, roots = near_brute(texts, config.words, config.percent)
+    assert roots == [k - k % 2 for k in range(200)]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, texts), config=config).collect()}
+    assert [got[k] for k in range(200)] == roots
+
+
+def test_tree_recall_falls_with_depth():
+    for config in (minhash_dedup.CONTRACT, minhash_dedup.STAGE):
+        by_depth = [minhash_dedup.tree_recall(config, d) for d in (1, 3, 10, 20, 40)]
+        assert by_depth == sorted(by_depth, reverse=True) and by_depth[1] > config.target_recall > by_depth[3]
+
+
 def test_weak_labels_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = weak_labels.classify(docs).join(labels, "doc_id").collect()
