@@ -8,7 +8,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylog.llm import bpe, chat_format, exact_dedup, minhash_dedup, mixing, quality_rules, suffix_dedup, token_counts, token_store, weak_labels
+from quarrylog.llm import bpe, chat_format, exact_dedup, merkle_manifest, minhash_dedup, mixing, phrase_mining, quality_rules, suffix_dedup, token_counts, token_store, url_rules, weak_labels
 from quarrylog.session import new_shared_path
 
 #: Folder of the public tokenizer files, or where the installed package keeps them.
@@ -92,11 +92,35 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *mixing.DIMENSIONS, F.round("probability", 6).alias("probability"), "kept", F.round("weight", 6).alias("weight"), "copies")
 
 
+#: The list rules of the query: verdict, host, path.
+URL_RULES = tuple(url_rules.ListRule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")))
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest, and what its proofs say of rows whose texts were lower-cased."""
+    lowered = F.translate("text", url_rules.UPPER, url_rules.LOWER)
+    fields = [lowered if f == "text" else F.col(f) for f in merkle_manifest.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle_manifest.leaf(fields))
+    done = merkle_manifest.manifest(documents(spark, sf_dir), carry={"tampered": tampered})
+    root = merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("steps"))
+    out = done.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof(F.col("steps")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_quality_rules, op3_bpe_codec, op4_minhash_dedup, op5_quality_classifier,
         op6_chat_format, op7_token_counts, op8_token_store, op9_exact_dedup, op10_source_mixing,
+        op11_url_rules, op12_merkle_manifest, op13_phrase_mining,
     )
 }
 
@@ -210,4 +234,126 @@ SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, source, lang, topic, round(
 FROM facts JOIN chances USING (source, lang, topic)"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_chat_format": _op6_sql(), "op9_exact_dedup": OP9_SQL, "op10_source_mixing": _op10_sql()}
+def _op11_sql(rules: tuple[url_rules.ListRule, ...] = URL_RULES, config: url_rules.Config = url_rules.DEFAULT) -> str:
+    """List rules, then all token sets of up to ``max_tokens`` counted one by one."""
+    part = lambda k: f"regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', {k})"
+    lower = lambda text: f"translate({text}, '{url_rules.UPPER}', '{url_rules.LOWER}')"
+    words = lambda text, mark: f"list_transform(regexp_extract_all({text}, '{url_rules.WORD}'), lambda w: '{mark}' || regexp_replace(w, '[0-9]+', '#', 'g'))"
+    cases = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{'name': '{r.name}', 'verdict': '{r.verdict}'}}" for r in sorted(rules, key=lambda r: -len(r.name))]
+    sets, subsets = [], []
+    for k in range(1, config.max_tokens + 1):
+        chosen = ", ".join(f"items[i{j}]" for j in range(k))
+        indexes = "".join(f", unnest_{j}(i{j})" for j in range(k)).replace("unnest_", "places p")
+        ordered = " AND ".join([f"i{j} < i{j + 1}" for j in range(k - 1)] + [f"i{k - 1} <= len(items)"])
+        sets.append(f"SELECT list_sort([{chosen}]) AS tokens, verdict FROM kept{indexes} WHERE {ordered}")
+        subsets.append(k)
+    return rf"""WITH urls AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+parsed AS (SELECT page_id, u, {lower(part(1))} AS host, {part(2)} AS path, {part(2)} || {part(3)} AS tail FROM urls),
+listed AS MATERIALIZED (
+  SELECT *, list_distinct(list_concat({words('host', 'h:')}, {words(lower('tail'), 'p:')})) AS tokens, CASE {' '.join(cases)} END AS listed FROM parsed),
+labelled AS MATERIALIZED (SELECT row_number() OVER () AS row_no, tokens, listed.verdict AS verdict FROM listed WHERE listed IS NOT NULL),
+facts AS (SELECT count(*) AS total, count(*) FILTER (verdict = 'block') AS blocked, CAST(ceil(CAST({config.min_support} AS DOUBLE) * count(*)) AS BIGINT) AS least FROM labelled),
+seen AS (SELECT token, count(*) AS n, count(*) FILTER (verdict = 'block') AS m FROM (SELECT unnest(tokens) AS token, verdict FROM labelled) GROUP BY token),
+telling AS (
+  SELECT token, row_number() OVER (ORDER BY abs(CAST(m AS HUGEINT) * total - CAST(n AS HUGEINT) * blocked) DESC, token) AS place
+  FROM seen, facts WHERE n >= least QUALIFY place <= {config.vocabulary}),
+kept AS MATERIALIZED (
+  SELECT row_no, verdict, list(token ORDER BY place)[1:{config.max_items}] AS items
+  FROM (SELECT row_no, verdict, unnest(tokens) AS token FROM labelled) JOIN telling USING (token) GROUP BY ALL),
+places AS (SELECT unnest(range(1, {config.max_items + 1})) AS i),
+sets AS MATERIALIZED ({' UNION ALL '.join(sets)}),
+rules AS MATERIALIZED (
+  SELECT s.tokens, verdict, support, 1000000 * support // n AS confidence
+  FROM (SELECT tokens, verdict, count(*) AS support FROM sets GROUP BY ALL) s JOIN (SELECT tokens, count(*) AS n FROM sets GROUP BY ALL) w USING (tokens), facts
+  WHERE support >= least AND 100 * support >= {config.min_percent} * n),
+good AS MATERIALIZED (
+  SELECT * FROM rules r WHERE NOT EXISTS (
+    SELECT 1 FROM rules g WHERE g.verdict = r.verdict AND g.confidence >= r.confidence AND len(g.tokens) < len(r.tokens) AND list_has_all(r.tokens, g.tokens))),
+best AS (
+  SELECT page_id, u, arg_min(verdict, (-confidence, -support, -len(g.tokens), array_to_string(g.tokens, ' '), verdict)) AS learnt
+  FROM (SELECT DISTINCT page_id, u, tokens FROM listed WHERE listed IS NULL) l JOIN good g ON list_has_all(l.tokens, g.tokens) GROUP BY page_id, u)
+SELECT l.page_id, host, path, listed.name AS rule, coalesce(listed.verdict, learnt, 'allow') AS verdict, learnt
+FROM listed l LEFT JOIN best b ON l.page_id IS NOT DISTINCT FROM b.page_id AND l.u = b.u"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda d, y: xor(d >> 1, 3988292384 * (d & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: {step}), 4294967295)"
+
+
+def _op12_sql(levels: int = 6) -> str:
+    """The levels of a tree unrolled: enough for 8 ** ``levels`` rows of a language."""
+    field = lambda f: f"coalesce(CAST(strlen(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), '-')"
+    leaf = lambda **other: f"sha256({' || '.join(field(other.get(f, f)) for f in merkle_manifest.FIELDS)})"
+    parts = [
+        f"""base AS MATERIALIZED (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS grp, {leaf()} AS leaf,
+    CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(text=f"translate(text, '{url_rules.UPPER}', '{url_rules.LOWER}')")} ELSE {leaf()} END AS start
+  FROM documents)""",
+        "t0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n, leaf AS h FROM base)",
+    ]
+
+    def climb(name: str, count: int, top: str) -> None:
+        """Nodes ``{name}0 .. {name}{count}`` (grp, pos, n, h), then each row's folded and proof strings level by level."""
+        for k in range(count):
+            keep = "grp, pos, n, h" if k or name != "t" else "grp, pos, n, h"
+            parts.append(
+                f"{name}n{k + 1} AS MATERIALIZED (SELECT grp, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h"
+                f" FROM (SELECT {keep} FROM {name if not k else f'{name}n{k}'}{0 if not k else ''}) GROUP BY grp, pos // 8, n)"
+            )
+
+    climb("t", levels, "subroot")
+    parts.append(f"r0 AS MATERIALIZED (SELECT '' AS grp, grp AS own, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, h FROM tn{levels})")
+    climb("r", 2, "root")
+
+    def sides(name: str, k: int) -> str:
+        """Digests left and right of each node of a level, none where the level has one node."""
+        source = f"{name}0" if not k else f"{name}n{k}"
+        return (
+            f"{name}s{k} AS MATERIALIZED (SELECT a.grp, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lo, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS hi, max(a.n) > 1 AS grows"
+            f" FROM (SELECT grp, pos, n FROM {source}) a JOIN (SELECT grp, pos, h FROM {source}) b ON a.grp = b.grp AND a.pos // 8 = b.pos // 8 GROUP BY a.grp, a.pos)"
+        )
+
+    parts += [sides("t", k) for k in range(levels)] + [sides("r", k) for k in range(2)]
+    parts.append("f0 AS (SELECT t0.*, r0.pos AS top, start AS f, '' AS proof FROM t0 JOIN r0 ON t0.grp = r0.own)")
+    last = "f0"
+    for name, own, count in (("t", "pos", levels), ("r", "top", 2)):
+        group = "x.grp" if name == "t" else "''"
+        for k in range(count):
+            new = f"f{name}{k + 1}"
+            parts.append(
+                f"{new} AS MATERIALIZED (SELECT x.* REPLACE (CASE WHEN s.grows THEN sha256(lo || f || hi) ELSE f END AS f, CASE WHEN s.grows THEN proof || lo || hi ELSE proof END AS proof)"
+                f" FROM {last} x JOIN {name}s{k} s ON s.grp = {group} AND s.pos = x.{own} // {8 ** k})"
+            )
+            last = new
+    return f"""WITH {', '.join(parts)}
+SELECT x.doc_id, x.leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+FROM {last} x JOIN tn{levels} s ON s.grp = x.grp CROSS JOIN rn2 r"""
+
+
+def _op13_sql(config: phrase_mining.Config = phrase_mining.CONTRACT) -> str:
+    cut = lambda k: f"list({{'score': {config.scale} * CAST(a AS HUGEINT) // (l.f + r.f), 'k': k, 'l': l.f, 'r': r.f}})"
+    return rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[.,;:!?
+-]')) AS piece FROM documents),
+spoken AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spoken, (VALUES (1), (2), (3), (4)) AS sizes(k))),
+counts AS MATERIALIZED (SELECT lang, k AS words, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {config.least}),
+langs AS (SELECT lang, sum(len(w)) AS n FROM spoken GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1),
+cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, words_of, a, list_min({cut('k')}) AS best
+  FROM (SELECT lang, phrase, words AS words_of, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM cuts) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = lp JOIN counts r ON r.lang = c.lang AND r.phrase = rp GROUP BY ALL),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, words - k + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS k FROM candidates)) GROUP BY ALL),
+kept AS (SELECT s.* FROM scored s LEFT JOIN inner_parts p ON s.lang = p.lang AND s.phrase = p.phrase WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < {config.contained_percent} * CAST(a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank, phrase, a, best.l AS l, best.r AS r, CAST(n AS BIGINT) AS n, CAST(best.score AS BIGINT) AS score
+FROM kept JOIN langs USING (lang) QUALIFY rank <= {config.top}"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_chat_format": _op6_sql(), "op9_exact_dedup": OP9_SQL, "op10_source_mixing": _op10_sql(), "op11_url_rules": _op11_sql(), "op12_merkle_manifest": _op12_sql(), "op13_phrase_mining": _op13_sql()}
