@@ -29,12 +29,14 @@ ignored.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 from math import ceil
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,6 +53,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 DEPTHS = 5  # the language and up to four words
+M_MMAP_THRESHOLD = -3  # of mallopt(3)
 RECORD = 7  # those, the count and the number of words that a suffix is routed by
 
 
@@ -60,7 +63,7 @@ class Config:
     contained_percent: int = 80
     top: int = 2000
     scale: int = 2_000_000
-    block_bytes: int = 16 << 20
+    block_bytes: int = 4 << 20
     bucket_bytes: int = 8 << 20
     hot_per_bucket: int = 4
     hot_limit: int = 1 << 16
@@ -96,8 +99,10 @@ class Block(NamedTuple):
 
 def read_block(bodies: pa.Array, langs: pa.Array) -> Block:
     """The words of texts (binary) in their languages."""
-    sizes = np.fromiter((len(b) + 1 for b in (bodies.to_pylist())), np.int64, len(bodies))
-    data = _LOWER[np.frombuffer(b"\n".join(bodies.to_pylist()) + b"\n", np.uint8)]
+    listed = bodies.to_pylist()
+    sizes = np.fromiter((len(b) + 1 for b in listed), np.int64, len(listed))
+    data = _LOWER[np.frombuffer(b"\n".join(listed) + b"\n", np.uint8)]
+    del listed
     kind = _KIND[data]
     inside = kind == 0
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
@@ -110,8 +115,8 @@ def read_block(bodies: pa.Array, langs: pa.Array) -> Block:
         more[: len(start) - o] += piece[: len(start) - o] == piece[o:] if len(start) > o else 0
     known = langs.dictionary_encode()
     per_text = np.diff(np.concatenate((np.searchsorted(start, np.cumsum(sizes) - sizes), [len(start)])))
-    lang = np.repeat(known.indices.to_numpy(zero_copy_only=False).astype(np.int64), per_text)
-    return Block(known.dictionary.to_pylist(), coded.dictionary, lang, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, more)
+    lang = np.repeat(known.indices.to_numpy(zero_copy_only=False), per_text)
+    return Block(known.dictionary.to_pylist(), coded.dictionary, lang, coded.indices.to_numpy(zero_copy_only=False) + np.int32(1), more)
 
 
 def _at(block: Block, o: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -126,20 +131,38 @@ def _joined_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * _FACTOR + word)
 
 
+def give_back_memory() -> None:
+    """Large arrays of this worker go back to the system once they are freed, so two workers and the executor's heap fit side by side."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(M_MMAP_THRESHOLD, 2 << 20)
+
+
+def _tally(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (language, word) codes as one number each, their counts, and the count of every position's own."""
+    keys = block.lang * np.int64(len(block.words) + 1) + block.word
+    if len(block.langs) * len(block.words) > 4 * len(keys):  # many languages
+        distinct, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        return distinct, counts, counts[which]
+    counts = np.bincount(keys)
+    distinct = np.flatnonzero(counts)
+    return distinct, counts[distinct], counts[keys]
+
+
 def word_counts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Languages, words and counts of the distinct pairs."""
-    size = len(block.words) + 1
-    keys, counts = np.unique(block.lang * size + block.word, return_counts=True)
+    size = np.int64(len(block.words) + 1)
+    keys, counts, _ = _tally(block)
     return keys // size, keys % size, counts
 
 
 def hot_prefixes(block: Block, least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Prefixes of two and of three words with at least ``least`` suffixes in the block: number of words, hashes, counts."""
-    size, out = len(block.words) + 1, []
-    first = block.lang * size + block.word
-    counts = np.bincount(np.unique(first, return_inverse=True)[1])
-    frequent = counts[np.unique(first, return_inverse=True)[1]] >= least
-    at = np.flatnonzero(frequent & (block.more >= 1))
+    out, frequent = [], _tally(block)[2] >= least
+    # Every word of a hot prefix is at least as frequent.
+    both = frequent[:-1] & frequent[1:] & (block.more[:-1] >= 1) if len(frequent) else frequent
+    at = np.flatnonzero(both)
     words, langs = block.hashes(), block.lang_hashes()
     h = _joined_hash(langs[block.lang[at]], words[block.word[at]])
     for o in (1, 2):
@@ -154,15 +177,16 @@ def hot_prefixes(block: Block, least: float) -> list[tuple[int, np.ndarray, np.n
 
 
 def suffixes(block: Block) -> np.ndarray:
-    """Distinct suffixes of the block in order: rows of language, four words and count."""
+    """Distinct suffixes of two words and more, in order: rows of language, four words and count."""
     size = np.int64(len(block.words) + 1)
-    w = [_at(block, o) for o in range(4)]
-    high, low = (block.lang * size + w[0]) * size + w[1], w[2] * size + w[3]
+    at = np.flatnonzero(block.more >= 1)
+    lang, w = block.lang[at], [_at(block, o, at) for o in range(4)]
+    high, low = (lang * size + w[0]) * size + w[1], w[2] * size + w[3]
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
     new = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(order) else order
     picked = order[new]
-    return np.stack([block.lang[picked], *[x[picked] for x in w], np.diff(np.concatenate((new, [len(order)])))])
+    return np.stack([lang[picked], *[x[picked] for x in w], np.diff(np.concatenate((new, [len(order)]))).astype(np.int32)])
 
 
 def route(block: Block, rows: np.ndarray, hot: dict[int, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,51 +195,65 @@ def route(block: Block, rows: np.ndarray, hot: dict[int, np.ndarray], buckets: i
     A hot prefix is spread over buckets, so its own count goes to the bucket of
     its hash as one more row that ends with the prefix.
     """
-    words, h = block.hashes(), [block.lang_hashes()[rows[0]]]
-    for d in range(1, DEPTHS):
-        h.append(_joined_hash(h[-1], words[rows[d]]))
-    by, own = np.full(rows.shape[1], 2), [rows]
-    depths, hashes = [by], []
+    words = block.hashes()
+    h = _joined_hash(_joined_hash(block.lang_hashes()[rows[0]], words[rows[1]]), words[rows[2]])
+    by, own = np.full(rows.shape[1], 2, np.int32), [rows]
+    depths, hashes, at, deep = [by], [h], np.arange(rows.shape[1]), h
     for d in (2, 3):
-        spread = (by == d) & np.isin(h[d], hot[d]) & (rows[d + 1] > 0)
-        # A prefix that ends its piece here is routed by the prefix as well.
-        at = np.flatnonzero(spread)
-        if len(at):
-            _, one, which = np.unique(h[d][at], return_index=True, return_inverse=True)
-            ended = rows[:, at[one]].copy()
-            ended[d + 1 : DEPTHS] = 0
-            ended[DEPTHS] = np.bincount(which, weights=rows[DEPTHS, at]).astype(np.int64)
-            own.append(ended)
-            depths.append(np.full(len(one), d))
-            hashes.append(h[d][at[one]])
-        by[spread] = d + 1
-    main = np.choose(by - 2, h[2:])
-    every = np.concatenate([main, *hashes])
-    return np.vstack([np.hstack(own), np.concatenate(depths)]), (every % np.uint64(buckets)).astype(np.int64)
+        # A prefix that ends its piece here stays with the prefix's own count.
+        spread = np.isin(deep, hot[d]) & (rows[d + 1, at] > 0)
+        at, deep = at[spread], deep[spread]
+        if not len(at):
+            break
+        _, one, which = np.unique(deep, return_index=True, return_inverse=True)
+        ended = rows[:, at[one]]
+        ended[d + 1 : DEPTHS] = 0
+        ended[DEPTHS] = np.bincount(which, weights=rows[DEPTHS, at])
+        own.append(ended)
+        depths.append(np.full(len(one), d, np.int32))
+        hashes.append(deep[one])
+        deep = _joined_hash(deep, words[rows[d + 1, at]])
+        by[at], h[at] = d + 1, deep
+    return np.vstack([np.hstack(own), np.concatenate(depths)]), (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
 def pack(rows: np.ndarray, words: pa.Array, compress) -> tuple[bytes, bytes]:
     """Rows with codes into a word list of their own, and that list; byte planes, compressed."""
-    used, codes = np.unique(rows[1:DEPTHS], return_inverse=True)
-    kept = used[used > 0]
-    out = rows.astype(np.int32)
-    out[1:DEPTHS] = codes.reshape(DEPTHS - 1, -1) + (0 if len(used) > len(kept) else 1)
-    planes = np.ascontiguousarray(out).view(np.uint8).reshape(-1, 4).T
-    return compress(np.ascontiguousarray(planes).tobytes()), compress(b" ".join(words.take(pa.array(kept - 1)).to_pylist()))
-
-
-def unpack(packed: list[tuple[bytes, bytes, list[str]]], expand) -> tuple[np.ndarray, list[bytes], list[str]]:
+    seen = np.zeros(len(words) + 1, bool)
+    seen[rows[1:DEPTHS].ravel()] = True
+    seen[0] = False
+    kept = np.flatnonzero(seen)
+    codes = np.zeros(len(seen), np.int32)
+    codes[kept] = np.arange(1, len(kept) + 1)
+    rows[1:DEPTHS] = codes[rows[1:DEPTHS]]
+    planes = np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 4).T)
+    listed = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), words.take(pa.array(kept - 1))), b" ")
+    return compress(planes), compress(listed[0].as_py())
+
+
+def _split_words(listed: bytes) -> pa.Array:
+    """The words of a list that ``pack`` joined."""
+    data = np.frombuffer(listed, np.uint8)
+    gap = data == SPACES[0]
+    ends = np.concatenate((np.flatnonzero(gap), [len(data)] if len(data) else []))
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])])
+
+
+def unpack(packed: list[tuple[bytes, bytes, list[str]]], expand) -> tuple[np.ndarray, pa.Array, list[str]]:
     """Rows of several packs with codes into common word and language lists."""
-    rows, words, langs = [], {}, {}
-    for body, listed, names in packed:
-        own = np.frombuffer(expand(body), np.uint8).reshape(4, -1).T
-        own = np.ascontiguousarray(own).view(np.int32).reshape(RECORD, -1).astype(np.int64)
-        listed = expand(listed)
-        code = np.array([0, *[words.setdefault(w, len(words) + 1) for w in (listed.split(b" ") if listed else [])]])
-        own[1:DEPTHS] = code[own[1:DEPTHS]]
-        own[0] = np.array([langs.setdefault(x, len(langs)) for x in names])[own[0]]
+    lists = [_split_words(expand(listed)) for _, listed, _ in packed]
+    common = pa.concat_arrays(lists).dictionary_encode()
+    code, at = common.indices.to_numpy(zero_copy_only=False) + np.int32(1), 0
+    rows, langs = [], {}
+    for (body, _, names), listed in zip(packed, lists, strict=True):
+        planes = np.frombuffer(expand(body), np.uint8).reshape(4, -1)
+        own = np.ascontiguousarray(planes.T).view(np.int32).reshape(RECORD, -1)
+        own[1:DEPTHS] = np.concatenate((np.zeros(1, np.int32), code[at : at + len(listed)]))[own[1:DEPTHS]]
+        own[0] = np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)[own[0]]
+        at += len(listed)
         rows.append(own)
-    return np.hstack(rows), list(words), list(langs)
+    return np.hstack(rows), common.dictionary, list(langs)
 
 
 def sort_suffixes(rows: np.ndarray, least: int):
@@ -223,22 +261,24 @@ def sort_suffixes(rows: np.ndarray, least: int):
 
     Returns the frequent prefixes as (number of words, pointer to a suffix, count) arrays.
     """
-    keys, counts, routed = rows[:DEPTHS].astype(np.int32), rows[DEPTHS], rows[DEPTHS + 1]
-    at = np.arange(rows.shape[1])  # pointers, partition after partition
+    width = rows.shape[1]
+    keys, counts, routed = rows[:DEPTHS].ravel(), rows[DEPTHS].astype(np.float64), rows[DEPTHS + 1]
+    spread = bool((routed > 2).any())
+    at = np.arange(width)  # pointers, partition after partition
     sizes, depth = np.array([len(at)]), np.zeros(1, np.int64)
     found = []
     while len(at):
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        deep = np.repeat(depth, sizes)
-        key = keys[deep, at]
+        key = keys[np.repeat(depth * width, sizes) + at]
         three = np.stack([key[starts], key[starts + sizes // 2], key[ends - 1]])
         pivot = np.sort(three, axis=0)[1]
-        against = np.repeat(pivot, sizes)
-        side = 1 + (key > against).astype(np.int64) - (key < against)
+        key -= np.repeat(pivot, sizes)
+        side = np.sign(key, out=key) + np.int32(1)
         part = np.repeat(np.arange(len(sizes)) * 3, sizes) + side
         n = np.bincount(part, minlength=3 * len(sizes))
-        weight = np.bincount(part, weights=counts[at], minlength=len(n))
+        held = counts[at]
+        weight = np.bincount(part, weights=held, minlength=len(n))
         base = np.cumsum(n) - n
         moved = np.empty_like(at)
         for s in range(3):
@@ -246,8 +286,7 @@ def sort_suffixes(rows: np.ndarray, least: int):
             m = n[s::3]
             moved[np.repeat(base[s::3] - (np.cumsum(m) - m), m) + np.arange(len(mine))] = at[mine]
         # An equal partition's size is the count of its words, of those suffixes that were routed by no more words.
-        whole = np.where(routed[at] <= deep, counts[at], 0)
-        size = np.bincount(part, weights=whole, minlength=len(n))[1::3]
+        size = np.bincount(part, weights=held * (routed[at] <= np.repeat(depth, sizes)), minlength=len(n))[1::3] if spread else weight[1::3]
         count = (depth >= 2) & (pivot > 0) & (size >= least)
         found.append((depth[count], moved[base[1::3][count]], size[count].astype(np.int64)))
         deeper = np.repeat(depth, 3)
@@ -265,6 +304,7 @@ def _first_pass(texts: DataFrame, config: Config, hot_share: int) -> DataFrame:
     """``words, lang, phrase, h, n``: word counts per block, and prefixes that are hot in a block (by hash)."""
 
     def run(batches):
+        give_back_memory()
         for batch in batches:
             for piece in blocks(batch, 1, config.block_bytes):
                 block = read_block(piece.column(1), piece.column(0))
@@ -284,6 +324,7 @@ def _routed(texts: DataFrame, config: Config, hot: dict[int, np.ndarray], bucket
     """``bucket, langs, words, body``: the suffixes of every block, by bucket."""
 
     def run(batches):
+        give_back_memory()
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for piece in blocks(batch, 1, config.block_bytes):
@@ -298,17 +339,19 @@ def _routed(texts: DataFrame, config: Config, hot: dict[int, np.ndarray], bucket
     return texts.mapInArrow(run, "bucket long, langs array<string>, words binary, body binary")
 
 
-def _counted(routed: DataFrame, config: Config) -> DataFrame:
+def _counted(routed: DataFrame, config: Config, buckets: int) -> DataFrame:
     """``lang, phrase, words, f`` of the frequent phrases of two words and more."""
 
     def frequent(packed):
         rows, words, langs = unpack(packed, zstandard.ZstdDecompressor().decompress)
         depth, at, n = sort_suffixes(rows, config.least)
-        phrases = [b" ".join([words[c - 1] for c in rows[1 : d + 1, p].tolist()]) for d, p in zip(depth.tolist(), at.tolist(), strict=True)]
+        spoken = [words.take(pa.array(np.maximum(rows[c, at] - 1, 0))).to_pylist() for c in range(1, DEPTHS)]
+        phrases = [b" ".join(w[:d]) for d, *w in zip(depth.tolist(), *spoken, strict=True)]
         names = pa.array([langs[x] for x in rows[0, at].tolist()], pa.string())
         return pa.RecordBatch.from_arrays([names, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(depth.astype(np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "f"])
 
     def run(batches):
+        give_back_memory()
         bucket, waiting = None, []
         for batch in batches:
             for k in range(batch.num_rows):
@@ -321,7 +364,7 @@ def _counted(routed: DataFrame, config: Config) -> DataFrame:
         if waiting:
             yield frequent(waiting)
 
-    dealt = routed.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
@@ -341,7 +384,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     listed = {k: np.array([r.h for r in hot if r.words == k], np.int64).view(np.uint64) for k in (2, 3)}
     single = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= config.least)
     single = single.select("lang", "phrase", F.lit(1).alias("words"), "f")
-    return cut_lineage(single.unionByName(_counted(_routed(texts, config, listed, buckets), config))), langs
+    return cut_lineage(single.unionByName(_counted(_routed(texts, config, listed, buckets), config, buckets))), langs
 
 
 def _exact(c: str):
