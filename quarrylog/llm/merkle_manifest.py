@@ -83,8 +83,9 @@ def _levels(nodes: DataFrame) -> DataFrame:
 
 def _climb(nodes: DataFrame, most: int, crown: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``nodes`` (``grp, pos, n, node``; groups of up to ``most``) with ``steps``, ``subroot`` and ``root``. ``crown`` gives what lies above subroots."""
-    if most <= 1:
-        return crown(nodes)
+    if most <= 1:  # one node per group
+        above = crown(nodes.select("grp", "pos", "n", "node")).select("grp", "steps", "subroot", "root")
+        return nodes.join(above, "grp").select(*nodes.columns, "steps", "subroot", "root")
     staged = _levels(nodes)
     blocks = staged.where(F.col("pos") % BLOCK == 0)
     blocks = cut_lineage(blocks.select("grp", F.col("block").alias("pos"), F.shiftright(F.col("n") + (BLOCK - 1), _BITS * LEVELS).alias("n"), F.col("top").alias("node")))
@@ -98,11 +99,10 @@ def _most(nodes: DataFrame) -> int:
 
 
 def _root(subroots: DataFrame) -> DataFrame:
-    """``subroots`` (one ``node`` per ``grp``) with their steps to the root, as a tree of one group in the order of ``grp``."""
-    own = subroots.select(F.col("grp").alias("_grp"), *[F.col(c).alias(f"_{c}") for c in ("pos", "n")], "node")
-    nodes = numbered(own.select(F.lit("").alias("grp"), "_grp", "_pos", "_n", "node"), "grp", ["_grp"])
-    done = _climb(nodes, _most(nodes), lambda top: top.select("*", F.array().cast(STEPS).alias("steps"), F.col("node").alias("subroot"), F.col("node").alias("root")))
-    return done.select(F.col("_grp").alias("grp"), F.col("_pos").alias("pos"), F.col("_n").alias("n"), "node", "steps", F.col("node").alias("subroot"), "root")
+    """``grp, steps, subroot, root`` of ``subroots`` (one ``node`` per ``grp``), as a tree of one group in the order of ``grp``."""
+    nodes = numbered(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("_grp"), "node"), "grp", ["_grp"])
+    done = _climb(nodes, _most(nodes), lambda top: top.select("grp", F.array().cast(STEPS).alias("steps"), F.col("node").alias("subroot"), F.col("node").alias("root")))
+    return done.select(F.col("_grp").alias("grp"), "steps", F.col("node").alias("subroot"), "root")
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", fields: tuple[str, ...] = FIELDS, carry: dict[str, Column] | None = None) -> DataFrame:

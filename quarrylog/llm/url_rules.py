@@ -81,7 +81,7 @@ def tokens(host: Column, tail: Column) -> Column:
 
 def list_rule(host: Column, path: Column, rules: tuple[ListRule, ...]) -> Column:
     """The longest fitting rule as a struct of ``name`` and ``verdict``, or null."""
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<name:string,verdict:string>")
     for rule in sorted(rules, key=lambda r: len(r.name)):
         fits = ((host == rule.host) | F.endswith(host, F.lit(f".{rule.host}"))) & F.startswith(path, F.lit(rule.path))
         found = F.when(fits, F.struct(F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"))).otherwise(found)

@@ -52,4 +52,4 @@ def test_pipeline_ends_in_ids(spark, sf, steps):
 
 def test_names():
     names = [n for n in entry_points.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(names) == 11 and set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert len(names) == 14 and set(entry_points.oracle_sql()) <= set(entry_points.queries())
