@@ -4,14 +4,11 @@ Token counts are summed per cell (one value of every dimension). Raking scales
 the cells until their sums over each dimension meet that dimension's target
 shares. A cell's ratio of fitted to present tokens, scaled so that the expected
 tokens of the result are a given share of those present, is its ``weight``. Above
-1 it calls for copies: a document is taken as often as the whole part says, and
-once more with a chance of the rest. Where copies are not wanted, weights are cut
-at 1 and the others raised until the share is met. So a tiny category is lifted
-and the others stay. The draw is a hash of the id, so a task that runs again
-draws the same.
-
-``probability`` and ``kept`` are the draw without copies that meets the targets
-exactly: ratios scaled so that the largest is 1. The rarest cell sets its size.
+1 it calls for ``copies``: a document is taken as often as the whole part says, and
+once more with a chance of the rest. ``probability`` and ``kept`` are the draw without
+copies: ratios scaled to a share of their own, cut at 1, and the others raised
+until the share is met. So a tiny category is lifted and the others stay. The
+draw is a hash of the id, so a task that runs again draws the same.
 
 Defined cases: a null in a dimension is a category of its own (``NONE``). A
 document without words weighs nothing and shares its cell's weight; a cell
@@ -31,7 +28,7 @@ NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
 TOPICS = 6
-#: Share of the tokens that ``sample`` keeps.
+#: Share of the tokens that are kept where no copies are made.
 KEPT_SHARE = 0.6
 
 
@@ -43,25 +40,25 @@ def topic_of(words: Column, topics: int = TOPICS) -> Column:
 
 def smoothed_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """Target shares ``(value, share)``: present shares to ``power``, which lifts small categories."""
-    sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("raised"))
-    return sums.select("value", (F.col("raised") / sums.agg(F.sum("raised")).scalar()).alias("share"))
+    sums = cut_lineage(cells.groupBy(F.col(dimension).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("raised")))
+    total = sums.agg(F.sum("raised")).first()[0] or 1.0
+    return sums.select("value", (F.col("raised") / total).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` with ``fitted`` tokens after ``rounds`` passes over all dimensions.
 
-    A round reads and writes the cell table only (its size is that of the
-    categories, not of the corpus); it is cut so that plans do not grow.
+    A step reads and writes the cell table only (its size is that of the
+    categories, not of the corpus); each is cut, since the next one reads it twice.
     """
-    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
     goals = {d: cut_lineage(t.select(F.col("value").alias(d), F.col("share").alias("goal"))) for d, t in targets.items()}
     for _ in range(rounds):
         for d, goal in goals.items():
             now = fitted.groupBy(d).agg(F.sum("fitted").alias("now")).join(goal, d)
-            fitted = fitted.join(now.withColumn("by", F.when(F.col("now") > 0, F.col("goal") * total / F.col("now")).otherwise(0.0)).select(d, "by"), d)
-            fitted = fitted.withColumn("fitted", F.col("fitted") * F.col("by")).drop("by")
-        fitted = cut_lineage(fitted)
+            by = now.select(d, F.when(F.col("now") > 0, F.col("goal") * total / F.col("now")).otherwise(0.0).alias("by"))
+            fitted = cut_lineage(fitted.join(by, d).select(*cells.columns, (F.col("fitted") * F.col("by")).alias("fitted")))
     return fitted
 
 
@@ -94,13 +91,13 @@ def scale(ratios: DataFrame, share: float, repeats: bool) -> float:
 
 def mix(
     docs: DataFrame, id_col: str, tokens: str, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, DataFrame] | None = None,
-    power: float = 0.7, rounds: int = ROUNDS, seed: int = 17, share: float = 1.0, repeats: bool = True,
+    power: float = 0.7, rounds: int = ROUNDS, seed: int = 17, share: float = 1.0, kept_share: float = KEPT_SHARE,
 ) -> DataFrame:
     """One row per input row: id, tokens, dimensions, ``probability``, ``kept``, ``weight`` and ``copies``.
 
     ``targets`` maps dimensions to ``(value, share)`` frames; a dimension without
     one gets smoothed shares. Values that a target leaves out are not sampled.
-    ``copies`` of all rows hold about ``share`` of the tokens; without ``repeats`` there is one at most.
+    ``copies`` of all rows hold about ``share`` of the tokens, the ``kept`` rows about ``kept_share``.
     """
     packed = [F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in dimensions]
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens"), *packed))
@@ -110,21 +107,19 @@ def mix(
     goals = {d: smoothed_targets(cells, d, power) if t is None else t for d, t in goals.items()}
     fitted = rake(cells, goals, rounds)
     ratio = fitted.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")))
-    top = ratio.agg(F.max("ratio")).scalar()
-    weight = F.col("ratio") * scale(ratio, share, repeats)
-    weight = weight if repeats else F.least(weight, F.lit(1.0))
-    chances = ratio.select(*keys, "n_docs", F.coalesce(F.col("ratio") / top, F.lit(1.0)).alias("probability"), F.coalesce(weight, F.lit(1.0)).alias("weight"))
-    out = spread_join(rows, chances, keys, ["id"], n="n_docs")
+    once, often = (F.col("ratio") * scale(ratio, s, repeats) for s, repeats in ((kept_share, False), (share, True)))
+    chances = ratio.select(*keys, "n_docs", F.coalesce(F.least(once, F.lit(1.0)), F.lit(1.0)).alias("probability"), F.coalesce(often, F.lit(1.0)).alias("weight"))
+    out = spread_join(rows, cut_lineage(chances), keys, ["id"], n="n_docs")
     drawn = uniform(F.col("id"), seed)
     copies = F.floor("weight") + (drawn < F.col("weight") - F.floor("weight")).cast("long")
     return out.select("id", "tokens", *keys, "probability", (drawn < F.col("probability")).alias("kept"), "weight", copies.alias("copies"))
 
 
 def sample(docs: DataFrame, id_col: str, tokens: Column, topic: Column, source: str = "source", lang: str = "lang", seed: int = 17, share: float = KEPT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that a mix without repeats keeps, unchanged: about ``share`` of the tokens."""
+    """The rows of ``docs`` that a mix keeps, unchanged: about ``share`` of the tokens."""
     facts = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), F.col(source).alias("source"), F.col(lang).alias("lang"), topic.alias("topic"))
-    kept = mix(facts, "id", "tokens", seed=seed, share=share, repeats=False)
-    kept = kept.where("copies > 0").select(F.col("id").alias("keep"), *[F.col(d).alias(f"keep_{d}") for d in DIMENSIONS]).distinct()
+    kept = mix(facts, "id", "tokens", seed=seed, kept_share=share)
+    kept = kept.where("kept").select(F.col("id").alias("keep"), *[F.col(d).alias(f"keep_{d}") for d in DIMENSIONS]).distinct()
     here = [F.coalesce(F.col(source), F.lit(NONE)), F.coalesce(F.col(lang), F.lit(NONE)), F.coalesce(topic, F.lit(NONE))]
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), *[c.cast("string").alias(d) for c, d in zip(here, DIMENSIONS, strict=True)])
     same = F.col("id").eqNullSafe(F.col("keep"))

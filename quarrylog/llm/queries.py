@@ -227,11 +227,21 @@ facts AS MATERIALIZED (
     coalesce('t' || CAST(unicode(list_max(list_filter(words, lambda w: len(w) = longest))) % {mixing.TOPICS} AS VARCHAR), '{mixing.NONE}') AS topic FROM longest),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS fitted FROM facts GROUP BY ALL),
 {', '.join(goals)}, {', '.join(steps)},
-chances AS (SELECT source, lang, topic, coalesce(ratio / max(ratio) OVER (), 1.0) AS probability
-  FROM (SELECT *, CASE WHEN tokens > 0 THEN fitted / tokens END AS ratio FROM {last}))
-SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, source, lang, topic, round(probability, 6) AS probability,
-  CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0 < probability AS kept
-FROM facts JOIN chances USING (source, lang, topic)"""
+ratios AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN fitted / tokens END AS ratio FROM {last}),
+sums AS (SELECT sum(tokens) AS tokens, sum(fitted) AS fitted FROM ratios),
+-- Cells of the greatest ratios are kept whole: the scale for the others once the first cells are, and whether the next cell stays below 1.
+filled AS (
+  SELECT (:share * (SELECT tokens FROM sums) - full_tokens) / open_fitted AS lift, ratio AS next, full_tokens
+  FROM (SELECT ratio, sum(fitted) OVER (ORDER BY ratio DESC) AS upto,
+      coalesce(sum(tokens) OVER (ORDER BY ratio DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS full_tokens,
+      sum(fitted) OVER (ORDER BY ratio DESC RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_fitted
+    FROM ratios WHERE ratio > 0)),
+scale AS (SELECT coalesce((SELECT min(lift) FROM filled WHERE lift * next < 1), 1.0) AS kept_by, coalesce((SELECT tokens / fitted FROM sums WHERE fitted > 0), 1.0) AS whole_by),
+chances AS MATERIALIZED (SELECT source, lang, topic, coalesce(least(ratio * kept_by, 1.0), 1.0) AS probability, coalesce(ratio * whole_by, 1.0) AS weight FROM ratios, scale),
+drawn AS (SELECT *, CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM facts JOIN chances USING (source, lang, topic))
+SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, source, lang, topic, round(probability, 6) AS probability, u < probability AS kept,
+  round(weight, 6) AS weight, CAST(floor(weight) AS BIGINT) + CAST(u < weight - floor(weight) AS BIGINT) AS copies
+FROM drawn""".replace(":share", str(mixing.KEPT_SHARE))
 
 
 def _op11_sql(rules: tuple[url_rules.ListRule, ...] = URL_RULES, config: url_rules.Config = url_rules.DEFAULT) -> str:
@@ -337,7 +347,8 @@ def _op13_sql(config: phrase_mining.Config = phrase_mining.CONTRACT) -> str:
     cut = lambda k: f"list({{'score': {config.scale} * CAST(a AS HUGEINT) // (l.f + r.f), 'k': k, 'l': l.f, 'r': r.f}})"
     return rf"""WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 spoken AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spoken, (VALUES (1), (2), (3), (4)) AS sizes(k))),
 counts AS MATERIALIZED (SELECT lang, k AS words, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {config.least}),

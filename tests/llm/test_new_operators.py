@@ -257,3 +257,35 @@ def test_sort_counts_like_a_dictionary():
             if 0 not in w[:k]:
                 expected[tuple(w[:k])] += c
     assert got == {p: c for p, c in expected.items() if c >= 20}
+
+
+# --- long words ------------------------------------------------------------------------------------------------------
+
+
+def test_long_words_merge_alike():
+    from quarrylog.llm import bpe
+    from quarrylog.llm.queries import tokenizer_path
+    from quarrylog.llm.word_pieces import library_tokenizer, tokenizer_text
+
+    rng, text = random.Random(6), tokenizer_text(tokenizer_path())
+    coder = bpe.WordBpe(text, library_tokenizer("long words", text))
+    for alphabet in ("ab", "the", "abcdefghijklmnopqrstuvwxyz"):
+        for n in (1, 2, 63, 64):
+            symbols = coder.symbols("".join(rng.choices(alphabet, k=n)) + coder.suffix)
+            assert coder.merged(symbols) == coder.merged_long(list(symbols))
+
+
+def test_one_word_of_a_megabyte(spark):
+    import time
+
+    from quarrylog.llm import bpe
+    from quarrylog.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    began = time.time()
+    got = bpe.encode_decode(frame(spark, [text]), tokenizer_path()).first()
+    assert time.time() - began < 60
+    assert got.ids == library.encode(text, add_special_tokens=False).ids

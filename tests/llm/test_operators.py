@@ -239,11 +239,15 @@ def test_raking_meets_the_targets(spark):
     want = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.3, mixing.NONE: 0.2}}
     targets = {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in want.items()}
     got = mixing.mix(docs, "doc_id", "n", targets=targets, rounds=12).collect()
-    assert len(got) == len(rows) and max(r.probability for r in got) == pytest.approx(1)
-    total = sum(r.tokens * r.probability for r in got)
+    total = sum(r.tokens for r in got)
+    assert len(got) == len(rows) and sum(r.tokens * r.weight for r in got) == pytest.approx(total)
     for d, shares in want.items():
         for value, share in shares.items():
-            assert sum(r.tokens * r.probability for r in got if r[d] == value) / total == pytest.approx(share, abs=1e-4)
+            assert sum(r.tokens * r.weight for r in got if r[d] == value) / total == pytest.approx(share, abs=1e-4)
+    # The draw without copies keeps the weights' proportions wherever it does not keep everything.
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(mixing.KEPT_SHARE * total)
+    open_ = {r.probability / r.weight for r in got if r.probability < 1}
+    assert max(open_) == pytest.approx(min(open_)) and all(r.weight * max(open_) >= 1 - 1e-9 for r in got if r.probability == 1)
     assert sum(r.kept for r in got) == pytest.approx(sum(r.probability for r in got), rel=0.1)
 
 
