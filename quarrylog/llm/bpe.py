@@ -16,15 +16,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.word_pieces import PLAIN, blocks, expand, library_tokenizer, memoised, packed, pieces_of, plain_word, tokenizer_text, worker_memo
+from quarrylog.llm.word_pieces import PLAIN, WHOLE_ENTRIES, blocks, expand, library_tokenizer, memoised, packed, pieces_of, plain_word, tokenizer_text, worker_memo
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
+#: Symbols above which a word is merged over a heap.
+LONG_WORD = 64
+#: Verdicts on token pairs that a worker keeps; the frequent ones come first.
+PAIR_ENTRIES = 2_000_000
 
 
 class WordBpe:
@@ -49,6 +54,7 @@ class WordBpe:
         self.names = pa.array(names)
         self.size = size
         self.words: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.n_speculated = self.n_exact = 0
 
@@ -62,6 +68,8 @@ class WordBpe:
     def merged(self, symbols: list[str]) -> tuple[int, ...]:
         """Exact merging: the pair of least rank first, leftmost among equals."""
         symbols, ranks, never = list(symbols), self.ranks, 1 << 30
+        if len(symbols) > LONG_WORD:
+            return self.merged_long(symbols)
         order = [ranks.get(pair, never) for pair in zip(symbols, symbols[1:])]
         while order and (best := min(order)) < never:
             at = order.index(best)
@@ -73,6 +81,30 @@ class WordBpe:
                 order[at] = ranks.get((symbols[at], symbols[at + 1]), never)
         return tuple(self.vocab[s] for s in symbols if s in self.vocab)
 
+    def merged_long(self, symbols: list[str]) -> tuple[int, ...]:
+        """The same merging for words of any length in n log n: a heap of pairs over a linked list of symbols."""
+        ranks, n = self.ranks, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, at) for at, pair in enumerate(zip(symbols, symbols[1:])) if (rank := ranks.get(pair)) is not None]
+        heapify(heap)
+        while heap:
+            rank, at = heappop(heap)
+            to = after[at]
+            # Pairs of symbols that were merged meanwhile are out of date.
+            if symbols[at] is None or to >= n or ranks.get((symbols[at], symbols[to])) != rank:
+                continue
+            symbols[at] += symbols[to]
+            symbols[to] = None
+            after[at] = to = after[to]
+            if to < n:
+                before[to] = at
+                if (rank := ranks.get((symbols[at], symbols[to]))) is not None:
+                    heappush(heap, (rank, at))
+            left = before[at]
+            if left >= 0 and (rank := ranks.get((symbols[left], symbols[at]))) is not None:
+                heappush(heap, (rank, left))
+        return tuple(self.vocab[s] for s in symbols if s in self.vocab)
+
     def proposed(self, word: str) -> tuple[int, ...] | None:
         """Greedy longest match; None if some part is in no token."""
         full, vocab, out, at = word + self.suffix, self.vocab, [], 0
@@ -100,7 +132,9 @@ class WordBpe:
             ok = known.get(key)
             if ok is None:
                 left, right = divmod(key, self.size)
-                ok = known[key] = self.merged(self.symbols(self.surface[left]) + self.symbols(self.surface[right])) == (left, right)
+                ok = self.merged(self.symbols(self.surface[left]) + self.symbols(self.surface[right])) == (left, right)
+                if len(known) < PAIR_ENTRIES:
+                    known[key] = ok
             out[i] = ok
         return out[back]
 
@@ -151,8 +185,11 @@ class WordBpe:
             at = m.end()
         return [*out, piece[at:]]
 
-    def encode_pieces(self, pieces: list[str], step: int = 4096) -> list[bytes]:
-        """Packed ids of each white-space free text."""
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each white-space free text; frequent ones are encoded once per worker."""
+        return memoised(self.whole, pieces, self.encode_new, WHOLE_ENTRIES)
+
+    def encode_new(self, pieces: list[str], step: int = 4096) -> list[bytes]:
         plans = [self.plan(p) for p in pieces]
         texts = [x for plan in plans for x in plan if isinstance(x, str)]
         split = iter([words for i in range(0, len(texts), step) for words in self.words_in(texts[i : i + step])])
