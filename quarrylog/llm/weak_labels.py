@@ -32,6 +32,9 @@ GOOD, BAD, NOTHING = 1, 0, 2
 LABELLERS = ("symbols", "separators", "capitals", "repeats", "variety", "endings", "word_length", "doubled_marks", "failed_lines")
 
 
+#: A whole word of two characters or more with capitals and without small letters.
+CAPITAL_WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{2})[^\x20\x09-\x0D\p{Ll}\p{Lu}]*+\p{Lu}[^\x20\x09-\x0D\p{Ll}]*+(?![^\x20\x09-\x0D])"
+
 #: What is believed of a labeller before any vote, per class (bad, good) and vote (bad, good, nothing): votes against
 #: are rare on good documents. It weighs this share of all documents.
 PRIOR = np.array([[0.3, 0.5, 0.2], [0.002, 0.898, 0.1]])
@@ -70,7 +73,7 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows,
         symbols=pieces(SYMBOLS) / characters,
         separators=pieces(r"\|") / n,
-        capitals=F.size(F.filter("words", lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$") & (F.length(w) > 1))) / n,
+        capitals=F.regexp_count("text", F.lit(CAPITAL_WORD)) / n,
         repeats=F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))) / n,
         variety=F.size(F.array_distinct("words")) / n,
         endings=pieces(r"[.!?](?=[\x20\x09-\x0D]|$)") / n,
