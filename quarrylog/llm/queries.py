@@ -236,7 +236,7 @@ filled AS (
       coalesce(sum(tokens) OVER (ORDER BY ratio DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS full_tokens,
       sum(fitted) OVER (ORDER BY ratio DESC RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_fitted
     FROM ratios WHERE ratio > 0)),
-scale AS (SELECT coalesce((SELECT min(lift) FROM filled WHERE lift * next < 1), 1.0) AS kept_by, coalesce((SELECT tokens / fitted FROM sums WHERE fitted > 0), 1.0) AS whole_by),
+scale AS (SELECT coalesce((SELECT arg_max(lift, next) FROM filled WHERE lift * next < 1), 1.0) AS kept_by, coalesce((SELECT tokens / fitted FROM sums WHERE fitted > 0), 1.0) AS whole_by),
 chances AS MATERIALIZED (SELECT source, lang, topic, coalesce(least(ratio * kept_by, 1.0), 1.0) AS probability, coalesce(ratio * whole_by, 1.0) AS weight FROM ratios, scale),
 drawn AS (SELECT *, CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM facts JOIN chances USING (source, lang, topic))
 SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, source, lang, topic, round(probability, 6) AS probability, u < probability AS kept,
