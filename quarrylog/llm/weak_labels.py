@@ -59,7 +59,7 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, words, text`` and one vote column per labeller."""
+    """``doc_id, words, text``, ``n_repeats`` (words like the one before) and one vote column per labeller."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = once(rows, words=words_of(F.col("text")))
     n = F.greatest(F.size("words"), F.lit(1)).cast("double")
@@ -74,17 +74,18 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         symbols=pieces(SYMBOLS) / characters,
         separators=pieces(r"\|") / n,
         capitals=F.regexp_count("text", F.lit(CAPITAL_WORD)) / n,
-        repeats=F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))) / n,
+        n_repeats=F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))),
         variety=F.size(F.array_distinct("words")) / n,
         endings=pieces(r"[.!?](?=[\x20\x09-\x0D]|$)") / n,
         word_length=F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / n,
         doubled=pieces(r"([!?#*$%&])\1") / n,
         failed=F.aggregate(F.transform(F.split("text", "\n", -1), failed_words), F.lit(0), lambda a, x: a + x) / n,
     )
+    rows = rows.withColumn("repeats", F.col("n_repeats") / n)
     some = F.size("words") > 0
     between = lambda name, bad, good: _vote(some & (F.col(name) > bad), some & (F.col(name) < good))
     return rows.select(
-        "doc_id", "words", "text",
+        "doc_id", "words", "text", "n_repeats",
         between("symbols", 0.03, 0.003).alias("symbols"),
         between("separators", 0.1, 0.01).alias("separators"),
         between("capitals", 0.3, 0.05).alias("capitals"),
@@ -122,13 +123,11 @@ def posterior(prior: float, table: np.ndarray, names: tuple[str, ...] = LABELLER
 
 def features(voted: DataFrame) -> DataFrame:
     """``parts``: words in lower case, word shapes (runs of capitals, small letters and digits as one mark each) and repeats."""
-    voted = once(voted, words=words_of(F.col("text")))
     shape = F.col("text")
     for pattern, mark in ((r"\p{Lu}+", "\x01"), (r"\p{Ll}+", "\x02"), (r"\p{N}+", "\x03")):
         shape = F.regexp_replace(shape, pattern, mark)
-    repeats = F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1)))
-    parts = F.concat(words_of(F.lower("text")), words_of(shape), F.array_repeat(F.lit("\x04"), repeats))
-    return voted.withColumn("parts", parts).drop("words", "text")
+    parts = F.concat(words_of(F.lower("text")), words_of(shape), F.array_repeat(F.lit("\x04"), F.col("n_repeats")))
+    return voted.withColumn("parts", parts).drop("n_repeats", "text")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = DEFAULT) -> DataFrame:
