@@ -23,13 +23,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylog.llm.word_pieces import PLAIN, WHOLE_ENTRIES, blocks, expand, library_tokenizer, memoised, packed, pieces_of, plain_word, tokenizer_text, worker_memo
+from quarrylog.llm.word_pieces import PLAIN, blocks, expand, give_back_memory, library_tokenizer, memoised, packed, pieces_of, plain_word, tokenizer_text, worker_memo
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 #: Symbols above which a word is merged over a heap.
 LONG_WORD = 64
 #: Verdicts on token pairs that a worker keeps; the frequent ones come first.
-PAIR_ENTRIES = 2_000_000
+PAIR_ENTRIES = 500_000
+#: Encoded pieces and words that a worker keeps. Executors may run more workers than tasks for a while, so they are kept small.
+PIECE_ENTRIES, WORD_ENTRIES = 120_000, 60_000
 
 
 class WordBpe:
@@ -187,7 +189,7 @@ class WordBpe:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of each white-space free text; frequent ones are encoded once per worker."""
-        return memoised(self.whole, pieces, self.encode_new, WHOLE_ENTRIES)
+        return memoised(self.whole, pieces, self.encode_new, PIECE_ENTRIES)
 
     def encode_new(self, pieces: list[str], step: int = 4096) -> list[bytes]:
         plans = [self.plan(p) for p in pieces]
@@ -195,7 +197,7 @@ class WordBpe:
         split = iter([words for i in range(0, len(texts), step) for words in self.words_in(texts[i : i + step])])
         plans = [[next(split) if isinstance(x, str) else x for x in plan] for plan in plans]
         distinct = list(dict.fromkeys(w for plan in plans for x in plan if isinstance(x, list) for w in x))
-        ids = dict(zip(distinct, memoised(self.words, distinct, self.encode_words), strict=True))
+        ids = dict(zip(distinct, memoised(self.words, distinct, self.encode_words, WORD_ENTRIES), strict=True))
         return [b"".join([ids[w] for x in plan for w in x] if len(plan) == 1 else [y for x in plan for y in ([ids[w] for w in x] if isinstance(x, list) else [packed([x])])]) for plan in plans]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -227,6 +229,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))  # one tokenizer file, not data
 
     def run(batches):
+        give_back_memory()
         bpe = word_bpe(shared.value)
         for batch in batches:
             for part in blocks(batch, 1):

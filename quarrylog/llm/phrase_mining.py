@@ -29,7 +29,6 @@ ignored.
 
 from __future__ import annotations
 
-import ctypes
 from dataclasses import dataclass
 from math import ceil
 from typing import NamedTuple
@@ -41,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quarrylog.llm.rolling import Hasher, mixed
-from quarrylog.llm.word_pieces import blocks, worker_memo
+from quarrylog.llm.word_pieces import blocks, give_back_memory, worker_memo
 from quarrylog.operators.joins import first_per_group, spread_join
 from quarrylog.session import cut_lineage
 
@@ -53,7 +52,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 DEPTHS = 5  # the language and up to four words
-M_MMAP_THRESHOLD = -3  # of mallopt(3)
 RECORD = 7  # those, the count and the number of words that a suffix is routed by
 
 
@@ -131,14 +129,6 @@ def _joined_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * _FACTOR + word)
 
 
-def give_back_memory() -> None:
-    """Large arrays of this worker go back to the system once they are freed, so two workers and the executor's heap fit side by side."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "mallopt"):
-        libc.mallopt(M_MMAP_THRESHOLD, 2 << 20)
-
-
 def _tally(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (language, word) codes as one number each, their counts, and the count of every position's own."""
     keys = block.lang * np.int64(len(block.words) + 1) + block.word
