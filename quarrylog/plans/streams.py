@@ -8,8 +8,8 @@ from quarrylog import oracle_parts as o
 from quarrylog.inputs import log_of_orders, query_log, stream
 from quarrylog.plans.workload import STATEMENT
 from quarrylog.registry import query
-from quarrylog.session import new_shared_path
-from quarrylog.streaming import logs
+from quarrylog.session import new_shared_path, state_session
+from quarrylog.streaming import logs, sessions
 
 
 @query("r1_stream_ingest", o.QL + f"SELECT query_id, gold_sql AS sql FROM query_log WHERE {STATEMENT}")
@@ -42,11 +42,11 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
  x AS (SELECT user_id, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY user_id, k)
 SELECT user_id, n_events, first_us, (last_us - first_us) / 1e6 AS seconds FROM x""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sessions, those still open at the end of the input too."""
-    return logs.run_available(spark, logs.session_durations(stream(spark, sf_dir, "events"), "user_id", "ts"), "complete")
+    """All sessions: closed ones by their timers, those still open at the end of the input from the state."""
+    return sessions.session_durations(spark, lambda s: stream(s, sf_dir, "events"), "user_id", "ts").drop("closed")
 
 
 @query("r4_stream_first_seen", o.QL + "SELECT DISTINCT gold_sql FROM query_log")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = log_of_orders(stream(spark, sf_dir, "orders"))
+    log = log_of_orders(stream(state_session(spark), sf_dir, "orders"))
     return logs.run_available(spark, logs.first_seen(log, "ts", "gold_sql"), "append")

@@ -64,3 +64,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = new_shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: State on disk; without preallocated files, of which every state partition would hold several megabytes.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state on disk; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    for key, value in STATE.items():
+        own.conf.set(key, value)
+    return own

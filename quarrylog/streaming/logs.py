@@ -23,18 +23,15 @@ def templates_per_window(log: DataFrame, ts: str, sql: str, size: str, slide: st
     return counted.select(F.col("w.start").alias("window_start"), "template", "n")
 
 
-def session_durations(events: DataFrame, user: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Length of each session of a user; rows later than the watermark are dropped."""
-    timed = events.select(user, F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    sessions = timed.groupBy(user, F.session_window("ts", gap).alias("s")).agg(
-        F.count("*").alias("n_events"), F.min("ts").alias("first"), F.max("ts").alias("last")
-    )
-    seconds = (F.unix_micros("last") - F.unix_micros("first")) / 1e6
-    return sessions.select(user, "n_events", F.unix_micros("first").alias("first_us"), seconds.alias("seconds"))
-
-
-def first_seen(log: DataFrame, ts: str, sql: str, delay: str = "1 hour") -> DataFrame:
-    """Each statement once within the watermark delay."""
+def first_seen(log: DataFrame, ts: str, sql: str, delay: str | None = None) -> DataFrame:
+    """Each SQL text once.
+
+    Without ``delay`` a text is never handed on again: the state keeps every text
+    that was seen, on disk in a ``state_session``. With it a text is forgotten, and
+    may come again, once the watermark has passed its first time by ``delay``.
+    """
+    if delay is None:
+        return log.select(sql).dropDuplicates([sql])
     timed = log.select(F.col(ts).cast("timestamp").alias("ts"), sql)
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([sql]).select(sql)
 
