@@ -108,35 +108,96 @@ def column_refs(sql: Column) -> Column:
     return let(_bare(sql), refs)
 
 
-def qualified_column_refs(sql: Column) -> Column:
-    """``TABLE.COLUMN`` for every qualified name, its alias resolved through the FROM lists."""
+_SET_WORDS = {"UNION", "INTERSECT", "EXCEPT", "MINUS"}
+_LIST_WORDS = {"FROM", "JOIN", "INTO", "UPDATE"}
+_NO_ALIAS = {*_STOP_WORDS.split("|"), *_LIST_WORDS, "AS", "AND", "OR", "NOT", "ALL", "BY"}
+_LIST_GOES_ON = set("AS ON USING AND OR NOT LEFT RIGHT FULL INNER OUTER CROSS NATURAL LATERAL".split())
+_SCOPE_TOKEN = re.compile(rf"{NAME}(?:\.{NAME})*|[(),;]")
 
-    def refs(bare: Column) -> Column:
-        pairs = F.regexp_extract_all(bare, F.lit(rf"\b{NAME}\.{NAME}\b"), F.lit(0))
-
-        def resolve(bound: Column) -> Column:
-            return F.transform(
-                bound["pairs"],
-                lambda p: let(
-                    F.filter(bound["items"], lambda w: _alias_of(w) == F.substring_index(p, ".", 1)),
-                    lambda hit: F.concat_ws(
-                        ".",
-                        F.when(F.size(hit) > 0, F.substring_index(hit[0][0], ".", -1)).otherwise(
-                            F.substring_index(p, ".", 1)
-                        ),
-                        F.substring_index(p, ".", -1),
-                    ),
-                ),
-            )
 
-        return F.array_distinct(let(F.struct(pairs.alias("pairs"), _from_items(bare).alias("items")), resolve))
+class _Scope:
+    """The names that one SELECT block defines: alias -> table, or None for a CTE or a derived table."""
 
-    return let(_bare(sql), refs)
+    def __init__(self, outer: _Scope | None):
+        self.outer, self.aliases, self.ctes = outer, {}, set()
+
+    def is_cte(self, name: str) -> bool:
+        return name in self.ctes or (self.outer is not None and self.outer.is_cte(name))
 
+    def table_of(self, qualifier: str) -> str | None:
+        """The table a qualifier stands for here; an unknown one is a table's own name."""
+        scope = self
+        while scope is not None:
+            if qualifier in scope.aliases:
+                return scope.aliases[qualifier]
+            scope = scope.outer
+        return None if self.is_cte(qualifier) else qualifier
 
-def _alias_of(words: Column) -> Column:
-    last = F.element_at(words, -1)
-    return F.when(F.size(words) > 1, last).otherwise(F.substring_index(words[0], ".", -1))
+
+def scoped_columns(bare: str) -> list[dict[str, str]]:
+    """``(table_name, column_name)`` of every qualified name of a statement as ``_bare`` leaves it, in order and once each.
+
+    A parenthesis opens a scope within the one around it, a set operation a new
+    scope beside the last one. A qualifier is looked up from its own scope
+    outwards, so an inner alias hides an outer one. Columns of CTEs and of
+    derived tables belong to no table and are left out.
+    """
+    tokens = _SCOPE_TOKEN.findall(bare)
+    scope, stack, found = _Scope(None), [], []
+    in_list = expects = False  # inside a FROM list; a table name or a derived table comes next
+    for i, token in enumerate(tokens):
+        after = tokens[i + 1] if i + 1 < len(tokens) else ""
+        if token == "(":
+            stack.append((scope, in_list, expects))
+            scope, in_list, expects = _Scope(scope), False, False
+        elif token in ");":
+            if token == ")" and stack:
+                scope, in_list, derived = stack.pop()
+                if derived and _is_alias(alias := _alias_after(tokens, i)):
+                    scope.aliases[alias] = None
+            expects = False
+        elif token == ",":
+            expects = in_list
+        elif token in _SET_WORDS:
+            beside = _Scope(scope.outer)
+            beside.ctes = scope.ctes
+            scope, in_list, expects = beside, False, False
+        elif token in _LIST_WORDS:
+            in_list = expects = True
+        elif expects and token not in _NO_ALIAS:
+            name, alias = token.rsplit(".", 1)[-1], _alias_after(tokens, i)
+            scope.aliases[alias if _is_alias(alias) else name] = None if "." not in token and scope.is_cte(name) else name
+            expects = False
+        elif after == "AS" and tokens[i + 2 : i + 3] == ["("] and "." not in token and token not in _NO_ALIAS:
+            scope.ctes.add(token)
+        elif token in _NO_ALIAS:
+            in_list, expects = in_list and token in _LIST_GOES_ON, False
+        elif "." in token:
+            found.append((scope, *token.rsplit(".", 2)[-2:]))
+    named = dict.fromkeys((table, column) for scope, qualifier, column in found if (table := scope.table_of(qualifier)) is not None)
+    return [{"table_name": t, "column_name": c} for t, c in named]
+
+
+def _alias_after(tokens: list[str], i: int) -> str:
+    at = i + 2 if tokens[i + 1 : i + 2] == ["AS"] else i + 1
+    return tokens[at] if at < len(tokens) else ""
+
+
+def _is_alias(token: str) -> bool:
+    return token not in _NO_ALIAS and token not in {"", "(", ")", ",", ";"} and "." not in token
+
+
+_COLUMN_OWNER = T.ArrayType(T.StructType([T.StructField("table_name", T.StringType()), T.StructField("column_name", T.StringType())]))
+
+
+@F.pandas_udf(_COLUMN_OWNER)
+def _scoped(bare: pd.Series) -> pd.Series:
+    return bare.map(lambda text: scoped_columns(text) if text is not None else [])
+
+
+def owned_columns(sql: Column) -> Column:
+    """``(table_name, column_name)`` of every qualified column, aliases resolved by scope."""
+    return _scoped(_bare(sql))
 
 
 def generalise(sql: Column) -> Column:

@@ -78,6 +78,37 @@ def refs(source: str, sql: str, prefix: str = "", keep: str = "*") -> dict[str,
     }
 
 
+def owned_columns(source: str, sql: str, key: str = "query_id") -> dict[str, str]:
+    """Named selects up to ``owned_columns (key, table_name, column_name)``: qualified columns, aliases resolved by scope.
+
+    A token's scope is the last parenthesis, or set operation, that opened at its depth.
+    """
+    sets, lists = "('UNION', 'INTERSECT', 'EXCEPT', 'MINUS')", "('FROM', 'JOIN', 'INTO', 'UPDATE')"
+    stops = "(" + ", ".join(quoted(w) for w in [*_STOPS.split("|"), "FROM", "JOIN", "INTO", "UPDATE", "AS", "AND", "OR", "NOT", "ALL", "BY"]) + ")"
+    name = f"t NOT IN {stops} AND t NOT IN ('(', ')', ',', ';')"
+    here = f"PARTITION BY {key}, s ORDER BY i"
+    return {
+        "toks": f"SELECT {key}, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM (SELECT {key}, {found(bare(sql), rf'{NAME}(?:[.]{NAME})*|[(),;]')} AS w FROM {source})",
+        "deep": f"SELECT *, sum(CASE t WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS d FROM toks",
+        "placed": f"""SELECT *, coalesce(max(CASE WHEN t = '(' OR t IN {sets} THEN i END) OVER (PARTITION BY {key}, d ORDER BY i), 0) AS s,
+          coalesce(max(CASE WHEN t = '(' THEN i END) OVER (PARTITION BY {key}, d ORDER BY i), 0) AS o, lead(t) OVER (PARTITION BY {key} ORDER BY i) AS next,
+          lead(t, 2) OVER (PARTITION BY {key} ORDER BY i) AS second FROM deep""",
+        "scopes": f"SELECT DISTINCT p.{key}, p.s, u.s AS outer_s FROM placed p LEFT JOIN placed u ON u.{key} = p.{key} AND u.i = p.o - 1 AND p.o > 0",
+        "ctes": f"SELECT {key}, s, t FROM placed WHERE next = 'AS' AND second = '(' AND {name}",
+        "listed": f"""SELECT *, lag(t) OVER ({here}) AS before, CASE WHEN next = 'AS' THEN second ELSE next END AS alias,
+          last_value(CASE WHEN t IN {lists} THEN true WHEN t IN {stops} AND t NOT IN ('AS', 'ON', 'USING', 'AND', 'OR', 'NOT', 'LEFT', 'RIGHT', 'FULL', 'INNER', 'OUTER', 'CROSS', 'NATURAL', 'LATERAL') THEN false END IGNORE NULLS) OVER ({here}) AS in_list FROM placed""",
+        "aliases": f"""SELECT {key}, s, CASE WHEN alias IS NOT NULL AND alias NOT IN {stops} AND alias NOT IN ('(', ')', ',', ';') THEN alias ELSE split_part(t, '.', -1) END AS alias, split_part(t, '.', -1) AS table_name
+          FROM listed WHERE {name} AND (before IN {lists} OR (before = ',' AND in_list))""",
+        "around": f"""SELECT {key}, s, s AS a, 0 AS far FROM scopes UNION ALL SELECT c.{key}, c.s, p.outer_s, 1 FROM scopes c JOIN scopes p ON p.{key} = c.{key} AND p.s = c.s WHERE p.outer_s IS NOT NULL
+          UNION ALL SELECT c.{key}, c.s, g.outer_s, 2 FROM scopes c JOIN scopes p ON p.{key} = c.{key} AND p.s = c.outer_s JOIN scopes g ON g.{key} = c.{key} AND g.s = p.s WHERE g.outer_s IS NOT NULL""",
+        "qualified": f"SELECT {key}, s, i, split_part(t, '.', -2) AS alias, split_part(t, '.', -1) AS column_name FROM listed WHERE contains(t, '.') AND NOT (before IN {lists} OR (before = ',' AND in_list))",
+        "owned_columns": f"""SELECT DISTINCT {key}, table_name, column_name FROM (
+          SELECT q.{key}, q.column_name, coalesce(arg_min(x.table_name, r.far), any_value(q.alias)) AS table_name
+          FROM qualified q JOIN around r ON r.{key} = q.{key} AND r.s = q.s LEFT JOIN aliases x ON x.{key} = q.{key} AND x.s = r.a AND x.alias = q.alias GROUP BY q.{key}, q.i, q.column_name) AS z
+          WHERE NOT EXISTS (SELECT 1 FROM ctes WHERE ctes.{key} = z.{key} AND ctes.t = z.table_name)""",
+    }
+
+
 def tokens(expr: str) -> str:
     return found(expr, r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")
 

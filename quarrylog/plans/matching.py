@@ -12,6 +12,7 @@ from quarrylog.operators import catalog_match as ops
 from quarrylog.operators.compute import once
 from quarrylog.operators.joins import first_per_group
 from quarrylog.registry import query
+from quarrylog.session import cut_lineage
 
 
 def gold() -> Column:
@@ -86,7 +87,9 @@ def owning_database(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUALIFIED = o.with_(
     query_log=QUERY_LOG_SQL,
-    seen=f"SELECT query_id, db_id, list_sort(list_distinct({o.found('upper(gold_sql)', r'[A-Z_]+[.][A-Z_]+')})) AS cols FROM query_log",
+    **o.owned_columns("query_log", "gold_sql"),
+    named="SELECT query_id, list_sort(list(table_name || '.' || column_name)) AS cols FROM owned_columns GROUP BY query_id",
+    seen="SELECT query_id, db_id, coalesce(cols, []) AS cols FROM query_log LEFT JOIN named USING (query_id)",
     counts="SELECT db_id, c, count(*) AS n FROM (SELECT db_id, unnest(cols) AS c FROM seen) AS u GROUP BY ALL",
     owned="SELECT db_id, c FROM (SELECT *, avg(n) OVER (PARTITION BY c) AS m FROM counts) AS a WHERE n >= m",
     sets="SELECT DISTINCT cols FROM seen WHERE len(cols) > 0",
@@ -96,7 +99,8 @@ _QUALIFIED = o.with_(
 
 
 def _qualified_owners(log: DataFrame) -> DataFrame:
-    pairs = F.array_distinct(F.regexp_extract_all(F.upper(gold()), F.lit(r"[A-Z_]+\.[A-Z_]+"), F.lit(0)))
+    log = cut_lineage(log.select("query_id", "db_id", sqltext.owned_columns(gold()).alias("columns")))
+    pairs = F.transform("columns", lambda c: F.concat_ws(".", c["table_name"], c["column_name"]))
     counts = log.select("db_id", F.explode(pairs).alias("c")).groupBy("db_id", "c").agg(F.count("*").alias("n"))
     means = counts.groupBy("c").agg(F.avg("n").alias("m"))
     catalog = counts.join(means, "c").where("n >= m")

@@ -84,7 +84,8 @@ _LOG = o.with_(
     n="SELECT db_id, table_name, count(*) AS n FROM k GROUP BY ALL",
     e="SELECT *, coalesce(sum(n) OVER (PARTITION BY db_id ORDER BY table_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM n",
     l="SELECT db_id, table_name, string_agg(concat('SQL: ', gold_sql, ' ', chr(10)), '' ORDER BY rank) AS lines FROM k JOIN (SELECT db_id, table_name FROM e WHERE spent < 12) AS x USING (db_id, table_name) GROUP BY ALL",
-    c="SELECT DISTINCT db_id, split_part(q, '.', 1) AS a, split_part(q, '.', 2) AS column_name FROM (SELECT db_id, unnest(regexp_extract_all(upper(gold_sql), '[A-Z]+[.][A-Z_]+')) AS q FROM query_log) AS p",
+    **o.owned_columns("query_log", "gold_sql"),
+    c="SELECT DISTINCT db_id, table_name AS a, column_name FROM owned_columns JOIN query_log USING (query_id)",
     g="SELECT db_id, a AS table_name, string_agg('  ' || column_name || ' TEXT', ',' || chr(10) ORDER BY column_name) AS cols FROM c GROUP BY ALL",
     d="SELECT db_id, table_name, concat('CREATE TABLE ', table_name, '(', chr(10), cols, chr(10), ')', chr(10)) AS ddl FROM g",
 )
@@ -95,12 +96,11 @@ _LOG = o.with_(
   concat(chr(10), ' ** PREVIOUS SQL QUERIES THAT REFERRED TO THE TABLE ', table_name, ' **', chr(10), lines) ELSE '' END, chr(10)), '' ORDER BY table_name)) AS prompt
   FROM d LEFT JOIN l USING (db_id, table_name) GROUP BY db_id""")
 def log_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables are the qualifiers used in the log, with their columns."""
+    """Tables are those whose columns the log qualifies, by their own names or by an alias."""
     log = query_log(spark, sf_dir)
-    names = F.explode(F.regexp_extract_all(F.upper("gold_sql"), F.lit(r"[A-Z]+\.[A-Z_]+"), F.lit(0)))
-    parts = F.split("name", "[.]")
-    columns = log.select("db_id", names.alias("name")).distinct().select(
-        "db_id", parts[0].alias("table_name"), F.lit(0).alias("ordinal"), parts[1].alias("column_name"),
+    named = log.select("db_id", F.explode(sqltext.owned_columns(F.col("gold_sql"))).alias("c"))
+    columns = named.select("db_id", "c.*").distinct().select(
+        "db_id", "table_name", F.lit(0).alias("ordinal"), "column_name",
         F.lit("TEXT").alias("data_type"), F.lit("").alias("pkey"), F.lit("").alias("fkey"),
     )
     chosen = log_context.table_log(log, "query_id", "db_id", "gold_sql", sqltext.table_refs(F.col("gold_sql")), cap=5, budget=12)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Row, functions as F
 
 from quarrylog.functions import scores, sqltext, text, vectors
@@ -30,7 +31,35 @@ def test_table_refs(spark):
 def test_column_refs(spark):
     statement = "SELECT c.name AS n, SUM(o.total) FROM customer c JOIN orders o ON c.id = o.cid WHERE o.state = 'x' GROUP BY c.name"
     assert sorted(sql(spark, sqltext.column_refs, statement)) == ["CID", "ID", "NAME", "STATE", "TOTAL"]
-    assert sql(spark, sqltext.qualified_column_refs, statement)[0] == "CUSTOMER.NAME"
+    assert tuple(sql(spark, sqltext.owned_columns, statement)[0]) == ("CUSTOMER", "NAME")
+
+
+@pytest.mark.parametrize("statement,expected", [
+    ("SELECT a.x FROM t a WHERE a.y IN (SELECT a.z FROM u a WHERE a.v = b.w)", "T.X T.Y U.Z U.V B.W"),  # an inner alias hides the outer one
+    ("SELECT a.x FROM t a WHERE EXISTS (SELECT 1 FROM u b WHERE b.k = a.k AND b.n > (SELECT AVG(a.n) FROM v c WHERE c.k = b.k))", "T.X U.K T.K U.N T.N V.K"),
+    ("WITH big AS (SELECT o.k FROM orders o) SELECT b.k, c.n FROM big b JOIN customer AS c ON b.k = c.k", "ORDERS.K CUSTOMER.N CUSTOMER.K"),
+    ("WITH p AS (SELECT q.x FROM q), r AS (SELECT p.x FROM p) SELECT s.x FROM s, r WHERE r.x = s.y", "Q.X S.X S.Y"),
+    ("SELECT d.x, e.y FROM (SELECT a.x FROM t a) d JOIN w e ON d.x = e.x", "W.Y T.X W.X"),
+    ("SELECT a.x FROM t a UNION SELECT a.x FROM u a", "T.X U.X"),
+    ("SELECT s.t.x, COUNT(DISTINCT t.y) FROM s.t, u LEFT JOIN v ON u.k = v.k, w z WHERE z.k = 'a.b(c' GROUP BY t.y", "T.X T.Y U.K V.K W.K"),
+    ("SELECT x FROM t", ""),
+    ("COMMIT", ""),
+    (") SELECT a.x FROM t a (", "T.X"),
+])
+def test_columns_by_scope(spark, statement, expected):
+    got = sql(spark, sqltext.owned_columns, statement)
+    assert [f"{c['table_name']}.{c['column_name']}" for c in got] == expected.split()
+
+
+def test_prompts_show_the_log(spark, sf):
+    """Every table that the log qualifies appears by its own name, with earlier queries."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["f23_log_prompt"](spark, sf).collect()
+    assert len(found) == 5
+    for r in found:
+        assert "CREATE TABLE CUSTOMER(" in r.prompt and "CREATE TABLE BIG(" not in r.prompt
+        assert "REFERRED TO THE TABLE CUSTOMER" in r.prompt and "SQL: SELECT" in r.prompt
 
 
 def test_generalise(spark):
