@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quarrylog.functions.vectors import as_double, cosine
-from quarrylog.operators.joins import first_per_group
+from quarrylog.operators.joins import first_per_group, spread_join
+from quarrylog.session import cut_lineage
 
 BLOCK_ROWS = 4096
+CENTRES = 64
+SLACK = 1e-6  # more than rounding can move a bound
 SCORE_DIGITS = 9  # scores that differ only by summation order rank as ties, then by id
 
 
@@ -36,51 +40,133 @@ def best_in_block(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarr
     return rows[place < k], cols[place < k]
 
 
+def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
+    """``n`` vectors chosen by a hash of their ids, as unit rows: a sample of bounded size."""
+    rows = vectors.where("vector is not null").select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(n).collect()
+    matrix = np.array([r.vector for r in rows], dtype=np.float64)
+    norms = np.sqrt((matrix * matrix).sum(axis=1)) if len(rows) else np.zeros(0)
+    return matrix[norms > 0] / norms[norms > 0, None] if len(rows) else matrix
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def _grouped(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``id``, unit ``vector``, nearest ``centre`` and the ``angle`` to it; vectors without a direction match nothing and go."""
+
+    def run(frames):
+        for frame in frames:
+            unit, usable = _unit_rows(frame["vector"])
+            frame, unit = frame[usable], unit[usable]
+            angles = _angles(unit, pivots) if len(frame) else np.zeros((0, len(pivots)))
+            yield pd.DataFrame({"id": frame["id"], "vector": pd.Series(list(unit), index=frame.index, dtype=object), "centre": angles.argmin(axis=1).astype("int32"), "angle": angles.min(axis=1)})
+
+    kind = dict(vectors.dtypes)["id"]
+    rows = vectors.where("vector is not null").select("id", as_double(F.col("vector")).alias("vector"))
+    return cut_lineage(rows.mapInPandas(run, f"id {kind}, vector array<double>, centre int, angle double"))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Of each centre: the number of blocks on both sides, and the largest angle of a target."""
+
+    q_blocks: list[int]
+    t_blocks: list[int]
+    radius: np.ndarray
+
+
+def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: int) -> Layout:
+    def blocks(df: DataFrame) -> tuple[list[int], np.ndarray]:
+        n, radius = [0] * centres, np.zeros(centres)
+        for r in df.groupBy("centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row per centre
+            n[r.centre], radius[r.centre] = math.ceil(r.n / block_rows), r.radius
+        return n, radius
+
+    t_blocks, radius = blocks(targets)
+    return Layout(t_blocks if queries is targets else blocks(queries)[0], t_blocks, radius)
+
+
+def _score_block(q: pd.DataFrame, t: pd.DataFrame, skip_same_id: bool) -> np.ndarray:
+    """Scores of two blocks of unit vectors; NaN where a pair does not count."""
+    scores = np.round(np.array(q["vector"].tolist()) @ np.array(t["vector"].tolist()).T, SCORE_DIGITS) + 0.0
+    if skip_same_id:
+        scores[q["id"].to_numpy()[:, None] == t["id"].to_numpy()[None, :]] = np.nan
+    return scores
+
+
+def _with_near_centres(queries: DataFrame, targets: DataFrame, pivots: np.ndarray, layout: Layout, k: int, skip_same_id: bool) -> DataFrame:
+    """Queries with ``qb``, their block, and ``near``: the centres whose targets can reach their best ``k``.
+
+    A query meets one block of its own centre first. The ``k``-th score found
+    there is a bound from below; by the triangle inequality no target of a centre
+    scores more than the cosine of the angle to the centre less the centre's radius.
+    """
+    of = lambda counts, centre: F.get(F.array(*map(F.lit, counts)), centre)
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    mine, theirs = of(layout.q_blocks, F.col("centre")), of(layout.t_blocks, F.col("centre"))
+    left = queries.withColumn("qb", salt(mine)).withColumn("tb", F.col("qb") % F.greatest(theirs, F.lit(1)))
+    meets = F.filter(F.sequence(F.lit(0), mine - 1), lambda b: b % theirs == F.col("tb"))
+    right = targets.withColumn("tb", salt(theirs)).where(mine > 0).withColumn("qb", F.explode(meets))
+    held = np.array(layout.t_blocks) > 0
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        bound = np.full(len(q), -2.0)
+        if len(q) and len(t):
+            scores = np.where(np.isnan(found := _score_block(q, t, skip_same_id)), -np.inf, found)
+            if scores.shape[1] >= k:
+                bound = np.maximum(bound, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+        near = np.zeros((0, len(pivots)), bool)
+        if len(q):
+            most = np.cos(np.maximum(0.0, _angles(np.array(q["vector"].tolist()), pivots) - layout.radius))
+            near = (most >= bound[:, None] - SLACK) & held
+        return pd.DataFrame({"id": q["id"], "vector": q["vector"].astype(object), "qc": q["centre"], "qb": q["qb"], "near": pd.Series([np.flatnonzero(row).astype("int32") for row in near], index=q.index, dtype=object)})
+
+    keys = ["centre", "qb", "tb"]
+    kind = dict(queries.dtypes)["id"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"id {kind}, vector array<double>, qc int, qb int, near array<int>")
+    return cut_lineage(met)
+
+
 def top_similar(
-    queries: DataFrame, targets: DataFrame, k: int, block_rows: int = BLOCK_ROWS, skip_same_id: bool = False
+    queries: DataFrame, targets: DataFrame, k: int, block_rows: int = BLOCK_ROWS, skip_same_id: bool = False, centres: int = CENTRES
 ) -> DataFrame:
     """Exact best ``k`` targets of each query by cosine; both sides are ``(id, vector)``.
 
-    Both sides are cut into blocks of bounded size by a hash of the id. A task
-    scores one pair of blocks as a matrix product and hands on only ``k`` rows
-    per query, so the score matrix never exists as rows and no side is
-    broadcast. The block lists are joined on equal block numbers.
+    Vectors are grouped by the nearest of a bounded sample of ``centres`` and each
+    group is cut into blocks of bounded size by a hash of the id. A query goes to
+    the blocks of those centres only whose targets can still reach its best ``k``
+    (``_with_near_centres``), so well-separated groups never meet. A task scores one
+    pair of blocks as a matrix product and hands on only ``k`` rows per query; the
+    score matrix never exists as rows and no side is broadcast.
     """
-    q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    t_blocks = max(1, math.ceil(targets.count() / block_rows))
-
-    def blocked(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.select(
-            "id",
-            as_double(F.col("vector")).alias("vector"),
-            F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other),
-        )
-
-    left = blocked(queries, "qb", q_blocks, "tb", t_blocks)
-    right = blocked(targets, "tb", t_blocks, "qb", q_blocks)
+    q_type, t_type = dict(queries.dtypes)["id"], dict(targets.dtypes)["id"]
+    schema = f"q_id {q_type}, t_id {t_type}, score double"
+    pivots = _pivots(targets, centres)
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    t = _grouped(targets, pivots)
+    q = t if queries is targets else _grouped(queries, pivots)
+    layout = _layout(q, t, len(pivots), block_rows)
+    asked = _with_near_centres(q, t, pivots, layout, k, skip_same_id)
+
+    n_blocks = F.get(F.array(*map(F.lit, layout.t_blocks)), F.col("tc"))
+    left = asked.select("id", "vector", "qc", "qb", F.explode("near").alias("tc"))
+    groups = left.select(*[F.col(c).alias(c) for c in ("qc", "qb", "tc")]).distinct()
+    left = left.withColumn("tb", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    right = t.select("id", "vector", F.col("centre").alias("tc")).withColumn("tb", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+    right = spread_join(right, groups, ["tc"], ["id"]).select("id", "vector", *[F.col(c).alias(c) for c in ("qc", "qb", "tc", "tb")])
     empty = pd.DataFrame({"q_id": [], "t_id": [], "score": []})
 
     def score(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return empty
-        q_unit, q_ok = _unit_rows(q["vector"])
-        t_unit, t_ok = _unit_rows(t["vector"])
-        scores = np.round(q_unit @ t_unit.T, SCORE_DIGITS) + 0.0
-        scores[~q_ok, :] = np.nan
-        scores[:, ~t_ok] = np.nan
-        q_ids, t_ids = q["id"].to_numpy(), t["id"].to_numpy()
-        if skip_same_id:
-            scores[q_ids[:, None] == t_ids[None, :]] = np.nan
+        scores, t_ids = _score_block(q, t, skip_same_id), t["id"].to_numpy()
         rows, cols = best_in_block(scores, t_ids, k)
-        return pd.DataFrame({"q_id": q_ids[rows], "t_id": t_ids[cols], "score": scores[rows, cols]})
+        return pd.DataFrame({"q_id": q["id"].to_numpy()[rows], "t_id": t_ids[cols], "score": scores[rows, cols]})
 
-    q_type, t_type = dict(queries.dtypes)["id"], dict(targets.dtypes)["id"]
-    partial = (
-        left.groupBy("qb", "tb")
-        .cogroup(right.groupBy("qb", "tb"))
-        .applyInPandas(score, f"q_id {q_type}, t_id {t_type}, score double")
-    )
+    keys = ["qc", "qb", "tc", "tb"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
     return first_per_group(partial, ["q_id"], [F.desc("score"), "t_id"], k)
 
 

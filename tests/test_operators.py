@@ -266,6 +266,35 @@ def test_top_similar_over_blocks(spark):
     assert {(r["q_id"], r["rank"], r["t_id"]) for r in got} == want
 
 
+def test_top_similar_leaves_out_far_groups(spark):
+    """Tight groups far apart: queries meet their own group and the few near it, and the answer stays exact."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.normal(size=(12, 16)), 40, axis=0) + rng.normal(scale=0.02, size=(480, 16))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    got = similarity.top_similar(frame, frame, 5, block_rows=16, skip_same_id=True, centres=24).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(scores, -2)
+    want = {(i, rank, j) for i, row in enumerate(scores) for rank, j in enumerate(np.lexsort((np.arange(480), -row))[:5].tolist(), 1)}
+    assert {(r["q_id"], r["rank"], r["t_id"]) for r in got} == want
+
+    pivots = similarity._pivots(frame, 24)
+    grouped = similarity._grouped(frame, pivots)
+    layout = similarity._layout(grouped, grouped, len(pivots), 16)
+    asked = similarity._with_near_centres(grouped, grouped, pivots, layout, 5, True).collect()
+    pairs = sum(layout.t_blocks[c] for r in asked for c in r.near)
+    assert pairs < 0.4 * len(asked) * sum(layout.t_blocks)
+
+
+def test_top_similar_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, vector array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "id long, vector array<double>")
+    assert similarity.top_similar(one, empty, 3).collect() == similarity.top_similar(empty, one, 3).collect() == []
+    assert [r["t_id"] for r in similarity.top_similar(one, one, 3).collect()] == [1]
+
+
 def test_samples(spark):
     frame = spark.range(100).select("id", F.when(F.col("id") < 90, "a").otherwise("b").alias("level"))
     assert sampling.seeded_sample(frame, "id", 7, 1).collect() == sampling.seeded_sample(frame.repartition(5), "id", 7, 1).collect()
