@@ -70,60 +70,66 @@ def shared_names(catalog: DataFrame, db: str, name: str, body: str) -> DataFrame
     )
 
 
-def overlapping_queries(
-    log: DataFrame, key: str, tables: Column, k: int = 5, enumerate_up_to: int = 10
-) -> DataFrame:
+def _ranked_sets(rows: DataFrame, key: str, keep: int) -> DataFrame:
+    """``set_key, tables, n, ids`` of the distinct table sets: rarest table first, and the first ``keep`` queries."""
+    firsts = first_per_group(rows, ["set_key"], [key], keep, "pos")
+    sets = firsts.groupBy("set_key").agg(F.first("tables").alias("tables"), F.array_sort(F.collect_list(key)).alias("ids"))
+    sets = cut_lineage(sets)
+    members = sets.select("set_key", F.explode("tables").alias("table_name"))
+    rarity = members.groupBy("table_name").agg(F.count("*").alias("df"))
+    ordered = spread_join(members, rarity, ["table_name"], ["set_key"], n="df").groupBy("set_key")
+    ordered = ordered.agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "table_name"))), lambda t: t["table_name"]).alias("tables"))
+    return cut_lineage(ordered.join(sets.select("set_key", "ids"), "set_key").select("set_key", "tables", F.size("tables").alias("n"), "ids"))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each probe's candidates ``(probe, id, score)``, each counted once."""
+    once_each = scored.groupBy("probe", "id").agg(F.first("score").alias("score"))
+    return first_per_group(once_each, ["probe"], [F.desc("score"), "id"], k, "pos")
+
+
+def overlapping_queries(log: DataFrame, key: str, tables: Column, k: int = 5) -> DataFrame:
     """For each query the ``k`` others with the best table overlap (V4), ties by key.
 
     The score depends on the two table sets alone, so it is worked out between
-    distinct sets. A set of ``n`` tables posts its first ``k + 1`` queries under
-    each of its 2^n subsets; only the first ``k + 1`` queries of a
-    (subset, size) list can reach a top ``k``, because every member of the list
-    (I, n) scores at least what a set meeting the probe in exactly I scores.
-    Sets above ``enumerate_up_to`` tables are rare and are paired through the
-    table index instead, so no candidate is lost.
+    distinct sets, in one plan for sets of any size.
+
+    1. A probe meets the first ``k + 1`` queries of each (table, size) list of its
+       tables, and of each size. A query that shares one table with it, or none,
+       is beaten by those. The ``k + 1``-th best of them bounds the answer from below.
+    2. What else can reach that bound shares as many tables as the bound says, two
+       at least. Two sets that share ``o`` tables share one among the rarest tables
+       of both, all but ``o - 1`` each; so only the postings of a probe's rarest
+       tables are read, where the sizes allow the bound.
     """
     named = once(log, tables=F.array_sort(F.array_distinct(tables))).select(key, "tables").where(F.size("tables") > 0)
     # Read three times below; the set key is far smaller than the SQL it comes from.
     rows = cut_lineage(named.withColumn("set_key", F.array_join("tables", SEP)))
-    firsts = first_per_group(rows, ["set_key"], [key], k + 1, "pos")
-    heads = firsts.groupBy("set_key").agg(
-        F.first("tables").alias("tables"), F.array_sort(F.collect_list(key)).alias("ids")
-    )
-    sets = heads.withColumn("n", F.size("tables"))
-    subsets = F.expr(
-        f"IF(n <= {enumerate_up_to},"
-        " transform(sequence(0, CAST(pow(2, n) AS INT) - 1),"
-        f"  m -> array_join(filter(tables, (t, i) -> (m & shiftleft(1, i)) > 0), '{SEP}')),"
-        " array(''))"
-    )
-    posted = sets.select(F.explode(subsets).alias("subset"), "n", "set_key", "tables", F.explode("ids").alias("id"))
-    postings = first_per_group(posted, ["subset", "n"], ["id"], k + 1, "pos").drop("pos")
-    probes = sets.select(F.col("set_key").alias("probe"), F.col("tables").alias("probe_tables"), F.explode(subsets).alias("subset"))
-    # Every set is under the empty subset, and many are under that of a frequent table.
-    asked = probes.groupBy("subset").agg(F.count("*").alias("n_probes"))
-    met = spread_join(
-        probes, postings.join(asked, "subset"), ["subset"], ["probe"], n="n_probes", total=probes.groupBy().count().scalar()
-    )
-    by_subset = met.select("probe", "probe_tables", "set_key", "tables", "id")
-
-    indexed = sets.select("set_key", "tables", "n", "ids", F.explode("tables").alias("table_name"))
-    left = indexed.select(
-        F.col("set_key").alias("probe"), F.col("tables").alias("probe_tables"), F.col("n").alias("probe_n"), "table_name"
-    )
-    long_side = f"n > {enumerate_up_to}"
-    by_table = (
-        left.join(indexed.where(long_side), "table_name")
-        .unionByName(left.where(f"probe_n > {enumerate_up_to}").join(indexed.where(f"NOT {long_side}"), "table_name"))
-        .select("probe", "probe_tables", "set_key", "tables", F.explode("ids").alias("id"))
-    )
-    scored = (
-        by_subset.unionByName(by_table)
-        .withColumn("score", table_overlap(F.col("probe_tables"), F.col("tables")))
-        .groupBy("probe", "id")
-        .agg(F.first("score").alias("score"))
-    )
-    best = first_per_group(scored, ["probe"], [F.desc("score"), "id"], k + 1, "pos")
+    sets = _ranked_sets(rows, key, k + 1)
+    probes = sets.select(F.col("set_key").alias("probe"), F.col("tables").alias("probe_tables"), F.col("n").alias("probe_n"))
+    score = table_overlap(F.col("probe_tables"), F.col("tables")).alias("score")
+    # Every set is listed under no table, too.
+    lists = sets.select(F.explode(F.concat("tables", F.array(F.lit("")))).alias("table_name"), "n", "tables", F.explode("ids").alias("id"))
+    heads = first_per_group(lists, ["table_name", "n"], ["id"], k + 1, "pos").drop("pos")
+    asked = probes.select("probe", "probe_tables", F.explode(F.concat("probe_tables", F.array(F.lit("")))).alias("table_name"))
+    asking = asked.groupBy("table_name").agg(F.count("*").alias("n_probes"))
+    total = asked.groupBy().count().scalar()
+    met = spread_join(asked, heads.join(asking, "table_name"), ["table_name"], ["probe"], n="n_probes", total=total)
+    own = sets.select(F.col("set_key").alias("probe"), F.explode("ids").alias("id"), F.col("n").cast("double").alias("score"))
+    first = cut_lineage(_best(met.select("probe", "id", score).unionByName(own), k + 1).drop("pos"))
+
+    bounds = first.groupBy("probe").agg(F.min("score").alias("least"), F.count("*").alias("found")).where(F.col("found") > k)
+    shared = F.greatest(F.lit(2), F.ceil("least")).cast("int")
+    deep = probes.join(bounds, "probe").withColumn("shared", shared).where("shared <= probe_n")
+    deep = deep.withColumn("table_name", F.explode(F.slice("probe_tables", F.lit(1), F.col("probe_n") - F.col("shared") + 1)))
+    posts = sets.select("set_key", "tables", "n", "ids", F.posexplode("tables").alias("place", "table_name"))
+    wanted = deep.groupBy("table_name").agg(F.count("*").alias("n_probes"))
+    pairs = spread_join(deep, posts.join(wanted, "table_name"), ["table_name"], ["probe"], n="n_probes", total=deep.groupBy().count().scalar())
+    reach = F.least("probe_n", "n") - F.abs(F.col("probe_n") - F.col("n")) / F.col("probe_n")
+    pairs = pairs.where((F.col("place") <= F.col("n") - F.col("shared")) & (reach >= F.col("least")) & (F.col("probe") != F.col("set_key")))
+    more = pairs.select("probe", "ids", "least", score).where("score >= least").select("probe", F.explode("ids").alias("id"), "score")
+
+    best = _best(first.unionByName(more.select(first.columns)), k + 1)
     lists = best.groupBy(F.col("probe").alias("set_key")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "id", "score"))).alias("best")
     )

@@ -69,22 +69,31 @@ def _grouped(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Of each centre: the number of blocks on both sides, and the largest angle of a target."""
+    """Centres packed into cells of about a block, in order: cell, largest angle and presence of targets per centre, blocks of both sides per cell."""
 
+    cell: np.ndarray
+    radius: np.ndarray
+    held: np.ndarray
     q_blocks: list[int]
     t_blocks: list[int]
-    radius: np.ndarray
 
 
 def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: int) -> Layout:
-    def blocks(df: DataFrame) -> tuple[list[int], np.ndarray]:
-        n, radius = [0] * centres, np.zeros(centres)
+    def sizes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        n, radius = np.zeros(centres, np.int64), np.zeros(centres)
         for r in df.groupBy("centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row per centre
-            n[r.centre], radius[r.centre] = math.ceil(r.n / block_rows), r.radius
+            n[r.centre], radius[r.centre] = r.n, r.radius
         return n, radius
 
-    t_blocks, radius = blocks(targets)
-    return Layout(t_blocks if queries is targets else blocks(queries)[0], t_blocks, radius)
+    t_rows, radius = sizes(targets)
+    q_rows = t_rows if queries is targets else sizes(queries)[0]
+    cell, held = np.zeros(centres, np.int64), 0
+    for c in range(centres):
+        rows = int(max(q_rows[c], t_rows[c]))
+        fits = c > 0 and held + rows <= block_rows
+        cell[c], held = (cell[c - 1], held + rows) if fits else (cell[c - 1] + 1 if c else 0, rows)
+    blocks = lambda rows: np.maximum(0, -(-np.bincount(cell, weights=rows).astype(np.int64) // block_rows)).tolist()
+    return Layout(cell, radius, t_rows > 0, blocks(q_rows), blocks(t_rows))
 
 
 def _score_block(q: pd.DataFrame, t: pd.DataFrame, skip_same_id: bool) -> np.ndarray:
@@ -96,19 +105,19 @@ def _score_block(q: pd.DataFrame, t: pd.DataFrame, skip_same_id: bool) -> np.nda
 
 
 def _with_near_centres(queries: DataFrame, targets: DataFrame, pivots: np.ndarray, layout: Layout, k: int, skip_same_id: bool) -> DataFrame:
-    """Queries with ``qb``, their block, and ``near``: the centres whose targets can reach their best ``k``.
+    """Queries with ``qc`` and ``qb``, their cell and block, and ``near``: the cells whose targets can reach their best ``k``.
 
-    A query meets one block of its own centre first. The ``k``-th score found
+    A query meets one block of its own cell first. The ``k``-th score found
     there is a bound from below; by the triangle inequality no target of a centre
     scores more than the cosine of the angle to the centre less the centre's radius.
     """
     of = lambda counts, centre: F.get(F.array(*map(F.lit, counts)), centre)
     salt = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
-    mine, theirs = of(layout.q_blocks, F.col("centre")), of(layout.t_blocks, F.col("centre"))
+    mine, theirs = of(layout.q_blocks, F.col("cell")), of(layout.t_blocks, F.col("cell"))
+    queries, targets = (df.select("id", "vector", of(layout.cell.tolist(), F.col("centre")).alias("cell")) for df in (queries, targets))
     left = queries.withColumn("qb", salt(mine)).withColumn("tb", F.col("qb") % F.greatest(theirs, F.lit(1)))
     meets = F.filter(F.sequence(F.lit(0), mine - 1), lambda b: b % theirs == F.col("tb"))
     right = targets.withColumn("tb", salt(theirs)).where(mine > 0).withColumn("qb", F.explode(meets))
-    held = np.array(layout.t_blocks) > 0
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         bound = np.full(len(q), -2.0)
@@ -119,10 +128,11 @@ def _with_near_centres(queries: DataFrame, targets: DataFrame, pivots: np.ndarra
         near = np.zeros((0, len(pivots)), bool)
         if len(q):
             most = np.cos(np.maximum(0.0, _angles(np.array(q["vector"].tolist()), pivots) - layout.radius))
-            near = (most >= bound[:, None] - SLACK) & held
-        return pd.DataFrame({"id": q["id"], "vector": q["vector"].astype(object), "qc": q["centre"], "qb": q["qb"], "near": pd.Series([np.flatnonzero(row).astype("int32") for row in near], index=q.index, dtype=object)})
+            near = (most >= bound[:, None] - SLACK) & layout.held
+        cells = [np.unique(layout.cell[row]).astype("int32") for row in near]
+        return pd.DataFrame({"id": q["id"], "vector": q["vector"].astype(object), "qc": q["cell"], "qb": q["qb"], "near": pd.Series(cells, index=q.index, dtype=object)})
 
-    keys = ["centre", "qb", "tb"]
+    keys = ["cell", "qb", "tb"]
     kind = dict(queries.dtypes)["id"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"id {kind}, vector array<double>, qc int, qb int, near array<int>")
     return cut_lineage(met)
@@ -134,8 +144,8 @@ def top_similar(
     """Exact best ``k`` targets of each query by cosine; both sides are ``(id, vector)``.
 
     Vectors are grouped by the nearest of a bounded sample of ``centres`` and each
-    group is cut into blocks of bounded size by a hash of the id. A query goes to
-    the blocks of those centres only whose targets can still reach its best ``k``
+    group is cut into blocks of bounded size by a hash of the id; small groups share
+    one. A query goes to the blocks of those groups only whose targets can still reach its best ``k``
     (``_with_near_centres``), so well-separated groups never meet. A task scores one
     pair of blocks as a matrix product and hands on only ``k`` rows per query; the
     score matrix never exists as rows and no side is broadcast.
@@ -154,7 +164,8 @@ def top_similar(
     left = asked.select("id", "vector", "qc", "qb", F.explode("near").alias("tc"))
     groups = left.select(*[F.col(c).alias(c) for c in ("qc", "qb", "tc")]).distinct()
     left = left.withColumn("tb", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    right = t.select("id", "vector", F.col("centre").alias("tc")).withColumn("tb", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+    cell = F.get(F.array(*map(F.lit, layout.cell.tolist())), F.col("centre"))
+    right = t.select("id", "vector", cell.alias("tc")).withColumn("tb", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     right = spread_join(right, groups, ["tc"], ["id"]).select("id", "vector", *[F.col(c).alias(c) for c in ("qc", "qb", "tc", "tb")])
     empty = pd.DataFrame({"q_id": [], "t_id": [], "score": []})
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylog import inputs
@@ -209,12 +210,25 @@ def brute_overlap(rows, k):
 
 
 def test_overlapping_queries_against_all_pairs(spark):
-    rng = random.Random(2)
-    rows = [(i, sorted(rng.sample("ABCDEFG", rng.choice([1, 1, 2, 2, 3, 5])))) for i in range(60)]
+    rng = random.Random(5)
+    names = [f"t{i}" for i in range(8)]
+    rows = [(i, rng.sample(names, rng.choice([1, 1, 2, 2, 3, 5]))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "i long, t array<string>")
+    got = catalog_match.overlapping_queries(frame, "i", F.col("t"), 5)
+    assert sorted((r["i"], r["rank"], r["other_i"], round(r["score"], 9)) for r in got.collect()) == brute_overlap(rows, 5)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_overlapping_queries_of_any_size(spark, hot):
+    """Sets of 1 to 40 tables, repeated ones among them, with and without a table that all sets hold."""
+    rng = random.Random(7)
+    names = [f"t{i}" for i in range(60)]
+    rows = [(i, rng.sample(names[: rng.choice([12, 30, 60])], rng.randint(1, 12)) if i % 2 else rng.sample(names, rng.randint(1, 40))) for i in range(120)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(20)]
+    rows = [(i, sorted({*t, "hot"}) if hot else t) for i, t in rows]
     frame = spark.createDataFrame(rows, "i long, t array<string>")
-    for limit in (10, 2):  # 2 sends the larger sets through the table index
-        got = catalog_match.overlapping_queries(frame, "i", F.col("t"), 5, enumerate_up_to=limit)
-        assert sorted((r["i"], r["rank"], r["other_i"], round(r["score"], 9)) for r in got.collect()) == brute_overlap(rows, 5)
+    got = catalog_match.overlapping_queries(frame, "i", F.col("t"), 5)
+    assert sorted((r["i"], r["rank"], r["other_i"], round(r["score"], 9)) for r in got.collect()) == brute_overlap(rows, 5)
 
 
 def test_owning_database_last_and_none(spark):
