@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylog.operators.joins import first_per_group
 from quarrylog.operators.sequence import ordered, runs, with_previous
+from quarrylog.session import cut_lineage
 
 
 def shortest_per_table(log: DataFrame, key: str, sql: str, tables: Column) -> DataFrame:
@@ -30,35 +31,49 @@ def table_log(log: DataFrame, key: str, scope: str, sql: str, tables: Column, ca
     return taken.join(_entered_tables(taken, scope, budget), [scope, "table_name"]).select(scope, "table_name", "rank", key)
 
 
-def table_log_once(log: DataFrame, key: str, scope: str, sql: str, tables: Column, cap: int, budget: int) -> DataFrame:
+TABLES_PER_BLOCK = 32
+
+
+def table_log_once(log: DataFrame, key: str, scope: str, sql: str, tables: Column, cap: int, budget: int, block: int = TABLES_PER_BLOCK) -> DataFrame:
     """W7 without repeats: a SQL text goes to the first table that takes it.
 
-    At most ``budget - 1 + cap`` texts are ever taken in a scope, so a table
-    needs no more than that many plus ``cap`` candidates; the walk over the
-    tables of a scope sees only those.
+    The walk goes over the tables of a scope in blocks of ``block`` tables. What
+    passes from block to block is the state of the walk: the texts in use (taken out
+    of the candidates by a join), the budget left and the last table entered. A
+    block holds only tables with an unused text, so its first table takes one, and a
+    scope needs ``budget`` blocks at most. At most ``budget - 1 + cap`` texts are ever
+    taken in a scope, so a table needs no more than that many plus ``cap``
+    candidates, and a task never sees more than ``block`` times that of one scope.
     """
-    reach = 2 * cap + budget
+    spark, reach = log.sparkSession, 2 * cap + budget
     rows = log.select(key, scope, F.length(sql).alias("n_chars"), F.md5(sql).alias("text_key"), F.explode(tables).alias("table_name"))
     distinct = rows.groupBy(scope, "table_name", "text_key").agg(F.min(F.struct("n_chars", key)).alias("first"))
-    short = first_per_group(
-        distinct.select(scope, "table_name", "text_key", "first.*"), [scope, "table_name"], ["n_chars", key], reach
-    )
-    key_type = dict(log.dtypes)[key]
+    short = distinct.select(scope, "table_name", "text_key", "first.*")
+    left = cut_lineage(first_per_group(short, [scope, "table_name"], ["n_chars", key], reach).withColumn("budget", F.lit(budget)))
+    schema = f"{scope} string, table_name string, rank int, {key} {dict(log.dtypes)[key]}, text_key string, budget int, last string"
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        left, used, out = budget, set(), []
+        budget, used, out = int(frame["budget"].iloc[0]), set(), []
         for name, candidates in frame.sort_values(["table_name", "rank"]).groupby("table_name", sort=True):
-            if left <= 0:
+            if budget <= 0:
                 break
             fresh = candidates[~candidates["text_key"].isin(used)].head(cap)
             used.update(fresh["text_key"])
-            left -= len(fresh)
+            budget -= len(fresh)
             out.append(fresh.assign(rank=range(1, len(fresh) + 1)))
-        columns = [scope, "table_name", "rank", key]
-        return pd.concat(out)[columns] if out else frame.head(0)[columns]
-
-    schema = f"{scope} string, table_name string, rank int, {key} {key_type}"
-    return short.groupBy(scope).applyInPandas(walk, schema)
+        return pd.concat(out).assign(budget=budget, last=frame["table_name"].max())[[scope, "table_name", "rank", key, "text_key", "budget", "last"]]
+
+    done = spark.createDataFrame([], schema)
+    for _ in range(budget):
+        entered = first_per_group(left.select(scope, "table_name").distinct(), [scope], ["table_name"], block, "place").select(scope, "table_name")
+        taken = cut_lineage(left.join(entered, [scope, "table_name"], "left_semi").groupBy(scope).applyInPandas(walk, schema))
+        if taken.isEmpty():
+            break
+        done = done.unionByName(taken)
+        state = taken.groupBy(scope).agg(F.first("budget").alias("_budget"), F.first("last").alias("_last")).where("_budget > 0")
+        ahead = left.join(state, scope).where("table_name > _last").withColumn("budget", F.col("_budget")).select(left.columns)
+        left = cut_lineage(ahead.join(taken.select(scope, "text_key"), [scope, "text_key"], "left_anti").select(left.columns))
+    return done.select(scope, "table_name", "rank", key)
 
 
 def drop_consecutive_repeats(log: DataFrame, key: str, group: str, sql: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from quarrylog.functions.vocab import REQUIRED_SCHEMA_COLUMNS
+from quarrylog.session import new_shared_path
 
 
 def ingest(records: DataFrame) -> DataFrame:
@@ -15,6 +18,38 @@ def ingest(records: DataFrame) -> DataFrame:
     return renamed.withColumns({**blanks, "adjusted": F.lit(False), "options": F.array().cast("array<string>"), "db_id": db})
 
 
+@dataclass(frozen=True)
+class Checked:
+    """What passed, what did not (with all its ``errors``), and how many rows there were of both."""
+
+    accepted: DataFrame
+    rejected: DataFrame
+    n: int
+    n_rejected: int
+
+    @property
+    def passed(self) -> bool:
+        return self.n_rejected == 0
+
+
+def split_valid(records: DataFrame, errors: Column) -> Checked:
+    """Reads ``records`` once: rows without ``errors`` (an array of texts) and rejects go to a partition each, counted on the way."""
+    seen = Observation()
+    flagged = records.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+    path = new_shared_path(records.sparkSession, "checked")
+    counted = flagged.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("n_rejected"))
+    counted.write.partitionBy("valid").parquet(path)
+    stored = records.sparkSession.read.schema(flagged.schema).parquet(path)
+    return Checked(stored.where("valid").drop("valid", "errors"), stored.where("NOT valid").drop("valid"), **seen.get)
+
+
+def record_errors() -> Column:
+    """What a record lacks, as texts."""
+    return F.filter(
+        F.array(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in ("sql", "question")]), lambda e: e.isNotNull()
+    )
+
+
 def record_violations(records: DataFrame, key: str) -> DataFrame:
     """Records without SQL or question."""
     missing = F.concat(

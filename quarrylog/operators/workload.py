@@ -73,14 +73,16 @@ def profile(log: DataFrame, sql: Column) -> DataFrame:
     row = log.select(
         *[c.alias(n) for n, c in counts.items()],
         F.regexp_count(sql, F.lit(" OVER ")).cast("long").alias("over_words"),
-        F.size(sqltext.tokens(sql)).cast("long").alias("tokens"),
+        sqltext.let(sqltext.tokens(sql), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.size(F.array_distinct(ngrams(t, 3))).cast("long").alias("grams"))).alias("t"),
         F.size(sqltext.table_refs(sql)).cast("long").alias("tables"),
         F.size(sqltext.column_refs(sql)).cast("long").alias("columns"),
     )
     every = reduce(lambda a, b: a + b, [F.col(n) for n in counts])
     aggregate = reduce(lambda a, b: a + b, [F.col(n) for n in vocab.AGGREGATE_CATEGORIES])
+    row = row.select("*", F.col("t.n").alias("tokens"), F.col("t.grams").alias("trigrams")).drop("t")
     return row.agg(
         F.count("*").alias("n_queries"),
+        F.avg("trigrams").alias("avg_trigrams"),
         (F.sum(every) / F.count("*")).alias("avg_keywords"),
         F.avg("tokens").alias("avg_tokens"),
         F.max("tokens").alias("max_tokens"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions.text import sentences
-from quarrylog.inputs import NL_PAIRS_SQL, nl_pairs, table
+from quarrylog.functions.vectors import cosine
+from quarrylog.inputs import NL_PAIRS_SQL, embeddings, nl_pairs, table
 from quarrylog.operators import nl_scores as ops
 from quarrylog.registry import query
 
@@ -62,7 +63,16 @@ def rouge_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nl_pairs(spark, sf_dir).select(*KEYS, F.round(score, 6).alias("rouge_1"))
 
 
-@query("e18_rouge_l")
+# The row of common lengths of a reference's prefixes, word by word of the generated text.
+_NEXT_ROW = """list_reduce(list_prepend({'row': [0], 'j': CAST(0 AS BIGINT)}, list_transform(range(1, len(r) + 1), lambda j: {'row': CAST([] AS INTEGER[]), 'j': j})),
+   lambda a, y: {'row': list_append(a.row, CASE WHEN r[y.j] = x.w THEN acc.row[y.j] + 1 ELSE greatest(acc.row[y.j + 1], a.row[y.j]) END), 'j': y.j}).row"""
+_ROUGE_L = rf"""lw AS (SELECT conv_id, turn, regexp_extract_all(reference, '\S+') AS r, regexp_extract_all(generated, '\S+') AS g FROM nl_pairs),
+ lc AS (SELECT *, list_reduce(list_prepend({{'row': list_transform(range(0, len(r) + 1), lambda j: 0), 'w': ''}}, list_transform(g, lambda w: {{'row': CAST([] AS INTEGER[]), 'w': w}})),
+   lambda acc, x: {{'row': {_NEXT_ROW}, 'w': ''}}).row[-1] AS common FROM lw),
+ rl AS (SELECT conv_id, turn, CASE WHEN len(r) + len(g) > 0 THEN 2 * common / (len(r) + len(g)) ELSE 0.0 END AS rouge_l FROM lc)"""
+
+
+@query("e18_rouge_l", _PAIRS + f", {_ROUGE_L} SELECT conv_id, turn, round(rouge_l, 6) AS rouge_l FROM rl")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = ops.rouge_l(F.col("reference"), F.col("generated"))
     return nl_pairs(spark, sf_dir).select(*KEYS, F.round(score, 6).alias("rouge_l"))
@@ -106,20 +116,34 @@ def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("conv_id", F.round("bleu", 6).alias("bleu"), F.round("rouge_1", 6).alias("rouge_1"))
 
 
-@query("a25_review_summary", _PAIRS + ", " + _bleu_sql(_WORDS, "conv_id, turn", False) + f", {_ROUGE}" + """
+_COSINES = """sem AS (SELECT a.vec_id AS conv_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+   / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS semantic
+   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+@query("a25_review_summary", _PAIRS + ", " + _bleu_sql(_WORDS, "conv_id, turn", False) + f", {_ROUGE_L}, {_COSINES}" + """
 SELECT count(*) AS annotated, count(*) FILTER (len(reference) > len(generated)) AS adjusted,
-  round_even(avg(bleu) * 100, 2) AS bleu, round_even(avg(2 * p * q / (p + q + 1e-8)) * 100, 2) AS rouge
-  FROM nl_pairs JOIN b USING (conv_id, turn) JOIN x USING (conv_id, turn)""")
+  round_even(avg(bleu) * 100, 2) AS bleu, round_even(avg(rouge_l) * 100, 2) AS rouge, round_even(avg(coalesce(semantic, 0.0)) * 100, 2) AS semantic
+  FROM nl_pairs JOIN b USING (conv_id, turn) JOIN rl USING (conv_id, turn) LEFT JOIN sem USING (conv_id)""")
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A25/E23; a pair whose reference is the longer text stands for an adjusted one."""
+    """BLEU, ROUGE-L and semantic score in percent.
+
+    A pair whose reference is the longer text stands for an adjusted one. The
+    vectors of a pair's texts are those of its conversation's number and the next
+    one; a pair without vectors scores 0.
+    """
     pairs = nl_pairs(spark, sf_dir)
     bleus = ops.bleu(pairs, KEYS, "reference", "generated")
-    rouge = ops.rouge_1(F.col("reference"), F.col("generated"))
+    rouge = ops.rouge_l(F.col("reference"), F.col("generated"))
+    own = embeddings(spark, sf_dir).select(F.col("vec_id").alias("conv_id"), "embedding")
+    other = own.select((F.col("conv_id") - 1).alias("conv_id"), F.col("embedding").alias("other"))
+    semantic = own.join(other, "conv_id").select("conv_id", cosine(F.col("embedding"), F.col("other")).alias("semantic"))
     adjusted = F.length("reference") > F.length("generated")
-    scored = pairs.select(*KEYS, rouge.alias("rouge"), adjusted.alias("adjusted")).join(bleus, KEYS)
+    scored = pairs.select(*KEYS, rouge.alias("rouge"), adjusted.alias("adjusted")).join(bleus, KEYS).join(semantic, "conv_id", "left")
     return scored.agg(
         F.count("*").alias("annotated"),
         F.count_if("adjusted").alias("adjusted"),
         F.bround(F.avg("bleu") * 100, 2).alias("bleu"),
         F.bround(F.avg("rouge") * 100, 2).alias("rouge"),
+        F.bround(F.avg(F.coalesce("semantic", F.lit(0.0))) * 100, 2).alias("semantic"),
     )

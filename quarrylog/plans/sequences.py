@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
 from quarrylog.inputs import QUERY_LOG_SQL, RUNS_SQL, query_log, runs, table
-from quarrylog.operators import log_context, sampling, sequence, votes
+from quarrylog.operators import log_context, sampling, sequence, validation, votes
 from quarrylog.operators.compute import once
 from quarrylog.operators.joins import spread_join
 from quarrylog.plans.workload import LEVEL, PARTS, STRUCTURE
@@ -118,7 +118,15 @@ def table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_context.table_log(query_log(spark, sf_dir), "query_id", "db_id", "gold_sql", used_tables(), cap=15, budget=50)
 
 
-@query("w7_table_log_once")
+@query("w7_table_log_once", "WITH RECURSIVE " + REFS.removeprefix("WITH ") + """, u AS (SELECT db_id, gold_sql, unnest(tabs) AS table_name, query_id FROM refs),
+ first AS (SELECT db_id, table_name, gold_sql, min(query_id) AS query_id FROM u GROUP BY ALL),
+ listed AS MATERIALIZED (SELECT db_id, table_name, row_number() OVER (PARTITION BY db_id ORDER BY table_name) AS place,
+   list({'k': query_id, 't': md5(gold_sql)} ORDER BY length(gold_sql), query_id)[1:80] AS texts FROM first GROUP BY db_id, table_name),
+ walk AS (SELECT DISTINCT db_id, CAST(0 AS BIGINT) AS place, '' AS table_name, CAST([] AS VARCHAR[]) AS used, 50 AS budget, CAST([] AS STRUCT(k BIGINT, t VARCHAR)[]) AS fresh FROM listed
+   UNION ALL SELECT db_id, place, table_name, list_concat(used, list_transform(f, lambda x: x.t)), budget - len(f), f FROM (
+     SELECT w.db_id, l.place, l.table_name, w.used, w.budget, list_filter(l.texts, lambda x: NOT list_contains(w.used, x.t))[1:15] AS f
+     FROM walk w JOIN listed l ON l.db_id = w.db_id AND l.place = w.place + 1 WHERE w.budget > 0) AS step)
+SELECT db_id, table_name, CAST(generate_subscripts(fresh, 1) AS INTEGER) AS rank, unnest(fresh).k AS query_id FROM walk WHERE len(fresh) > 0""")
 def table_log_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_context.table_log_once(query_log(spark, sf_dir), "query_id", "db_id", "gold_sql", used_tables(), cap=15, budget=50)
 
@@ -228,8 +236,19 @@ def result_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s14_annotation_time", """SELECT o_orderkey, (epoch_us(max(l_shipdate)) - epoch_us(any_value(o_orderdate))) / 1e6 AS seconds
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY o_orderkey""")
 def annotation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploads(spark, sf_dir).accepted.select("o_orderkey", "seconds")
+
+
+@query("s14_annotation_rejects", """SELECT o_orderkey, 'no downloaded_at' AS errors FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY o_orderkey""")
+def annotation_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads that do not say when their file was handed out."""
+    return _uploads(spark, sf_dir).rejected.select("o_orderkey", F.array_join("errors", ", ").alias("errors"))
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> validation.Checked:
     """Orders stand for files handed out (none while pending), the last line item for the upload."""
     given = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("downloaded_at"))
     back = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("uploaded_at"))
     elapsed = (F.unix_micros(F.col("uploaded_at").cast("timestamp")) - F.unix_micros(F.col("downloaded_at").cast("timestamp"))) / 1e6
-    return given.join(back, "o_orderkey").where("downloaded_at IS NOT NULL").select("o_orderkey", elapsed.alias("seconds"))
+    errors = F.filter(F.array(F.when(F.col("downloaded_at").isNull(), F.lit("no downloaded_at"))), lambda e: e.isNotNull())
+    return validation.split_valid(given.join(back, "o_orderkey").select("o_orderkey", "downloaded_at", elapsed.alias("seconds")), errors)

@@ -301,6 +301,27 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.roll_up(validation.record_violations(_records(spark, sf_dir), "id"), validation.missing_columns(schema_file))
 
 
+_REJECTS = o.with_(nl_pairs=NL_PAIRS_SQL) + ", r AS (SELECT concat_ws('-', conv_id, turn) AS id, length(generated) <= 200 AS no_sql, reference IS NULL AS no_question FROM nl_pairs)"
+
+
+@query("p4_validation_flags", _REJECTS + """ SELECT 'record' AS "check", count(*) AS n_items, count(*) FILTER (no_sql OR no_question) AS n_rejected, count(*) FILTER (no_sql OR no_question) = 0 AS passed FROM r
+  UNION ALL SELECT 'schema', 4, 4, false""")
+def validation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each check passed. The events table stands for a schema file without the required columns."""
+    found = validation.split_valid(_records(spark, sf_dir), validation.record_errors())
+    absent = validation.missing_columns(table(spark, sf_dir, "events")).count()
+    required = len(validation.REQUIRED_SCHEMA_COLUMNS)
+    rows = [("record", found.n, found.n_rejected, found.passed), ("schema", required, absent, absent == 0)]
+    return spark.createDataFrame(rows, "check string, n_items long, n_rejected long, passed boolean")
+
+
+@query("p4_rejects", _REJECTS + """ SELECT id, concat_ws(', ', CASE WHEN no_sql THEN 'no sql' END, CASE WHEN no_question THEN 'no question' END) AS errors FROM r WHERE no_sql OR no_question""")
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rejected record with all that is wrong with it."""
+    found = validation.split_valid(_records(spark, sf_dir), validation.record_errors())
+    return found.rejected.select("id", F.array_join("errors", ", ").alias("errors"))
+
+
 _CELLS = "SELECT l_suppkey, unnest(['l_partkey', 'l_returnflag']) AS col, unnest([CAST(l_partkey AS VARCHAR), CAST(l_returnflag AS VARCHAR)]) AS value, l_orderkey * 8 + l_linenumber AS pos FROM lineitem"
 
 

@@ -277,6 +277,7 @@ _AGGS = " + ".join(o.occurrences("gold_sql", n, vocab.OCCURRENCE_PATTERNS[n]) fo
 
 @query("q4_profile", REFS + f"""SELECT count(*) AS n_queries, round(sum({_EVERY}) / count(*), 6) AS avg_keywords,
   round(avg(len({o.tokens('gold_sql')})), 6) AS avg_tokens, CAST(max(len({o.tokens('gold_sql')})) AS BIGINT) AS max_tokens,
+  round(avg(len(list_distinct(list_transform(range(1, len({o.tokens('gold_sql')}) - 1), lambda i: {o.tokens('gold_sql')}[i:i + 2])))), 6) AS avg_trigrams,
   round(avg(len(tabs)), 6) AS avg_tables, CAST(max(len(tabs)) AS BIGINT) AS max_tables,
   round(avg(len(cols)), 6) AS avg_columns, CAST(max(len(cols)) AS BIGINT) AS max_columns,
   CAST(sum({o.hits('gold_sql', 'SELECT')}) AS BIGINT) AS total_nesting, CAST(sum({_AGGS}) AS BIGINT) AS total_aggregates,

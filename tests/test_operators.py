@@ -192,11 +192,22 @@ def test_table_log_once_against_walk(spark):
         (i, rng.choice("xy"), "q" * rng.randint(1, 6), sorted(rng.sample("ABCD", rng.randint(1, 3)))) for i in range(60)
     ]
     frame = spark.createDataFrame(rows, "i long, s string, sql string, t array<string>")
-    for cap, budget in ((2, 3), (3, 7), (1, 100)):
-        got = log_context.table_log_once(frame, "i", "s", "sql", F.col("t"), cap, budget)
+    for cap, budget, block in ((2, 3, 32), (3, 7, 1), (1, 100, 2)):
+        got = log_context.table_log_once(frame, "i", "s", "sql", F.col("t"), cap, budget, block)
         assert sorted(tuple(r) for r in got.collect()) == brute_table_log(rows, cap, budget)
 
 
+def test_table_log_once_of_many_tables(spark):
+    """More tables than a block holds, most of which share one text and take nothing."""
+    names = [f"t{i:03d}" for i in range(90)]
+    rows = [(0, "x", "q", names)] + [(i, "x", "q" * (i % 4 + 1) + str(i), [names[3 * i]]) for i in range(1, 20)]
+    frame = spark.createDataFrame(rows, "i long, s string, sql string, t array<string>")
+    for budget, block in ((50, 8), (6, 3)):
+        got = log_context.table_log_once(frame, "i", "s", "sql", F.col("t"), 2, budget, block)
+        assert sorted(tuple(r) for r in got.collect()) == brute_table_log(rows, 2, budget)
+    assert log_context.table_log_once(frame.limit(0), "i", "s", "sql", F.col("t"), 2, 5).count() == 0
+
+
 def brute_overlap(rows, k):
     out = []
     for i, a in rows:

@@ -103,3 +103,13 @@ def test_streams_read_folders_as_files(spark, sf, tmp_path, name):
     run = __spark_entry__.queries()[name]
     expected, got = (sorted(map(repr, run(spark, folder).collect())) for folder in (sf, str(tmp_path)))
     assert got == expected and expected
+
+
+def test_rejects_keep_all_errors(spark):
+    records = spark.createDataFrame([("1", "SELECT 1", "q"), ("2", None, "q"), ("3", None, None)], "id string, sql string, question string")
+    found = validation.split_valid(records, validation.record_errors())
+    assert (found.n, found.n_rejected, found.passed) == (3, 2, False)
+    assert [r["id"] for r in found.accepted.collect()] == ["1"] and found.accepted.columns == records.columns
+    assert {r["id"]: r["errors"] for r in found.rejected.collect()} == {"2": ["no sql"], "3": ["no sql", "no question"]}
+    nothing = validation.split_valid(records.limit(0), validation.record_errors())
+    assert nothing.passed and nothing.n == 0 and nothing.rejected.count() == 0
