@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import random
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -51,6 +52,7 @@ class Config:
     percent: int = 85
     coordinates: int = 128
     trees: int = 12
+    first_trees: int = 3
     node_limit: int = 16
     dense_depth: int = 3
     dense_members: int = 4096
@@ -145,11 +147,11 @@ def full_sets(docs: DataFrame, config: Config) -> DataFrame:
     return docs.select("cid", "body").mapInArrow(run, "cid binary, items array<bigint>")
 
 
-def _roots(config: Config) -> list[list[int]]:
-    """Coordinates that each tree's root is branched by."""
+def _roots(config: Config) -> list[tuple[int, int]]:
+    """Trees and the coordinates that each one's root is branched by."""
     rng = random.Random(config.seed)
     extra = 100 / config.percent - 1
-    return [rng.sample(range(config.coordinates), 1 + (rng.random() < extra)) for _ in range(config.trees)]
+    return [(t, c) for t in range(config.trees) for c in rng.sample(range(config.coordinates), 1 + (rng.random() < extra))]
 
 
 def _children(config: Config) -> Column:
@@ -195,7 +197,7 @@ def _signed_anew(classes: DataFrame, sets: DataFrame, config: Config) -> DataFra
 
     wanted = sets.select("cid", "items").join(classes.select("cid"), "cid", "left_semi")
     signed = wanted.mapInArrow(run, "cid binary, sig array<int>").dropDuplicates(["cid"])
-    return cut_lineage(classes.select("cid", "n").join(signed, "cid"))
+    return cut_lineage(classes.select("cid", "n", "k1", "k2").join(signed, "cid"))
 
 
 def _sieved(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
@@ -209,9 +211,10 @@ def _sieved(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    left, right = (sets.select(F.col("cid").alias(side), F.col("items").alias(f"items_{side}")) for side in "ab")
-    rows = pairs.join(left, "a").join(right, "b")
+    """Pairs whose full sets reach the threshold. The sets are dealt out once; a pair's two sets then meet by its own key."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cid")).join(sets, "cid")
+    first = lambda side: F.first(F.when(F.col("cid") == F.col(side), F.col("items")), ignorenulls=True).alias(f"items_{side}")
+    rows = sides.groupBy("a", "b").agg(first("a"), first("b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
     rows = rows.select("a", "b", common.alias("common"), (F.size("items_a") + F.size("items_b") - common).alias("either"))
     return rows.where(100 * F.col("common") >= config.percent * F.col("either")).select("a", "b")
@@ -289,21 +292,39 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
-    """``(node, component)`` of the set classes (``cid, n, sig, k1, k2``) that confirmed links connect."""
-    known, sets, late, depth = _round(classes, texts, config)
-    missed = 1 - tree_recall(config, depth)
-    while late is not None and missed > 1 - config.target_recall:
-        config = replace(config, seed=config.seed + 1)
-        classes = _signed_anew(classes.join(late, "cid", "left_semi"), sets, config)
-        known, sets, late, depth = _round(classes, texts, config, known, sets)
+    """``(node, component)`` of the set classes (``cid, n, sig, k1, k2``) that confirmed links connect.
+
+    The first few trees connect most of a large group, so that the nodes of the
+    others hold few members, or none, that are still apart.
+    """
+    known = sets = None
+    missed = 1.0
+    while True:
+        late, depth = [], 0
+        for trees in (range(config.first_trees), range(config.first_trees, config.trees)):
+            known, sets, left, reached = _round(classes, texts, config, trees, known, sets)
+            depth = max(depth, reached)
+            late += [left] if left is not None else []
         missed *= 1 - tree_recall(config, depth)
-    return known
+        if not late or missed <= 1 - config.target_recall:
+            return known
+        config = replace(config, seed=config.seed + 1)
+        classes = _signed_anew(classes.join(reduce(DataFrame.unionByName, late).distinct(), "cid", "left_semi"), sets, config)
+
+
+def _with_sets(sets: DataFrame | None, needed: DataFrame, classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+    """``sets`` and those of the ``needed`` classes that it lacks."""
+    if sets is not None:
+        needed = needed.join(sets.select("cid"), "cid", "left_anti")
+    places = classes.join(needed, "cid", "left_semi").select("cid", "k1", "k2")
+    made = cut_lineage(full_sets(texts.join(places.hint("shuffle_hash"), ["k1", "k2"]), config))
+    return made if sets is None else sets.unionByName(made)
 
 
-def _round(classes: DataFrame, texts: DataFrame, config: Config, known: DataFrame | None = None, sets: DataFrame | None = None):
-    """One round of trees: links known after it, full sets, members of nodes that branched on below the dense levels (or None), depth reached."""
-    late = None
-    roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, chosen in enumerate(_roots(config)) for c in chosen])
+def _round(classes: DataFrame, texts: DataFrame, config: Config, trees: range, known: DataFrame | None, sets: DataFrame | None):
+    """Some trees of a round: links known after it, full sets, members of nodes that branched on below the dense levels (or None), depth reached."""
+    late, fetched = None, False
+    roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, c in _roots(config) if t in trees])
     active = classes.select("cid", F.explode(roots).alias("path"))
     for depth in range(1, config.max_depth + 1):
         nodes = active.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -338,10 +359,9 @@ def _round(classes: DataFrame, texts: DataFrame, config: Config, known: DataFram
         star = star.where("cid <> leader").select(*_ordered("cid", "leader"))
         pairs = cut_lineage(_sieved(across.select(*_ordered("x", "y")).unionByName(star), classes, config))
         large = large.select("path", "cid")
-        if sets is None:
+        if not fetched:
             needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct()  # later nodes are parts of these
-            places = classes.join(needed, "cid", "left_semi").select("cid", "k1", "k2")
-            sets = cut_lineage(full_sets(texts.join(places.hint("shuffle_hash"), ["k1", "k2"]), config))
+            sets, fetched = _with_sets(sets, needed, classes, texts, config), True
         new = _confirmed(pairs, sets, config)
         if dense is not None:
             new = new.unionByName(_dense_links(dense.join(sets, "cid"), config))
