@@ -11,7 +11,7 @@ from quarrylog.inputs import LABEL_PAIRS_SQL, RUNS_SQL
 from quarrylog.operators import prompts, scoring
 from quarrylog.plans.scoring import SCORES, gold_tables, pred_tables
 from quarrylog.registry import query
-from quarrylog.session import new_shared_path
+from quarrylog.session import cut_lineage, new_shared_path
 from quarrylog.sources import files
 
 _SCHEMA = o.with_(schema_columns=SCHEMA_COLUMNS_SQL)
@@ -129,14 +129,22 @@ def folder_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
 
 
-@query("s13_metric_log", SCORES + """SELECT db_id, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall FROM scores GROUP BY db_id""")
+@query("s13_metric_log", SCORES + """SELECT db_id, 'none' AS model, 'TABLE_NAME_EXTRACTION' AS eval_type, 10 AS k, 1 AS n_examples, 1 AS n_votes, 'NN' AS flags, run,
+  round(avg(CASE WHEN acc THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(r), 6) AS recall, round(avg(p), 6) AS precision, round(avg(f), 6) AS f1
+  FROM scores JOIN (VALUES (1), (2)) AS runs(run) ON true GROUP BY db_id, run""")
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of each database appended to one log."""
+    """Two runs of one configuration per database; the first is written twice and replaces itself."""
     path = new_shared_path(spark, "metrics")
     scores = scoring.set_scores(query_log(spark, sf_dir), ["query_id", "db_id"], gold_tables(), pred_tables())
-    means = scores.groupBy("db_id").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
-    files.append_metrics(means.withColumn("runs", F.lit(1)), path)
-    return spark.read.parquet(path).select("db_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    means = scores.groupBy("db_id").agg(
+        F.avg(F.col("accuracy").cast("double")).alias("accuracy"), *[F.avg(c).alias(c) for c in ("recall", "precision", "f1")]
+    )
+    config = {"model": "none", "eval_type": "TABLE_NAME_EXTRACTION", "k": 10, "n_examples": 1, "n_votes": 1, "flags": "NN"}
+    rows = cut_lineage(means.withColumns({name: F.lit(value) for name, value in config.items()}))
+    for batch in ("first", "first", "second"):
+        files.append_metrics(rows, path, batch)
+    log = files.read_metrics(spark, path).drop("batch")
+    return log.select(*files.RUN_CONFIG, "run", *[F.round(c, 6).alias(c) for c in files.SCORE_COLUMNS])
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, types as T, functions as F
 
 from quarrylog.functions.sqltext import strip
 from quarrylog.operators.joins import spread_join
@@ -50,9 +51,25 @@ def write_runs(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("dataset", "model", "k", "n_examples", "run").parquet(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Metric rows added to the run log."""
-    df.write.mode("append").parquet(path)
+#: What a metric row was measured with; rows that agree in all of these are runs of one configuration.
+RUN_CONFIG = ("db_id", "model", "eval_type", "k", "n_examples", "n_votes", "flags")
+SCORE_COLUMNS = ("accuracy", "recall", "precision", "f1")
+
+
+def append_metrics(rows: DataFrame, path: str, batch: str) -> None:
+    """Metric rows (``RUN_CONFIG`` and ``SCORE_COLUMNS``) added to the run log.
+
+    Every batch has a folder of its own, so writers need not wait for each other
+    and lose nothing, and a batch that is written again replaces itself.
+    """
+    rows.select(*RUN_CONFIG, *SCORE_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The run log with ``run``: the number of a row among those of its configuration, in the order of the batch names."""
+    window = Window.partitionBy(*RUN_CONFIG).orderBy("batch", *SCORE_COLUMNS)
+    rows = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+    return rows.withColumn("run", F.row_number().over(window))
 
 
 def table_names(spark: SparkSession, path: str) -> DataFrame:
@@ -201,6 +218,6 @@ def folder_as_tables(spark: SparkSession, path: str, names: list[str]) -> dict[s
             frame = spark.read.csv(f"{path}/{name}.csv", header=True)
             frame.createOrReplaceTempView(name)
             found[name] = frame
-        except Exception:  # a bad file must not stop the others
+        except AnalysisException:  # a missing or empty file must not stop the others
             continue
     return found

@@ -113,3 +113,18 @@ def test_rejects_keep_all_errors(spark):
     assert {r["id"]: r["errors"] for r in found.rejected.collect()} == {"2": ["no sql"], "3": ["no sql", "no question"]}
     nothing = validation.split_valid(records.limit(0), validation.record_errors())
     assert nothing.passed and nothing.n == 0 and nothing.rejected.count() == 0
+
+
+def test_metric_log_of_two_writers(spark, tmp_path):
+    """Writers at the same time lose nothing, and a batch that is written again replaces itself."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    config = "db_id string, model string, eval_type string, k int, n_examples int, n_votes int, flags string, accuracy double, recall double, precision double, f1 double"
+    row = lambda score: spark.createDataFrame([("d", "m", "t", 1, 1, 1, "NN", score, score, score, score)], config)
+    path = str(tmp_path / "log")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda b: files.append_metrics(row(b / 10), path, f"b{b}"), range(8)))
+    files.append_metrics(row(0.0), path, "b0")
+    files.append_metrics(row(0.9), path, "b7")
+    got = files.read_metrics(spark, path).orderBy("run").collect()
+    assert [(r["run"], r["f1"]) for r in got] == [(i + 1, s / 10) for i, s in enumerate([0, 1, 2, 3, 4, 5, 6, 9])]
