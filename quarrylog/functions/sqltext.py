@@ -379,18 +379,20 @@ def decompose(sql: pd.Series) -> pd.Series:
 
 
 def annotate_ctes(sql: Column, notes: Column) -> Column:
-    """a comment line before each titled CTE; ``main`` goes after the last ``)`` before SELECT, or in front.
+    """a comment line before the name of each titled CTE; ``main`` goes after the last ``)`` before SELECT, or in front.
 
     ``notes`` is an ordered array of ``(title, note)``.
     """
 
     def one(text: Column, item: Column) -> Column:
         comment = F.concat(F.lit("-- "), item["note"], F.lit("\n"))
+        before = r"(?i)^(WITH\s+|,\s*)"  # stays in front, so the result is still SQL
         head = F.concat(F.lit(r"(?i)(WITH\s+|,\s*)("), item["title"], F.lit(r"\s+AS\s*\()"))
         titled = F.concat(
             text.substr(F.lit(1), F.regexp_instr(text, head) - 1),
+            F.regexp_extract(F.regexp_substr(text, head), before, 0),
             comment,
-            F.regexp_replace(F.regexp_substr(text, head), r"(?i)^(WITH\s+|,\s*)", ""),
+            F.regexp_replace(F.regexp_substr(text, head), before, ""),
             text.substr(F.regexp_instr(text, head) + F.length(F.regexp_substr(text, head)), F.length(text)),
         )
         tail = F.lit(r"(?is)\)\s*SELECT")

@@ -142,7 +142,7 @@ def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("f25_annotated_ctes", o.QL + r"""SELECT query_id, concat(regexp_replace(gold_sql, '^WITH big AS [(](.*)[)] SELECT', '-- part ' || db_id || chr(10) || 'big AS (\1)' || chr(10) || '-- whole' || chr(10) || ' SELECT')) AS sql
+@query("f25_annotated_ctes", o.QL + r"""SELECT query_id, concat(regexp_replace(gold_sql, '^WITH big AS [(](.*)[)] SELECT', 'WITH -- part ' || db_id || chr(10) || 'big AS (\1)' || chr(10) || '-- whole' || chr(10) || ' SELECT')) AS sql
   FROM query_log WHERE starts_with(gold_sql, 'WITH ')""")
 def annotated_ctes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = F.array(
@@ -153,13 +153,12 @@ def annotated_ctes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", sqltext.annotate_ctes(F.col("gold_sql"), notes).alias("sql"))
 
 
-_LINES = """SELECT conv_id, turn, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT conv_id, turn,
-  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT contains(upper(x), 'OPTION') AND NOT contains(x, ':')) AS l FROM conversations) AS s"""
+_LINES = """SELECT conv_id, turn, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+   lambda x: x <> '' AND NOT contains(upper(x), 'OPTION') AND NOT contains(x, ':')), lambda x: CASE WHEN length(regexp_extract(x, '\\S+')) < 5
+   AND NOT regexp_full_match(regexp_extract(x, '\\S+'), '\\p{L}+') THEN array_to_string(regexp_extract_all(x, '\\S+')[2:], ' ') ELSE x END), lambda x: length(x) > 3) AS l FROM conversations"""
 
 
-@query("p12_option_lines", f"""WITH o AS ({_LINES}), w AS (SELECT *, regexp_extract_all(line, '\\S+') AS p FROM o)
-SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, CASE WHEN length(p[1]) < 5 AND NOT regexp_full_match(p[1], '\\p{{L}}+')
-  THEN array_to_string(p[2:], ' ') ELSE line END AS option FROM w""")
+@query("p12_option_lines", f"SELECT conv_id, turn, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS option FROM ({_LINES}) AS s")
 def option_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12 and F9 over whole turns."""
     turns = table(spark, sf_dir, "conversations")

@@ -93,7 +93,7 @@ def test_annotate_ctes(spark):
         *[F.struct(F.lit(t).alias("title"), F.lit(n).alias("note")) for t, n in (("a", "one"), ("b", "two"), ("main", "all"))]
     )
     got = one(spark, sqltext.annotate_ctes(F.col("s"), notes), s="WITH a AS (SELECT 1), b AS (SELECT 2) SELECT 3")
-    assert got == "-- one\na AS (SELECT 1)-- two\nb AS (SELECT 2)\n-- all\n SELECT 3"
+    assert got == "WITH -- one\na AS (SELECT 1), -- two\nb AS (SELECT 2)\n-- all\n SELECT 3"
     assert one(spark, sqltext.annotate_ctes(F.col("s"), F.slice(notes, 3, 1)), s="SELECT 3") == "-- all\nSELECT 3"
 
 
