@@ -42,7 +42,7 @@ def best_in_block(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarr
 
 def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """``n`` vectors chosen by a hash of their ids, as unit rows: a sample of bounded size."""
-    rows = vectors.where("vector is not null").select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(n).collect()
+    rows = vectors.where("vector is not null").select("vector", F.xxhash64("id").alias("h")).orderBy("h").head(n)
     matrix = np.array([r.vector for r in rows], dtype=np.float64)
     norms = np.sqrt((matrix * matrix).sum(axis=1)) if len(rows) else np.zeros(0)
     return matrix[norms > 0] / norms[norms > 0, None] if len(rows) else matrix
@@ -81,7 +81,7 @@ class Layout:
 def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: int) -> Layout:
     def sizes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n, radius = np.zeros(centres, np.int64), np.zeros(centres)
-        for r in df.groupBy("centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row per centre
+        for r in df.groupBy("centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).head(centres):  # a row per centre
             n[r.centre], radius[r.centre] = r.n, r.radius
         return n, radius
 
