@@ -289,3 +289,23 @@ def test_one_word_of_a_megabyte(spark):
     got = bpe.encode_decode(frame(spark, [text]), tokenizer_path()).first()
     assert time.time() - began < 60
     assert got.ids == library.encode(text, add_special_tokens=False).ids
+
+
+# --- planted passages ------------------------------------------------------------------------------------------------
+
+
+def test_planted_passages_by_length(spark):
+    """Passages of over 50 words in several documents: those of 400 bytes and more go whole, shorter ones stay, as the contract has it."""
+    from quarrylog.llm import suffix_dedup
+
+    rng = random.Random(12)
+    make = lambda n, size: " ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(n))
+    short, long = make(55, 4), make(60, 8)
+    assert len(short) < 400 <= len(long)
+    own = [f"{make(40, 6)} # {make(40, 6)}" for _ in range(60)]
+    texts = [t.replace("#", (short if k % 3 == 0 else long if k % 3 == 1 else "clean")) for k, t in enumerate(own)]
+    left = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        gone = len(text) - len(left[k])
+        # A few letters beside a passage may agree with another document's and go with it.
+        assert (len(long) <= gone < len(long) + 16 and long not in left[k]) if k % 3 == 1 else left[k] == text
