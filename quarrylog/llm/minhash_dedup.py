@@ -17,6 +17,12 @@ nodes branched on below the dense levels, their members go through further
 rounds of trees, each with signatures of its own, until the rounds together
 reach ``target_recall`` at the depths they reached.
 
+Members and full sets lie in tables bucketed by member, so a join on the member
+moves only the other side. Of a pair one member, the carrier, is sent to the
+other one; a leader, which many pairs share, is a carrier, and frequent carriers
+are dealt over many tasks. The sieve compares the low byte of every signature
+value, which can let more pairs through but never fewer.
+
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing. A text of fewer words than a shingle has its whole
 sequence as its only shingle. A null id never becomes a component's id unless
@@ -28,21 +34,25 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 from dataclasses import dataclass, replace
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quarrylog.llm.components import components
 from quarrylog.llm.rolling import Hasher, mixed
 from quarrylog.llm.word_pieces import worker_memo
-from quarrylog.session import cut_lineage
+from quarrylog.operators.joins import spread_join
+from quarrylog.session import cut_lineage, new_shared_path
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PIECE = 1 << 20
+#: Bytes of full sets that a bucket should hold, and the most buckets Spark allows.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 
 
 @dataclass(frozen=True)
@@ -117,6 +127,31 @@ def _factors(config: Config) -> np.ndarray:
     return both
 
 
+class _Tables:
+    """Written tables bucketed by ``cid``; ``drop`` takes them out of the catalog once nothing joins them any more."""
+
+    def __init__(self, spark, n_shingles: int):
+        self.spark, self.names = spark, []
+        wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * n_shingles // BUCKET_BYTES))
+        self.buckets = min(wanted, MOST_BUCKETS)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        name = f"quarrylog_by_cid_{uuid.uuid4().hex}"
+        writer = df.repartition(self.buckets, "cid").write.format("parquet").bucketBy(self.buckets, "cid")
+        writer.option("path", new_shared_path(self.spark, "by_cid")).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE {name}")
+
+
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """The low byte of every signature value."""
+    return sig.astype(np.int8)
+
+
 def members(docs: DataFrame, config: Config) -> DataFrame:
     """``k1, k2, n_shingles, cid, sig``: the digest of every document's set, and its signature."""
 
@@ -184,8 +219,22 @@ def tree_recall(config: Config, depth: int) -> float:
     return found
 
 
-def _signed_anew(classes: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
-    """``cid, n, sig`` of ``classes`` with the signatures of ``config.seed``."""
+def _sketched(classes: DataFrame) -> DataFrame:
+    """``classes`` with the ``sketch`` of every signature."""
+
+    def run(batches):
+        for batch in batches:
+            sig = batch.column(1)
+            values = pa.array(_sketch(sig.flatten().to_numpy()), pa.int8())
+            offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * (len(values) // max(len(sig), 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, values)], names=[*batch.schema.names, "sketch"])
+
+    rows = classes.select("cid", "sig", *[c for c in classes.columns if c not in ("cid", "sig")])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("sketch", T.ArrayType(T.ByteType()))]))
+
+
+def _signed_anew(classes: DataFrame, sets: DataFrame, config: Config, tables: _Tables) -> DataFrame:
+    """``cid, n, sig, sketch`` of ``classes`` with the signatures of ``config.seed``."""
 
     def run(batches):
         factors = _factors(config)
@@ -195,25 +244,42 @@ def _signed_anew(classes: DataFrame, sets: DataFrame, config: Config) -> DataFra
 
     wanted = sets.select("cid", "items").join(classes.select("cid"), "cid", "left_semi")
     signed = wanted.mapInArrow(run, "cid binary, sig array<int>").dropDuplicates(["cid"])
-    return cut_lineage(classes.select("cid", "n").join(signed, "cid"))
+    return tables.write(_sketched(classes.select("cid", "n").join(signed, "cid")))
+
+
+#: A carrier of over a 160th of the pairs is dealt over many tasks; there are fewer than 160 of those.
+HOT_SHARE = 160
+
+
+def _met(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pairs`` (``carrier, target``) with the other columns of ``facts`` (by ``cid``) for both, as ``c_`` and ``t_``."""
+    carried, stay = (
+        facts.select(F.col("cid").alias(side), *[F.col(c).alias(f"{side[0]}_{c}") for c in facts.columns if c != "cid"])
+        for side in ("carrier", "target")
+    )
+    total = pairs.agg(F.count("*")).scalar()
+    frequent = pairs.groupBy("carrier").agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE > total).select("carrier")
+    frequent = F.broadcast(frequent)
+    few = pairs.join(frequent, "carrier", "left_anti").join(carried, "carrier")
+    many = spread_join(pairs.join(frequent, "carrier", "left_semi"), carried.join(frequent, "carrier", "left_semi"), ["carrier"], ["target"])
+    return few.unionByName(many).join(stay, "target")
 
 
 def _sieved(pairs: DataFrame, classes: DataFrame, config: Config) -> DataFrame:
-    """Distinct pairs whose sizes and signatures allow the threshold."""
-    facts = classes.select("cid", "n", "sig")
-    left, right = (facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]) for side in "ab")
-    rows = pairs.select("a", "b").distinct().join(left, F.col("a") == F.col("cid_a")).join(right, F.col("b") == F.col("cid_b"))
-    fits = 100 * F.least("n_a", "n_b") >= config.percent * F.greatest("n_a", "n_b")
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return rows.where(fits).where(agree >= least_agreement(config)).select("a", "b")
+    """Distinct pairs whose sizes and signatures allow the threshold; a pair that comes both ways is kept one way."""
+    once = pairs.groupBy(*_ordered("carrier", "target")).agg(F.max("carrier").alias("carrier"))
+    once = cut_lineage(once.select("carrier", F.when(F.col("carrier") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("target")))
+    rows = _met(once, classes.select("cid", "n", "sketch"))
+    fits = 100 * F.least("c_n", "t_n") >= config.percent * F.greatest("c_n", "t_n")
+    agree = F.aggregate(F.zip_with("c_sketch", "t_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return rows.where(fits).where(agree >= least_agreement(config)).select("carrier", "target")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    left, right = (sets.select(F.col("cid").alias(side), F.col("items").alias(f"items_{side}")) for side in "ab")
-    rows = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    rows = rows.select("a", "b", common.alias("common"), (F.size("items_a") + F.size("items_b") - common).alias("either"))
+    common = F.size(F.array_intersect("c_items", "t_items"))
+    rows = _met(pairs, sets.select("cid", "items"))
+    rows = rows.select(*_ordered("carrier", "target"), common.alias("common"), (F.size("c_items") + F.size("t_items") - common).alias("either"))
     return rows.where(100 * F.col("common") >= config.percent * F.col("either")).select("a", "b")
 
 
@@ -224,10 +290,10 @@ class _Node:
         self.config = config
         self.cid = [r["cid"] for r in rows]
         self.comp = np.unique([r["comp"].hex() for r in rows], return_inverse=True)[1]
-        self.sig = np.array([r["sig"] for r in rows], np.int32)
+        self.sketch = np.stack([r["sketch"] for r in rows])
         self.n = np.array([len(r["items"]) for r in rows])
         self.start = np.concatenate(([0], np.cumsum(self.n)))
-        self.items = np.unique(np.concatenate([np.asarray(r["items"], np.int64) for r in rows]), return_inverse=True)[1]
+        self.items = np.unique(np.concatenate([r["items"] for r in rows]), return_inverse=True)[1]
         self.mark = np.zeros(int(self.items.max()) + 1, bool)
 
     def common(self, x: int, others: np.ndarray) -> np.ndarray:
@@ -251,7 +317,7 @@ class _Node:
             apart = later[self.comp[later] != self.comp[x]]
             small, large = np.minimum(self.n[apart], self.n[x]), np.maximum(self.n[apart], self.n[x])
             apart = apart[100 * small >= percent * large]
-            apart = apart[(self.sig[apart] == self.sig[x]).sum(1) >= least]
+            apart = apart[(self.sketch[apart] == self.sketch[x]).sum(1) >= least]
             if not len(apart):
                 continue
             common = self.common(x, apart)
@@ -262,7 +328,7 @@ class _Node:
 
 
 def _dense_links(rows: DataFrame, config: Config) -> DataFrame:
-    """Links inside whole nodes (``path, cid, comp, sig, items``); a task reads its nodes one after another."""
+    """Links inside whole nodes (``path, cid, comp, sketch, items``); a task reads its nodes one after another."""
 
     def found(rows: list[dict]):
         pairs = list(_Node(rows, config).links())
@@ -271,16 +337,17 @@ def _dense_links(rows: DataFrame, config: Config) -> DataFrame:
     def run(batches):
         waiting: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if waiting and waiting[-1]["path"] != row["path"]:
+            paths, cids, comps = (batch.column(i).to_pylist() for i in range(3))
+            for i, path in enumerate(paths):
+                if waiting and waiting[-1]["path"] != path:
                     yield found(waiting)
                     waiting = []
-                row["items"] = np.array(row["items"], np.int64)
-                waiting.append(row)
+                sketch, items = (batch.column(c)[i].values.to_numpy().copy() for c in (3, 4))
+                waiting.append({"path": path, "cid": cids[i], "comp": comps[i], "sketch": sketch, "items": items})
         if waiting:
             yield found(waiting)
 
-    ordered = rows.select("path", "cid", "comp", "sig", "items").repartition("path").sortWithinPartitions("path")
+    ordered = rows.select("path", "cid", "comp", "sketch", "items").repartition("path").sortWithinPartitions("path")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
@@ -288,19 +355,19 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked(classes: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
-    """``(node, component)`` of the set classes (``cid, n, sig, k1, k2``) that confirmed links connect."""
-    known, sets, late, depth = _round(classes, texts, config)
+def linked(classes: DataFrame, texts: DataFrame, config: Config, tables: _Tables) -> DataFrame:
+    """``(node, component)`` of the set classes (``cid, n, sig, sketch, k1, k2``) that confirmed links connect."""
+    known, sets, late, depth = _round(classes, texts, config, tables)
     missed = 1 - tree_recall(config, depth)
     while late is not None and missed > 1 - config.target_recall:
         config = replace(config, seed=config.seed + 1)
-        classes = _signed_anew(classes.join(late, "cid", "left_semi"), sets, config)
-        known, sets, late, depth = _round(classes, texts, config, known, sets)
+        classes = _signed_anew(classes.join(late, "cid", "left_semi"), sets, config, tables)
+        known, sets, late, depth = _round(classes, texts, config, tables, known, sets)
         missed *= 1 - tree_recall(config, depth)
     return known
 
 
-def _round(classes: DataFrame, texts: DataFrame, config: Config, known: DataFrame | None = None, sets: DataFrame | None = None):
+def _round(classes: DataFrame, texts: DataFrame, config: Config, tables: _Tables, known: DataFrame | None = None, sets: DataFrame | None = None):
     """One round of trees: links known after it, full sets, members of nodes that branched on below the dense levels (or None), depth reached."""
     late = None
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c))) for t, chosen in enumerate(_roots(config)) for c in chosen])
@@ -326,7 +393,7 @@ def _round(classes: DataFrame, texts: DataFrame, config: Config, known: DataFram
         large = live.where((F.col("size") > config.node_limit) & (F.col("others") > config.node_limit) & ~F.lit(last))
         dense = None
         if depth >= config.dense_depth:
-            facts = large.select("path", "cid", "comp").join(classes.select("cid", "n", "sig"), "cid")
+            facts = large.select("path", "cid", "comp").join(classes.select("cid", "n", "sketch"), "cid")
             weight = facts.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
             fits = weight.where((F.col("m") <= config.dense_members) & (F.col("shingles") <= config.dense_shingles)).select("path")
             dense = facts.join(fits, "path", "left_semi")
@@ -335,13 +402,15 @@ def _round(classes: DataFrame, texts: DataFrame, config: Config, known: DataFram
         middle = large.groupBy("cid").agg(F.sum("size").alias("met"))
         lead = large.join(middle, "cid").groupBy("path").agg(F.max(F.struct("met", "cid")).alias("leader"))
         star = large.join(lead.select("path", F.col("leader.cid").alias("leader")), "path")
-        star = star.where("cid <> leader").select(*_ordered("cid", "leader"))
-        pairs = cut_lineage(_sieved(across.select(*_ordered("x", "y")).unionByName(star), classes, config))
+        star = star.where("cid <> leader").select(F.col("leader").alias("carrier"), F.col("cid").alias("target"))
+        pairs = across.select(F.col("x").alias("carrier"), F.col("y").alias("target")).unionByName(star)
+        pairs = cut_lineage(_sieved(pairs, classes, config))
         large = large.select("path", "cid")
         if sets is None:
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct()  # later nodes are parts of these
+            needed = pairs.select(F.explode(F.array("carrier", "target")).alias("cid")).unionByName(large.select("cid")).distinct()  # later nodes are parts of these
             places = classes.join(needed, "cid", "left_semi").select("cid", "k1", "k2")
-            sets = cut_lineage(full_sets(texts.join(places.hint("shuffle_hash"), ["k1", "k2"]), config))
+            sets = full_sets(texts.join(places.hint("shuffle_hash"), ["k1", "k2"]), config)
+            sets = tables.write(sets)
         new = _confirmed(pairs, sets, config)
         if dense is not None:
             new = new.unionByName(_dense_links(dense.join(sets, "cid"), config))
@@ -367,9 +436,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One member per distinct set; a copy meets its own task's copies first.
     best = F.min(F.struct("k1", "k2", "n_shingles", "sig")).alias("one")
     grouped = rows.where("n_shingles > 0").groupBy("cid").agg(best, F.min(F.when(F.col("k1") > -(1 << 63), F.col("k1"))).alias("least"))
-    classes = cut_lineage(grouped.select("cid", F.col("one.n_shingles").alias("n"), "one.sig", "one.k1", "one.k2", "least"))
-    comps = linked(classes, texts, config).withColumnRenamed("node", "cid")
-    placed = classes.select("cid", "least").join(comps, "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
+    tables = _Tables(docs.sparkSession, rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    classes = tables.write(_sketched(grouped.select("cid", F.col("one.n_shingles").alias("n"), "one.sig", "one.k1", "one.k2", "least")))
+    comps = linked(classes, texts, config, tables).withColumnRenamed("node", "cid")
+    least = cut_lineage(classes.select("cid", "least"))
+    tables.drop()
+    placed = least.join(comps, "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = placed.join(named, "component").select("cid", "component_id")
     out = rows.select("k1", "k2", "n_shingles", "cid").join(placed, "cid", "left")
