@@ -322,6 +322,17 @@ def qualify_tables(sql: Column, names: Column, owner: str) -> Column:
     )
 
 
+def catalog_names(sql: Column, names: Column, db: str) -> Column:
+    """F27, second form: a table name after white space, "." or "(" and before white space, "." or ")" becomes `` 'db-name'``."""
+    return F.aggregate(
+        names,
+        sql,
+        lambda text, name: F.regexp_replace(
+            text, F.concat(F.lit(r"(?i)(?<=[\s.(])(\Q"), name, F.lit(r"\E)(?=[\s.)])")), F.lit(f" '{db}-$1'")
+        ),
+    )
+
+
 def strip_fence(text: Column) -> Column:
     """fenced code loses its fences."""
     bare = strip(F.regexp_replace(strip(text), r"(?m)^```sql\s*|^```\s*|```$", ""))

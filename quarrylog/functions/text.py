@@ -150,3 +150,26 @@ def significant(x: Column, digits: int = 3) -> Column:
 def short_value(text: Column, width: int = 25) -> Column:
     """F20, strings."""
     return F.substring(text, 1, width)
+
+
+def short_number(x: Column, digits: int = 3) -> Column:
+    """F20, numbers: ``digits`` significant ones without closing zeros; an exponent below 1e-4 and from ``10 ** digits`` on.
+
+    Halves go to the even digit. NaN and infinities give null.
+    """
+    x = x.cast("double")
+    scientific = F.format_string(f"%.{digits - 1}e", x)
+    power = F.substring_index(scientific, "e", -1).try_cast("int")
+    shift = power - (digits - 1)
+    scaled = F.when(shift >= 0, x / F.pow(F.lit(10.0), shift)).otherwise(x * F.pow(F.lit(10.0), -shift))
+    shown = F.abs(F.rint(scaled)).cast("long").cast("string")
+    bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    parted = lambda n: F.concat(F.substring(shown, 1, n), F.lit("."), F.substring(shown, n + 1, digits))
+    plain = F.when(power == digits - 1, shown)
+    for p in range(digits - 1):
+        plain = plain.when(power == p, bare(parted(p + 1)))
+    for p in range(-4, 0):
+        plain = plain.when(power == p, bare(F.concat(F.lit("0." + "0" * (-p - 1)), shown)))
+    with_power = F.concat(bare(parted(1)), F.lit("e"), F.substring_index(scientific, "e", -1))
+    unsigned = F.when((power < -4) | (power >= digits), with_power).otherwise(plain)
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), unsigned))

@@ -143,6 +143,12 @@ def column_question(form: str, column: Column, sample: Column, values: Column, c
     return F.concat(head, ask)
 
 
+def column_questions(column: Column, sample: Column, values: Column, classes: Column) -> Column:
+    """All question forms as an array of ``(form, question)``."""
+    asked = [(form, column_question(form, column, sample, values, classes)) for form in vocab.COLUMN_QUESTIONS]
+    return F.array(*[F.struct(F.lit(form).alias("form"), question.alias("question")) for form, question in asked])
+
+
 def growing_labels(predictions: DataFrame, order: str, label: str, start: list[str]) -> DataFrame:
     """C4: known labels before each prediction, as a count, and whether this one is new.
 

@@ -120,3 +120,9 @@ def catalog_statistics(columns: DataFrame) -> DataFrame:
         significant(F.sum("n_tables") / F.count("*")).alias("tables_per_db"),
         significant(F.sum("n_columns") / F.sum("n_tables")).alias("columns_per_table"),
     )
+
+
+def write_words(sql: Column, case_sensitive: bool = True) -> list[Column]:
+    """Statements that hold each of the words a read-only workload must not hold."""
+    held = sql if case_sensitive else F.upper(sql)
+    return [F.count_if(held.contains(w)).alias(w.lower().replace(" ", "_")) for w in vocab.WRITE_WORDS]

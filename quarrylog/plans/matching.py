@@ -214,6 +214,17 @@ def owner_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select("query_id", sqltext.qualify_tables(gold(), used_tables(), "OWNER").alias("sql"))
 
 
+_CATALOG_NAMES = "gold_sql"
+for _t in ("customer", "orders", "nation", "region", "part", "supplier", "lineitem"):
+    _CATALOG_NAMES = o.replaced(_CATALOG_NAMES, rf"([\s.(]){_t}([\s.)])", rf"\1 'DW-{_t}'\2")
+
+
+@query("f27_catalog_names", o.QL + f"SELECT query_id, {_CATALOG_NAMES} AS sql FROM query_log")
+def catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F27, second form: tables under the names of a foreign catalog."""
+    return query_log(spark, sf_dir).select("query_id", sqltext.catalog_names(gold(), used_tables(), "DW").alias("sql"))
+
+
 _FK = o.with_(schema_columns=SCHEMA_COLUMNS_SQL)
 
 

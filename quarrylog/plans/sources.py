@@ -63,13 +63,13 @@ def label_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "label", "pred")
 
 
-@query("s8_table_names", "SELECT DISTINCT concat('source=', source) AS folder FROM documents")
+@query("s8_table_names", "SELECT DISTINCT concat('source=', source) AS table_name FROM documents")
 def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder per source; its name is found from file paths alone."""
+    """A CSV folder per source; its name is found from file paths alone."""
     path = new_shared_path(spark, "tables")
-    table(spark, sf_dir, "documents").select("doc_id", "source").write.partitionBy("source").csv(path)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path")
-    return listed.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.csv$", 1).alias("folder")).distinct()
+    named = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".csv")).alias("source"))
+    named.write.partitionBy("source").csv(path)
+    return files.table_names(spark, path)
 
 
 @query("s9_semicolon_schema", _SCHEMA + """SELECT 'COLUMN_NAME' AS column_name, column_name AS value FROM schema_columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
-from quarrylog.functions import sqltext, text
+from quarrylog.functions import sqltext, text, vocab
 from quarrylog.inputs import NL_PAIRS_SQL, QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, nl_pairs, query_log, schema_columns, spread, table
 from quarrylog.operators import log_context, prompts, sampling, validation
 from quarrylog.registry import query
@@ -208,6 +208,12 @@ def short_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.short_value(F.col("text")).alias("short"))
 
 
+@query("f20_short_number", "SELECT l_orderkey, l_linenumber, printf('%.3g', l_extendedprice) AS price, printf('%.3g', l_discount) AS discount, printf('%.3g', l_quantity) AS quantity FROM lineitem")
+def short_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = [text.short_number(F.col(f"l_{c}")).alias(n) for c, n in (("extendedprice", "price"), ("discount", "discount"), ("quantity", "quantity"))]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *shown)
+
+
 @query("f8_trigrams", """WITH t AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM benchmark)
 SELECT item_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS gram FROM t WHERE len(t) >= 3""")
 def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,6 +244,24 @@ def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.expand_contractions(F.col("text")).alias("text"))
 
 
+#: Openings with contractions, and what they become.
+_OPENINGS = [
+    ("I'm sure they can't: ", "I am sure they can not: "),
+    ("WE'LL see, it's done: ", "We will see, it is done: "),
+    ("She shouldn't've, the dog's tail: ", "She should not have, the dogs tail: "),
+    ("Y'all won't: ", "You all will not: "),
+    ("'cause ", "because "),
+]
+_EXPANDED = "CASE item_id % 5 " + " ".join(f"WHEN {i} THEN {o.quoted(full)}" for i, (_, full) in enumerate(_OPENINGS)) + " END"
+
+
+@query("f15_contractions_found", f"SELECT item_id, concat({_EXPANDED}, replace(text, chr(39), '')) AS text FROM benchmark")
+def contractions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F15 on passages that open with contractions."""
+    opening = F.element_at(F.array(*[F.lit(short) for short, _ in _OPENINGS]), (F.col("item_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.expand_contractions(F.concat(opening, "text")).alias("text"))
+
+
 @query("f18_normalised")
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.normalise(F.col("text")).alias("text"))
@@ -343,14 +367,22 @@ def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.select("l_suppkey", "col", F.array_join("sample", ",").alias("sample"), F.array_join("distinct_values", ",").alias("distinct_values"))
 
 
-@query("c1_column_question", _SAMPLES + """ SELECT l_suppkey, col, concat('Consider the column `', col, '` in the data sample below.', chr(10), replace(sample, ',', chr(10)), chr(10), chr(10),
-  'Select the class a column called `', col, '` with values `', replace(distinct_values, ',', ', '), '` from the list:', chr(10), chr(10), 'PHONE, TITLE', chr(10), chr(10), 'Reply with only one word from the list.') AS question
-  FROM s JOIN v USING (l_suppkey, col)""")
+_CLASSES = o.quoted(", ".join(vocab.COLUMN_CLASSES))
+_NAMED = "col, '` with values `', replace(distinct_values, ',', ', '), '`"
+
+
+@query("c1_column_question", _SAMPLES + f""", f AS (SELECT l_suppkey, col, sample, distinct_values, unnest(['select', 'check', 'new']) AS form FROM s JOIN v USING (l_suppkey, col))
+  SELECT l_suppkey, col, form, concat('Consider the column `', col, '` in the data sample below.', chr(10), replace(sample, ',', chr(10)), chr(10), chr(10), CASE form
+    WHEN 'select' THEN concat('Select the class a column called `', {_NAMED} from the list:')
+    WHEN 'check' THEN concat('Suggest a semantic type for the column `', {_NAMED}:') ELSE concat('Suggest a new semantic type for the column `', {_NAMED}:') END,
+   chr(10), chr(10), {_CLASSES}, chr(10), chr(10), CASE form WHEN 'select' THEN 'Reply with only one word from the list.'
+    WHEN 'check' THEN 'Does the column fit any of the possible classes? Reply "Yes" or "No".' ELSE 'Reply with only one word: the new semantic type.' END) AS question FROM f""")
 def column_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column is asked about in all three forms, over the whole list of classes."""
     samples = prompts.column_samples(_cells(spark, sf_dir), "l_suppkey", "col", "pos", "value")
-    classes = F.array(F.lit("PHONE"), F.lit("TITLE"))
-    asked = prompts.column_question("select", F.col("col"), F.col("sample"), F.col("distinct_values"), classes)
-    return samples.select("l_suppkey", "col", asked.alias("question"))
+    classes = F.array(*[F.lit(c) for c in vocab.COLUMN_CLASSES])
+    asked = prompts.column_questions(F.col("col"), F.col("sample"), F.col("distinct_values"), classes)
+    return samples.select("l_suppkey", "col", F.inline(asked))
 
 
 @query("c3_seeded_shuffle", """SELECT doc_id FROM (SELECT doc_id FROM labels ORDER BY doc_id LIMIT 50) AS f ORDER BY md5(concat('0-', CAST(doc_id AS VARCHAR)))""")
@@ -366,7 +398,15 @@ def growing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.growing_labels(table(spark, sf_dir, "events"), "event_id", "event_type", ["click", "view"])
 
 
-@query("p9_vocabulary_filter", "SELECT event_id, upper(event_type) AS label FROM events WHERE event_type IN ('click', 'view')")
+#: What a column typer answered, by kind of event; two answers are no class of the vocabulary.
+_ANSWERS = {"view": "WEBSITE", "click": "CALL_TO_ACTION_URL", "error": "NO_DISPLAY", "purchase": "PRICE_RANGE", "signup": "USER"}
+_LABEL = "CASE event_type " + " ".join(f"WHEN '{kind}' THEN '{answer}'" for kind, answer in _ANSWERS.items()) + " END"
+
+
+@query("p9_vocabulary_filter", f"SELECT event_id, label FROM (SELECT event_id, {_LABEL} AS label FROM events) AS e WHERE label IN (" + ", ".join(f"'{c}'" for c in vocab.COLUMN_CLASSES) + ")")
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label: Column = F.upper("event_type")
-    return table(spark, sf_dir, "events").select("event_id", label.alias("label")).where(F.col("label").isin("CLICK", "VIEW"))
+    """Answers that are a class of the whole vocabulary."""
+    label: Column = F.lit(None).cast("string")
+    for kind, answer in _ANSWERS.items():
+        label = F.when(F.col("event_type") == kind, answer).otherwise(label)
+    return table(spark, sf_dir, "events").select("event_id", label.alias("label")).where(F.col("label").isin(vocab.COLUMN_CLASSES))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext, vocab
-from quarrylog.inputs import QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, query_log, schema_columns
+from quarrylog.inputs import QUERY_LOG_SQL, SCHEMA_COLUMNS_SQL, query_log, schema_columns, table
 from quarrylog.operators import workload as ops
 from quarrylog.operators.compute import once
 from quarrylog.registry import query
@@ -195,9 +195,33 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"count(*) FILTER (contains(gold_sql, {o.quoted(w)})) AS {w.lower().replace(' ', '_')}" for w in vocab.WRITE_WORDS
 ) + " FROM query_log")
 def read_only_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_log(spark, sf_dir).agg(
-        *[F.count_if(gold().contains(w)).alias(w.lower().replace(" ", "_")) for w in vocab.WRITE_WORDS]
-    )
+    return query_log(spark, sf_dir).agg(*ops.write_words(gold()))
+
+
+_WRITES = {
+    "purchase": "insert into events values (%s)",
+    "error": "DELETE FROM events WHERE event_id = %s",
+    "click": "update events set value = 0 where event_id = %s",
+    "signup": "CREATE INDEX by_user_%s ON events (user_id)",
+    "view": "alter table events add primary key (event_id) -- EXEC %s",
+}
+_WRITES_SQL = "CASE event_type " + " ".join(
+    f"WHEN {o.quoted(kind)} THEN replace({o.quoted(sql)}, '%s', CAST(event_id AS VARCHAR))" for kind, sql in _WRITES.items()
+) + " END"
+
+
+@query("p6_write_words", o.QL + f", s AS (SELECT gold_sql AS sql FROM query_log UNION ALL SELECT {_WRITES_SQL} FROM events) " + " UNION ALL ".join(
+    f"SELECT {flag} AS case_sensitive, " + ", ".join(f"count(*) FILTER (contains({held}, {o.quoted(w)})) AS {w.lower().replace(' ', '_')}" for w in vocab.WRITE_WORDS) + " FROM s"
+    for flag, held in (("true", "sql"), ("false", "upper(sql)"))
+))
+def write_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 with and without regard to case, on a log to which every event adds a statement that writes; read once."""
+    written = F.lit(None).cast("string")
+    for kind, sql in _WRITES.items():
+        written = F.when(F.col("event_type") == kind, F.format_string(sql, "event_id")).otherwise(written)
+    log = query_log(spark, sf_dir).select(gold().alias("sql")).unionByName(table(spark, sf_dir, "events").select(written.alias("sql")))
+    counts = [F.struct(F.lit(cased).alias("case_sensitive"), *ops.write_words(F.col("sql"), cased)) for cased in (True, False)]
+    return log.agg(F.array(*counts).alias("audit")).select(F.inline("audit"))
 
 
 @query("p8_multi_table", REFS + "SELECT query_id FROM refs WHERE len(tabs) > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, types as T, functions as F
 
@@ -73,10 +75,12 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_names(spark: SparkSession, path: str) -> DataFrame:
-    """Table names from the file names of a schema folder."""
+    """Table names of a schema folder, from its files ``name.csv`` or folders ``name.csv`` of part files."""
     # Only file metadata is read, not file content.
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").distinct()
-    return listed.select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("table_name"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path")
+    folder = re.escape(path.rstrip("/").rsplit("/", 1)[-1])
+    name = F.regexp_extract("path", rf"/{folder}/([^/]+)\.csv(?:/part-[^/]+)?$", 1)
+    return listed.select(name.alias("table_name")).where("table_name <> ''").distinct()
 
 
 def read_semicolon_schema(spark: SparkSession, path: str) -> DataFrame:

@@ -212,3 +212,35 @@ def test_joined_text_equals_sentence_score(spark):
     pair = spark.createDataFrame([(1, "a b c d e", "a b c d e x y")], "g int, r string, p string")
     assert abs(joined["bleu"] - nl_scores.bleu(pair, ["g"], "r", "p").first()["bleu"]) < 1e-12
     assert abs(joined["rouge_1"] - pair.select(nl_scores.rouge_1(F.col("r"), F.col("p")).alias("x")).first()["x"]) < 1e-12
+
+
+def test_short_numbers_print_as_three_digits(spark):
+    values = [0.0, 1.0, -2.5, 0.04, 12.34, 99.96, 100.0, 999.0, 999.6, 1000.0, 4605.0, 4615.0, -123456.0, 0.000123456, 0.0000123456, 1e20, 7.0]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in frame.select(text.short_number(F.col("x"))).collect()]
+    assert got == [f"{v:.3g}" for v in values]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double")
+    assert [r[0] for r in odd.select(text.short_number(F.col("x"))).collect()] == [None, None, None]
+
+
+def test_catalog_names_need_a_mark_on_both_sides(spark):
+    sql = "SELECT * FROM t JOIN x.T$1 ON (t.a = ta.t) WHERE t"
+    names = F.array(F.lit("T"), F.lit("T$1"))
+    got = spark.createDataFrame([(sql,)], "s string").select(sqltext.catalog_names(F.col("s"), names, "DW")).first()[0]
+    assert got == "SELECT * FROM  'DW-t' JOIN x. 'DW-T$1' ON ( 'DW-t'.a = ta. 'DW-t') WHERE t"
+
+
+def test_write_words_with_and_without_case(spark):
+    from quarrylog.operators import workload
+
+    log = spark.createDataFrame([("delete from t",), ("DELETE FROM t",), ("SELECT 1",), (None,)], "sql string")
+    counts = lambda cased: log.agg(*workload.write_words(F.col("sql"), cased)).first()["delete"]
+    assert (counts(True), counts(False)) == (1, 2)
+
+
+def test_all_forms_of_a_column_question(spark):
+    from quarrylog.operators import prompts
+
+    asked = prompts.column_questions(F.lit("c"), F.array(F.lit("1")), F.array(F.lit("1")), F.array(F.lit("PHONE"), F.lit("TITLE")))
+    rows = {r.form: r.question for r in spark.range(1).select(F.inline(asked)).collect()}
+    assert set(rows) == {"select", "check", "new"} and all("PHONE, TITLE" in q for q in rows.values())

@@ -49,6 +49,15 @@ def test_semicolon_schema(spark, tmp_path):
     assert [r["table_name"] for r in files.table_names(spark, str(tmp_path)).collect()] == ["T1"]
 
 
+def test_table_names_of_files_and_folders(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("x\n")
+    spark.range(4).repartition(2).write.csv(str(tmp_path / "two.csv"))
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "three.csv").write_text("x\n")
+    (tmp_path / "notes.txt").write_text("x\n")
+    assert sorted(r["table_name"] for r in files.table_names(spark, str(tmp_path)).collect()) == ["one", "two"]
+
+
 def test_folder_as_tables(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     found = files.folder_as_tables(spark, str(tmp_path), ["a", "missing"])
