@@ -80,6 +80,10 @@ RUN_STATUS_SQL = """SELECT o_orderkey AS query_id,
   CASE WHEN o_orderkey % 12 = 11 THEN 'not a query' WHEN o_orderkey % 17 = 0 THEN 'timeout' END AS error
 FROM orders"""
 
+# Results kept of earlier runs: some are empty.
+CACHED_RESULTS_SQL = """SELECT l_orderkey AS query_id, sum(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS n_rows
+FROM lineitem GROUP BY l_orderkey"""
+
 NL_PAIRS_SQL = """SELECT u.conv_id, u.turn, u.text AS reference, a.text AS generated
 FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'"""
@@ -168,6 +172,10 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, RUN_STATUS_SQL, "orders")
 
 
+def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_sql(spark, sf_dir, CACHED_RESULTS_SQL, "lineitem")
+
+
 def nl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, NL_PAIRS_SQL, "conversations")
 

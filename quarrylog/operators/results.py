@@ -286,8 +286,15 @@ def size_report(compared: DataFrame) -> DataFrame:
     )
 
 
-def error_percentage(status: DataFrame) -> DataFrame:
-    """Share of statements with an ``error``, in percent; null without statements."""
+def error_percentage(status: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """Share of statements with an ``error``, in percent; null without statements.
+
+    With ``cached`` (``query_id, n_rows`` of earlier results) a statement that has
+    a cached result with rows counts as a success.
+    """
+    if cached is not None:
+        answered = cached.where("n_rows > 0").select("query_id", F.lit(True).alias("_answered")).dropDuplicates(["query_id"])
+        status = status.join(answered, "query_id", "left").withColumn("error", F.when(F.col("_answered").isNull(), F.col("error")))
     return status.agg(F.try_divide(F.count("error") * 100.0, F.count("*")).alias("error_percentage"))
 
 

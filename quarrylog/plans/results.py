@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrylog import oracle_parts as o
 from quarrylog.functions import sqltext
 from quarrylog.inputs import (
-    LARGE_QUERIES_SQL, LARGE_RESULTS_SQL, RESULT_ROWS_SQL, RUN_STATUS_SQL, SMALL_QUERIES_SQL, SMALL_RESULTS_SQL,
-    large_results, query_log, result_rows, run_status, small_results,
+    CACHED_RESULTS_SQL, LARGE_QUERIES_SQL, LARGE_RESULTS_SQL, RESULT_ROWS_SQL, RUN_STATUS_SQL, SMALL_QUERIES_SQL, SMALL_RESULTS_SQL,
+    cached_results, large_results, query_log, result_rows, run_status, small_results,
 )
 from quarrylog.operators import results, scoring
 from quarrylog.plans.scoring import SETS
@@ -191,3 +191,11 @@ def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the status of every statement of the log."""
     return results.error_percentage(run_status(spark, sf_dir)).select(F.round("error_percentage", 6).alias("error_percentage"))
+
+
+@query("a27_error_percentage_cached", o.with_(status=RUN_STATUS_SQL, cached=CACHED_RESULTS_SQL) + """SELECT round(count(error) FILTER (
+  query_id NOT IN (SELECT query_id FROM cached WHERE n_rows > 0)) * 100.0 / count(*), 6) AS error_percentage FROM status""")
+def error_percentage_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27 where a cached result with rows stands for a success."""
+    found = results.error_percentage(run_status(spark, sf_dir), cached_results(spark, sf_dir))
+    return found.select(F.round("error_percentage", 6).alias("error_percentage"))

@@ -398,3 +398,10 @@ def test_first_per_group_beyond_the_early_limit(spark, monkeypatch):
     want = joins.first_per_group(rows, ["g"], [F.desc("id")], 40).orderBy("id").collect()
     monkeypatch.setattr(joins, "EARLY_RANK_LIMIT", 10)
     assert joins.first_per_group(rows, ["g"], [F.desc("id")], 40).orderBy("id").collect() == want
+
+
+def test_cached_rows_turn_an_error_into_a_success(spark):
+    status = spark.createDataFrame([(1, "timeout"), (2, "timeout"), (3, None), (4, "bad"), (None, "bad")], "query_id long, error string")
+    cached = spark.createDataFrame([(1, 5), (1, 7), (2, 0), (9, 3), (None, 2)], "query_id long, n_rows long")
+    share = lambda *args: results.error_percentage(*args).first()[0]
+    assert (share(status), share(status, cached), share(status.limit(0), cached)) == (80.0, 60.0, None)
