@@ -59,10 +59,15 @@ def split_candidates(text: Column) -> Column:
 
 
 def option_lines(text: Column) -> Column:
-    """Answer lines that are options, their markers cleaned; what is left must be longer than three characters."""
+    """Answer lines that are options, their markers cleaned."""
     lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda line: strip(line))
     kept = F.filter(lines, lambda x: (x != "") & ~F.upper(x).contains("OPTION") & ~x.contains(":"))
-    return F.filter(F.transform(kept, clean_marker), lambda x: F.length(x) > 3)
+    return F.transform(kept, clean_marker)
+
+
+def long_options(options: Column) -> Column:
+    """P12, combined path: options of more than three characters."""
+    return F.filter(options, lambda x: F.length(x) > 3)
 
 
 @F.pandas_udf(T.StringType())

@@ -117,6 +117,11 @@ def test_options(spark):
     assert sql(spark, text.option_lines, "Option 1\n - Show names\nnote: x\n\nList all") == ["Show names", "List all"]
 
 
+def test_short_option_lines_stay(spark):
+    assert sql(spark, text.option_lines, "1. Yes\nNo\n2. All names\n3.") == ["Yes", "No", "All names", ""]
+    assert sql(spark, lambda c: text.long_options(text.option_lines(c)), "1. Yes\nNo\n2. All names\n3.") == ["All names"]
+
+
 def test_ngrams_and_numbers(spark):
     assert one(spark, text.ngrams(F.split("s", " "), 3), s="a b c d") == ["a b c", "b c d"]
     assert one(spark, text.ngrams(F.split("s", " "), 3), s="a b") == []
