@@ -44,6 +44,23 @@ def test_bleu_shuffles_texts_once(spark, sf):
     assert plan.count("Exchange hashpartitioning") == before + 1
 
 
+def test_bleu_makes_no_row_per_gram(spark):
+    """Each pair is one row of text until it is scored; pairs of one key count together, null texts are empty."""
+    from quarrylog.operators import nl_scores
+
+    rows = [(1, None, "a b c d", "a b"), (1, None, "a b", "c d e a b"), (None, 2, "x y z w", "x y z w"), (None, None, None, "a"), (3, 3, "a", None), (4, 4, None, None)]
+    frame = spark.createDataFrame([*rows, *[(k, 0, "p q r s t", "p q r s") for k in range(10, 300)]], "i int, j int, r string, g string")
+    scores = nl_scores.bleu(frame, ["i", "j"], "r", "g")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r["i"], r["j"]): r["bleu"] for r in scores.collect()}
+    assert len(got) == 295 and got[(None, 2)] == 1.0 and got[(None, None)] == got[(3, 3)] == got[(4, 4)] == 0.0
+    # Words 6 of 7, pairs 3 of 5, no triple of "c d e", "d e a" or "e a b" in the references.
+    assert got[(1, None)] == 0.0
+    smooth = {(r["i"], r["j"]): r["bleu"] for r in nl_scores.bleu(frame, ["i", "j"], "r", "g", smooth=True).collect()}
+    assert abs(smooth[(1, None)] - (6 / 7 * 3 / 5 * 0.1 / 3 * 0.1 / 2) ** 0.25) < 1e-12
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     import __spark_entry__
 
