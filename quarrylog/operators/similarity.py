@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,9 @@ from quarrylog.operators.joins import first_per_group, spread_join
 from quarrylog.session import cut_lineage
 
 BLOCK_ROWS = 4096
+#: Blocks that a side is cut into at most, until a block would hold more than ``MOST_ROWS``: each row is sent to so many tasks.
+BLOCKS, MOST_ROWS = 16, 1 << 16
+SCORES = 1 << 22  # scores of a task in memory at the same time
 CENTRES = 64
 SLACK = 1e-6  # more than rounding can move a bound
 SCORE_DIGITS = 9  # scores that differ only by summation order rank as ties, then by id
@@ -78,7 +82,8 @@ class Layout:
     t_blocks: list[int]
 
 
-def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: int) -> Layout:
+def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: int | None = None) -> Layout:
+    """Without ``block_rows`` blocks grow with the input, so that the rows sent grow in proportion to it."""
     def sizes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n, radius = np.zeros(centres, np.int64), np.zeros(centres)
         for r in df.groupBy("centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).head(centres):  # a row per centre
@@ -87,6 +92,8 @@ def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: in
 
     t_rows, radius = sizes(targets)
     q_rows = t_rows if queries is targets else sizes(queries)[0]
+    if block_rows is None:
+        block_rows = min(MOST_ROWS, max(BLOCK_ROWS, -(-int(max(q_rows.sum(), t_rows.sum())) // BLOCKS)))
     cell, held = np.zeros(centres, np.int64), 0
     for c in range(centres):
         rows = int(max(q_rows[c], t_rows[c]))
@@ -96,12 +103,16 @@ def _layout(queries: DataFrame, targets: DataFrame, centres: int, block_rows: in
     return Layout(cell, radius, t_rows > 0, blocks(q_rows), blocks(t_rows))
 
 
-def _score_block(q: pd.DataFrame, t: pd.DataFrame, skip_same_id: bool) -> np.ndarray:
-    """Scores of two blocks of unit vectors; NaN where a pair does not count."""
-    scores = np.round(np.array(q["vector"].tolist()) @ np.array(t["vector"].tolist()).T, SCORE_DIGITS) + 0.0
-    if skip_same_id:
-        scores[q["id"].to_numpy()[:, None] == t["id"].to_numpy()[None, :]] = np.nan
-    return scores
+def _scores(q: pd.DataFrame, t: pd.DataFrame, skip_same_id: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Scores of two blocks of unit vectors, some rows of ``q`` at a time with the first one's position; NaN where a pair does not count."""
+    ours, theirs = np.array(q["vector"].tolist()), np.array(t["vector"].tolist()).T
+    q_ids, t_ids = q["id"].to_numpy(), t["id"].to_numpy()
+    step = max(1, SCORES // len(t))
+    for at in range(0, len(q), step):
+        scores = np.round(ours[at : at + step] @ theirs, SCORE_DIGITS) + 0.0
+        if skip_same_id:
+            scores[q_ids[at : at + step, None] == t_ids[None, :]] = np.nan
+        yield at, scores
 
 
 def _with_near_centres(queries: DataFrame, targets: DataFrame, pivots: np.ndarray, layout: Layout, k: int, skip_same_id: bool) -> DataFrame:
@@ -122,9 +133,9 @@ def _with_near_centres(queries: DataFrame, targets: DataFrame, pivots: np.ndarra
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         bound = np.full(len(q), -2.0)
         if len(q) and len(t):
-            scores = np.where(np.isnan(found := _score_block(q, t, skip_same_id)), -np.inf, found)
-            if scores.shape[1] >= k:
-                bound = np.maximum(bound, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+            for at, found in _scores(q, t, skip_same_id) if len(t) >= k else ():
+                kth = np.partition(np.where(np.isnan(found), -np.inf, found), len(t) - k, axis=1)[:, len(t) - k]
+                bound[at : at + len(kth)] = np.maximum(-2.0, kth)
         near = np.zeros((0, len(pivots)), bool)
         if len(q):
             most = np.cos(np.maximum(0.0, _angles(np.array(q["vector"].tolist()), pivots) - layout.radius))
@@ -139,7 +150,7 @@ def _with_near_centres(queries: DataFrame, targets: DataFrame, pivots: np.ndarra
 
 
 def top_similar(
-    queries: DataFrame, targets: DataFrame, k: int, block_rows: int = BLOCK_ROWS, skip_same_id: bool = False, centres: int = CENTRES
+    queries: DataFrame, targets: DataFrame, k: int, block_rows: int | None = None, skip_same_id: bool = False, centres: int = CENTRES
 ) -> DataFrame:
     """Exact best ``k`` targets of each query by cosine; both sides are ``(id, vector)``.
 
@@ -172,9 +183,11 @@ def top_similar(
     def score(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return empty
-        scores, t_ids = _score_block(q, t, skip_same_id), t["id"].to_numpy()
-        rows, cols = best_in_block(scores, t_ids, k)
-        return pd.DataFrame({"q_id": q["id"].to_numpy()[rows], "t_id": t_ids[cols], "score": scores[rows, cols]})
+        q_ids, t_ids, found = q["id"].to_numpy(), t["id"].to_numpy(), []
+        for at, scores in _scores(q, t, skip_same_id):
+            rows, cols = best_in_block(scores, t_ids, k)
+            found.append(pd.DataFrame({"q_id": q_ids[at + rows], "t_id": t_ids[cols], "score": scores[rows, cols]}))
+        return pd.concat(found)
 
     keys = ["qc", "qb", "tc", "tb"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)

@@ -313,6 +313,35 @@ def test_top_similar_leaves_out_far_groups(spark):
     assert pairs < 0.4 * len(asked) * sum(layout.t_blocks)
 
 
+def test_blocks_grow_with_the_vectors(spark):
+    """Four times the rows are sent to about as many blocks, so what is sent grows in proportion; large blocks are scored in parts."""
+    import numpy as np
+
+    def blocks(n):
+        rows = spark.range(n).select("id", (F.col("id") % 64).cast("int").alias("centre"), F.lit(0.5).alias("angle"))
+        layout = similarity._layout(rows, rows, 64)
+        return sum(layout.q_blocks), sum(layout.t_blocks)
+
+    assert max(blocks(150_000) + blocks(600_000)) <= 2 * similarity.BLOCKS
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(200, 6))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(scores, -2)
+    q = frame.select("id", "vector").toPandas()
+    q["vector"] = list(unit)
+    before, similarity.SCORES = similarity.SCORES, 1000
+    try:
+        parts = list(similarity._scores(q, q, True))
+    finally:
+        similarity.SCORES = before
+    assert [at for at, _ in parts] == list(range(0, 200, 5))
+    assert np.allclose(np.nan_to_num(np.concatenate([x for _, x in parts]), nan=-2), scores)
+    want = {(i, rank, j) for i, row in enumerate(scores) for rank, j in enumerate(np.lexsort((np.arange(200), -row))[:3].tolist(), 1)}
+    assert {(r["q_id"], r["rank"], r["t_id"]) for r in similarity.top_similar(frame, frame, 3, skip_same_id=True).collect()} == want
+
+
 def test_top_similar_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, vector array<double>")
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "id long, vector array<double>")
