@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarrylog.functions.text import ngrams
 from quarrylog.operators.joins import first_per_group, spread_join
-from quarrylog.session import cut_lineage
+from quarrylog.session import bucketed, cut_lineage
 
 PARALLEL_FITS = 8  # models fitted at the same time; the executors share their cores among them
 
@@ -72,26 +74,71 @@ def kmeans_sweep(features: DataFrame, ks: list[int], restarts: int = 10, seed: i
     return features.sparkSession.createDataFrame(list(zip(ks, scores, strict=True)), "k int, silhouette double")
 
 
-def tfidf(
-    docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 1, min_df: int = 1, max_share: float = 1.0
-) -> DataFrame:
-    """M6: ``(cluster, key, term, df, w)``: n-gram weights inside each cluster, documents scaled to unit length.
+SLICE = 64  # documents whose tokens are Python lists at the same time
+PART_ROWS = 4_000_000  # (document, term) rows of a task
 
-    idf is ``ln((1 + docs) / (1 + df)) + 1``. Terms outside ``min_df`` to
-    ``max_share`` of the documents are left out first.
+
+def term_counts(docs: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFrame:
+    """``(*keys, term, tf)``: n-grams of each document; documents of equal keys count together.
+
+    Whole texts are shuffled once and sorted by key; a document's n-grams are
+    counted where its text is, so a task never holds those of its other documents.
     """
-    # Whole texts are shuffled once; a document's grams are counted where they are made.
-    grams = docs.repartition(key).select(cluster, key, F.explode(ngrams(tokens, n)).alias("term"))
-    tf = cut_lineage(grams.groupBy(cluster, key, "term").agg(F.count("*").alias("tf")))
+    schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def rows(held: list, counts: Counter) -> pa.RecordBatch:
+        same = [pa.repeat(pa.scalar(k, arrow.field(i).type), len(counts)) for i, k in enumerate(held)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(counts.keys(), arrow.field("term").type), pa.array(counts.values(), pa.int64())], schema=arrow)
+
+    def run(batches):
+        held, counts = None, Counter()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                done = []
+                for *key, words in zip(*[c.to_pylist() for c in batch.slice(start, SLICE).columns], strict=True):
+                    if held is not None and key != held:
+                        done.append(rows(held, counts))
+                        counts = Counter()
+                    held = key
+                    words = words or []
+                    counts.update(words if n == 1 else map(" ".join, zip(*[words[i:] for i in range(n)])))
+                if done:
+                    yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if held is not None:
+            yield rows(held, counts)
+
+    dealt = docs.repartition(keys[-1]).sortWithinPartitions(*keys)
+    return dealt.select(*keys, tokens.alias("_words")).mapInArrow(run, schema)
+
+
+def _weights(
+    docs: DataFrame, key: str, cluster: str, tokens: Column, n: int, min_df: int, max_share: float
+) -> tuple[DataFrame, int]:
+    """``tfidf`` with the documents dealt out by ``key``, and over how many partitions."""
+    tf = cut_lineage(term_counts(docs, [cluster, key], tokens, n))
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("docs"))
     df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df")).join(sizes, cluster)
     kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("docs")))
     # One row per term; the join below reads it three times.
     idf = cut_lineage(kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
     weighted = spread_join(tf, idf, [cluster, "term"], [key], n="df").select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    # No more than the cores need: every one sends its own sums of the terms.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-tf.count() // PART_ROWS))
     # A document's terms are few next to the corpus; the window saves making the weights twice.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cluster, key)))
-    return weighted.withColumn("w", F.col("w") / length)
+    return weighted.repartition(parts, key).withColumn("w", F.col("w") / length), parts
+
+
+def tfidf(
+    docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 1, min_df: int = 1, max_share: float = 1.0
+) -> DataFrame:
+    """M6: ``(cluster, key, term, df, w)``: n-gram weights inside each cluster, documents scaled to unit length.
+
+    idf is ``ln((1 + docs) / (1 + df)) + 1``. Terms outside ``min_df`` to
+    ``max_share`` of the documents are left out first.
+    """
+    return _weights(docs, key, cluster, tokens, n, min_df, max_share)[0]
 
 
 def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
@@ -132,9 +179,25 @@ def _orthonormal(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
     return _times(vectors, column, directions[:, used] / np.sqrt(values[used])), int(used.sum())
 
 
-def _weighted_sums(rows: DataFrame, by: str, vector: str, size: int) -> DataFrame:
+def _weighted_sums(rows: DataFrame, by: str, vector: str, size: int, *more: Column) -> DataFrame:
     """Per ``by`` the sum of ``w`` times the vector, element by element."""
-    return rows.groupBy(by).agg(F.array(*[F.sum(F.col("w") * F.col(vector)[j]) for j in range(size)]).alias(vector))
+    return rows.groupBy(by).agg(F.array(*[F.sum(F.col("w") * F.col(vector)[j]) for j in range(size)]).alias(vector), *more)
+
+
+#: Terms that each hold more than this share of all weights are broadcast with their vectors; there are fewer than that.
+COMMON = 1 << 15
+
+
+def _sums_of_documents(weights: DataFrame, by_term: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """Per document the weighted sum of its terms' vectors.
+
+    Common terms come to the weights, where a document's rows lie together and
+    are added up before they are sent; only rows of rare terms travel with a vector.
+    """
+    common = F.col("df") * COMMON > total
+    near = weights.where(common).join(F.broadcast(by_term.where(common).select("term", "v")), "term")
+    far = weights.where(~common).join(by_term.where(~common).select("term", "v"), "term")
+    return _weighted_sums(near.unionByName(far), key, "v", size)
 
 
 def latent_terms(
@@ -144,11 +207,13 @@ def latent_terms(
 
     Randomised subspace iteration on the sparse rows, so the vocabulary has no
     limit: every step is a join and a sum; only matrices of ``dims + 10``
-    squared reach the driver. The start directions come from hashes of the
+    squared reach the driver. The weights lie in a table bucketed by document
+    and are not shuffled again. The start directions come from hashes of the
     terms, so a second run gives the same result.
     """
-    weights = cut_lineage(tfidf(docs.withColumn("_all", F.lit(0)), key, "_all", tokens, 1, min_df, max_share).drop("_all"))
-    frequency = weights.groupBy("term").agg(F.first("df").alias("df"))
+    weighted, parts = _weights(docs.withColumn("_all", F.lit(0)), key, "_all", tokens, 1, min_df, max_share)
+    weights, forget = bucketed(weighted.drop("_all"), key, parts)
+    total = weights.count()
     size = dims + 10
     bits = [F.shiftrightunsigned(F.xxhash64("term"), j).bitwiseAND(F.lit(1)) for j in range(size)]
     start = F.array(*[F.when(bit == 1, 1.0).otherwise(-1.0) for bit in bits])
@@ -156,9 +221,11 @@ def latent_terms(
     for step in range(rounds + 1):
         basis, size = _orthonormal(cut_lineage(basis), "v")
         basis = cut_lineage(basis)
-        by_term = cut_lineage(_weighted_sums(weights.join(basis, key), "term", "v", size))
+        met = weights.join(basis.hint("shuffle_hash"), key)  # only the documents' vectors move
+        by_term = cut_lineage(_weighted_sums(met, "term", "v", size, F.first("df").alias("df")))
         if step < rounds:
-            basis = _weighted_sums(spread_join(weights.drop("df"), by_term.join(frequency, "term"), ["term"], [key], n="df"), key, "v", size)
+            basis = _sums_of_documents(weights, by_term, key, size, total)
+    forget()
     values, directions = np.linalg.eigh(_gram(by_term, "v"))
     largest = np.argsort(values)[::-1][:dims]
     turned = directions[:, largest] * np.sqrt(np.maximum(values[largest], 0))

@@ -406,6 +406,38 @@ def test_cluster_terms_small(spark):
     assert got["e", "a b"] == 1.0
 
 
+def test_terms_are_counted_in_place(spark):
+    """One task's n-grams are never grouped as rows; documents of one key count together."""
+    rows = [(1, "c", "a b a b"), (1, "c", "a b"), (None, "c", "x"), (2, None, "a a a"), (3, "e", None), *[(i, "f", "p q r") for i in range(10, 200)]]
+    frame = spark.createDataFrame(rows, "i int, g string, s string")
+    counts = clustering.term_counts(frame, ["g", "i"], F.split("s", " "), 2)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r["g"], r["i"], r["term"]): r["tf"] for r in counts.collect()}
+    few = {k: v for k, v in got.items() if k[0] != "f"}
+    assert few == {("c", 1, "a b"): 3, ("c", 1, "b a"): 1, (None, 2, "a a"): 2} and len(got) == 3 + 2 * 190
+
+
+def test_latent_terms_send_no_vector_with_common_terms(spark, monkeypatch):
+    """Terms above and below the share for a broadcast give the same sums, and weights in buckets are not dealt out again."""
+    from quarrylog.session import bucketed
+
+    weights = spark.createDataFrame([(d, f"t{d % k}", k, float(d + k)) for d in range(60) for k in (2, 3, 30)], "i int, term string, df int, w double")
+    by_term = spark.createDataFrame([(f"t{j}", 2 if j < 2 else 3 if j < 3 else 30, [float(j), 1.0]) for j in range(30)], "term string, df int, v array<double>")
+    weights = weights.drop("df").join(by_term.select("term", "df"), "term")
+    table, forget = bucketed(weights.repartition(4, "i"), "i", 4)
+    sums = {}
+    for common in (1, 20, 1 << 15):
+        monkeypatch.setattr(clustering, "COMMON", common)
+        rows = clustering._sums_of_documents(table, by_term, "i", 2, 180).collect()
+        sums[common] = {r["i"]: [round(x, 9) for x in r["v"]] for r in rows}
+    assert len(sums[1]) == 60 and sums[1] == sums[20] == sums[1 << 15]
+    vectors = spark.range(60).select(F.col("id").cast("int").alias("i"), F.array(F.lit(1.0)).alias("v"))
+    plan = table.join(vectors.hint("shuffle_hash"), "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    forget()
+
+
 def test_empty_logs(spark):
     from quarrylog.functions import vocab
     from quarrylog.operators import workload
