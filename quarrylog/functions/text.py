@@ -165,12 +165,21 @@ def short_number(x: Column, digits: int = 3) -> Column:
 
     Halves go to the even digit. NaN and infinities give null.
     """
-    x = x.cast("double")
-    scientific = F.format_string(f"%.{digits - 1}e", x)
-    power = F.substring_index(scientific, "e", -1).try_cast("int")
+    # The text is named again and again below: formatted once per number.
+    exponent = F.substring_index(F.format_string(f"%.{digits - 1}e", x.cast("double")), "e", -1)
+    return let(
+        F.struct(x.cast("double").alias("x"), exponent.alias("exponent")),
+        lambda n: let(n["exponent"].try_cast("int"), lambda power: _shown(n["x"], n["exponent"], power, digits)),
+    )
+
+
+def _shown(x: Column, exponent: Column, power: Column, digits: int) -> Column:
     shift = power - (digits - 1)
     scaled = F.when(shift >= 0, x / F.pow(F.lit(10.0), shift)).otherwise(x * F.pow(F.lit(10.0), -shift))
-    shown = F.abs(F.rint(scaled)).cast("long").cast("string")
+    return let(F.abs(F.rint(scaled)).cast("long").cast("string"), lambda shown: _placed(x, exponent, power, shown, digits))
+
+
+def _placed(x: Column, exponent: Column, power: Column, shown: Column, digits: int) -> Column:
     bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     parted = lambda n: F.concat(F.substring(shown, 1, n), F.lit("."), F.substring(shown, n + 1, digits))
     plain = F.when(power == digits - 1, shown)
@@ -178,6 +187,6 @@ def short_number(x: Column, digits: int = 3) -> Column:
         plain = plain.when(power == p, bare(parted(p + 1)))
     for p in range(-4, 0):
         plain = plain.when(power == p, bare(F.concat(F.lit("0." + "0" * (-p - 1)), shown)))
-    with_power = F.concat(bare(parted(1)), F.lit("e"), F.substring_index(scientific, "e", -1))
+    with_power = F.concat(bare(parted(1)), F.lit("e"), exponent)
     unsigned = F.when((power < -4) | (power >= digits), with_power).otherwise(plain)
     return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), unsigned))

@@ -27,3 +27,9 @@ def test_stop_words_are_a_hash_set(spark):
     short = frame.select(text.drop_stop_words(F.col("s")).alias("s"))
     assert short.first()[0] == "cat Dog"
     assert "array_contains" not in plan(short)
+
+
+def test_a_short_number_is_formatted_once(spark):
+    shown = spark.range(3).select(text.short_number(F.col("id") / 7).alias("x"))
+    assert plan(shown).count("format_string(") == 1
+    assert [r[0] for r in shown.collect()] == ["0", "0.143", "0.286"]
