@@ -111,13 +111,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK_ROWS = 100_000  # rows of a task that works on every row's text
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row text work when the input has fewer splits than cores.
+    """Deal rows out for per-row text work when the input has too few splits: fewer than cores, or of too many rows.
 
-    A no-op at scale, where the scan has far more splits than that.
+    Small columns pack millions of rows into a split, so a task's time would grow with the table. The rows of the
+    files are known from their footers; a scan that has enough splits is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def _from_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrylog.operators.joins import first_per_group
+from quarrylog.session import cut_lineage
 
 
 def seeded_order(seed: int, key: Column) -> Column:
@@ -29,7 +30,8 @@ def quota_sample(df: DataFrame, key: str, level: str, quota: dict[str, int], see
 
 def proportional_quota(df: DataFrame, level: str, n: int) -> DataFrame:
     """Round-half-even share of ``n`` per level, at least 1; the largest level takes the rounding error."""
-    counts = df.groupBy(level).agg(F.count("*").alias("size"))
+    # One row per level, read four times below: the rows themselves are counted once.
+    counts = cut_lineage(df.groupBy(level).agg(F.count("*").alias("size")))
     total = counts.agg(F.sum("size")).scalar()
     largest = counts.agg(F.max_by(level, F.struct("size", level))).scalar()
     quota = counts.withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("size") * n / total).cast("int")))

@@ -19,15 +19,16 @@ def set_scores(df: DataFrame, keys: list[str], gold: Column, pred: Column, empty
 def set_scores_null_rule(df: DataFrame, keys: list[str], gold: Column, pred: Column) -> DataFrame:
     """A null side scores zeros, two empty sides score ones, otherwise as E1."""
     sets = df.select(*keys, gold.alias("_g"), pred.alias("_p"))
-    counts = set_counts(F.col("_g"), F.col("_p"))
-    scored = ratios(counts["tp"], counts["fp"], counts["fn"])
+    # The ratios name each count many times: columns of their own, so the sets meet once.
+    counted = sets.select("*", *[c.alias(n) for n, c in set_counts(F.col("_g"), F.col("_p")).items()])
+    scored = ratios(F.col("tp"), F.col("fp"), F.col("fn"))
     missing = F.col("_g").isNull() | F.col("_p").isNull()
     both_empty = (F.size("_g") == 0) & (F.size("_p") == 0)
 
     def ruled(value: Column) -> Column:
         return F.when(missing, F.lit(0.0)).when(both_empty, F.lit(1.0)).otherwise(value)
 
-    return sets.select(*keys, *[ruled(scored[n]).alias(n) for n in ("precision", "recall", "f1")])
+    return counted.select(*keys, *[ruled(scored[n]).alias(n) for n in ("precision", "recall", "f1")])
 
 
 def macro_summary(scores: DataFrame) -> DataFrame:

@@ -74,12 +74,11 @@ def profile(log: DataFrame, sql: Column) -> DataFrame:
         *[c.alias(n) for n, c in counts.items()],
         F.regexp_count(sql, F.lit(" OVER ")).cast("long").alias("over_words"),
         sqltext.let(sqltext.tokens(sql), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.size(F.array_distinct(ngrams(t, 3))).cast("long").alias("grams"))).alias("t"),
-        F.size(sqltext.table_refs(sql)).cast("long").alias("tables"),
-        F.size(sqltext.column_refs(sql)).cast("long").alias("columns"),
+        sqltext.let(sqltext.refs(sql), lambda r: F.struct(F.size(r["tables"]).cast("long").alias("tables"), F.size(r["columns"]).cast("long").alias("columns"))).alias("r"),
     )
     every = reduce(lambda a, b: a + b, [F.col(n) for n in counts])
     aggregate = reduce(lambda a, b: a + b, [F.col(n) for n in vocab.AGGREGATE_CATEGORIES])
-    row = row.select("*", F.col("t.n").alias("tokens"), F.col("t.grams").alias("trigrams")).drop("t")
+    row = row.select("*", F.col("t.n").alias("tokens"), F.col("t.grams").alias("trigrams"), "r.tables", "r.columns").drop("t", "r")
     return row.agg(
         F.count("*").alias("n_queries"),
         F.avg("trigrams").alias("avg_trigrams"),
