@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarrylog.llm.word_pieces import LibraryPieces, blocks, expand, library_tokenizer, pieces_of, tokenizer_text
+from quarrylog.llm.word_pieces import LibraryPieces, blocks, expand, give_back_memory, library_tokenizer, pieces_of, tokenizer_text
 
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
@@ -70,6 +70,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     shared = spark.sparkContext.broadcast(text)  # one tokenizer file, not data
 
     def run(batches):
+        give_back_memory()
         encode = LibraryPieces(library_tokenizer(name, shared.value), name)
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
@@ -85,7 +86,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
                     row = [part, chunk, before, len(own), doc_ids[at:to], np.diff(bounds[at : to + 1]).tolist(), to_planes(own)]
                     yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row, strict=True))], schema=ARROW)
                     at, chunk, before = to, chunk + 1, before + len(own)
-            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
