@@ -92,15 +92,21 @@ def repeated_window_words(words: Column, n: int = WINDOW) -> Column:
     return F.get(F.transform(F.array(hashes), counted), F.lit(0))
 
 
-def line_passes(line: Column, words: Column, rules: Rules) -> Column:
-    """The three line rules; ``words`` is the line's number of words."""
+def has_words(line: Column, n: int) -> Column:
+    """Whether a line has ``n`` words or more; reads no further than the last of them."""
+    return line.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{n - 1}}}[^\x20\x09-\x0D]")
+
+
+def line_passes(line: Column, is_open: Column, rules: Rules) -> Column:
+    """The three line rules; ``is_open`` tells whether the line has ``min_open_line_words`` words or more."""
     symbols = F.size(F.split(line, SYMBOLS, -1)) - 1
     capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}+", ""))
     letters = F.length(line) - F.length(F.regexp_replace(line, r"\p{L}+", ""))
-    shouting = (words >= rules.min_open_line_words) & (capitals > letters * rules.max_line_shout_share)
+    shouting = is_open & (capitals > letters * rules.max_line_shout_share)
     ends = line.rlike(r"[.!?:;…。\"'”’)\]][\x20\x09-\x0D]*$")
-    punctuation = (symbols <= F.length(line) * rules.max_line_symbol_share) & ~shouting & ((words >= rules.min_open_line_words) | ends)
-    separators = F.size(F.split(line, "[|»›•]", -1)) - 1
+    punctuation = (symbols <= F.length(line) * rules.max_line_symbol_share) & ~shouting & (is_open | ends)
+    rare = F.when(line.contains("»") | line.contains("›") | line.contains("•"), F.size(F.split(line, "[»›•]", -1)) - 1).otherwise(0)
+    separators = F.size(F.split(line, r"\|", -1)) - 1 + rare
     navigation = (separators >= rules.max_menu_separators) | line.rlike(rules.navigation)
     return punctuation & ~navigation & ~line.rlike(rules.boilerplate)
 
@@ -117,7 +123,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     )
 
     def judged(line: Column) -> Column:
-        counted = F.transform(F.array(F.size(words_of(line))), lambda n: F.struct(line.alias("line"), n.alias("n"), line_passes(line, n, rules).alias("ok")))
+        counted = F.transform(F.array(F.size(words_of(line))), lambda n: F.struct(line.alias("line"), n.alias("n"), line_passes(line, n >= rules.min_open_line_words, rules).alias("ok")))
         return F.get(counted, F.lit(0))
 
     figures = once(

@@ -24,7 +24,7 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylog.llm.quality_rules import DEFAULT as RULES, SYMBOLS, line_passes, words_of
+from quarrylog.llm.quality_rules import DEFAULT as RULES, SYMBOLS, has_words, line_passes, words_of
 from quarrylog.operators.compute import once
 from quarrylog.session import cut_lineage
 
@@ -32,8 +32,8 @@ GOOD, BAD, NOTHING = 1, 0, 2
 LABELLERS = ("symbols", "separators", "capitals", "repeats", "variety", "endings", "word_length", "doubled_marks", "failed_lines")
 
 
-#: A whole word of two characters or more with capitals and without small letters.
-CAPITAL_WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{2})[^\x20\x09-\x0D\p{Ll}\p{Lu}]*+\p{Lu}[^\x20\x09-\x0D\p{Ll}]*+(?![^\x20\x09-\x0D])"
+#: A whole word of two characters or more with capitals and without small letters; its first character is looked at first.
+CAPITAL_WORD = r"(?=[^\x20\x09-\x0D\p{Ll}])(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{2})[^\x20\x09-\x0D\p{Ll}\p{Lu}]*+\p{Lu}[^\x20\x09-\x0D\p{Ll}]*+(?![^\x20\x09-\x0D])"
 
 #: What is believed of a labeller before any vote, per class (bad, good) and vote (bad, good, nothing): votes against
 #: are rare on good documents. It weighs this share of all documents.
@@ -67,7 +67,8 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     pieces = lambda pattern: F.size(F.split("text", pattern, -1)) - 1
 
     def failed_words(line: Column) -> Column:
-        return F.get(F.transform(F.array(F.size(words_of(line))), lambda m: F.when(line_passes(line, m, RULES), 0).otherwise(m)), F.lit(0))
+        # Most lines pass, and their words need no count.
+        return F.when(line_passes(line, has_words(line, RULES.min_open_line_words), RULES), 0).otherwise(F.size(words_of(line)))
 
     rows = once(
         rows,
