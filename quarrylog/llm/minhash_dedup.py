@@ -190,12 +190,21 @@ def _roots(config: Config) -> list[list[int]]:
 
 
 def _children(config: Config) -> Column:
-    """Paths of the children that a member (``path``, ``sig``) goes to; the node's path alone chooses the coordinates."""
-    at = lambda salt: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(config.coordinates)).cast("int")
-    child = lambda c: F.xxhash64("path", c, F.get("sig", c))
-    second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(1000)) < int(1000 * (100 / config.percent - 1))
-    one, two = at("a"), at("b")
-    return F.explode(F.when(second & (one != two), F.array(child(one), child(two))).otherwise(F.array(child(one))))
+    """Paths of the children that a member (``paths``, ``sig``) goes to; a node's path alone chooses the coordinates."""
+
+    def of_node(path: Column) -> Column:
+        at = lambda salt: F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(config.coordinates)).cast("int")
+        child = lambda c: F.xxhash64(path, c, F.get("sig", c))
+        second = F.pmod(F.xxhash64(path, F.lit("second")), F.lit(1000)) < int(1000 * (100 / config.percent - 1))
+        one, two = at("a"), at("b")
+        return F.when(second & (one != two), F.array(child(one), child(two))).otherwise(F.array(child(one)))
+
+    return F.explode(F.flatten(F.transform("paths", of_node)))
+
+
+def _by_member(rows: DataFrame, *more: Column) -> DataFrame:
+    """One row per member of ``rows`` (``path``, ``cid``) with its ``paths``: what it is joined to comes once, however many nodes it is in."""
+    return rows.groupBy("cid").agg(F.collect_list("path").alias("paths"), *more)
 
 
 def least_agreement(config: Config) -> int:
@@ -396,14 +405,14 @@ def _round(classes: DataFrame, texts: DataFrame, config: Config, tables: _Tables
         large = live.where((F.col("size") > config.node_limit) & (F.col("others") > config.node_limit) & ~F.lit(last))
         dense = None
         if depth >= config.dense_depth:
-            facts = large.select("path", "cid", "comp").join(classes.select("cid", "n", "sketch"), "cid")
-            weight = facts.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+            sizes = _by_member(large).join(classes.select("cid", "n"), "cid").select("n", F.explode("paths").alias("path"))
+            weight = sizes.groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
             fits = weight.where((F.col("m") <= config.dense_members) & (F.col("shingles") <= config.dense_shingles)).select("path")
-            dense = facts.join(fits, "path", "left_semi")
+            dense = large.select("path", "cid", "comp").join(fits, "path", "left_semi")
             large = cut_lineage(large.join(fits, "path", "left_anti"))
         # The member that meets most others over all large nodes is nearest to the middle of its group: it leads.
-        middle = large.groupBy("cid").agg(F.sum("size").alias("met"))
-        lead = large.join(middle, "cid").groupBy("path").agg(F.max(F.struct("met", "cid")).alias("leader"))
+        middle = _by_member(large, F.sum("size").alias("met")).select("met", "cid", F.explode("paths").alias("path"))
+        lead = middle.groupBy("path").agg(F.max(F.struct("met", "cid")).alias("leader"))
         star = large.join(lead.select("path", F.col("leader.cid").alias("leader")), "path")
         star = star.where("cid <> leader").select(F.col("leader").alias("carrier"), F.col("cid").alias("target"))
         pairs = across.select(F.col("x").alias("carrier"), F.col("y").alias("target")).unionByName(star)
@@ -416,7 +425,8 @@ def _round(classes: DataFrame, texts: DataFrame, config: Config, tables: _Tables
             sets = tables.write(sets)
         new = _confirmed(pairs, sets, config)
         if dense is not None:
-            new = new.unionByName(_dense_links(dense.join(sets, "cid"), config))
+            inside = _by_member(dense, F.min("comp").alias("comp")).join(classes.select("cid", "sketch"), "cid").join(sets, "cid")
+            new = new.unionByName(_dense_links(inside.select(F.explode("paths").alias("path"), "cid", "comp", "sketch", "items"), config))
         new = cut_lineage(new)
         if known is None:
             known = components(new)
@@ -426,7 +436,7 @@ def _round(classes: DataFrame, texts: DataFrame, config: Config, tables: _Tables
             break
         if depth == config.dense_depth:
             late = cut_lineage(large.select("cid").distinct())  # later nodes are parts of these
-        active = large.join(classes.select("cid", "sig"), "cid").select("cid", _children(config).alias("path"))
+        active = _by_member(large).join(classes.select("cid", "sig"), "cid").select("cid", _children(config).alias("path"))
     return known, sets, late, depth
 
 

@@ -1,4 +1,4 @@
-"""Memory of batches, pieces with marks, and line rules without counts."""
+"""Memory of batches, pieces with marks, line rules without counts, and what near dedup joins."""
 
 import random
 import sys
@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylog.llm import suffix_dedup, weak_labels, word_pieces
+from quarrylog.llm import minhash_dedup, suffix_dedup, weak_labels, word_pieces
 from quarrylog.llm.queries import tokenizer_path
 from quarrylog.llm.quality_rules import DEFAULT, has_words, line_passes, words_of
 
@@ -91,3 +91,29 @@ def test_separators_of_all_kinds_count_together(spark):
 def test_words_of_capitals(spark, text, n):
     rows = spark.createDataFrame([(text,)], "text string")
     assert rows.select(F.regexp_count("text", F.lit(weak_labels.CAPITAL_WORD))).first()[0] == n
+
+
+def test_a_member_of_many_nodes_is_joined_once(spark, monkeypatch):
+    """Texts of one template meet in many nodes: their facts are joined by member and dealt out after that."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() < 0.95 else f"x{rng.random()}" for w in base) for _ in range(40)]
+    seen, links = [], minhash_dedup._dense_links
+
+    def looked_at(rows, config):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((plan.index("Generate explode(paths"), plan.index("Join Inner"), rows.count(), rows.select("cid").distinct().count()))
+        return links(rows, config)
+
+    monkeypatch.setattr(minhash_dedup, "_dense_links", looked_at)
+    config = minhash_dedup.Config(node_limit=2, dense_depth=2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, config=config).collect()}
+    assert seen and all(generate < join and memberships > members for generate, join, memberships, members in seen)
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+    assert got == dict(enumerate(want))
