@@ -46,7 +46,18 @@ class WordBpe:
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.longest = max(map(len, self.vocab))
+        # Symbols as numbers, 0 for unknown ones: a pair is one key, and its rank tells the number of what it becomes.
+        symbols = dict.fromkeys([*self.vocab, *(s for a, b in self.ranks for s in (a, b, a + b))])
+        self.number = {s: i for i, s in enumerate(symbols, 1)}
+        self.step = len(symbols) + 1
+        self.rank_of = {self.number[a] * self.step + self.number[b]: rank for (a, b), rank in self.ranks.items()}
+        self.becomes = {rank: self.number[a + b] for (a, b), rank in self.ranks.items()}
+        self.id_of = [None, *map(self.vocab.get, symbols)]
+        #: Length of the longest token by its first three characters; what is not here has at most two.
+        self.reach = {}
+        for token in self.vocab:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.surface = {i: t for t, i in self.vocab.items()}
         size = max([*self.vocab.values(), *self.special.values()]) + 1
         names = [None] * size
@@ -69,19 +80,20 @@ class WordBpe:
 
     def merged(self, symbols: list[str]) -> tuple[int, ...]:
         """Exact merging: the pair of least rank first, leftmost among equals."""
-        symbols, ranks, never = list(symbols), self.ranks, 1 << 30
         if len(symbols) > LONG_WORD:
-            return self.merged_long(symbols)
-        order = [ranks.get(pair, never) for pair in zip(symbols, symbols[1:])]
+            return self.merged_long(list(symbols))
+        number, step, rank_of, becomes, id_of, never = self.number, self.step, self.rank_of, self.becomes, self.id_of, 1 << 30
+        at_hand = [number.get(s, 0) for s in symbols]
+        order = [rank_of.get(a * step + b, never) for a, b in zip(at_hand, at_hand[1:])]
         while order and (best := min(order)) < never:
             at = order.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            del order[at]
+            at_hand[at] = one = becomes[best]
+            del at_hand[at + 1], order[at]
             if at:
-                order[at - 1] = ranks.get((symbols[at - 1], symbols[at]), never)
+                order[at - 1] = rank_of.get(at_hand[at - 1] * step + one, never)
             if at < len(order):
-                order[at] = ranks.get((symbols[at], symbols[at + 1]), never)
-        return tuple(self.vocab[s] for s in symbols if s in self.vocab)
+                order[at] = rank_of.get(one * step + at_hand[at + 1], never)
+        return tuple([i for n in at_hand if (i := id_of[n]) is not None])
 
     def merged_long(self, symbols: list[str]) -> tuple[int, ...]:
         """The same merging for words of any length in n log n: a heap of pairs over a linked list of symbols."""
@@ -109,14 +121,14 @@ class WordBpe:
 
     def proposed(self, word: str) -> tuple[int, ...] | None:
         """Greedy longest match; None if some part is in no token."""
-        full, vocab, out, at = word + self.suffix, self.vocab, [], 0
+        full, vocab, reach, out, at = word + self.suffix, self.vocab, self.reach, [], 0
         n, end = len(word), len(full)
         while at < n:
-            token = vocab.get(full[at:end]) if end - at <= self.longest else None
-            if token is not None:
+            far, token = at + reach.get(full[at : at + 3], 2), None
+            if far >= end and (token := vocab.get(full[at:end])) is not None:
                 out.append(token)
                 break
-            to = min(n - 1, at + self.longest)
+            to = min(n - 1, far)
             while to > at and (token := vocab.get(full[at:to])) is None:
                 to -= 1
             if token is None:
@@ -177,10 +189,8 @@ class WordBpe:
             out[i].append(w)
         return out
 
-    def plan(self, piece: str) -> list[int | str | list[str]]:
-        """A piece as special ids, known words (lists) and texts that the library must split."""
-        if m := PLAIN.fullmatch(piece):
-            return [[plain_word(m[1]), m[2]] if m[2] else [plain_word(m[1])]]
+    def plan(self, piece: str) -> list[int | str]:
+        """A piece as special ids and texts that the library must split."""
         at, out = 0, []
         for m in self.special_pattern.finditer(piece):
             out += [piece[at : m.start()], self.special[m[0]]]
@@ -192,13 +202,19 @@ class WordBpe:
         return memoised(self.whole, pieces, self.encode_new, PIECE_ENTRIES)
 
     def encode_new(self, pieces: list[str], step: int = 4096) -> list[bytes]:
-        plans = [self.plan(p) for p in pieces]
+        found = PLAIN.findall("\n".join(pieces))
+        plain = [plain_word(letters) for letters, _, _ in found]
+        others = list(dict.fromkeys(other for _, _, other in found if other))
+        plans = [self.plan(p) for p in others]
         texts = [x for plan in plans for x in plan if isinstance(x, str)]
         split = iter([words for i in range(0, len(texts), step) for words in self.words_in(texts[i : i + step])])
         plans = [[next(split) if isinstance(x, str) else x for x in plan] for plan in plans]
-        distinct = list(dict.fromkeys(w for plan in plans for x in plan if isinstance(x, list) for w in x))
-        ids = dict(zip(distinct, memoised(self.words, distinct, self.encode_words, WORD_ENTRIES), strict=True))
-        return [b"".join([ids[w] for x in plan for w in x] if len(plan) == 1 else [y for x in plan for y in ([ids[w] for w in x] if isinstance(x, list) else [packed([x])])]) for plan in plans]
+        distinct = dict.fromkeys(plain) | dict.fromkeys(mark for _, mark, _ in found)
+        distinct |= dict.fromkeys(w for plan in plans for x in plan if isinstance(x, list) for w in x)
+        distinct.pop("", None)
+        ids = dict(zip(distinct, memoised(self.words, list(distinct), self.encode_words, WORD_ENTRIES), strict=True))
+        rest = {p: b"".join([y for x in plan for y in ([ids[w] for w in x] if isinstance(x, list) else [packed([x])])]) for p, plan in zip(others, plans, strict=True)}
+        return [(ids[word] + ids[mark] if mark else ids[word]) if word else rest.get(other, b"") for word, (_, mark, other) in zip(plain, found, strict=True)]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Token strings joined by one space, as the library does for a tokenizer without decoder."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylog.llm import minhash_dedup, suffix_dedup, weak_labels, word_pieces
+from quarrylog.llm import bpe, minhash_dedup, suffix_dedup, weak_labels, word_pieces
 from quarrylog.llm.queries import tokenizer_path
 from quarrylog.llm.quality_rules import DEFAULT, has_words, line_passes, words_of
 
@@ -117,3 +117,21 @@ def test_a_member_of_many_nodes_is_joined_once(spark, monkeypatch):
             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
     assert got == dict(enumerate(want))
+
+
+def test_proposals_try_no_length_that_no_token_has():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+    text = word_pieces.tokenizer_text(tokenizer_path())
+    coder = bpe.WordBpe(text, word_pieces.library_tokenizer("round3", text))
+    coder.vocab = Counted(coder.vocab)
+    word = "zqxjk" * 12
+    tokens = coder.proposed(word)
+    assert "".join(coder.surface[t] for t in tokens) == word + coder.suffix
+    # From every position 30 lengths could be tried; no token is that long here.
+    assert Counted.n < 4 * len(word)
