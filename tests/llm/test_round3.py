@@ -135,3 +135,14 @@ def test_proposals_try_no_length_that_no_token_has():
     assert "".join(coder.surface[t] for t in tokens) == word + coder.suffix
     # From every position 30 lengths could be tried; no token is that long here.
     assert Counted.n < 4 * len(word)
+
+
+def test_pieces_of_all_kinds_keep_their_places():
+    """All pieces are matched as lines of one string; an empty one, one of marks and one that repeats stay where they are."""
+    text = word_pieces.tokenizer_text(tokenizer_path())
+    library = word_pieces.library_tokenizer("round3", text)
+    pieces = ["", "Été,", "...", "a\x85b", "x</s>y", "</s>", "日本", "don't", "END", "", "END", "word!?", "\x1c", ""]
+    want = [word_pieces.packed(library.encode(p, add_special_tokens=False).ids) for p in pieces]
+    assert word_pieces.PARTS.groups == word_pieces.PLAIN.groups == 3
+    assert word_pieces.LibraryPieces(library, "round3-kinds")._of_parts(pieces) == want
+    assert bpe.WordBpe(text, library).encode_new(pieces) == want
