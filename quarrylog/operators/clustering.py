@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -17,8 +15,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarrylog.operators import term_blocks as blocks, term_vectors as vectors
 from quarrylog.operators.joins import first_per_group, spread_join
-from quarrylog.session import bucketed, cut_lineage
+from quarrylog.session import cut_lineage, stored
 
 PARALLEL_FITS = 8  # models fitted at the same time; the executors share their cores among them
 
@@ -74,60 +73,30 @@ def kmeans_sweep(features: DataFrame, ks: list[int], restarts: int = 10, seed: i
     return features.sparkSession.createDataFrame(list(zip(ks, scores, strict=True)), "k int, silhouette double")
 
 
-SLICE = 64  # documents whose tokens are Python lists at the same time
-PART_ROWS = 4_000_000  # (document, term) rows of a task
-
-
 def term_counts(docs: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFrame:
-    """``(*keys, term, tf)``: n-grams of each document; documents of equal keys count together.
+    """``(*keys, term, tf)``, keys being cluster and document: n-grams of each document; documents of equal keys count together.
 
-    Whole texts are shuffled once and sorted by key; a document's n-grams are
-    counted where its text is, so a task never holds those of its other documents.
+    Whole texts are shuffled once and sorted by key; n-grams are counted where
+    the texts are, a chunk of documents at a time.
     """
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     arrow = to_arrow_schema(schema)
 
-    def rows(held: list, counts: Counter) -> pa.RecordBatch:
-        same = [pa.repeat(pa.scalar(k, arrow.field(i).type), len(counts)) for i, k in enumerate(held)]
-        return pa.RecordBatch.from_arrays([*same, pa.array(counts.keys(), arrow.field("term").type), pa.array(counts.values(), pa.int64())], schema=arrow)
-
     def run(batches):
-        held, counts = None, Counter()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                done = []
-                for *key, words in zip(*[c.to_pylist() for c in batch.slice(start, SLICE).columns], strict=True):
-                    if held is not None and key != held:
-                        done.append(rows(held, counts))
-                        counts = Counter()
-                    held = key
-                    words = words or []
-                    counts.update(words if n == 1 else map(" ".join, zip(*[words[i:] for i in range(n)])))
-                if done:
-                    yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-        if held is not None:
-            yield rows(held, counts)
-
-    dealt = docs.repartition(keys[-1]).sortWithinPartitions(*keys)
-    return dealt.select(*keys, tokens.alias("_words")).mapInArrow(run, schema)
-
-
-def _weights(
-    docs: DataFrame, key: str, cluster: str, tokens: Column, n: int, min_df: int, max_share: float
-) -> tuple[DataFrame, int]:
-    """``tfidf`` with the documents dealt out by ``key``, and over how many partitions."""
-    tf = cut_lineage(term_counts(docs, [cluster, key], tokens, n))
-    sizes = docs.groupBy(cluster).agg(F.count("*").alias("docs"))
-    df = tf.groupBy(cluster, "term").agg(F.count("*").alias("df")).join(sizes, cluster)
-    kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("docs")))
-    # One row per term; the join below reads it three times.
-    idf = cut_lineage(kept.select(cluster, "term", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
-    weighted = spread_join(tf, idf, [cluster, "term"], [key], n="df").select(cluster, key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    # No more than the cores need: every one sends its own sums of the terms.
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-tf.count() // PART_ROWS))
-    # A document's terms are few next to the corpus; the window saves making the weights twice.
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cluster, key)))
-    return weighted.repartition(parts, key).withColumn("w", F.col("w") / length), parts
+        for chunk in blocks.chunks(batches, n):
+            cluster = pa.array(chunk.clusters, arrow.field(0).type).take(pa.array(chunk.doc_cluster))
+            key = pa.array(chunk.docs, arrow.field(1).type)
+            for start in range(0, len(chunk.doc), blocks.SLICE):
+                doc, term = (pa.array(x[start : start + blocks.SLICE]) for x in (chunk.doc, chunk.term))
+                columns = [cluster.take(doc), key.take(doc), chunk.texts.take(term).cast(arrow.field("term").type), pa.array(chunk.tf[start : start + blocks.SLICE])]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    cluster, key = keys
+    return blocks.dealt(docs, key, cluster, tokens).mapInArrow(run, schema)
+
+
+def _sizes(docs: DataFrame, cluster: str) -> DataFrame:
+    return docs.groupBy(cluster).agg(F.count("*").alias("docs"))
 
 
 def tfidf(
@@ -138,45 +107,92 @@ def tfidf(
     idf is ``ln((1 + docs) / (1 + df)) + 1``. Terms outside ``min_df`` to
     ``max_share`` of the documents are left out first.
     """
-    return _weights(docs, key, cluster, tokens, n, min_df, max_share)[0]
-
-
-def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
-    """Per cluster the ``top`` n-grams by summed TF-IDF."""
-    sums = tfidf(docs, key, cluster, tokens, n).groupBy(cluster, "term").agg(F.round(F.sum("w"), 9).alias("score"))
-    return first_per_group(sums, [cluster], [F.desc("score"), "term"], top)
-
-
-def _gram(vectors: DataFrame, column: str) -> np.ndarray:
-    """Sum of outer products of a vector column: a few hundred numbers, whatever the rows."""
-
-    def partial(batches):
-        for batch in batches:
-            if len(batch):
-                rows = np.array(batch[column].tolist())
-                yield pd.DataFrame({"g": [(rows.T @ rows).ravel()]})
-
-    cells = vectors.select(column).mapInPandas(partial, "g array<double>").select(F.posexplode("g").alias("i", "x"))
-    sums = cells.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()
-    size = int(round(len(sums) ** 0.5))
-    return sums["x"].to_numpy().reshape(size, size)
-
+    rows, parts = blocks.counted(docs, key, cluster, tokens, n)
+    table, _ = stored(rows)
+    answers, _ = stored(blocks.answered(table, parts))
+    places, number = blocks.placed(table, 1)
+    texts = table.where("part >= 0").select("chunk", "part", "text", "lengths")
+    counts = blocks.with_sizes(table, _sizes(docs, cluster), cluster).drop("text", "lengths")
+    dealt = blocks.to_blocks(counts, answers.join(texts, ["chunk", "part"]), places, number)
+    schema = T.StructType(
+        [docs.schema[cluster], docs.schema[key], T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("w", T.DoubleType())]
+    )
+    arrow = to_arrow_schema(schema)
 
-def _times(vectors: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
-    """Each vector times one small matrix."""
+    def run(batches):
+        for _, rows in blocks.grouped(batches, "block"):
+            *told, row = rows
+            total = np.concatenate([blocks.unpack(x["total"]) for x in told])
+            text = pa.concat_arrays([blocks.unpack_texts(x["text"], x["lengths"]) for x in told])
+            doc, term, w, no = blocks.weights_of(row, total, min_df, max_share)
+            clusters, keys = pa.array(row["clusters"], arrow.field(0).type), pa.array(row["keys"], arrow.field(1).type)
+            for start in range(0, len(doc), blocks.SLICE):
+                some = slice(start, start + blocks.SLICE)
+                at = term[some]
+                columns = [clusters.take(pa.array(no[at])), keys.take(pa.array(doc[some])), text.take(pa.array(at)).cast(arrow.field(2).type), pa.array(total[at].astype(np.int64)), pa.array(w[some])]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _sums_of_chunks(dealt: DataFrame, top: int) -> DataFrame:
+    """For every chunk and part the sums of the terms' weights.
+
+    A term that is in no other chunk has its whole sum there. Of those only
+    the ``top`` of each cluster are told: as many others are ahead of the rest.
+    """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def product(rows: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array(rows.tolist()) @ matrix)) if len(rows) else rows
+    def run(batches):
+        for _, rows in blocks.grouped(batches, "block"):
+            *answers, row = rows
+            totals = [blocks.unpack(x["total"]) for x in answers]
+            total = np.concatenate(totals).astype(np.int64)
+            doc, term, w, cluster = blocks.weights_of(row, total, 1, 1.0)
+            sums = np.bincount(term, w, minlength=len(total))
+            alone = np.flatnonzero(np.bincount(term, minlength=len(total)) == total)
+            told = np.ones(len(total), bool)
+            told[alone] = blocks.leading(sums[alone], cluster[alone], top)
+            ends = np.cumsum([len(x) for x in totals])
+            for x, start, end in zip(answers, ends - [len(x) for x in totals], ends, strict=True):
+                own = told[start:end]
+                yield {"chunk": x["chunk"], "part": x["part"], "told": blocks.pack(np.packbits(own)), "sums": blocks.pack(sums[start:end][own])}
+
+    return blocks.packed(dealt, run, "chunk long, part int, told binary, sums binary")
+
+
+def _sums_of_terms(table: DataFrame, sums: DataFrame, parts: int, cluster: T.StructField, top: int) -> DataFrame:
+    """The sum of each term that may be among the ``top`` of its cluster."""
+    texts = table.where("part >= 0").select("chunk", "part", "entries", "clusters", "text", "lengths", "cluster_no")
 
-    return vectors.withColumn(column, product(column))
+    def run(batches):
+        for _, rows in blocks.grouped(batches, "part"):
+            rows = list(rows)
+            sent = {row["chunk"]: row for row in rows if row["sums"] is not None}
+            asked = [row for row in rows if row["sums"] is None]
+            entries, terms, no, clusters = blocks.known_terms(asked)
+            told = np.concatenate([np.unpackbits(blocks.unpack(sent[row["chunk"]]["told"]), count=row["entries"]) for row in asked])
+            entries, values = entries[told == 1], np.concatenate([blocks.unpack(sent[row["chunk"]]["sums"]) for row in asked])
+            shown = np.flatnonzero(np.bincount(entries, minlength=len(terms)))
+            total = np.bincount(entries, values, minlength=len(terms))[shown]
+            first = blocks.leading(total, no[shown], top)
+            for at, score in zip(shown[first].tolist(), total[first].tolist(), strict=True):
+                yield {cluster.name: clusters[no[at]], "term": terms[at].as_py(), "score": score}
+
+    schema = T.StructType([cluster, T.StructField("term", T.StringType()), T.StructField("score", T.DoubleType())])
+    return blocks.packed(blocks.to_owners(texts.unionByName(sums, allowMissingColumns=True), parts, "chunk"), run, schema)
 
 
-def _orthonormal(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """The same column space with orthonormal columns, and their number; weightless directions are left out."""
-    values, directions = np.linalg.eigh(_gram(vectors, column))
-    used = values > values.max() * 1e-12
-    return _times(vectors, column, directions[:, used] / np.sqrt(values[used])), int(used.sum())
+def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: int = 2, top: int = 20) -> DataFrame:
+    """Per cluster the ``top`` n-grams by summed TF-IDF (the weights of ``tfidf``, summed where the counts are)."""
+    rows, parts = blocks.counted(docs, key, cluster, tokens, n)
+    table, forget_table = stored(rows)
+    answers, forget_answers = stored(blocks.answered(table, parts))
+    places, number = blocks.placed(table, 1)
+    dealt = blocks.to_blocks(blocks.with_sizes(table, _sizes(docs, cluster), cluster), answers, places, number)
+    best, _ = stored(_sums_of_terms(table, _sums_of_chunks(dealt, top), parts, docs.schema[cluster], top))
+    forget_table()
+    forget_answers()
+    return first_per_group(best.withColumn("score", F.round("score", 9)), [cluster], [F.desc("score"), "term"], top)
 
 
 def _weighted_sums(rows: DataFrame, by: str, vector: str, size: int, *more: Column) -> DataFrame:
@@ -206,33 +222,52 @@ def latent_terms(
     """M5: TF-IDF reduced to ``dims`` by truncated SVD, documents scaled to unit length.
 
     Randomised subspace iteration on the sparse rows, so the vocabulary has no
-    limit: every step is a join and a sum; only matrices of ``dims + 10``
-    squared reach the driver. The weights lie in a table bucketed by document
-    and are not shuffled again. The start directions come from hashes of the
-    terms, so a second run gives the same result.
+    limit; only matrices of ``dims + 10`` squared reach the driver. The counts
+    lie in blocks of documents. In a step a block adds up its terms' vectors
+    and sends one for each term to the owner of the term's part, which sends
+    the sum over all blocks back; shuffle files go after each step. The start
+    directions come from hashes of the terms, so a second run gives the same
+    result.
     """
-    weighted, parts = _weights(docs.withColumn("_all", F.lit(0)), key, "_all", tokens, 1, min_df, max_share)
-    weights, forget = bucketed(weighted.drop("_all"), key, parts)
-    total = weights.count()
+    n_docs = docs.count()
+    rows, parts = blocks.counted(docs.withColumn("_all", F.lit(0)), key, "_all", tokens, 1, hashed=True)
+    table, forget_table = stored(rows)
+    answers, forget_answers = stored(blocks.answered(table, parts, (min_df, max_share * n_docs)))
+    places, number = blocks.placed(table, vectors.BLOCK)
+    sizes = docs.sparkSession.createDataFrame([(0, n_docs)], "_all int, docs long")
+    dealt = blocks.to_blocks(blocks.with_sizes(table, sizes, "_all"), answers, places, number)
+    of_key = docs.schema[key].dataType
+    counts, forget_counts = stored(vectors.blocks_of_counts(dealt, of_key, min_df, max_share))
+    forget_table()
+    forget_answers()
     size = dims + 10
-    bits = [F.shiftrightunsigned(F.xxhash64("term"), j).bitwiseAND(F.lit(1)) for j in range(size)]
-    start = F.array(*[F.when(bit == 1, 1.0).otherwise(-1.0) for bit in bits])
-    basis = _weighted_sums(weights.withColumn("v", start), key, "v", size)
+    basis, forget = stored(vectors.sums_by_document(vectors.in_blocks(counts, None, number), of_key, size))
     for step in range(rounds + 1):
-        basis, size = _orthonormal(cut_lineage(basis), "v")
-        basis = cut_lineage(basis)
-        met = weights.join(basis.hint("shuffle_hash"), key)  # only the documents' vectors move
-        by_term = cut_lineage(_weighted_sums(met, "term", "v", size, F.first("df").alias("df")))
+        turn = vectors.orthonormal(vectors.gram(basis, size))
+        size = turn.shape[1]
+        met = vectors.in_blocks(counts, basis.drop("keys"), number)
+        by_term = blocks.to_owners(vectors.sums_by_term(met, turn), parts, "block")
         if step < rounds:
-            basis = _sums_of_documents(weights, by_term, key, size, total)
-    forget()
-    values, directions = np.linalg.eigh(_gram(by_term, "v"))
+            back = vectors.in_blocks(counts, vectors.back_to_blocks(by_term, size), number)
+            basis, forget_next = stored(vectors.sums_by_document(back, of_key, size))
+            forget()
+            forget = forget_next
+    values, directions = np.linalg.eigh(vectors.gram_of_terms(by_term, size))
+    forget_counts()
     largest = np.argsort(values)[::-1][:dims]
     turned = directions[:, largest] * np.sqrt(np.maximum(values[largest], 0))
     # One sign per direction: its largest entry is positive.
     turned = turned * np.sign(turned[np.abs(turned).argmax(axis=0), np.arange(turned.shape[1])])
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
-    placed = _times(basis, "v", turned).select(key, F.transform("v", lambda x: x / length).alias("vector"))
+    schema = T.StructType([docs.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for row in blocks.rows_of(batches):
+            own = np.frombuffer(row["v"]).reshape(-1, len(turn)) @ turn @ turned
+            length = np.sqrt((own * own).sum(axis=1))
+            for at in np.flatnonzero(length > 0).tolist():
+                yield {key: row["keys"][at], "vector": (own[at] / length[at]).tolist()}
+
+    placed = blocks.packed(basis.select("keys", "v"), run, schema)
     # Documents without a kept term stay at the origin.
     origin = F.array_repeat(F.lit(0.0), turned.shape[1])
     return docs.select(key).join(placed, key, "left").select(key, F.coalesce("vector", origin).alias("vector"))
