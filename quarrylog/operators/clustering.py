@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -225,7 +226,7 @@ def latent_terms(
     limit; only matrices of ``dims + 10`` squared reach the driver. The counts
     lie in blocks of documents. In a step a block adds up its terms' vectors
     and sends one for each term to the owner of the term's part, which sends
-    the sum over all blocks back; shuffle files go after each step. The start
+    the sum over all blocks back; shuffle files go after each stripe. The start
     directions come from hashes of the terms, so a second run gives the same
     result.
     """
@@ -240,20 +241,32 @@ def latent_terms(
     counts, forget_counts = stored(vectors.blocks_of_counts(dealt, of_key, min_df, max_share))
     forget_table()
     forget_answers()
+
+    def step(turn: np.ndarray | None) -> tuple[DataFrame, list[Callable]]:
+        """The documents' sums of the terms' sums of their vectors, or of the start; some elements at a time, so that no more is sent at once."""
+        size, found = dims + 10 if turn is None else turn.shape[1], []
+        for stripe, low in enumerate(range(0, size, vectors.STRIPE)):
+            high, back = min(low + vectors.STRIPE, size), None
+            if turn is not None:
+                met = vectors.in_blocks(counts, basis.drop("keys"), number)
+                by_term = blocks.to_owners(vectors.sums_by_term(met, turn[:, low:high]), parts, "block")
+                back = vectors.back_to_blocks(by_term, high - low)
+            found.append(stored(vectors.sums_by_document(vectors.in_blocks(counts, back, number), of_key, stripe, low, high)))
+        return reduce(DataFrame.unionByName, [table for table, _ in found]), [forget for _, forget in found]
+
+    basis, forget_basis = step(None)
     size = dims + 10
-    basis, forget = stored(vectors.sums_by_document(vectors.in_blocks(counts, None, number), of_key, size))
-    for step in range(rounds + 1):
-        turn = vectors.orthonormal(vectors.gram(basis, size))
+    for done in range(rounds + 1):
+        turn = vectors.orthonormal(vectors.gram(basis, size, number))
         size = turn.shape[1]
-        met = vectors.in_blocks(counts, basis.drop("keys"), number)
-        by_term = blocks.to_owners(vectors.sums_by_term(met, turn), parts, "block")
-        if step < rounds:
-            back = vectors.in_blocks(counts, vectors.back_to_blocks(by_term, size), number)
-            basis, forget_next = stored(vectors.sums_by_document(back, of_key, size))
-            forget()
-            forget = forget_next
-    values, directions = np.linalg.eigh(vectors.gram_of_terms(by_term, size))
-    forget_counts()
+        after, forget_after = step(turn)
+        if done < rounds:
+            for forget in forget_basis:
+                forget()
+            basis, forget_basis = after, forget_after
+    values, directions = np.linalg.eigh(vectors.gram_of_terms(basis, after, turn, number))
+    for forget in (forget_counts, *forget_after):
+        forget()
     largest = np.argsort(values)[::-1][:dims]
     turned = directions[:, largest] * np.sqrt(np.maximum(values[largest], 0))
     # One sign per direction: its largest entry is positive.
@@ -261,13 +274,13 @@ def latent_terms(
     schema = T.StructType([docs.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for row in blocks.rows_of(batches):
-            own = np.frombuffer(row["v"]).reshape(-1, len(turn)) @ turn @ turned
+        for keys, own, _ in vectors.whole(batches):
+            own = own @ turn @ turned
             length = np.sqrt((own * own).sum(axis=1))
             for at in np.flatnonzero(length > 0).tolist():
-                yield {key: row["keys"][at], "vector": (own[at] / length[at]).tolist()}
+                yield {key: keys[at], "vector": (own[at] / length[at]).tolist()}
 
-    placed = blocks.packed(basis.select("keys", "v"), run, schema)
+    placed = blocks.packed(vectors.in_blocks(basis, None, number), run, schema)
     # Documents without a kept term stay at the origin.
     origin = F.array_repeat(F.lit(0.0), turned.shape[1])
     return docs.select(key).join(placed, key, "left").select(key, F.coalesce("vector", origin).alias("vector"))

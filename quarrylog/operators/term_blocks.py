@@ -8,6 +8,7 @@ order of those terms, so terms travel once and as text only to their owner.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -72,11 +73,19 @@ def batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workers wait for other tasks; what they have freed goes back to the system first."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def packed(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` of a function that gives rows."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
-    return rows.mapInArrow(lambda batches: batched(run(batches), arrow), kind)
+    return rows.mapInArrow(lambda batches: released(batched(run(batches), arrow)), kind)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, Iterator[dict]]]:

@@ -91,3 +91,28 @@ def test_cluster_terms_store_no_row_for_each_term(spark, monkeypatch):
             have = sorted((-r["score"], r["term"]) for r in got if r["g"] == c)
             assert [t for _, t in have] == [t for _, t in want] and np.allclose([s for s, _ in have], [s for s, _ in want], atol=2e-9)
         assert left < sum(map(len, counts.values())) / 4
+
+
+def test_latent_terms_send_vectors_by_block(spark, monkeypatch):
+    """Many blocks, parts and stripes: one vector for each block and term is sent, at most ten elements at a time; nothing of it stays."""
+    from quarrylog.operators import term_vectors
+
+    monkeypatch.setattr(term_blocks, "PART_DOCS", 30)
+    docs = [(None if i == 7 else i, w if i != 9 else []) for i, _, w in made(3, 120)]
+    docs.append(docs[20])  # one key twice
+    frame = spark.createDataFrame(docs, "i long, w array<string>").repartition(6)
+
+    def run():
+        rows = clustering.latent_terms(frame, "i", F.col("w"), 4, min_df=3, max_share=0.9).collect()
+        return {r["i"]: np.array(r["vector"]) for r in rows}, len(rows)
+
+    seen, by_term = [], term_vectors.sums_by_term
+    monkeypatch.setattr(term_vectors, "sums_by_term", lambda met, turn: seen.append(turn.shape[1]) or by_term(met, turn))
+    (one, count), left = stored_rows(spark, run)
+    monkeypatch.setattr(term_vectors, "BLOCK", 300)
+    monkeypatch.setattr(term_vectors, "STRIPE", 3)
+    (many, _), _ = stored_rows(spark, run)
+    assert count == 121 and not one[None].any() and not one[9].any()
+    assert max(np.abs(one[i] - many[i]).max() for i in one) < 1e-9
+    assert seen[:3] == [10, 4, 10] and max(seen[6:]) == 3
+    assert left < 100
