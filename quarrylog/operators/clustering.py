@@ -248,10 +248,11 @@ def latent_terms(
         for stripe, low in enumerate(range(0, size, vectors.STRIPE)):
             high, back = min(low + vectors.STRIPE, size), None
             if turn is not None:
-                met = vectors.in_blocks(counts, basis.drop("keys"), number)
-                by_term = blocks.to_owners(vectors.sums_by_term(met, turn[:, low:high]), parts, "block")
+                met = vectors.in_blocks(counts.drop("hashes"), basis.drop("keys"), number)
+                by_term = blocks.to_owners(vectors.sums_by_term(met, n_docs, turn[:, low:high]), parts, "block")
                 back = vectors.back_to_blocks(by_term, high - low)
-            found.append(stored(vectors.sums_by_document(vectors.in_blocks(counts, back, number), of_key, stripe, low, high)))
+            met = vectors.in_blocks(counts if back is None else counts.drop("hashes"), back, number)
+            found.append(stored(vectors.sums_by_document(met, n_docs, of_key, stripe, low, high)))
         return reduce(DataFrame.unionByName, [table for table, _ in found]), [forget for _, forget in found]
 
     basis, forget_basis = step(None)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from quarrylog.operators import term_blocks as blocks
 from quarrylog.session import lean
 
-BLOCK = 6_000_000  # counts of a block; a block sends and gets one vector for each of its terms
-ROW = 400_000  # counts of a row of a block, or one document
+BLOCK = 12_000_000  # counts of a block; a block sends and gets one vector for each of its terms
+ROW = 1_000_000  # counts of a row of a block, or one document
 STRIPE = 10  # elements of the vectors that are sent at a time
 NEXT, LAST = 1 << 16, 2**31 - 1
 
@@ -71,7 +71,7 @@ def blocks_of_counts(dealt: DataFrame, key: T.DataType, min_df: int, max_share:
     """The kept counts by block: a head with the block's terms (``part << 32 | rank``), and in the order of their frequency idf and hashes; and the counts, with the lengths of the documents."""
     schema = T.StructType(
         [T.StructField("block", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.ArrayType(key))]
-        + [T.StructField(name, T.BinaryType()) for name in ("terms", "place", "idf", "hashes", "sizes", "length", "term", "tf")]
+        + [T.StructField(name, T.BinaryType()) for name in ("terms", "place", "df", "hashes", "sizes", "length", "term", "tf")]
     )
 
     def run(batches):
@@ -109,7 +109,8 @@ def blocks_of_counts(dealt: DataFrame, key: T.DataType, min_df: int, max_share:
                     length = np.sqrt(np.bincount(own_doc, (own_tf * idf[own_term]) ** 2, minlength=high - low))
                     same = {"block": block, "chunk": (chunk << 16) + number, "part": LAST, "keys": row["keys"][low:high]}
                     yield same | {"sizes": blocks.pack(sizes), "length": blocks.pack(length), "term": blocks.pack(own_term), "tf": blocks.pack(own_tf)}
-            head = {"terms": terms, "place": place, "idf": idf, "hashes": hashes}
+            # The terms rise by little.
+            head = {"terms": np.diff(terms, prepend=0), "place": place, "df": df[order], "hashes": hashes}
             yield {"block": block, "chunk": -1, "part": -1} | {name: blocks.pack(x) for name, x in head.items()}
 
     return blocks.packed(dealt, run, schema)
@@ -121,12 +122,18 @@ def in_blocks(counts: DataFrame, more: DataFrame | None, number: int) -> DataFra
     return union.repartitionById(number, F.col("block")).sortWithinPartitions("block", "chunk", "part")
 
 
+def head_of(row: dict, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's terms, their places in the order of frequency, and by place their idf."""
+    idf = np.log((1 + n_docs) / (1 + blocks.unpack(row["df"]).astype(np.int64))) + 1
+    return np.cumsum(blocks.unpack(row["terms"]), dtype=np.int64), blocks.unpack(row["place"]), idf
+
+
 def entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a row of counts the number of terms of each document and its length, and the terms and counts."""
     return blocks.unpack(row["sizes"]).astype(np.int64), blocks.unpack(row["length"]), blocks.unpack(row["term"]).astype(np.int64), blocks.unpack(row["tf"]).astype(np.float64)
 
 
-def sums_by_document(dealt: DataFrame, key: T.DataType, stripe: int, low: int, high: int) -> DataFrame:
+def sums_by_document(dealt: DataFrame, n_docs: int, key: T.DataType, stripe: int, low: int, high: int) -> DataFrame:
     """Per row of counts its documents' weighted sums of their terms' vectors, from ``low`` to ``high`` of their elements: those from the owners, at the start signs from the terms' hashes."""
     schema = T.StructType(
         [T.StructField("block", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.ArrayType(key)), T.StructField("v", T.BinaryType())]
@@ -137,7 +144,7 @@ def sums_by_document(dealt: DataFrame, key: T.DataType, stripe: int, low: int, h
         for block, rows in blocks.grouped(batches, "block"):
             for row in rows:
                 if row["terms"] is not None:
-                    place, idf, end = blocks.unpack(row["place"]), blocks.unpack(row["idf"]), 0
+                    (_, place, idf), end = head_of(row, n_docs), 0
                     vectors = np.empty((high - low, len(idf)))
                     if start:
                         hashes = blocks.unpack(row["hashes"]).astype(np.int64)
@@ -160,7 +167,7 @@ def sums_by_document(dealt: DataFrame, key: T.DataType, stripe: int, low: int, h
     return blocks.packed(dealt, run, schema)
 
 
-def sums_by_term(dealt: DataFrame, turn: np.ndarray) -> DataFrame:
+def sums_by_term(dealt: DataFrame, n_docs: int, turn: np.ndarray) -> DataFrame:
     """Per block and part the terms' weighted sums of their documents' vectors, these multiplied by ``turn`` first. A document without a key has no vector."""
     size = turn.shape[1]
 
@@ -169,7 +176,7 @@ def sums_by_term(dealt: DataFrame, turn: np.ndarray) -> DataFrame:
             stripes = []
             for row in rows:
                 if row["terms"] is not None:
-                    terms, place, idf = blocks.unpack(row["terms"]).astype(np.int64), blocks.unpack(row["place"]), blocks.unpack(row["idf"])
+                    terms, place, idf = head_of(row, n_docs)
                     sums = np.zeros((size, len(terms)))
                 elif row["part"] < LAST:
                     stripes.append(np.frombuffer(row["v"]))

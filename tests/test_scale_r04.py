@@ -107,7 +107,7 @@ def test_latent_terms_send_vectors_by_block(spark, monkeypatch):
         return {r["i"]: np.array(r["vector"]) for r in rows}, len(rows)
 
     seen, by_term = [], term_vectors.sums_by_term
-    monkeypatch.setattr(term_vectors, "sums_by_term", lambda met, turn: seen.append(turn.shape[1]) or by_term(met, turn))
+    monkeypatch.setattr(term_vectors, "sums_by_term", lambda met, n, turn: seen.append(turn.shape[1]) or by_term(met, n, turn))
     (one, count), left = stored_rows(spark, run)
     monkeypatch.setattr(term_vectors, "BLOCK", 300)
     monkeypatch.setattr(term_vectors, "STRIPE", 3)
