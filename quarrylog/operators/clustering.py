@@ -111,7 +111,7 @@ def tfidf(
     rows, parts = blocks.counted(docs, key, cluster, tokens, n)
     table, _ = stored(rows)
     answers, _ = stored(blocks.answered(table, parts))
-    places, number = blocks.placed(table, 1)
+    places, number = blocks.placed(table)
     texts = table.where("part >= 0").select("chunk", "part", "text", "lengths")
     counts = blocks.with_sizes(table, _sizes(docs, cluster), cluster).drop("text", "lengths")
     dealt = blocks.to_blocks(counts, answers.join(texts, ["chunk", "part"]), places, number)
@@ -188,7 +188,7 @@ def cluster_terms(docs: DataFrame, key: str, cluster: str, tokens: Column, n: in
     rows, parts = blocks.counted(docs, key, cluster, tokens, n)
     table, forget_table = stored(rows)
     answers, forget_answers = stored(blocks.answered(table, parts))
-    places, number = blocks.placed(table, 1)
+    places, number = blocks.placed(table)
     dealt = blocks.to_blocks(blocks.with_sizes(table, _sizes(docs, cluster), cluster), answers, places, number)
     best, _ = stored(_sums_of_terms(table, _sums_of_chunks(dealt, top), parts, docs.schema[cluster], top))
     forget_table()

@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarrylog.session import cut_lineage
+
 TOKENS = 3_000_000  # of a chunk, or one document
 SLICE = 500_000  # tokens encoded at once, or one text
 PART_DOCS = 2_000  # documents for each part of the terms
@@ -300,15 +302,12 @@ def answered(table: DataFrame, parts: int, kept: tuple[int, float] | None = None
     return packed(to_owners(asked, parts, "chunk"), run, ANSWER)
 
 
-def placed(table: DataFrame, entries: int) -> tuple[DataFrame, int]:
-    """Chunks by block, each block of ``entries`` counts or one chunk, and the number of blocks; the driver sees a row for each chunk."""
-    blocks, filled, places = 0, 0, []
-    for chunk, size in sorted(table.where("part = -1").select("chunk", "entries").collect()):
-        if filled and filled + size > entries:
-            blocks, filled = blocks + 1, 0
-        places.append((chunk, blocks))
-        filled += size
-    return F.broadcast(table.sparkSession.createDataFrame(places, "chunk long, block int")), blocks + 1
+def placed(table: DataFrame, entries: int | None = None) -> tuple[DataFrame, int]:
+    """Chunks by block, each block begun within ``entries`` counts or else one chunk, and the number of blocks; there is a row for each chunk."""
+    order = Window.orderBy("chunk")
+    block = F.row_number().over(order) - 1 if entries is None else F.floor((F.sum("entries").over(order) - F.col("entries")) / entries)
+    places = cut_lineage(table.where("part = -1").select("chunk", block.cast("int").alias("block")))
+    return F.broadcast(places), (places.agg(F.max("block")).first()[0] or 0) + 1
 
 
 def with_sizes(table: DataFrame, sizes: DataFrame, cluster: str) -> DataFrame:
